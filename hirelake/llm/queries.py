@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hirelake.llm import mixing, packing, sharding
+from hirelake.llm import mixing, packing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op7_packing": packing.op7_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
