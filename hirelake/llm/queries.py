@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hirelake.llm import mixing, packing, sharding, toxicity
+from hirelake.llm import html_text, mixing, packing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_html": html_text.op3_html,
     "op7_packing": packing.op7_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
