@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hirelake.llm import html_text, mixing, near_dedup, packing, sharding, toxicity
+from hirelake.llm import html_text, katz, mixing, near_dedup, packing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op3_html": html_text.op3_html,
     "op7_packing": packing.op7_packing,
+    "op8_lm_scoring": katz.op8_lm_scoring,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
