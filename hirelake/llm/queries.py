@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hirelake.llm import html_text, katz, mixing, near_dedup, packing, sharding, toxicity
+from hirelake.llm import edit_embedding, html_text, katz, mixing, near_dedup, packing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op3_html": html_text.op3_html,
+    "op4_fingerprints": edit_embedding.op4_fingerprints,
     "op7_packing": packing.op7_packing,
     "op8_lm_scoring": katz.op8_lm_scoring,
     "op9_near_dedup": near_dedup.op9_near_dedup,
