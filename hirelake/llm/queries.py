@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from hirelake.llm import edit_embedding, html_text, katz, mixing, near_dedup, packing, sharding, toxicity
+from hirelake.llm import edit_embedding, hamming_search, html_text, katz, license_scan, mixing, near_dedup, packing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op3_html": html_text.op3_html,
     "op4_fingerprints": edit_embedding.op4_fingerprints,
+    "op5_topk_search": hamming_search.op5_topk_search,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_packing": packing.op7_packing,
     "op8_lm_scoring": katz.op8_lm_scoring,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_topk_search": hamming_search.OP5_SQL}
