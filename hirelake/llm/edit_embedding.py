@@ -36,7 +36,9 @@ WALKS, SLOTS = 2, 128
 #: The walks' random bits repeat after so many steps; characters are hashed into so many classes.
 PERIOD, CLASSES = 1 << 16, 64
 #: Texts x longest text of a group that walks together, and characters held at once.
-CELLS, HELD_CHARS = 4 << 20, 2 << 20
+CELLS, HELD_CHARS = 4 << 20, 6 << 20
+#: So few texts walk on one by one.
+FEW = 24
 
 
 @lru_cache(1)
@@ -53,6 +55,11 @@ def _walk_tables() -> tuple[np.ndarray, ...]:
     return tuple(tables)
 
 
+@lru_cache(1)
+def _walk_bytes() -> tuple[bytes, ...]:
+    return tuple(t.tobytes() for t in _walk_tables())
+
+
 @lru_cache(1)
 def _sample_places() -> tuple[np.ndarray, ...]:
     """Per slot the places of the record minima of an endless row of random numbers."""
@@ -73,45 +80,108 @@ def _points(text: str) -> np.ndarray:
 
 
 def _bits(points: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (mix(points.astype(U) * U(0x9E3779B97F4A7C15) + slot.astype(U)) >> U(40)) & U(1)
+    return ((mix(points.astype(U) * U(0x9E3779B97F4A7C15) + slot.astype(U)) >> U(40)) & U(1)).astype(np.uint8)
+
 
+def fingerprints(texts: list[str], edits: list[tuple[int, str]] | None = None) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+    """A row of WALKS * SLOTS bits (0 or 1) per text.
 
-def fingerprints(texts: list[str]) -> np.ndarray:
-    """A row of WALKS * SLOTS bits (0 or 1) per text."""
-    all_slots = np.arange(WALKS * SLOTS)
-    out = np.empty((len(texts), len(all_slots)), np.uint8)
+    With ``edits``, also those of the edited texts: text i's first edits[i][0] characters followed
+    by edits[i][1]. Their walks start from where the text's own walk was after the part they share.
+    """
     points = [_points(t) for t in texts]
+    out = np.empty((len(texts), WALKS * SLOTS), np.uint8)
+    changed = None
+    if edits is not None:
+        keeps = np.array([k for k, _ in edits], np.int64)
+        tails = [_points(t) for _, t in edits]
+        changed = np.empty_like(out)
     sizes = np.array([len(p) for p in points], np.int64)
     order = np.argsort(-sizes, kind="stable")
-    if (sizes == 0).any():
-        out[sizes == 0] = _bits(np.full(len(all_slots), 0x110000, np.uint32), all_slots)
-    order = order[sizes[order] > 0]
-    tables, places = _walk_tables(), _sample_places()
     at = 0
     while at < len(order):
         longest = int(sizes[order[at]])
-        group = order[at : at + max(1, CELLS // longest)]
+        group = order[at : at + max(1, CELLS // max(longest, 1))]
         at += len(group)
-        size = sizes[group]
-        classes = np.zeros((longest, len(group)), np.int32)
-        for column, i in enumerate(group):
-            classes[: size[column], column] = ((points[i] * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.int32) * PERIOD
-        active = len(group) - np.searchsorted(size[::-1], np.arange(longest), "right")  # sizes fall
-        for walk, lasts in enumerate(tables):
-            entered = np.empty((longest, len(group)), np.int32 if longest < 1 << 28 else np.int64)
-            now = np.zeros(len(group), entered.dtype)
-            for i in range(longest):
-                n = active[i]
-                entered[i, :n] = now[:n]
-                now[:n] += lasts[classes[i, :n] + (now[:n] & (PERIOD - 1))]
-            slots = all_slots[walk * SLOTS : (walk + 1) * SLOTS]
-            where = np.stack([places[s][np.searchsorted(places[s], 2 * size) - 1] for s in slots])
-            for column, i in enumerate(group):
-                read = np.searchsorted(np.ascontiguousarray(entered[: size[column], column]), where[:, column], "right") - 1
-                out[i, slots] = _bits(points[i][read], slots)
+        mine = [points[i] for i in group]
+        entered = [_walk(mine, np.zeros(len(group), np.int64), walk) for walk in range(WALKS)]
+        out[group] = _read(mine, entered)
+        if changed is None:
+            continue
+        keep, tail = keeps[group], [tails[i] for i in group]
+        far = np.argsort([-len(t) for t in tail], kind="stable")
+        back = np.argsort(far)
+        late = []
+        for walk in range(WALKS):
+            # where the walk stands after the shared part: at the next character, or after the last one
+            now = np.array([e[k] if k < len(e) else _after(p, e, walk) for e, k, p in zip(entered[walk], keep, mine, strict=True)], np.int64)
+            rest = _walk([tail[i] for i in far], now[far], walk)
+            late.append([np.concatenate((e[:k], rest[j])) for e, k, j in zip(entered[walk], keep, back, strict=True)])
+        changed[group] = _read([np.concatenate((p[:k], t)) for p, k, t in zip(mine, keep, tail, strict=True)], late)
+    return out if changed is None else (out, changed)
+
+
+def _classes(points: np.ndarray) -> np.ndarray:
+    return ((points * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.int32) * PERIOD
+
+
+def _after(points: np.ndarray, entered: np.ndarray, walk: int) -> int:
+    """The step after a text's last character."""
+    if not len(points):
+        return 0
+    return int(entered[-1]) + int(_walk_tables()[walk][int(_classes(points[-1:])[0]) + (int(entered[-1]) & (PERIOD - 1))])
+
+
+def _walk(points: list[np.ndarray], now: np.ndarray, walk: int) -> list[np.ndarray]:
+    """The step at which each character of each text is entered; ``points`` by falling length,
+    ``now``: the first steps. All texts advance by one character at a time."""
+    size = np.array([len(p) for p in points])
+    few = min(FEW, len(points))
+    together = int(size[few]) if len(points) > few else 0  # up to here many texts go on
+    table = _walk_tables()[walk]
+    classes = np.zeros((len(points), together), np.int32)
+    for row, p in zip(classes, points, strict=True):
+        row[: min(len(p), together)] = _classes(p[:together])
+    classes = np.ascontiguousarray(classes.T)
+    active = (len(points) - np.searchsorted(size[::-1], np.arange(together), "right")).tolist()
+    entered = np.empty((together, len(points)), np.int64)
+    now = now.copy()
+    place, step = np.empty(len(points), np.int64), np.empty(len(points), np.uint8)
+    land, add, take = np.bitwise_and, np.add, table.take
+    for i in range(together):
+        n = active[i]
+        entered[i] = now
+        at, going, by = place[:n], now[:n], step[:n]
+        land(going, PERIOD - 1, at)
+        add(at, classes[i, :n], at)
+        take(at, None, by, "clip")
+        add(going, by, going)
+    out = [row[:n].copy() for row, n in zip(np.ascontiguousarray(entered.T), size, strict=True)]
+    lasts = _walk_bytes()[walk]
+    for j in range(few):  # the rest of the longest texts, one by one
+        if size[j] > together:
+            at, steps = int(now[j]), []
+            for c in _classes(points[j][together:]).tolist():
+                steps.append(at)
+                at += lasts[c + (at & (PERIOD - 1))]
+            out[j] = np.concatenate((out[j], np.array(steps, np.int64)))
     return out
 
 
+def _read(points: list[np.ndarray], entered: list[list[np.ndarray]]) -> np.ndarray:
+    """The sampled bits of texts, given the steps at which their walks enter each character."""
+    size = np.array([len(p) for p in points], np.int64)
+    places = _sample_places()
+    seen = np.full((len(points), WALKS * SLOTS), 0x110000, np.uint32)  # what an empty text reads
+    where = np.stack([p[np.maximum(np.searchsorted(p, 2 * size) - 1, 0)] for p in places], 1)
+    for walk, steps in enumerate(entered):
+        mine = slice(walk * SLOTS, (walk + 1) * SLOTS)
+        for i, (p, e) in enumerate(zip(points, steps, strict=True)):
+            if len(p):
+                seen[i, mine] = p[e.searchsorted(where[i, mine], "right") - 1]
+    return _bits(seen, np.arange(WALKS * SLOTS))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of agreeing bits per row, chance being 0."""
     return np.clip(2 * (a == b).mean(1) - 1, 0, 1)
@@ -132,9 +202,13 @@ _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 _SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _digest(ids: list, texts: list[str], following: list[str], prints: np.ndarray, next_prints: np.ndarray) -> list[pa.Array]:
+def edits_of(texts: list[str], following: list[str]) -> list[tuple[int, str]]:
+    """For each text the characters it keeps and what comes after them."""
+    return [(len(t) - len(t) // 2, f[: len(t) // 2]) for t, f in zip(texts, following, strict=True)]
+
+
+def _digest(ids: list, texts: list[str], following: list[str], prints: np.ndarray, changed: np.ndarray, next_prints: np.ndarray) -> list[pa.Array]:
     edited = [edited_text(t, f) for t, f in zip(texts, following, strict=True)]
-    changed = fingerprints(edited)
     columns = [
         ids, [len(t) for t in texts], [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
         _hex(prints), _hex(changed), likeness(prints, changed), likeness(prints, next_prints),
@@ -165,15 +239,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
         ids: list = []
         texts: list[str] = []
-        size, last_print, first = 0, None, True
+        size, first = 0, True
 
         def flush() -> pa.RecordBatch:
             """All held rows but the last, which stays for the next batch."""
-            nonlocal ids, texts, size, last_print
-            new = fingerprints(texts[last_print is not None :])
-            prints = new if last_print is None else np.concatenate([last_print, new])
-            out = rows_out(0, _digest(ids[:-1], texts[:-1], texts[1:], prints[:-1], prints[1:]))
-            ids, texts, last_print = ids[-1:], texts[-1:], prints[-1:]
+            nonlocal ids, texts, size
+            prints, changed = fingerprints(texts, [*edits_of(texts[:-1], texts[1:]), (0, "")])
+            out = rows_out(0, _digest(ids[:-1], texts[:-1], texts[1:], prints[:-1], changed[:-1], prints[1:]))
+            ids, texts = ids[-1:], texts[-1:]
             size = len(texts[0])
             return out
 
@@ -204,8 +277,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 ids, texts, following = (c.to_pylist() for c in batch.slice(low, 64).columns)
-                prints = fingerprints(texts + following)
-                yield pa.RecordBatch.from_arrays(_digest(ids, texts, following, prints[: len(texts)], prints[len(texts) :]), names=_NAMES)
+                prints, changed = fingerprints(texts, edits_of(texts, following))
+                yield pa.RecordBatch.from_arrays(_digest(ids, texts, following, prints, changed, fingerprints(following)), names=_NAMES)
 
     return done.where("role = 0").select(*_NAMES).unionByName(pairs.mapInArrow(finish, _SQL))
 
