@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from hirelake.plans import extraction, matches, merges, pages, searches
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (searches, extraction, matches, merges, pages):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
