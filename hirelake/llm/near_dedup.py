@@ -6,9 +6,9 @@
    centre each round); pairs whose signatures agree enough are verified on the exact multisets,
    and verified pairs unite classes. A group of any size costs a few pairs per member and is
    then one class, whose members are not compared again.
-4. Rest: in buckets that still hold several classes all signatures of different classes are
-   compared block by block (numpy, nothing is emitted but pairs that agree enough), and those are
-   verified. So no partner is capped, and no group is expanded into its pairs.
+4. Rest: in buckets that still hold several classes, all texts of different classes are compared
+   block by block: signatures in numpy, then, for those that agree enough, the exact multisets.
+   Only links leave a task. So no partner is capped, and no group is expanded into its pairs.
 
 Two texts are linked if their weighted Jaccard similarity is at least ``similarity``; classes are
 the connected components of links. The chance that the bands miss a pair at 0.8 is below 1e-5.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.bagminhash import SIZE, bags, signatures, weighted_jaccard
@@ -36,7 +36,9 @@ from hirelake.llm.wordhash import U, mix, shingles
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
 BANDS, ROWS = 30, 5
-STAR_ROUNDS = 3
+#: Rounds of stars, and partners (those sharing the most buckets) that a text is compared with in
+#: each; what stars leave apart is compared exhaustively afterwards.
+STAR_ROUNDS, STAR_PARTNERS = 3, 2
 #: Signatures of 256 must agree in this share for exact verification: over three standard
 #: deviations below the threshold.
 AGREEMENT_SLACK = 0.08
@@ -140,30 +142,63 @@ def _unite(classes: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(classes.join(roots, "cls", "left").select("tkey", F.coalesce("root", "cls").alias("cls")), "classes")
 
 
-def _rest(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs of different classes in one bucket whose signatures agree, found block by block."""
+def _rest(members: DataFrame, profiles: DataFrame, least: float, similarity: float, words: int) -> DataFrame:
+    """Links (a, b) between classes that share a bucket, found and verified block by block.
+
+    A pair is looked at in the first bucket that it shares, best agreement first, unless links of
+    the same two blocks already unite its classes; links alone leave the task.
+    """
     sizes = members.groupBy("bk").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("bk", "n")
-    dealt = members.join(sizes, "bk").join(sigs, "tkey")
+    dealt = members.join(sizes, "bk").join(profiles, "tkey")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("tkey"), F.ceil(F.col("n") / BLOCK)))
-    blocks = materialise(dealt.groupBy("bk", "block").agg(F.collect_list(F.struct("tkey", "cls", "sig")).alias("rows")), "blocks")
+    blocks = materialise(dealt.groupBy("bk", "block").agg(F.collect_list(F.struct("tkey", "cls", "sig", "bands", "text")).alias("rows")), "blocks")
     pairs = blocks.select("bk", F.col("block").alias("i"), F.col("rows").alias("left")).join(blocks.select("bk", F.col("block").alias("j"), F.col("rows").alias("right")), "bk").where("i <= j")
 
+    def links(bk: int, left: list[dict], right: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        both = left + right
+        sig = np.frombuffer(b"".join(r["sig"] for r in both), np.uint16).reshape(-1, SIZE)
+        bands = np.array([r["bands"] for r in both], np.int64)
+        here = bands == bk
+        names: dict[bytes, int] = {}
+        cls = np.array([names.setdefault(r["cls"], len(names)) for r in both])
+        rows, columns, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in range(len(left)):
+            other = len(left) + np.flatnonzero(cls[len(left) :] != cls[i])
+            share = (sig[other] == sig[i]).mean(1)
+            other, share = other[share >= least], share[share >= least]
+            first = here[i, np.argmax(bands[other] == bands[i], 1)]
+            rows.append(np.full(int(first.sum()), i))
+            columns.append(other[first])
+            shares.append(share[first])
+        i, j, share = np.concatenate(rows), np.concatenate(columns), np.concatenate(shares)
+        if not len(i):
+            return
+        root = list(range(len(names)))
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        need = np.unique(np.concatenate((i, j)))
+        elements, owner, weight = bags(*shingles([both[x]["text"] for x in need], words))
+        edge = np.searchsorted(owner, np.arange(len(need) + 1))
+        bag = {int(x): (elements[low:high], weight[low:high]) for x, low, high in zip(need, edge[:-1], edge[1:], strict=True)}
+        for at in np.lexsort((j, i, -share)):
+            x, y = int(i[at]), int(j[at])
+            if find(cls[x]) != find(cls[y]) and weighted_jaccard(bag[x], bag[y]) >= similarity:
+                root[find(cls[x])] = find(cls[y])
+                yield both[x]["tkey"], both[y]["tkey"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found_a, found_b = [], []
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = (np.frombuffer(b"".join(r["sig"] for r in side), np.uint16).reshape(-1, SIZE) for side in (left, right))
-                names: dict[bytes, int] = {}
-                class_a, class_b = (np.array([names.setdefault(r["cls"], len(names)) for r in side]) for side in (left, right))
-                for i in range(len(left)):
-                    other = np.flatnonzero(class_b != class_a[i])
-                    for j in other[(b[other] == a[i]).mean(1) >= least]:
-                        x, y = sorted((left[i]["tkey"], right[j]["tkey"]))
-                        found_a.append(x)
-                        found_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], names=["a", "b"])
-
-    return pairs.select("left", "right").mapInArrow(run, "a binary, b binary").distinct()
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                found = [*links(row["bk"], row["left"], row["right"])]
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
+
+    return pairs.select("bk", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -175,33 +210,35 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     multi = materialise(banded.join(shared, "bk"), "buckets")
     keys = materialise(multi.select("tkey").distinct(), "keys")
     few = small(keys)
-    sigs = materialise(nodes.select("tkey", "sig").join(few, "tkey").groupBy("tkey").agg(F.first("sig").alias("sig")), "sigs")
+    sigs = materialise(nodes.join(few, "tkey").groupBy("tkey").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "sigs")
     texts = docs.select(text_key().alias("tkey"), F.coalesce("text", F.lit("")).alias("text")).join(few, "tkey")
     texts = materialise(texts.groupBy("tkey").agg(F.first("text").alias("text")), "texts")
     classes = keys.select("tkey", F.col("tkey").alias("cls"))
     least = similarity - AGREEMENT_SLACK
     tested: DataFrame | None = None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS):
         members = multi.join(classes, "tkey")
-        if turn < STAR_ROUNDS:
-            centres = (
-                members.groupBy("bk")
-                .agg(F.min(F.struct(F.xxhash64("tkey", F.lit(turn)).alias("h"), "tkey", "cls")).alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-                .where("lo != hi")
-                .select("bk", F.col("c.tkey").alias("centre"), F.col("c.cls").alias("centre_cls"))
-            )
-            pairs = members.join(centres, "bk").where("cls != centre_cls").select(F.least("tkey", "centre").alias("a"), F.greatest("tkey", "centre").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            likely = _agree(pairs, sigs, least)
-        else:
-            likely = _rest(members, sigs, least)
-            if tested is not None:
-                likely = likely.join(tested, ["a", "b"], "left_anti")
-        likely = materialise(likely, "likely")
-        if likely.limit(1).count():
-            classes = _unite(classes, materialise(_verify(likely, texts, similarity, words), "links"))
-            tested = likely if tested is None else tested.unionByName(likely)
+        centres = (
+            members.groupBy("bk")
+            .agg(F.min(F.struct(F.xxhash64("tkey", F.lit(turn)).alias("h"), "tkey", "cls")).alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+            .where("lo != hi")
+            .select("bk", F.col("c.tkey").alias("centre"), F.col("c.cls").alias("centre_cls"))
+        )
+        pairs = (
+            members.join(centres, "bk")
+            .where("cls != centre_cls")
+            .groupBy("tkey", F.least("tkey", "centre").alias("a"), F.greatest("tkey", "centre").alias("b"))
+            .agg(F.count(F.lit(1)).alias("shared"))
+        )
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        best = Window.partitionBy("tkey").orderBy(F.desc("shared"), "a", "b")  # at most BANDS rows each
+        pairs = pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= STAR_PARTNERS).select("a", "b").distinct()
+        likely = materialise(_agree(pairs, sigs, least), "likely")
+        classes = _unite(classes, materialise(_verify(likely, texts, similarity, words), "links"))
+        tested = likely if tested is None else tested.unionByName(likely)
+    links = _rest(multi.join(classes, "tkey"), sigs.join(texts, "tkey"), least, similarity, words)
+    classes = _unite(classes, materialise(links, "links"))
     return signed.select("doc_id", "tkey"), classes
 
 

@@ -119,7 +119,8 @@ def test_bags_and_exact_similarity():
     assert weighted_jaccard(got[4], bags(*shingles(["a b c d e"]))[::2]) == 1.0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_chains_and_stars(spark, one_task):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 30)] + [(200, 201), (201, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 1 for i in range(1, 30)) and got[201] == 200
