@@ -9,7 +9,8 @@ nearly equal length read nearly equal places; its bit is a hash of the character
 stands on there. Likeness is the share of agreeing bits, rescaled so that chance is 0.
 
 All texts of a batch walk together, one character per numpy step (a table tells how many steps a
-character lasts), so the cost is one table look-up per character and walk.
+character lasts), so the cost is one table look-up per character and walk. :func:`similar_documents` bands sampled bits and verifies
+candidates by their edit distance.
 
 Defined cases: null text is empty; an empty text has a fingerprint of its own, like itself only;
 equal texts have equal fingerprints; texts of any length are read whole; repeated rows and ties in
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import materialise, table
+from hirelake.llm.near_classes import classify_documents
 from hirelake.llm.wordhash import U, mix
 
 WALKS, SLOTS = 2, 128
@@ -39,6 +42,8 @@ PERIOD, CLASSES = 1 << 16, 64
 CELLS, HELD_CHARS = 4 << 20, 6 << 20
 #: So few texts walk on one by one.
 FEW = 24
+#: Bands for candidate search, and fingerprint bits that each samples.
+BANDS, BAND_BITS = 40, 24
 
 
 @lru_cache(1)
@@ -285,3 +290,71 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+# --- documents alike under edits -----------------------------------------------------------------
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, a column of the table at a time as bits of one whole number."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    where: dict[str, int] = {}
+    for i, c in enumerate(b):
+        where[c] = where.get(c, 0) | 1 << i
+    mask, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    up, down, distance = mask, 0, len(b)
+    for c in a:
+        match = where.get(c, 0)
+        seen = match | down
+        zero = (((match & up) + up) ^ up) | seen
+        right_up, right_down = down | ~(zero | up) & mask, up & zero
+        if right_up & top:
+            distance += 1
+        elif right_down & top:
+            distance -= 1
+        right_up = (right_up << 1 | 1) & mask
+        up, down = (right_down << 1 | ~(zero | right_up)) & mask, right_up & zero
+    return distance
+
+
+@dataclass(frozen=True)
+class EditWalks:
+    """Edit similarity, 1 - distance / length of the longer text, of at least ``similarity``.
+
+    Bands are BANDS fixed samples of BAND_BITS fingerprint bits, each of one walk, so that one walk
+    that stays together is enough. Few edits keep walks together; for
+    texts with many, scattered edits the embedding's distortion grows and bands may miss them.
+    """
+
+    similarity: float = 0.9
+    dtype = np.uint8
+    size = WALKS * SLOTS
+    least_agreement = 0.7
+
+    def sign(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bits = fingerprints(texts)
+        picks = np.random.Generator(np.random.PCG64(7)).permuted(np.tile(np.arange(SLOTS), (BANDS, 1)), axis=1)[:, :BAND_BITS]
+        picks += np.arange(BANDS)[:, None] % WALKS * SLOTS
+        keys = np.zeros((len(texts), BANDS), U)
+        for band, pick in enumerate(picks):
+            packed = bits[:, pick].astype(U) @ (U(1) << np.arange(BAND_BITS, dtype=U))
+            keys[:, band] = mix(packed + mix(np.full(1, band + 1, U)))
+        return np.array([bool(t) for t in texts]), bits, keys
+
+    def prepare(self, texts: list[str]) -> list[str]:
+        return texts
+
+    def alike(self, a: str, b: str) -> bool:
+        longer = max(len(a), len(b))
+        allowed = (1 - self.similarity) * longer + 1e-9
+        return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
+    """Classes of documents alike under edits: bit-sampled bands of fingerprints pick candidates,
+    exact edit distances verify them. A row per doc_id and text as in
+    :func:`hirelake.llm.near_classes.classify_documents`."""
+    return classify_documents(docs, EditWalks(similarity))

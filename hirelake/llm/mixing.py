@@ -171,3 +171,38 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
+
+
+#: The same schedule in SQL, slot by slot (for weights of which none rounds below one slot).
+OP1_SQL = f"""
+WITH RECURSIVE g AS (
+  SELECT CASE WHEN source IS NULL THEN 'n' ELSE concat('s', source) END AS skey, source, doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS okey,
+         sum(strlen(coalesce(text, '')) + 1) AS bytes, count(*) AS copies
+  FROM documents GROUP BY ALL
+), b AS (
+  SELECT *, CAST(sum(bytes) OVER (PARTITION BY skey ORDER BY okey, doc_id ROWS UNBOUNDED PRECEDING) - bytes AS BIGINT) // {BLOCK_BYTES} AS block FROM g
+), e AS (
+  SELECT skey, pow(CAST(sum(bytes) AS DOUBLE), {TEMPERATURE}) / sum(pow(CAST(sum(bytes) AS DOUBLE), {TEMPERATURE})) OVER () * {PERIOD} AS exact, max(block) + 1 AS blocks FROM b GROUP BY skey
+), r AS (
+  SELECT *, CAST(greatest(1, floor(exact)) AS BIGINT) AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, skey) AS nth, {PERIOD} - sum(greatest(1, floor(exact))) OVER () AS rest FROM e
+), s AS (
+  SELECT skey, blocks, base + CASE WHEN nth <= rest THEN 1 ELSE 0 END AS share FROM r
+), n AS (
+  SELECT list(share ORDER BY skey) AS shares, list(skey ORDER BY skey) AS keys FROM s
+), sim(slot, done, pick) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(shares, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM n
+  UNION ALL
+  SELECT slot + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT slot, done, CAST(list_min(list_transform(
+      list_filter(range(1, len(shares) + 1), lambda i: done[i] < shares[i] AND done[i] * {PERIOD} // shares[i] <= slot),
+      lambda i: ((done[i] + 1) * {PERIOD} + shares[i] - 1) // shares[i] * 10000 + i)) % 10000 AS BIGINT) AS p
+    FROM sim, n WHERE slot < {PERIOD})
+), places AS (
+  SELECT keys[pick] AS skey, done[pick] - 1 AS nr, slot - 1 AS place FROM sim, n WHERE slot > 0
+), horizon AS (
+  SELECT min(s.blocks // s.share * {PERIOD} + p.place) AS h FROM s JOIN places p ON p.skey = s.skey AND p.nr = s.blocks % s.share
+), placed AS (
+  SELECT b.*, s.share, b.block // s.share * {PERIOD} + p.place AS due FROM b JOIN s ON s.skey = b.skey JOIN places p ON p.skey = b.skey AND p.nr = b.block % s.share
+)
+SELECT doc_id, source, share, block, CASE WHEN due < (SELECT h FROM horizon) THEN due END AS slot, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM placed
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op5_topk_search": hamming_search.OP5_SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op5_topk_search": hamming_search.OP5_SQL}

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hirelake.llm import edit_embedding, hamming_search, license_scan
@@ -154,3 +156,44 @@ def test_winnowing_guarantee():
             grams = license_scan._grams(w, owner)
             sides.append({int(grams[p]) for p in license_scan.winnow(grams, owner)})
         assert sides[0] & sides[1]
+
+
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé", max_size=12), st.text("abé", max_size=12))
+def test_edit_distance(a, b):
+    assert edit_embedding.edit_distance(a, b) == slow_distance(a, b)
+
+
+def test_similar_documents_are_found_by_bands_and_verified(spark):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmno pqrstu")
+    rows, group = [], {}
+    for g in range(30):
+        base = rng.choice(letters, 1200)
+        rows.append((100 * g, "".join(base)))
+        for i in range(1, 4):
+            t = list(base)
+            for p in rng.integers(0, len(t), 2):
+                t[p : p + 1] = rng.choice(["", "x", "yz"])
+            rows.append((100 * g + i, "".join(t)))
+        group |= {100 * g + i: 100 * g for i in range(4)}
+    got = edit_embedding.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    found = {r.doc_id: r.class_id for r in got.itertuples()}
+    assert all(found[d] // 100 == d // 100 for d in found)  # verified: no false links
+    assert sum(found[d] == group[d] for d in found) >= 0.95 * len(found)
+
+
+def test_similar_documents_odd_rows(odd_docs, no_docs):
+    got = edit_embedding.similar_documents(odd_docs).toPandas()
+    assert got.copies.sum() == 12 and set(got[got.doc_id.isin([1, 2])].class_id) == {1}
+    assert edit_embedding.similar_documents(no_docs).count() == 0

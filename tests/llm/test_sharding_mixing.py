@@ -120,3 +120,10 @@ def test_mix_odd_rows(odd_docs, no_docs):
 
 def test_op1_covers_all(spark, sf):
     assert mixing.op1_mixing(spark, sf).count() == table(spark, sf, "documents").count()
+
+
+def test_op1_against_sql(spark):
+    from oracle import compare, connect
+
+    sf = "/root/testdata/sf0.1"
+    compare(mixing.op1_mixing(spark, sf), connect(sf), mixing.OP1_SQL)
