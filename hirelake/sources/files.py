@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,18 @@ ENCODINGS = ["utf-8-sig", "cp949", "euc-kr"]
 SPARK_NAMES = {"utf-8-sig": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR", "utf-8": "UTF-8"}
 
 
-def _bytes(spark: SparkSession, path: str, whole: bool) -> bytes:
-    """A small file's bytes (or its first line), through Spark's reader."""
-    row = spark.read.format("binaryFile").load(path).select("content" if whole else F.substring("content", 1, 1 << 16).alias("content")).first()
-    content = bytes(row.content) if row else b""
-    return content if whole else content.split(b"\n", 1)[0]
+#: Bytes that a lenient read looks at to tell the encoding.
+PROBE_BYTES = 1 << 20
 
 
 def detect_encoding(spark: SparkSession, path: str, strict: bool = False) -> str | None:
-    """The first encoding that decodes the first line (strict: the whole file); None if none does."""
-    data = _bytes(spark, path, strict)
+    """The first encoding that decodes the file's start (strict: the whole file); None if none does."""
+    content = F.col("content") if strict else F.substring("content", 1, PROBE_BYTES)
+    row = spark.read.format("binaryFile").load(path).select(content.alias("content")).first()
+    data = bytes(row.content) if row else b""
     for name in ENCODINGS:
         try:
-            data.decode(name)
+            codecs.getincrementaldecoder(name)().decode(data, final=strict or len(data) < PROBE_BYTES)
             return name
         except UnicodeDecodeError:
             continue
@@ -40,6 +41,8 @@ def read_csv(spark: SparkSession, path: str, strict: bool = False, required: lis
     encoding = detect_encoding(spark, path, strict)
     if encoding is None and strict:
         raise ValueError(f"{path}: none of {', '.join(ENCODINGS)} decodes it")
+    if encoding in ("cp949", "euc-kr"):  # Spark 4 reads other than Unicode encodings only with this
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = spark.read.option("header", True).option("encoding", SPARK_NAMES[encoding or "utf-8"]).option("multiLine", True).option("escape", '"')
     df = reader.csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
