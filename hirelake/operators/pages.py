@@ -46,9 +46,11 @@ def page_title(html: str | Column = "html") -> Column:
     return F.coalesce(first("h1"), first("h2"), first("title"))
 
 
-def external_pages(links: DataFrame, domains: list[str] = L.EXTERNAL_DOMAINS) -> DataFrame:
-    """page_id of pages with a link to an external job platform."""
-    return links.where(any_in(F.lower("href"), domains)).select("page_id").distinct()
+def external_pages(links: DataFrame, domains: list[str] = L.EXTERNAL_DOMAINS, of: str = "href") -> DataFrame:
+    """page_id of pages with a link to an external job platform: a domain in the link as written
+    (``href``), as an absolute URL (``link``), or in its host alone (``host``)."""
+    target = netloc("link") if of == "host" else F.col(of)
+    return links.where(any_in(F.lower(target), domains)).select("page_id").distinct()
 
 
 def job_links(links: DataFrame, keywords: list[str] = L.JOB_ANCHORS, excluded: list[str] = L.EXCLUDED_ANCHORS, domains: list[str] = L.EXTERNAL_DOMAINS) -> DataFrame:
@@ -56,7 +58,7 @@ def job_links(links: DataFrame, keywords: list[str] = L.JOB_ANCHORS, excluded: l
     text = F.lower("text")
     usable = (F.col("href") != "") & ~F.col("href").startswith("#") & ~F.lower("href").startswith("javascript:")
     keep = usable & same_org(netloc("url"), netloc("link")) & (F.col("text") != "") & ~any_in(text, excluded) & any_in(text, keywords)
-    rows = links.where(keep).join(external_pages(links, domains), "page_id", "left_anti")
+    rows = links.where(keep).join(external_pages(links, domains, "host"), "page_id", "left_anti")
     rows = rows.withColumn("job_url", F.regexp_replace("link", r"/+$", ""))
     return rows.groupBy("page_id", "job_url").agg(F.min("pos").alias("pos"))
 

@@ -13,7 +13,7 @@ from hirelake.plans import sqltext as S
 #: Latin stand-ins for the Korean lists, as the test pages have no Hangul.
 WORDS = ["the", "an", "que", "un", "er", "la", "ich"]
 EXCLUDED = ["tion", "ung"]
-EXTERNAL = ["/los", "/und"]
+EXTERNAL, EXTERNAL_HOSTS = ["/los", "/und"], [".net"]
 LISTING, ONE_PAGE = ["thing", "ungsch"], ["ment", "tion"]
 
 
@@ -34,7 +34,7 @@ def external_pages(spark, sf):
 
 
 def job_links(spark, sf):
-    return P.job_links(_links(spark, sf), WORDS, EXCLUDED, EXTERNAL)
+    return P.job_links(_links(spark, sf), WORDS, EXCLUDED, EXTERNAL_HOSTS)
 
 
 def link_score(spark, sf):
@@ -116,7 +116,7 @@ _SALARY = S.strip("regexp_extract(t, %s)" % S.text("(연봉|급여)[^0-9]*([0-9]
 SQL = {
     "anchors": f"{_WITH} SELECT page_id, pos, href, link, text FROM l",
     "external_pages": f"{_WITH} SELECT page_id FROM ext",
-    "job_links": f"{_WITH} SELECT page_id, regexp_replace(link, '/+$', '') AS job_url, min(pos) AS pos FROM l WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(lower(href), 'javascript:') AND {S.same_org(S.netloc('url'), S.netloc('link'))} AND text <> '' AND NOT {S.any_in('lower(text)', EXCLUDED)} AND {S.any_in('lower(text)', WORDS)} AND page_id NOT IN (SELECT page_id FROM ext) GROUP BY 1, 2",
+    "job_links": f"{_WITH} SELECT page_id, regexp_replace(link, '/+$', '') AS job_url, min(pos) AS pos FROM l WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(lower(href), 'javascript:') AND {S.same_org(S.netloc('url'), S.netloc('link'))} AND text <> '' AND NOT {S.any_in('lower(text)', EXCLUDED)} AND {S.any_in('lower(text)', WORDS)} AND page_id NOT IN (SELECT page_id FROM l WHERE link IS NOT NULL AND {S.any_in('lower(' + S.netloc('link') + ')', EXTERNAL_HOSTS)}) GROUP BY 1, 2",
     "link_score": f"{_WITH} SELECT page_id, pos, score FROM l",
     "candidate_links": f"{_WITH} SELECT page_id, pos, link, score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS INTEGER) AS rank FROM l WHERE score > 0 AND link IS NOT NULL",
     "direct_links": f"{_WITH} SELECT page_id, arg_min(link, pos) AS direct_link FROM l WHERE score > 0 AND link IS NOT NULL AND NOT {S.any_in('lower(link)', EXTERNAL)} AND {S.same_org(S.netloc('url'), S.netloc('link'))} GROUP BY 1",
