@@ -6,8 +6,8 @@ containers say (article or main, navigation, header, footer, aside, form; hints
 role names). A small CART tree, trained here on a labelled table of blocks (:func:`labelled_blocks`
 lays it out from a few dozen marked page parts), decides which blocks belong to the article.
 
-Defined cases: null or empty html gives an empty text; comments, scripts, styles, head, templates
-and unclosed rest of these are markup; ``<br>`` is white space inside a block; inline tags add no
+Defined cases: null or empty html gives an empty text; comments, scripts, styles, titles, templates
+and the rest after an unclosed comment, script or style are markup; ``<br>`` is white space inside a block; inline tags add no
 space; a page cut off anywhere keeps what it has; repeated rows are extracted each; other columns
 are ignored; very long pages are read whole in linear time.
 """
@@ -29,12 +29,16 @@ from hirelake.llm.common import table
 
 MARKUP = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(script|style|template|noscript|iframe|svg|textarea|select|object|head|title|canvas|math|video|audio)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z!?][^>]*>"
-    r"|<[!?/a-zA-Z][^<]*\Z",
-    re.S | re.I,
+    r"|</?[a-zA-Z!?][^>]*>",
+    re.S,
 )
+#: What follows the last '>' of a page that was cut off inside a tag.
+CUT_OFF = re.compile(r"<[!?/a-zA-Z].*\Z", re.S)
+#: Elements whose content is not text of the page. An unclosed one of the first two ends the page;
+#: any other is then read as an unknown tag.
+RAW_TAGS = frozenset("script style template noscript iframe svg textarea select object title canvas math video audio".split())
+ENDLESS_TAGS = frozenset("script style".split())
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WORDS_IN_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -113,30 +117,42 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in MARKUP.finditer(page):
+    last = page.rfind(">") + 1
+    unclosed: set[str] = set()
+    while m := MARKUP.search(page, at, last):
         if m.start() > at:
             parts.append(piece := page[at : m.start()])
             if in_link:
                 linked += len(piece)
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
-            if m[1]:
-                parts.append(" ")
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         tag = tag.lower()
+        if tag in RAW_TAGS and not m[1] and not m[3].endswith("/") and tag not in unclosed:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end:
+                parts.append(" ")
+                at = end.end()
+                continue
+            if tag in ENDLESS_TAGS:
+                at = len(page)
+                break
+            unclosed.add(tag)
         if tag == "br":
             parts.append(" ")
             continue
         if tag == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if m[1] else 1
             continue
         if tag not in BLOCK_TAGS:
             continue
         close()
         if tag in VOID_TAGS:
             continue
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -148,7 +164,7 @@ def blocks(page: str) -> list[Block]:
         elif stack[-1][0] == "p":
             stack.pop()
         _, verdict, article, chrome, comments, heading, item, header = stack[-1]
-        says, is_article = _says(tag, m[4])
+        says, is_article = _says(tag, m[3])
         if says == 1:
             verdict, article = (1 if verdict >= 0 or is_article and verdict > -2 else verdict), 1
         elif says == -3:
@@ -158,11 +174,11 @@ def blocks(page: str) -> list[Block]:
                 verdict, chrome = -1, 1
         elif says:
             verdict, chrome, comments = min(verdict, says) if verdict < 0 else says, 1, comments or int(says == -2)
-        if "data-keep" in m[4]:
-            mark = "1" if 'data-keep="1"' in m[4] else "0"
+        if "data-keep" in m[3]:
+            mark = "1" if 'data-keep="1"' in m[3] else "0"
         stack.append((tag, verdict, article, chrome, comments, int(tag in HEADINGS) or heading, int(tag in ("li", "td", "th", "option")) or item, header))
     if at < len(page):
-        parts.append(piece := page[at:])
+        parts.append(piece := CUT_OFF.sub("", page[at:]))
         if in_link:
             linked += len(piece)
     close()

@@ -46,6 +46,25 @@ def test_page_without_article_tag():
     assert body.strip() in got and "Home" not in got and "Us" not in got
 
 
+def test_left_out_and_unclosed_tags():
+    text = "Some words of an article that are long enough to be read as such. "
+    assert html_text.main_text(f"<html><head><title>T</title><body><article><p>{text}<p>More.</article>") == text.strip() + "\nMore."
+    assert html_text.main_text(f"<title>open <article><p>{text}</p></article>").endswith(text.strip())
+    assert html_text.main_text(f"<article><p>{text}</p></article><script>never <p>closed") == text.strip()
+    assert html_text.main_text(f"<article><p>{text}</p></article><!-- never <p>closed</p> tail") == text.strip()
+    assert html_text.main_text(f"<article><p>{text}</p><p>a &lt; b and c > d</p></article>").endswith("a < b and c > d")
+
+
+def test_time_is_linear_in_broken_pages():
+    import time
+
+    began = time.process_time()
+    for part in ("<a ", "<select>", "<p <", "<!-", '<a "', "<title>", "</", "&", "<div>"):
+        html_text.main_text(part * 60_000)
+        html_text.main_text(part * 60_000 + ">")
+    assert time.process_time() - began < 30
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, 0), (1, "u", None, 0), (2, None, "", 1), (None, "v", "plain words only", 2), (3, "w", "<article><p>cut off <b>here", 3), (4, "x", "<p>" * 5000 + "deep</p>", 4), (5, "y", "<!-- open " + "a<" * 50_000, 5), (6, "z", '<p title="unbalanced>text</p>' * 50, 6)]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).toPandas()
