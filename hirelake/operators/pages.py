@@ -14,6 +14,7 @@ from hirelake import lexicons as L
 from hirelake.functions.posting import accept_as_job, benefit_list, posting_facts, region
 from hirelake.functions.text import any_in, blank, clean_html, collapse, count_in, strip
 from hirelake.functions.urls import base_parts, join_parts, netloc, normalize_url, parent_path, redirect_target, same_org
+from hirelake.storage import materialise
 
 BLOCK_CHARS, BODY_CHARS = 80, 40
 
@@ -110,10 +111,12 @@ def crawl_frontier(pages: DataFrame, seeds: DataFrame, max_depth: int = 3, keywo
     """(url, depth) of the pages that a walk from ``seeds`` (url) reaches over candidate links inside
     the organisation, among fetched ``pages``; at most ``max_depth`` joins."""
     links = anchors(pages).where(same_org(netloc("url"), netloc("link")) & (link_score(F.col("text"), F.col("label"), keywords) > 0)).select("url", "link").distinct()
+    links = materialise(links, "links")
     reached = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     front = reached
     for depth in range(1, max_depth + 1):
         front = front.select("url").join(links, "url").select(F.col("link").alias("url")).distinct().join(reached, "url", "left_anti").join(pages.select("url").distinct(), "url", "left_semi").withColumn("depth", F.lit(depth))
+        front = materialise(front, "front")
         reached = reached.unionByName(front)
     return reached
 

@@ -50,6 +50,12 @@ def admin_facets(spark, sf):
     return search.facet(jobs, "o_orderstatus").withColumnRenamed("o_orderstatus", "facet").unionByName(search.facet(jobs, "o_orderpriority").withColumnRenamed("o_orderpriority", "facet"))
 
 
+def admin_search(spark, sf):
+    """The admin search: a text in the title, the URL or the company's name."""
+    rows = search.with_company(inputs.jobs(spark, sf), inputs.companies(spark, sf))
+    return search.keyword_search(rows, "RC1", ["title", "post_url", "company_name"]).select("id", "company_name")
+
+
 def in_list_filter(spark, sf):
     return search.in_list(inputs.table(spark, sf, "customer"), "c_nationkey", [1, 5, 9]).select("c_custkey", "c_nationkey")
 
@@ -74,7 +80,7 @@ def export_companies(spark, sf):
     return export_rows(inputs.sites(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (jobs_search_page, jobs_search_envelope, jobs_active_filter, jobs_keyword, orders_company_contains, suppliers_region_contains, admin_facets, in_list_filter, point_lookup, missing_homepages, discover_targets, collect_targets, export_companies)}
+QUERIES = {f.__name__: f for f in (jobs_search_page, jobs_search_envelope, jobs_active_filter, jobs_keyword, orders_company_contains, suppliers_region_contains, admin_facets, admin_search, in_list_filter, point_lookup, missing_homepages, discover_targets, collect_targets, export_companies)}
 
 SQL = {
     "jobs_search_page": f"""{_WITH} SELECT j.id, j.title, j.company_id, c.name AS company_name, c.region AS company_region FROM jobs j JOIN companies c ON j.company_id = c.id
@@ -85,6 +91,7 @@ SQL = {
     "orders_company_contains": "SELECT o_orderkey, c_name AS company_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), '#0000001')",
     "suppliers_region_contains": "SELECT s_suppkey, n_name AS company_region FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'an')",
     "admin_facets": "SELECT o_orderstatus AS facet, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY 1",
+    "admin_search": f"{_WITH} SELECT j.id, c.name AS company_name FROM jobs j JOIN companies c ON j.company_id = c.id WHERE contains(lower(j.title), 'rc1') OR contains(lower(j.post_url), 'rc1') OR contains(lower(c.name), 'rc1')",
     "in_list_filter": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (1, 5, 9)",
     "point_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
     "missing_homepages": f"{_WITH} SELECT id, name FROM sites WHERE homepage_url IS NULL",
