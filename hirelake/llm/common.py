@@ -1,73 +1,25 @@
 """What the training-data operators share: table access, the shared folder, prefix sums.
 
-Nothing here collects rows. Intermediate tables go to the folder that the session names in
-``spark.checkpoint.dir``, which all executors and the driver see; only where that setting is
-absent (tests, notebooks) a temporary folder is made and set.
+Nothing here collects rows. Intermediate tables go to the session's shared folder, see
+:mod:`hirelake.storage`.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Hex digits of the md5 order key that split a group into 16**3 even buckets.
-BUCKET_DIGITS = 3
+from hirelake.storage import materialise, release, shared_dir
 
-_written: dict[str, SparkSession] = {}
+__all__ = ["bucket_of", "materialise", "order_key", "prefix_sums", "release", "shared_dir", "table", "text_of"]
 
+#: Hex digits of the md5 order key that split a group into 16**3 even buckets.
+BUCKET_DIGITS = 3
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="hirelake-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation of what is already written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hirelake-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a table from :func:`materialise` that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        for path in [p for p in _written if p.split("://")[-1] in file]:
-            _delete(path)
-
-
-def _delete(path: str) -> None:
-    spark = _written.pop(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _tidy() -> None:
-    for path in list(_written):
-        try:
-            _delete(path)
-        except Exception:  # the JVM may be gone at exit
-            break
-
-
 def text_of(column: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
