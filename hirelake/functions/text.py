@@ -62,9 +62,14 @@ def first_in(c: Column, items: list[str], otherwise: Column | None = None) -> Co
     return (F.lit(None).cast("string") if out is None else out).otherwise(otherwise) if otherwise is not None else out
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, though ``use`` reads it in a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def found_in(c: Column, items: list[str]) -> Column:
     """The items that are substrings, in list order."""
-    return F.filter(words(items), lambda x: c.contains(x))
+    return once(c, lambda t: F.filter(words(items), lambda x: t.contains(x)))
 
 
 def token_set(c: str | Column) -> Column:
