@@ -27,7 +27,6 @@ import heapq
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hirelake.llm.common import materialise, order_key, prefix_sums, table, text_of
 

@@ -250,6 +250,7 @@ def classify_documents(docs: DataFrame, how: Likeness) -> DataFrame:
         F.sum("copies").alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("stays"),
     )
+    groups = materialise(groups, "groups")  # so that the join below can split a class of any size
     stays = F.col("stays.tkey").eqNullSafe(F.col("tkey")) & F.col("stays.doc_id").eqNullSafe(F.col("doc_id"))
     return counted.join(groups, "cls").select("doc_id", "tkey", "copies", "class_id", "class_size", stays.alias("kept"))
 
