@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
-from hirelake.functions.text import any_in, blank, clean_html, col, found_in, salary_floor500, strip, words
+from hirelake.functions.text import any_in, blank, clean_html, col, found_in, salary_floor500, strip
 
 
 @dataclass(frozen=True)
@@ -123,6 +123,3 @@ def extract_facts(
     ]
     keep = [n for n in names if n in only_fields] if only_fields and set(only_fields) & set(names) else [] if only_fields else list(names)
     return df.withColumns({n: v for n, v in zip(names, values, strict=True) if n in keep}).drop(clean)
-
-
-__all__ = ["DEFAULT", "FIELDS", "Rules", "benefits", "career", "extract_facts", "headcount", "industry", "place", "required", "stack", "words"]

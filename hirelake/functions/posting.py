@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
-from hirelake.functions.text import any_in, blank, col, count_in, first_in, found_in, strip
+from hirelake.functions.text import blank, count_in, first_in, found_in, strip
 
 #: Characters that the acceptance test and a plugged-in classifier look at (their feature, not a cap).
 ACCEPT_CHARS, CLASSIFIER_CHARS = 3000, 2000
@@ -64,6 +64,3 @@ def posting_facts(text: str | Column) -> dict[str, Column]:
         "employment_type": employment_type(t),
         "salary": salary_phrase(t),
     }
-
-
-__all__ = ["accept_as_job", "any_in", "benefit_list", "col", "employment_type", "labeled_block", "posting_facts", "region", "salary_phrase"]

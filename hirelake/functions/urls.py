@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
-from hirelake.functions.text import blank, col, strip
+from hirelake.functions.text import blank, strip
 
 
 def netloc(url: str | Column) -> Column:
@@ -76,6 +76,3 @@ def parent_path(url: str | Column) -> Column:
     p = path(url)
     slashes = F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit("")))
     return F.when(slashes >= 2, F.regexp_replace(p, r"/[^/]*/[^/]*$", "")).when(slashes == 1, F.regexp_replace(p, r"/[^/]*$", "")).otherwise(p)
-
-
-__all__ = ["col", "join_url", "netloc", "normalize_url", "parent_path", "path", "redirect_target", "same_org"]

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import flag
-
 PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
 SEARCH_FIELDS = ["title", "job_description", "qualifications", "preferred_qualifications"]
 
@@ -92,6 +90,3 @@ def collect_targets(companies: DataFrame, limit: int | None = None) -> DataFrame
     ).orderBy("id")
     df = df.select("id", "name", "recruits_url", "page_type", "post_type")
     return df.limit(limit) if limit and limit > 0 else df
-
-
-__all__ = ["flag"]
