@@ -9,8 +9,12 @@ its target share. The schedule repeats after ``period`` slots with every lag bac
 period of at most ``period`` rows (a parameter) is all that is ever computed or joined, at any
 input size: block j runs at slot (j div a_i)*period + place(i, j mod a_i).
 
-The mix ends at the first slot whose source has run dry: up to there the shares hold; documents
-after it are marked as not scheduled (``slot`` null) rather than dropped.
+The shares hold up to the first slot whose source has run dry, the end of epoch 0. The schedule
+goes on without the dry source in a new epoch: the other sources' weights are quantised anew and a
+new period starts, and so on until every source has run dry, so there are at most as many epochs as
+sources, of at most ``period`` places each. Weights that come from the sources' sizes lead to the
+end, so every document has a slot; weights that are given must hold, so the mix ends with epoch 0
+and later documents have a null ``slot``. ``to_end`` overrides either.
 
 Weights are given as {source: weight}, or, by default, are the sources' byte counts to the power
 ``temperature``, which lifts small sources against a hot one.
@@ -24,6 +28,7 @@ sources with weights raise ValueError, as their blocks could not be told apart.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +81,34 @@ def pfair_period(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
+def epochs(stock: dict[str, float], blocks: dict[str, int], period: int = PERIOD) -> tuple[list[tuple[str, int, int, int, int, int]], list[tuple[str, int, int, int]]]:
+    """The schedule to the end, for weights and numbers of blocks.
+
+    Rows (source, epoch, first block, block after the last, share, first slot) and places (source,
+    epoch, block in the period, slot in the period); both are bounded by ``period`` squared. Weighted sources without blocks take part in
+    epoch 0, where their slots stay empty.
+    """
+    spans, places = [], []
+    done = dict.fromkeys(blocks, 0)
+    epoch, begin, weights = 0, 0, stock
+    while any(s in weights for s in blocks if done[s] < blocks[s]):
+        slots = quantise(weights, period)
+        where: dict[str, list[int]] = {s: [] for s in slots}
+        for s, _, slot in pfair_period(slots):
+            where[s].append(slot)
+        left = {s: blocks[s] - done[s] for s in slots if s in blocks}
+        horizon = min(n // slots[s] * period + where[s][n % slots[s]] for s, n in left.items())
+        for s in left:
+            taken = horizon // period * slots[s] + bisect_left(where[s], horizon % period)
+            if taken:
+                spans.append((s, epoch, done[s], done[s] + taken, slots[s], begin))
+                places += [(s, epoch, at, place) for at, place in enumerate(where[s][:taken])]
+                done[s] += taken
+        epoch, begin = epoch + 1, begin + horizon
+        weights = {s: stock[s] for s in left if done[s] < blocks[s]}
+    return spans, places
+
+
 def _source_key():
     """Source as text that tells null from any string."""
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
@@ -97,11 +130,12 @@ def mix_schedule(
     period: int = PERIOD,
     block_bytes: int = BLOCK_BYTES,
     temperature: float = TEMPERATURE,
+    to_end: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(placed, sources): every source and doc_id with block and slot, and a row per source.
+    """(placed, sources): every source and doc_id with block, slot and epoch, and a row per source.
 
-    ``sources`` (at most ``period`` rows) has the slots of a period, the blocks in stock, the
-    blocks kept and ``cutoff``, the order key from which on documents are not scheduled.
+    ``sources`` (at most ``period`` rows) has the slots of a period of epoch 0 and ``cutoff``, the
+    order key from which on documents have no slot.
     """
     spark = docs.sparkSession
     groups = materialise(_groups(docs), "mix")
@@ -111,8 +145,6 @@ def mix_schedule(
     else:
         stock = {("n" if s is None else f"s{s}"): float(w) for s, w in weights.items()}
     slots = quantise(stock, period)
-    plan = pfair_period(slots)
-    places = spark.createDataFrame(plan, "skey string, at int, place int") if plan else spark.createDataFrame([], "skey string, at int, place int")
     shares = spark.createDataFrame([(s, a) for s, a in slots.items()], "skey string, share int")
 
     blocks = (
@@ -120,21 +152,21 @@ def mix_schedule(
         .withColumn("block", F.floor(F.col("before") / block_bytes))
         .join(F.broadcast(shares), "skey", "left")
     )
-    in_stock = (
-        blocks.where(F.col("share").isNotNull())
-        .groupBy("skey", "share")
-        .agg((F.max("block") + 1).alias("blocks"))
-        .withColumn("at", (F.col("blocks") % F.col("share")).cast("int"))
-        .join(F.broadcast(places), ["skey", "at"])
-        .withColumn("dry_at", F.floor(F.col("blocks") / F.col("share")) * period + F.col("place"))
-    )
-    horizon = in_stock.agg(F.min("dry_at")).first()[0] or 0
+    blocks = materialise(blocks.select("skey", "source", "doc_id", "okey", "copies", "bytes", "share", "block"), "blocks")
+    in_stock = blocks.where(F.col("share").isNotNull()).groupBy("skey").agg((F.max("block") + 1).alias("blocks"))
+    spans, places = epochs({s: stock[s] for s in slots}, {r.skey: r.blocks for r in in_stock.collect()}, period)  # a row per weighted source
+    spans = spark.createDataFrame(spans, "_skey string, epoch int, first long, after long, _share int, begin long")
+    places = spark.createDataFrame(places, "_pkey string, _epoch int, at int, place int")
+    in_span = (F.col("skey") == F.col("_skey")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("after"))
+    whole = weights is None if to_end is None else to_end
+    in_place = (F.col("skey") == F.col("_pkey")) & (F.col("epoch") == F.col("_epoch")) & (F.col("nth") % F.col("_share") == F.col("at"))
     placed = (
-        blocks.withColumn("at", (F.col("block") % F.col("share")).cast("int"))
-        .join(F.broadcast(places), ["skey", "at"], "left")
-        .withColumn("due_slot", (F.floor(F.col("block") / F.col("share")) * period + F.col("place")).cast("long"))
-        .withColumn("slot", F.when(F.col("due_slot") < horizon, F.col("due_slot")))
-        .select("skey", "source", "doc_id", "okey", "copies", "bytes", "share", "block", "slot")
+        blocks.join(F.broadcast(spans), in_span, "left")
+        .withColumn("nth", F.col("block") - F.col("first"))
+        .join(F.broadcast(places), in_place, "left")
+        .withColumn("due_slot", (F.col("begin") + F.floor(F.col("nth") / F.col("_share")) * period + F.col("place")).cast("long"))
+        .withColumn("slot", F.when((F.col("epoch") == 0) | F.lit(whole), F.col("due_slot")))
+        .select("skey", "source", "doc_id", "okey", "copies", "bytes", "share", "block", "slot", "epoch")
     )
     placed = materialise(placed, "mixed")
     sources = placed.groupBy("skey").agg(
@@ -145,29 +177,29 @@ def mix_schedule(
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The scheduled documents with all their columns.
+    """The scheduled documents with all their columns, in the order of their slots.
 
-    A source's documents are scheduled in order of their key up to a cutoff, so keeping them is a
-    filter against one key per source: the texts are not shuffled.
+    Partitions hold even ranges of slots, one after the other, and are sorted by slot.
     """
-    placed, sources = mix_schedule(docs, **how)
-    cutoffs = sources.select(F.col("skey").alias("_skey"), F.col("cutoff").alias("_cutoff"))
-    small = how.get("period", PERIOD)
-    if cutoffs.limit(small + 1).count() <= small:
-        cutoffs = F.broadcast(cutoffs)
-    keep = F.col("_cutoff").isNull() | (order_key("doc_id") < F.col("_cutoff"))
-    return docs.join(cutoffs, _source_key() == F.col("_skey")).where(keep).drop("_skey", "_cutoff")
+    placed, _ = mix_schedule(docs, **how)
+    slots = placed.where(F.col("slot").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in ("skey", "doc_id", "okey", "slot")])
+    count = (slots.agg(F.max("_slot")).first()[0] or 0) + 1
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = (_source_key() == F.col("_skey")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    mixed = docs.join(slots.hint("shuffle_hash"), same)
+    mixed = mixed.repartitionById(parts, F.floor(F.col("_slot") * parts / count).cast("int"))
+    return mixed.sortWithinPartitions("_slot", "_okey").drop("_skey", "_doc_id", "_okey", "_slot")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its source, target share (of 1000), block and slot (null after the mix's end)."""
+    """Every document with its source, target share (of 1000), block and slot (null after epoch 0)."""
     placed, _ = mix_schedule(table(spark, sf_dir, "documents"))
     return placed.select(
         "doc_id",
         "source",
         F.col("share").cast("long").alias("share"),
         F.col("block").cast("long").alias("block"),
-        "slot",
+        F.when(F.col("epoch") == 0, F.col("slot")).alias("slot"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
 

@@ -127,3 +127,41 @@ def test_op1_against_sql(spark):
 
     sf = "/root/testdata/sf0.1"
     compare(mixing.op1_mixing(spark, sf), connect(sf), mixing.OP1_SQL)
+
+
+def slow_slots(weights, blocks, period):
+    """{(source, block): (epoch, slot)}, slot by slot; a new period whenever a slot's source has run dry."""
+    done, out, epoch, turn = dict.fromkeys(blocks, 0), {}, 0, 0
+    while left := {s: weights[s] for s in blocks if done[s] < blocks[s]}:
+        order = [s for s, _, _ in mixing.pfair_period(mixing.quantise(left, period))]
+        slot = 0
+        while done[s := order[slot % period]] < blocks[s]:
+            out[s, done[s]] = (epoch, turn)
+            done[s] += 1
+            slot, turn = slot + 1, turn + 1
+        epoch += 1
+    return out
+
+
+def test_mix_goes_on_when_a_source_of_one_document_runs_dry(spark):
+    rows = [(i, "x" * 999, f"s{i % 3}" if i % 7 else "s0") for i in range(900)] + [(5000, "one", "tiny"), (5001, "no source", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, _ = mixing.mix_schedule(docs, period=100, block_bytes=4000)
+    got = placed.toPandas()
+    stock = {k: float(b) ** mixing.TEMPERATURE for k, b in got.groupby("skey").bytes.sum().items()}
+    want = slow_slots(stock, (got.groupby("skey").block.max() + 1).to_dict(), 100)
+    assert [(r.epoch, r.slot) for r in got.itertuples()] == [want[r.skey, r.block] for r in got.itertuples()]
+    assert sorted(set(got.slot)) == list(range(got.slot.max() + 1)) and (got.epoch > 0).any()
+    kept = mixing.mix_documents(docs, period=100, block_bytes=4000)
+    slot_of = got.set_index("doc_id").slot
+    slots = [slot_of[r.doc_id] for r in kept.collect()]
+    assert kept.columns == docs.columns and len(slots) == len(rows) and slots == sorted(slots)
+
+
+def test_pipeline_mixing_keeps_every_document(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"{i} " * 20_000, f"s{i % 2}") for i in range(120)] + [(500, "one", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.mixing(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows)
