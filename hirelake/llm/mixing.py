@@ -21,8 +21,9 @@ Weights are given as {source: weight}, or, by default, are the sources' byte cou
 
 Defined cases: a null source is a source of its own, as is the empty one; sources without a
 weight are never scheduled; null text counts as empty (size 1); documents equal in source and
-doc_id share a block and position; an empty table gives an empty result. More than ``period``
-sources with weights raise ValueError, as their blocks could not be told apart.
+doc_id share a block and position; an empty table gives an empty result. Of more than ``period``
+sources without given weights, the ``period`` - 1 largest are mixed each on its own, and the others
+as one source in the order of their keys; more than ``period`` given weights raise ValueError.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def quantise(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
         slots[rest[i % len(rest)]] += 1
         i += 1
     while sum(slots.values()) > period:
-        slots[max(slots, key=lambda s: (slots[s] - exact[s] if slots[s] > 1 else -1.0, s))] -= 1
+        slots[max(slots, key=lambda s: (slots[s] - exact[s] if slots[s] > 1 else float("-inf"), s))] -= 1
     return slots
 
 
@@ -141,14 +142,19 @@ def mix_schedule(
     groups = materialise(_groups(docs), "mix")
     sizes = groups.groupBy("skey").agg(F.sum("bytes").alias("bytes"))
     if weights is None:  # a row per source, and no more than fit a period
-        stock = {r.skey: float(r.bytes) ** temperature for r in sizes.limit(period + 1).collect()}
+        largest = sizes.orderBy(F.desc("bytes"), "skey").limit(period + 1).collect()
+        if len(largest) > period:
+            own = spark.createDataFrame([(r.skey,) for r in largest[: period - 1]], "_own string")
+            groups = groups.join(F.broadcast(own), F.col("skey") == F.col("_own"), "left").withColumn("skey", F.coalesce("_own", F.lit("p"))).drop("_own")
+            largest = groups.groupBy("skey").agg(F.sum("bytes").alias("bytes")).collect()
+        stock = {r.skey: float(r.bytes) ** temperature for r in largest}
     else:
         stock = {("n" if s is None else f"s{s}"): float(w) for s, w in weights.items()}
     slots = quantise(stock, period)
     shares = spark.createDataFrame([(s, a) for s, a in slots.items()], "skey string, share int")
 
     blocks = (
-        prefix_sums(groups, ["skey"], ["okey", "doc_id"], "bytes")
+        prefix_sums(groups, ["skey"], ["okey", "doc_id", "source"], "bytes")
         .withColumn("block", F.floor(F.col("before") / block_bytes))
         .join(F.broadcast(shares), "skey", "left")
     )
@@ -182,13 +188,13 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     Partitions hold even ranges of slots, one after the other, and are sorted by slot.
     """
     placed, _ = mix_schedule(docs, **how)
-    slots = placed.where(F.col("slot").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in ("skey", "doc_id", "okey", "slot")])
+    slots = placed.where(F.col("slot").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "okey", "slot")])
     count = (slots.agg(F.max("_slot")).first()[0] or 0) + 1
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    same = (_source_key() == F.col("_skey")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
     mixed = docs.join(slots.hint("shuffle_hash"), same)
     mixed = mixed.repartitionById(parts, F.floor(F.col("_slot") * parts / count).cast("int"))
-    return mixed.sortWithinPartitions("_slot", "_okey").drop("_skey", "_doc_id", "_okey", "_slot")
+    return mixed.sortWithinPartitions("_slot", "_okey").drop("_source", "_doc_id", "_okey", "_slot")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +210,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_mixing_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`op1_mixing`, with a slot for every document and its epoch."""
+    placed, _ = mix_schedule(table(spark, sf_dir, "documents"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return placed.select("doc_id", "source", F.col("share").cast("long").alias("share"), F.col("block").cast("long").alias("block"), "epoch", "slot", copy)
+
+
 #: The same schedule in SQL, slot by slot (for weights of which none rounds below one slot).
 OP1_SQL = f"""
 WITH RECURSIVE g AS (

@@ -6,6 +6,7 @@ from hirelake.llm import edit_embedding, hamming_search, html_text, katz, licens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op1_mixing_to_end": mixing.op1_mixing_to_end,
     "op2_sharding": sharding.op2_sharding,
     "op3_html": html_text.op3_html,
     "op4_fingerprints": edit_embedding.op4_fingerprints,

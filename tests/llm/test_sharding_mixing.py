@@ -165,3 +165,20 @@ def test_pipeline_mixing_keeps_every_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = corpus_pipeline.mixing(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows)
+
+
+def test_more_sources_than_slots_in_a_period(spark):
+    rows = [(i % 40, f"{i} " * 30, f"s{i % 37}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_schedule(docs, period=10, block_bytes=300)[0].toPandas()
+    assert got.copies.sum() == 400 and got.skey.nunique() == 10 and got.slot.notna().all()
+    assert sorted((r.doc_id, r.text, r.source) for r in mixing.mix_documents(docs, period=10, block_bytes=300).collect()) == sorted(rows)
+
+
+def test_op1_to_end_gives_every_document_a_slot(spark, tmp_path):
+    rows = [(i, f"{i} " * 20_000, f"s{i % 2}") for i in range(120)] + [(500, "one", "tiny")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = {r.doc_id: r for r in mixing.op1_mixing_to_end(spark, str(tmp_path)).collect()}
+    assert len(whole) == len(rows) and all(r.slot is not None for r in whole.values())
+    for r in mixing.op1_mixing(spark, str(tmp_path)).collect():
+        assert r.slot == (whole[r.doc_id].slot if whole[r.doc_id].epoch == 0 else None)
