@@ -5,7 +5,9 @@ least hash of every ``WINDOW`` neighbouring runs is a fingerprint, so any shared
 GRAM + WINDOW - 1 words has one. The templates' fingerprints are an inverted index (a few thousand
 entries: templates are a parameter). A document's hits are put together by template and diagonal,
 and around each group a banded alignment finds the most template words that the document has in
-order; matches from ``min_coverage`` on are reported with their spans in code points.
+order. Groups that do not reach ``min_coverage`` alone are aligned together, so that a notice with a
+clause left out or put in is found whole; matches from ``min_coverage`` on are reported with their
+spans in code points.
 
 A map-only scan: documents are read whole, once, and never shuffled.
 
@@ -31,6 +33,8 @@ from hirelake.llm.wordhash import U, mix, not_word, word_hashes
 GRAM, WINDOW = 3, 3
 #: Words that an alignment may drift from its diagonal; share of a template's words to report.
 BAND, MIN_COVERAGE = 8, 0.8
+#: Words that gaps and insertions of one notice may add up to: as many as the template has, or these.
+LEAST_REACH = 32
 BATCH_BYTES = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -134,15 +138,32 @@ def scan(data: bytes, templates: Templates, starts: np.ndarray, words: np.ndarra
     out = []
     for t, found in diagonals.items():
         found.sort()
-        group = [found[0]]
+        template = templates.words[t]
+        least = min_coverage * len(template)
+        group, apart = [found[0]], []
         for d in [*found[1:], None]:
             if d is not None and d - group[-1] <= BAND and d - group[0] <= 2 * BAND:
                 group.append(d)
                 continue
-            got = align(templates.words[t], words, group[len(group) // 2])
-            if got and got[0] >= min_coverage * len(templates.words[t]):
-                out.append((t, got[0], len(templates.words[t]), got[1], got[2]))
+            got = align(template, words, group[len(group) // 2])
+            if got and got[0] >= least:
+                out.append((t, got[0], len(template), got[1], got[2]))
+            else:
+                apart.append((group[0], group[-1]))
             group = [d]
+        i = 0
+        while i < len(apart):  # parts of one notice around gaps and insertions: one band over all their diagonals
+            j, reach = i + 1, max(LEAST_REACH, len(template))
+            while j < len(apart) and apart[j][1] - apart[i][0] <= reach:
+                j += 1
+            low, high = apart[i][0], apart[j - 1][1]
+            near = words[max(0, low - BAND) : max(0, high + BAND + len(template))]
+            got = align(template, words, (low + high) // 2, (high - low + 1) // 2 + BAND) if j > i + 1 and np.isin(template, near).sum() >= least else None
+            if got and got[0] >= least:
+                out.append((t, got[0], len(template), got[1], got[2]))
+                i = j
+            else:
+                i += 1
     return sorted(set(out), key=lambda x: (x[3], x[0]))
 
 

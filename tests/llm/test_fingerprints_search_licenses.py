@@ -145,6 +145,20 @@ def test_license_with_gaps_repeats_and_odd_rows(spark, odd_docs, no_docs):
     assert [(r.span_start, r.span_end) for r in short] == [(6, 9)]
 
 
+def test_license_with_a_clause_left_out_or_put_in(spark):
+    mit = license_scan.NOTICES["MIT"].split()
+    put_in = [f"clause{i}" for i in range(30)]
+    rows = [(n, " ".join(["before", *mit[:70], *mit[70 + n :], "after"])) for n in (9, 16, 25)]
+    rows += [(100 + n, " ".join(["before", *mit[:70], *put_in[:n], *mit[70:], "after"])) for n in (9, 16, 30)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("license = 'MIT'").collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+    for r in got:
+        whole = r.template_words
+        assert r.matched_words == whole if r.doc_id > 100 else whole - 2 * r.doc_id < r.matched_words < whole
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.span_start : r.span_end] == texts[r.doc_id][7:-7] for r in got)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(4)
     shared = rng.integers(0, 2**60, license_scan.GRAM + license_scan.WINDOW - 1, dtype=np.uint64)
