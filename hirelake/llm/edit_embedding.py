@@ -325,8 +325,9 @@ class EditWalks:
     """Edit similarity, 1 - distance / length of the longer text, of at least ``similarity``.
 
     Bands are BANDS fixed samples of BAND_BITS fingerprint bits, each of one walk, so that one walk
-    that stays together is enough. Few edits keep walks together; for
-    texts with many, scattered edits the embedding's distortion grows and bands may miss them.
+    that stays together is enough. Precision is exact; recall holds for few edits only: of 60
+    random texts of 3000 characters each, candidates were 1.0 at 0.3 % edits, 0.97 at 0.5 %, 0.67
+    at 1 %, 0.2 at 2 % and none at 5 %, though all these pairs are alike at 0.9.
     """
 
     similarity: float = 0.9
