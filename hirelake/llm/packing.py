@@ -18,9 +18,10 @@ counted before the shuffle; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -40,14 +41,20 @@ def encoder(name: str = TOKENIZER):
     """Encode function of a public byte-level BPE vocabulary, cached per Python worker.
 
     ``tiktoken`` runs the rank file that belongs to ``<name>.json``; the tests hold its ids
-    against the ``tokenizers`` library's. Special tokens' strings in a text are ordinary text.
+    against the ``tokenizers`` library's. The vocabulary's added tokens are taken from the JSON
+    file: where a text has the string of one, it gives that token's id, as the library does.
     """
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{name}: an added token that takes more than its own string")
+    special = {t["content"]: t["id"] for t in added}
+    return partial(tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special).encode, allowed_special="all")
 
 
 def token_pieces(docs: DataFrame, length: int = LENGTH, name: str = TOKENIZER, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

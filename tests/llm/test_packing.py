@@ -15,17 +15,21 @@ from hirelake.llm.common import table
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=200) | st.text(alphabet="ab 'st\n\t.,1é日 <|endoftext|>", max_size=300))
-def test_encoder_gives_the_tokenizers_ids(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(packing, "_t") else packing._t
-    packing._t = t
-    t.encode_special_tokens = True
-    assert packing.encoder()(text) == t.encode(text, add_special_tokens=False).ids
+_special = st.lists(st.text(alphabet="ab 'st\n\t.,1é日<|>", max_size=20) | st.just("<|endoftext|>") | st.sampled_from(["<|endoftext", "endoftext|>", " ", "\n\n"]), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=200) | st.text(alphabet="ab 'st\n\t.,1é日 <|endoftext|>", max_size=300) | _special)
+def test_encoder_gives_the_tokenizers_ids(reference, text):
+    assert packing.encoder()(text) == reference(text)
+
+
+def test_added_token_in_a_text(reference):
+    text = "hello <|endoftext|> world"
+    assert packing.encoder()(text) == reference(text) == [31373, 220, 50256, 995]
 
 
 def check_pieces(got, texts, ids_of, length=1024):
