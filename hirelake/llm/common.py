@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from hirelake.storage import materialise, release, shared_dir
 
-__all__ = ["bucket_of", "materialise", "order_key", "prefix_sums", "release", "shared_dir", "table", "text_of"]
+__all__ = ["bucket_of", "cut_copies", "free_names", "materialise", "order_key", "prefix_sums", "release", "shared_dir", "spread_copies", "table", "text_of"]
 
 #: Hex digits of the md5 order key that split a group into 16**3 even buckets.
 BUCKET_DIGITS = 3
+#: Copies of one row that are written out in one place; more of them are dealt out first.
+COPIES = 10_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +34,44 @@ def order_key(column: str | Column) -> Column:
     return F.md5(F.coalesce(column.cast("string"), F.lit("null")))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def cut_copies(df: DataFrame, okey: str = "okey", into: str = "part") -> DataFrame:
+    """Counted rows of at most COPIES ``copies`` each, told apart by ``into``.
+
+    The parts of a row get order keys of their own (the first keeps its key), so that
+    :func:`prefix_sums` deals them over its buckets: no task writes out a whole group of copies.
+    """
+    parts = df.withColumn(into, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES).cast("long"))))
+    own = F.when(F.col(into) == 0, F.col(okey)).otherwise(F.md5(F.concat_ws(":", F.col(okey), F.col(into).cast("string"))))
+    return parts.withColumns({"copies": F.least(F.col("copies") - F.col(into) * COPIES, F.lit(COPIES).cast("long")), okey: own})
+
+
+def spread_copies(df: DataFrame, into: str = "copy") -> DataFrame:
+    """A row per copy, numbered from 1, in place of ``copies``.
+
+    ``df`` should be a table that is cheap to read twice: rows of more than COPIES copies are cut
+    and dealt out over all tasks before they are written out.
+    """
+    first, last, part = free_names(df, "first", "last", "part")
+    few = df.where(F.col("copies") <= COPIES).withColumn(into, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    many = df.where(F.col("copies") > COPIES).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES).cast("long"))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.withColumns({first: F.col(part) * COPIES + 1, last: F.least(F.col("copies"), (F.col(part) + 1) * COPIES)}).drop(part).repartition(parts)
+    many = many.withColumn(into, F.explode(F.sequence(first, last))).drop(first, last)
+    return few.unionByName(many).drop("copies")
+
+
 def bucket_of(key: Column) -> Column:
     return F.substring(key, 1, BUCKET_DIGITS)
 

@@ -21,7 +21,10 @@ Weights are given as {source: weight}, or, by default, are the sources' byte cou
 
 Defined cases: a null source is a source of its own, as is the empty one; sources without a
 weight are never scheduled; null text counts as empty (size 1); documents equal in source and
-doc_id share a block and position; an empty table gives an empty result. Of more than ``period``
+doc_id share a block and position; a document belongs to the block that it begins in, so a text
+longer than a block leaves blocks without a document; an empty table gives an empty result; other
+columns, whatever their names, are ignored by the schedule and kept by :func:`mix_documents`. More
+than 2**31 documents equal in source and doc_id fail in the queries, as ``copy`` is an int there. Of more than ``period``
 sources without given weights, the ``period`` - 1 largest are mixed each on its own, and the others
 as one source in the order of their keys; more than ``period`` given weights raise ValueError.
 """
@@ -34,7 +37,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import materialise, order_key, prefix_sums, table, text_of
+from hirelake.llm.common import free_names, materialise, order_key, prefix_sums, release, spread_copies, table, text_of
 
 PERIOD = 1000
 BLOCK_BYTES = 1 << 16
@@ -139,7 +142,7 @@ def mix_schedule(
     order key from which on documents have no slot.
     """
     spark = docs.sparkSession
-    groups = materialise(_groups(docs), "mix")
+    groups = written = materialise(_groups(docs), "mix")
     sizes = groups.groupBy("skey").agg(F.sum("bytes").alias("bytes"))
     if weights is None:  # a row per source, and no more than fit a period
         largest = sizes.orderBy(F.desc("bytes"), "skey").limit(period + 1).collect()
@@ -175,6 +178,8 @@ def mix_schedule(
         .select("skey", "source", "doc_id", "okey", "copies", "bytes", "share", "block", "slot", "epoch")
     )
     placed = materialise(placed, "mixed")
+    release(written)
+    release(blocks)
     sources = placed.groupBy("skey").agg(
         F.min(F.when(F.col("slot").isNull(), F.col("okey"))).alias("cutoff"),
         F.max("share").alias("share"),
@@ -188,33 +193,36 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     Partitions hold even ranges of slots, one after the other, and are sorted by slot.
     """
     placed, _ = mix_schedule(docs, **how)
-    slots = placed.where(F.col("slot").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "okey", "slot")])
-    count = (slots.agg(F.max("_slot")).first()[0] or 0) + 1
+    own = ("source", "doc_id", "okey", "slot")
+    source, doc_id, okey, slot = names = free_names(docs, *(f"_{c}" for c in own))
+    slots = placed.where(F.col("slot").isNotNull()).select(*[F.col(c).alias(name) for c, name in zip(own, names, strict=True)])
+    count = (slots.agg(F.max(slot)).first()[0] or 0) + 1
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    same = F.col("source").eqNullSafe(F.col(source)) & F.col("doc_id").eqNullSafe(F.col(doc_id))
     mixed = docs.join(slots.hint("shuffle_hash"), same)
-    mixed = mixed.repartitionById(parts, F.floor(F.col("_slot") * parts / count).cast("int"))
-    return mixed.sortWithinPartitions("_slot", "_okey").drop("_source", "_doc_id", "_okey", "_slot")
+    mixed = mixed.repartitionById(parts, F.floor(F.col(slot) * parts / count).cast("int"))
+    return mixed.sortWithinPartitions(slot, okey).drop(*names)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source, target share (of 1000), block and slot (null after epoch 0)."""
     placed, _ = mix_schedule(table(spark, sf_dir, "documents"))
-    return placed.select(
+    rows = placed.select(
         "doc_id",
         "source",
         F.col("share").cast("long").alias("share"),
         F.col("block").cast("long").alias("block"),
         F.when(F.col("epoch") == 0, F.col("slot")).alias("slot"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+        "copies",
     )
+    return spread_copies(rows).withColumn("copy", F.col("copy").cast("int"))
 
 
 def op1_mixing_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As :func:`op1_mixing`, with a slot for every document and its epoch."""
     placed, _ = mix_schedule(table(spark, sf_dir, "documents"))
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    return placed.select("doc_id", "source", F.col("share").cast("long").alias("share"), F.col("block").cast("long").alias("block"), "epoch", "slot", copy)
+    rows = placed.select("doc_id", "source", F.col("share").cast("long").alias("share"), F.col("block").cast("long").alias("block"), "epoch", "slot", "copies")
+    return spread_copies(rows).withColumn("copy", F.col("copy").cast("int"))
 
 
 #: The same schedule in SQL, slot by slot (for weights of which none rounds below one slot).

@@ -12,7 +12,9 @@ whole, with ``with_ids``). Ranks come from bucketed prefix sums. The driver hold
 
 Defined cases: null text is empty, and an empty text is its end id alone; equal or repeated rows
 are packed each on its own; pieces that agree in all columns are interchangeable, so they are
-counted before the shuffle; an empty table gives an empty result; other columns are ignored.
+counted before the shuffle and written out in parts of bounded size; a very long text is tokenised
+whole, in one task, and its pieces are rows like any other; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import materialise, order_key, prefix_sums, table
+from hirelake.llm.common import cut_copies, materialise, order_key, prefix_sums, table
 
 LENGTH = 1024
 END_ID = 0
@@ -138,7 +140,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, name: str = TOKENIZER)
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("copies").alias("n")).collect()}  # at most ``length`` rows
     whole = histogram.pop(length, 0)
     where = placements(shortest_pack_first(histogram, length), whole)
-    ranked = prefix_sums(counted, ["length"], ["okey", *keys], "copies")
+    ranked = prefix_sums(cut_copies(counted), ["length"], ["okey", *keys, "part"], "copies")
     ranked = ranked.select(*keys, "length", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("copies") - 1)).alias("rank"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,9 +5,10 @@ to keep or broadcast, and raising the number of shards from n to n+1 moves a row
 new shard, which gets 1/(n+1) of the keys.
 
 Defined cases: a null key hashes as key 0; a null text has size 1 (no bytes, plus 1) and the
-checksum of the empty text; rows repeated in all of key, size and checksum get slots next to each
-other; an empty table gives an empty result; other columns of the input are ignored by the digest
-and kept by :func:`with_shards`.
+checksum of the empty text; ties: rows repeated in all of key, size and checksum get slots next to
+each other (by the ten thousand); a text of any length is read whole, for its size and checksum
+only; an empty table gives an empty result; other columns of the input are ignored by the digest
+and kept by :func:`with_shards`, whose new column replaces one of the same name.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import materialise, order_key, prefix_sums, table, text_of
+from hirelake.llm.common import cut_copies, materialise, order_key, prefix_sums, table, text_of
 
 SHARDS = 16
 #: Multiplier of the 64-bit congruential generator of the published algorithm (fixed value).
@@ -69,7 +70,7 @@ def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: size, checksum, shard, gapless slot in the shard, shard of one more.
 
     Slots follow md5 of doc_id. Repeated rows are counted before the shuffle and spread out again
-    at the end, so copies of one row, however many, never meet in a task.
+    at the end, in parts of bounded size that are dealt out on their own.
     """
     text = text_of()
     rows = (
@@ -83,7 +84,7 @@ def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         shard_column("doc_id", shards).alias("shard"),
         shard_column("doc_id", shards + 1).alias("grown_shard"),
     )
-    ranked = prefix_sums(materialise(rows, "shards"), ["shard"], ["okey", "doc_id", "size", "text_crc32"], "copies")
+    ranked = prefix_sums(cut_copies(materialise(rows, "shards")), ["shard"], ["okey", "doc_id", "size", "text_crc32", "part"], "copies")
     return ranked.select(
         "doc_id",
         "size",

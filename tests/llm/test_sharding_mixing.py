@@ -182,3 +182,19 @@ def test_op1_to_end_gives_every_document_a_slot(spark, tmp_path):
     assert len(whole) == len(rows) and all(r.slot is not None for r in whole.values())
     for r in mixing.op1_mixing(spark, str(tmp_path)).collect():
         assert r.slot == (whole[r.doc_id].slot if whole[r.doc_id].epoch == 0 else None)
+
+
+def test_copies_are_cut_and_spread(spark, monkeypatch):
+    """Many copies of one row: gapless slots and numbers, in parts of bounded size."""
+    from hirelake.llm import common
+
+    monkeypatch.setattr(common, "COPIES", 50)
+    docs = spark.range(1234).selectExpr("CASE WHEN id < 1111 THEN 5 ELSE id END AS doc_id", "CASE WHEN id < 1111 THEN 'same' ELSE 'other' END AS text", "'s' AS source")
+    got = sharding.shard_digest(docs).toPandas()
+    assert len(got) == 1234 and (got.doc_id == 5).sum() == 1111 and got[got.doc_id == 5].shard.nunique() == 1
+    for _, mine in got.groupby("shard"):
+        assert sorted(mine.slot) == list(range(len(mine)))
+    counted = spark.createDataFrame([(1, "x", 120), (2, "y", 50), (3, "z", 1)], "first int, part string, copies long")
+    assert common.cut_copies(counted.withColumnRenamed("part", "okey")).toPandas().copies.max() <= 50
+    spread = common.spread_copies(counted).toPandas()
+    assert sorted(spread[spread["first"] == 1]["copy"]) == list(range(1, 121)) and len(spread) == 171
