@@ -5,15 +5,18 @@ plain, with look-alike characters undone, and with stretched letters undone), ho
 hits stand near a second person, capitals, punctuation, and obfuscation rates. The label table is
 the only teacher; language, source and ids are never read by the score.
 
-Fitting uses at most ``sample_rows`` labelled rows (a documented bound, taken in md5 order of
-doc_id); they are featurised on the executors, and the driver gets dense feature rows and lexicon
-candidates only. The learned lexicon comes from distinct texts of the sample (near copies count
+Fitting uses at most ``sample_rows`` labelled documents (a documented bound, taken in md5 order of
+doc_id, one text each); they are featurised on the executors, and the driver gets dense feature rows
+and lexicon candidates only. The learned lexicon comes from distinct texts of the sample (near copies count
 once, by a sketch), is cross-fitted in two folds so that the trees never see a hit that their own
 row has taught, and the calibration uses out-of-fold margins. Scoring is a map-only pass.
 
-Defined cases: null text is empty; an empty text is scored as a text without hits; labels that
-are null are ignored and repeated ones count by their maximum; without labels of both kinds the
-score is the share of label 1 (0 where there are no labels); repeated rows are scored each.
+Defined cases: null text is empty; an empty text is scored as a text without hits; a very long one
+is read whole, in linear time; labels that are null are ignored and repeated ones count by their
+maximum; of several texts under one labelled doc_id the one with the least md5 teaches; without
+labels of both kinds the score is the share of label 1 (0 where there are no labels); repeated rows
+and ties are scored each; an empty table gives an empty result; the score replaces a column of its
+name, all other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm.boosting import Boosted, fit_boosted, fit_isotonic
-from hirelake.llm.common import materialise, order_key, table
+from hirelake.llm.common import free_names, materialise, order_key, release, table
 
 SAMPLE_ROWS = 20_000
 LEXICON_ROWS = 2_000
@@ -87,12 +90,14 @@ def features(text: str, lexicon: dict[str, float], memo: dict[str, float]) -> li
             given += 1
         if word in SECOND_PERSON:
             people.append(i)
-    masked = 0
+    masked, end, hit = 0, 0, False
     for chunk in MIXED.finditer(low):
-        start, end = low.rfind(" ", 0, chunk.start()) + 1, low.find(" ", chunk.end())
-        bare = low[start : end if end >= 0 else len(low)].translate(LOOK_ALIKES)
-        bare = re.sub(r"[^\w]|[\d_]", "", bare)
-        masked += bare in INSULTS or any(t in lexicon for t in terms(bare))
+        if chunk.start() >= end:  # another run without spaces
+            start, after = low.rfind(" ", end, chunk.start()) + 1 or end, low.find(" ", chunk.end())
+            end = after if after >= 0 else len(low)
+            bare = re.sub(r"[^\w]|[\d_]", "", low[start:end].translate(LOOK_ALIKES))
+            hit = bare in INSULTS or any(t in lexicon for t in terms(bare))
+        masked += hit
     stretched = len(STRETCH.findall(low))
     near = 0
     if people and hits:
@@ -133,7 +138,7 @@ def _remainder(mod: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``sample_rows`` labelled training rows: text, y, fold."""
+    """At most ``sample_rows`` labelled training documents: text, y, fold."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (_remainder(HELD_OUT_MOD) != 0))
         .groupBy("doc_id")
@@ -143,7 +148,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
         .limit(sample_rows)
         .select("doc_id", "y", (F.ascii(F.substring("okey", 32, 1)) % 2).alias("fold"))
     )  # a bounded table
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y", "fold")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "y", "fold").agg(F.min(F.struct(F.md5("text").alias("key"), "text")).alias("least"))
+    return one.select("least.text", "y", "fold")
 
 
 def learn_lexicon(sample: DataFrame) -> list[dict[str, float]]:
@@ -162,7 +169,8 @@ def learn_lexicon(sample: DataFrame) -> list[dict[str, float]]:
         for frame in frames:
             yield frame.assign(sketch=[sketch(WORD.findall(t.lower())) for t in frame["text"]])
 
-    distinct = sample.mapInPandas(sketched, "text string, y int, fold int, sketch long").dropDuplicates(["sketch", "y"])
+    distinct = sample.mapInPandas(sketched, "text string, y int, fold int, sketch long").groupBy("sketch", "y")
+    distinct = distinct.agg(F.min(F.struct(F.md5("text").alias("key"), "fold", "text")).alias("least")).select("least.text", "y", "least.fold")
     counts = distinct.select("text", "y", "fold").mapInPandas(count, "term string, y int, fold int, n long").groupBy("term")
     pick = lambda y, fold: F.sum(F.when((F.col("y") == y) & (F.col("fold") == fold), F.col("n")).otherwise(0))
     counts = counts.agg(pick(1, 0).alias("a0"), pick(0, 0).alias("b0"), pick(1, 1).alias("a1"), pick(0, 1).alias("b1"))
@@ -181,6 +189,7 @@ def learn_lexicon(sample: DataFrame) -> list[dict[str, float]]:
         rows = counts.where((F.col("term") != "") & (a >= 3)).select("term", odds.alias("odds"), evidence.alias("evidence"))
         rows = rows.where((F.col("evidence") >= EVIDENCE) & (F.col("odds") >= math.log(LIFT))).orderBy(F.desc("evidence"), "term").limit(LEXICON_ROWS).collect()
         out.append({r.term: float(r.odds) for r in rows})
+    release(counts)
     return out
 
 
@@ -195,6 +204,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             yield pd.DataFrame({"y": frame["y"], "fold": frame["fold"], "x": rows})
 
     got = sample.mapInPandas(featurise, "y int, fold int, x array<double>").toPandas()  # ``sample_rows`` rows of a few features
+    release(sample)
     if not len(got):
         return ToxicityModel(lexicons[2], Boosted(-35.0), np.array([]), np.array([]))
     order = got.assign(k=got["x"].map(tuple)).sort_values(["k", "y", "fold"]).index  # row order must not depend on tasks
@@ -211,7 +221,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with a score in [0, 1]; map-only."""
+    """``docs`` with a score in [0, 1], which replaces a column of that name; map-only."""
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -226,7 +236,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", in
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more, columns unchanged."""
     model = fit_toxicity(docs, labels)
-    return score_toxicity(docs, model, into="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    (score,) = free_names(docs, "_toxicity")
+    return score_toxicity(docs, model, into=score).where(F.col(score) < threshold).drop(score)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
