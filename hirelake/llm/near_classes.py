@@ -10,7 +10,9 @@ A :class:`Likeness` says how a text is signed and how two texts are compared. Th
    whose members are not compared again.
 4. Rest: in buckets that still hold several classes, all texts of different classes are compared
    block by block: signatures in numpy, then, for those that agree enough, the texts themselves.
-   Only links leave a task. So no partner is capped, and no group is expanded into its pairs.
+   Only links leave a task. So no partner is capped, and no group is expanded into its pairs. The
+   comparisons of signatures grow with the product of the classes that share a bucket, never with
+   the square of one class.
 
 Classes are the connected components of links.
 """
@@ -26,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import materialise
+from hirelake.llm.common import free_names, materialise
 from hirelake.llm.components import components
 
 #: Rounds of stars, and partners (those sharing the most buckets) that a text is compared with in
 #: each; what stars leave apart is compared exhaustively afterwards.
 STAR_ROUNDS, STAR_PARTNERS = 3, 2
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Rows of 16-byte keys up to which a table is broadcast; larger ones are joined by shuffles.
 BROADCAST_ROWS = 200_000
 #: Characters of text per numpy batch.
@@ -139,19 +141,32 @@ def _unite(classes: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(classes.join(roots, "cls", "left").select("tkey", F.coalesce("root", "cls").alias("cls")), "classes")
 
 
-def _rest(members: DataFrame, profiles: DataFrame, how: Likeness) -> DataFrame:
-    """Links (a, b) between classes that share a bucket, found and verified block by block.
+def _deal(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bk, grp, block, tkey, cls) of the texts in buckets that hold several classes.
 
-    A pair is looked at in the first bucket that it shares, best agreement first, unless links of
-    the same two blocks already unite its classes; links alone leave the task.
+    A class that fills blocks of its own in a bucket is a group (``grp`` is its name); the texts of
+    all smaller classes of the bucket are one group together (empty name). Groups are cut into
+    blocks of about BLOCK texts and BLOCK_BYTES of text, whichever are fewer texts.
+    """
+    mixed = members.groupBy("bk").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("bk")
+    rows = materialise(members.join(mixed, "bk").join(texts.select("tkey", "size"), "tkey"), "several")
+    own = rows.groupBy("bk", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    fills = (F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES)
+    own = materialise(own.withColumn("grp", F.when(fills, F.col("cls")).otherwise(F.lit(b""))), "own")
+    parts = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0)))
+    groups = materialise(own.groupBy("bk", "grp").agg(parts.cast("long").alias("parts")), "groups")
+    named = rows.join(small(own.select("bk", "cls", "grp")), ["bk", "cls"]).join(small(groups), ["bk", "grp"])
+    return named.select("bk", "grp", F.pmod(F.xxhash64("tkey"), "parts").alias("block"), "tkey", "cls")
+
+
+def _likely_links(how: Likeness):
+    """Pairs of blocks to the pairs of texts of different classes whose signatures agree enough.
+
+    A pair is looked at in the first bucket that it shares only. What a pair of blocks has to verify
+    stays one row: the texts' keys and classes, and the pairs as two lists of places, best first.
     """
-    sizes = members.groupBy("bk").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("bk", "n")
-    dealt = members.join(sizes, "bk").join(profiles, "tkey")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("tkey"), F.ceil(F.col("n") / BLOCK)))
-    blocks = materialise(dealt.groupBy("bk", "block").agg(F.collect_list(F.struct("tkey", "cls", "sig", "bands", "text")).alias("rows")), "blocks")
-    pairs = blocks.select("bk", F.col("block").alias("i"), F.col("rows").alias("left")).join(blocks.select("bk", F.col("block").alias("j"), F.col("rows").alias("right")), "bk").where("i <= j")
 
-    def links(bk: int, left: list[dict], right: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+    def likely(bk: int, left: list[dict], right: list[dict]) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
         both = left + right
         sig = np.frombuffer(b"".join(r["sig"] for r in both), how.dtype).reshape(-1, how.size)
         bands = np.array([r["bands"] for r in both], np.int64)
@@ -168,32 +183,76 @@ def _rest(members: DataFrame, profiles: DataFrame, how: Likeness) -> DataFrame:
             columns.append(other[first])
             shares.append(share[first])
         i, j, share = np.concatenate(rows), np.concatenate(columns), np.concatenate(shares)
-        if not len(i):
-            return
-        root = list(range(len(names)))
+        best = np.lexsort((j, i, -share))
+        need, place = np.unique(np.concatenate((i[best], j[best])), return_inverse=True)
+        return [both[x]["tkey"] for x in need], [both[x]["cls"] for x in need], place[: len(i)], place[len(i) :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                found = likely(row["bk"], row["left"], row["right"])
+                if len(found[0]):
+                    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in zip(found, kinds, strict=True)], names=["tkeys", "classes", "i", "j"])
+
+    return run
+
+
+def _verified_links(how: Likeness):
+    """Rows of :func:`_likely_links` with their texts to links, one for each two classes united."""
 
-        def find(c: int) -> int:
+    def links(row: dict) -> Iterator[tuple[bytes, bytes]]:
+        keys, classes = row["tkeys"], row["classes"]
+        texts = {t["tkey"]: t["text"] for t in row["texts"]}
+        ready = how.prepare([texts[k] for k in keys])
+        root = {c: c for c in classes}
+
+        def find(c: bytes) -> bytes:
             while root[c] != c:
                 root[c] = root[root[c]]
                 c = root[c]
             return c
 
-        need = np.unique(np.concatenate((i, j)))
-        ready = dict(zip(need.tolist(), how.prepare([both[x]["text"] for x in need]), strict=True))
-        for at in np.lexsort((j, i, -share)):
-            x, y = int(i[at]), int(j[at])
-            if find(cls[x]) != find(cls[y]) and how.alike(ready[x], ready[y]):
-                root[find(cls[x])] = find(cls[y])
-                yield both[x]["tkey"], both[y]["tkey"]
+        for x, y in zip(row["i"], row["j"], strict=True):
+            a, b = find(classes[x]), find(classes[y])
+            if a != b and how.alike(ready[x], ready[y]):
+                root[a] = b
+                yield keys[x], keys[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                found = [*links(row["bk"], row["left"], row["right"])]
+                found = [*links(batch.slice(k, 1).to_pylist()[0])]
                 yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
 
-    return pairs.select("bk", "left", "right").mapInArrow(run, "a binary, b binary")
+    return run
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """(bk, one, two): names (grp, block) of the blocks of a bucket to be compared, each pair once."""
+    name = F.struct("grp", "block")
+    pairs = blocks.select("bk", name.alias("one")).join(blocks.select("bk", name.alias("two")), "bk")
+    return pairs.where((F.col("one") <= F.col("two")) & ((F.col("one.grp") != F.col("two.grp")) | (F.col("one.grp") == F.lit(b""))))
+
+
+def _rest(members: DataFrame, sigs: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
+    """Links (a, b) between classes that share a bucket, found and verified block by block.
+
+    Blocks of one and the same class never meet, so an odd text in a bucket of many united copies
+    costs a comparison of signatures with each of them and no more. Texts are fetched only for
+    pairs whose signatures agree.
+    """
+    dealt = _deal(members, texts).join(sigs, "tkey")
+    blocks = dealt.groupBy("bk", "grp", "block").agg(F.collect_list(F.struct("tkey", "cls", "sig", "bands")).alias("rows"))
+    blocks = materialise(blocks, "blocks")
+    left, right = (blocks.select("bk", F.struct("grp", "block").alias(n), F.col("rows").alias(as_)) for n, as_ in (("one", "left"), ("two", "right")))
+    likely = _block_pairs(blocks).join(left, ["bk", "one"]).join(right, ["bk", "two"]).select("bk", "left", "right")
+    likely = likely.mapInArrow(_likely_links(how), "tkeys array<binary>, classes array<binary>, i array<int>, j array<int>")
+    likely = materialise(likely.withColumn("pair", F.monotonically_increasing_id()), "rest")
+    fetched = likely.select("pair", F.explode("tkeys").alias("tkey")).join(texts.select("tkey", "text"), "tkey")
+    fetched = fetched.groupBy("pair").agg(F.collect_list(F.struct("tkey", "text")).alias("texts"))
+    return likely.join(fetched, "pair").select("tkeys", "classes", "i", "j", "texts").mapInArrow(_verified_links(how), "a binary, b binary")
 
 
 def near_duplicate_classes(docs: DataFrame, how: Likeness) -> tuple[DataFrame, DataFrame]:
@@ -207,7 +266,7 @@ def near_duplicate_classes(docs: DataFrame, how: Likeness) -> tuple[DataFrame, D
     few = small(keys)
     sigs = materialise(nodes.join(few, "tkey").groupBy("tkey").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "sigs")
     texts = docs.select(text_key().alias("tkey"), F.coalesce("text", F.lit("")).alias("text")).join(few, "tkey")
-    texts = materialise(texts.groupBy("tkey").agg(F.first("text").alias("text")), "texts")
+    texts = materialise(texts.groupBy("tkey").agg(F.first("text").alias("text")).withColumn("size", F.octet_length("text")), "texts")
     classes = keys.select("tkey", F.col("tkey").alias("cls"))
     tested: DataFrame | None = None
     for turn in range(STAR_ROUNDS):
@@ -231,7 +290,7 @@ def near_duplicate_classes(docs: DataFrame, how: Likeness) -> tuple[DataFrame, D
         likely = materialise(_agree(pairs, sigs, how), "likely")
         classes = _unite(classes, materialise(_verify(likely, texts, how), "links"))
         tested = likely if tested is None else tested.unionByName(likely)
-    links = _rest(multi.join(classes, "tkey"), sigs.join(texts, "tkey"), how)
+    links = _rest(multi.join(classes, "tkey"), sigs, texts, how)
     classes = _unite(classes, materialise(links, "links"))
     return signed.select("doc_id", "tkey"), classes
 
@@ -256,14 +315,17 @@ def classify_documents(docs: DataFrame, how: Likeness) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, how: Likeness) -> DataFrame:
-    """One document of each class, columns unchanged. Texts are not shuffled while the rows to drop are few."""
+    """One document of each class, columns unchanged. Texts are not shuffled while the rows to drop are few.
+
+    Of rows that agree in doc_id and text any one stays, with its other columns."""
     members = materialise(classify_documents(docs, how), "classed")
-    dropped = members.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    left = docs.join(small(dropped), same, "left_anti")
-    repeated = members.where(F.col("kept") & (F.col("copies") > 1)).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"))
+    doc_id, key = free_names(docs, "_doc_id", "_text_key")
+    named = lambda rows: rows.select(F.col("doc_id").alias(doc_id), F.col("tkey").alias(key))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (text_key() == F.col(key))
+    left = docs.join(small(named(members.where(~F.col("kept")))), same, "left_anti")
+    repeated = named(members.where(F.col("kept") & (F.col("copies") > 1)))
     if not repeated.limit(1).count():
         return left
     few = small(materialise(repeated, "repeated"))
-    once = left.join(few, same, "left_semi").withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    once = left.join(few, same, "left_semi").withColumn(key, text_key()).dropDuplicates(["doc_id", key]).drop(key)
     return left.join(few, same, "left_anti").unionByName(once)

@@ -22,8 +22,9 @@ def odd_docs(spark):
         (10, "one", "en", "c", 3),
     ]
     extra = "shard int, slot int, size int, score double, okey string, tkey string, cls int, block int, bk int, fingerprint string, length int, copies int, y int, held int"
-    rows = [r + (1, 2, 3, 0.5, "k", "t", 4, 5, 6, "f", 7, 8, 1, 0) for r in rows]
-    return spark.createDataFrame(rows, f"{DOCS}, {extra}")
+    helpers = "_id _key _doc_id _text_key _skey _cutoff _source _okey _slot _toxicity __toxicity skey bytes share epoch part first last copy kept class_id sketch fold bands sig one two grp".split()
+    rows = [r + (1, 2, 3, 0.5, "k", "t", 4, 5, 6, "f", 7, 8, 1, 0) + tuple(f"{h} of {r[0]}" for h in helpers) for r in rows]
+    return spark.createDataFrame(rows, f"{DOCS}, {extra}, {', '.join(f'{h} string' for h in helpers)}")
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from hirelake.llm import near_dedup
+from hirelake.llm import near_classes, near_dedup
 from hirelake.llm.bagminhash import bags, signatures, weighted_jaccard
 from hirelake.llm.common import table
 from hirelake.llm.components import components
@@ -82,6 +82,55 @@ def test_large_groups_use_few_pairs(spark):
     assert set(got.class_id) == {0} and set(got.class_size) == {700}
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_an_odd_text_meets_a_large_class_once(spark, alike):
+    """One text in a bucket of 20,000 united copies: a pair of blocks for each of the class's blocks."""
+    from pyspark.sql import functions as F
+
+    class FirstLetter:
+        dtype, size, least_agreement = np.uint8, 4, 0.7
+
+        def prepare(self, texts):
+            return texts
+
+        def alike(self, a, b):
+            return a[0] == b[0]
+
+    n = 20_000
+    key = F.unhex(F.md5(F.col("id").cast("string")))
+    rows = spark.range(n + 1).select("id", key.alias("tkey"), F.unhex(F.md5(F.when(F.col("id") == n, F.lit("x")).otherwise(F.lit("y")))).alias("cls"))
+    like = F.col("id") == (n if not alike else 12_345)
+    text = F.when((F.col("id") == n) | like, F.lit("odd")).otherwise(F.lit("copy"))
+    members = rows.select(F.lit(7).cast("long").alias("bk"), "tkey", "cls")
+    sigs = rows.select("tkey", F.unhex(F.when(F.col("id") == n, F.lit("01020304")).otherwise(F.lit("01020309"))).alias("sig"), F.array(F.lit(7).cast("long")).alias("bands"))
+    texts = rows.select("tkey", text.alias("text"), F.lit(4).alias("size"))
+    links = near_classes._rest(members, sigs, texts, FirstLetter()).collect()
+    assert len(links) == int(alike)
+    dealt = near_classes._deal(members, texts)
+    blocks = dealt.groupBy("bk", "grp", "block").count()
+    assert dealt.count() == n + 1 and blocks.agg(F.max("count")).first()[0] <= 1.3 * near_classes.BLOCK
+    pairs = near_classes._block_pairs(blocks)
+    assert pairs.count() == blocks.count() <= n / near_classes.BLOCK + 2  # the odd text's block with each, and with itself
+
+
+def test_many_small_classes_in_one_bucket(spark):
+    """Texts that share passages but are not alike, with a few near copies: equal to brute force."""
+    rng = np.random.default_rng(11)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(900):
+        own = [f"o{i}x{k}" for k in range(18)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 9 == 0:
+            copy = list(shared + own)
+            copy[int(rng.integers(60, 78))] = "changed"
+            rows.append((5000 + i, " ".join(copy)))
+    want = brute_classes(rows)
+    got = near_dedup.classify_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {r.doc_id: r.class_id for r in got.itertuples()} == {d: c for (d, _), c in want.items()}
+    assert len(set(want.values())) > 700
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = near_dedup.classify_documents(odd_docs).toPandas()
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]

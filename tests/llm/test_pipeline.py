@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from test_near_dedup import brute_classes
 from test_packing import check_sequences
@@ -32,9 +34,32 @@ def test_stages_one_by_one(spark, sf, tmp_path):
     assert set(after.doc_id) == set(before.doc_id) and (after.groupby("doc_id").length.sum() == after.groupby("doc_id").doc_tokens.max()).all()
 
 
-def test_run_and_empty_and_odd_tables(spark, sf, odd_docs, no_docs):
+def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
-    for docs in (odd_docs, no_docs):
-        for name, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf)
-        docs.count()
+
+
+def test_odd_and_empty_tables(spark, sf, odd_docs, no_docs):
+    """Every stage keeps all columns of the rows it keeps, whatever their names."""
+    docs = odd_docs
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == odd_docs.columns and not rows(after) - rows(docs)
+        if name == "near_duplicates":
+            assert Counter(r.doc_id for r in after.collect()) == Counter({1: 1, 3: 1, 5: 1, None: 1, 7: 1, 8: 1, 9: 1, 10: 1})
+        if name == "mixing":
+            assert rows(after) == rows(docs)
+        docs = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
+    check_sequences(packed)
+    assert len(set(packed.doc_id.dropna())) == 7 and packed.doc_id.isna().any()
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, no_docs, sf)
+        assert empty.count() == 0
+
+
+def test_twins_with_other_columns(spark, sf):
+    """Rows equal in doc_id and text: one stays whole, none is made up."""
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "x", 11), (1, "a b c d e f", "de", "y", 11), (2, "a b c d e f", "fr", "x", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert len(left) == 1 and (left[0].lang, left[0].source) in {("en", "x"), ("de", "y")}
