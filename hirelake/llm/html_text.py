@@ -3,7 +3,10 @@
 A page is read once, left to right, into flat text blocks that end at block-level tags. A block
 has its words and link density, those of the blocks before and after it, and what its open
 containers say (article or main, navigation, header, footer, aside, form; hints in class, id and
-role names). A small CART tree, trained here on a labelled table of blocks (:func:`labelled_blocks`
+role names). Names that tell a state (has-sidebar, no-search, comments-enabled) and all names of the
+whole page (body, html) say nothing, and a container that is called chrome, or a form, but holds most
+of the page's running text and all that looks like an article is a wrapper: its name doesn't count
+either. A small CART tree, trained here on a labelled table of blocks (:func:`labelled_blocks`
 lays it out from a few dozen marked page parts), decides which blocks belong to the article.
 
 Defined cases: null or empty html gives an empty text; comments, scripts, styles, titles, templates
@@ -62,6 +65,12 @@ COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply rep
 HEADER_NAMES = frozenset("header head topbar top".split())
 ARTICLE_NAMES = frozenset("article content post entry story main body text maincontent".split())
 
+#: Parts of names that make the whole name one of a state, not of a thing: in any place, and last.
+STATE_PARTS = frozenset("has have no not is with without".split())
+STATE_ENDS = frozenset("enabled disabled open opened closed on off active inactive visible loaded supported allowed".split())
+#: Words of running text from which a wrapper is told by its share of the page alone.
+WRAPPER_WORDS = 40
+
 FEATURES = (
     "words", "link_density", "words_before", "links_before", "words_after", "links_after", "verdict", "in_article", "in_chrome",
     "in_comments", "heading", "list_item", "page_has_article", "stops", "copyright", "header_in_article", "place",
@@ -69,41 +78,99 @@ FEATURES = (
 
 
 class Block:
-    __slots__ = ("text", "linked", "verdict", "article", "chrome", "comments", "heading", "item", "header", "mark")
+    __slots__ = ("text", "linked", "at", "verdict", "article", "chrome", "comments", "heading", "item", "header", "mark")
+
+    def __init__(self, text: str, linked: int, at: int, heading: int, item: int, mark: str | None):
+        self.text, self.linked, self.at, self.heading, self.item, self.mark = text, linked, at, heading, item, mark
+
+
+class Container:
+    """An open element: what its tag and names say, and what is found in it."""
+
+    __slots__ = ("parent", "says", "bare", "firm", "form", "article", "evidence", "words")
+
+    def __init__(self, parent: int, says: int, bare: int, firm: bool, form: bool, article: bool):
+        self.parent, self.says, self.bare, self.firm, self.form, self.article = parent, says, bare, firm, form, article
+        self.evidence = self.words = 0
 
-    def __init__(self, text: str, linked: int, state: tuple, mark: str | None):
-        self.text, self.linked, self.mark = text, linked, mark
-        self.verdict, self.article, self.chrome, self.comments, self.heading, self.item, self.header = state
+
+def _names(attributes: str) -> set[str]:
+    """Words of the class, id and role names that name a thing."""
+    out: set[str] = set()
+    for m in NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [w.lower() for w in WORDS_IN_NAME.findall(name)]
+            if parts and (len(parts) == 1 or not (parts[-1] in STATE_ENDS or STATE_PARTS.intersection(parts))):
+                out.update(parts)
+    return out
 
 
-def _says(tag: str, attributes: str) -> tuple[int, bool]:
-    """What a container's tag and names say: 1 article, -1 chrome, -2 comments, -3 header, 0 nothing."""
-    if tag in ARTICLE_TAGS:
-        says = 1
-    elif tag == "header":
-        says = -3
-    else:
-        says = -1 if tag in CHROME_TAGS else 0
+def _says(tag: str, attributes: str) -> tuple[int, int, bool]:
+    """What a container's tag and names say: 1 article, -1 chrome, -2 comments, -3 header, 0 nothing;
+    what it says if a bad name or being a form does not count; and whether it is chrome for certain."""
+    if tag in ("body", "html"):
+        return 0, 0, False
+    says = 1 if tag in ARTICLE_TAGS else -3 if tag == "header" else -1 if tag in CHROME_TAGS else 0
+    firm = says == -3 or (says == -1 and tag != "form")
+    bare = max(says, 0)
     if attributes:
         if HIDDEN.search(attributes):
-            return -1, False
-        names = {w.lower() for m in NAMES.finditer(attributes) for w in WORDS_IN_NAME.findall(m[1] or m[2] or m[3] or "")}
+            return -1, -1, True
+        names = _names(attributes)
+        if names & ARTICLE_NAMES:
+            bare = 1
         if names & COMMENT_NAMES:
             says = -2
         elif names & CHROME_NAMES and says != 1:
             says = -1
         elif not says and names & HEADER_NAMES:
             says = -3
-        elif not says and names & ARTICLE_NAMES:
-            says = 1
-    return says, tag in ARTICLE_TAGS
+        elif not says:
+            says = bare
+    return says, bare, firm
+
+
+def _judge(found: list[Block], containers: list[Container]) -> None:
+    """Each block's verdict and places, from what its containers say."""
+    for b in found:
+        containers[b.at].words += round((b.text.count(" ") + 1) * max(0.0, 1 - b.linked / len(b.text)))
+    inside = [False] * len(containers)  # in certain chrome, where nothing counts as an article
+    for i, c in enumerate(containers):
+        inside[i] = c.firm or (i > 0 and inside[c.parent])
+        if inside[i]:
+            c.evidence = 0
+    for c in reversed(containers[1:]):
+        containers[c.parent].words += c.words
+        containers[c.parent].evidence += c.evidence
+    words, evidence = containers[0].words, containers[0].evidence
+    states: list[tuple[int, int, int, int, int]] = []
+    for i, c in enumerate(containers):
+        verdict, article, chrome, comments, header = states[c.parent] if i else (0, 0, 0, 0, 0)
+        says = c.says
+        if says in (-1, -2) and not c.firm and not inside[i] and 2 * c.words >= words:
+            outside = evidence - c.evidence
+            if (c.evidence and (not outside or (c.form and c.evidence >= outside))) or (not evidence and says == -1 and c.words >= WRAPPER_WORDS):
+                says = c.bare
+        if says == 1:
+            verdict, article = (1 if verdict >= 0 or c.article and verdict > -2 else verdict), 1
+        elif says == -3:
+            if article and verdict > 0:
+                header = 1
+            else:
+                verdict, chrome = -1, 1
+        elif says:
+            verdict, chrome, comments = min(verdict, says) if verdict < 0 else says, 1, comments or int(says == -2)
+        states.append((verdict, article, chrome, comments, header))
+    for b in found:
+        b.verdict, b.article, b.chrome, b.comments, b.header = states[b.at]
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page, in order, without empty ones."""
     out: list[Block] = []
-    # open elements: tag, verdict, in article, in chrome, in comments, heading, list item, header in article
-    stack: list[tuple] = [("", 0, 0, 0, 0, 0, 0, 0)]
+    containers = [Container(0, 0, 0, False, False, False)]
+    # open elements: tag, container, heading, list item
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
     parts: list[str] = []
     linked, in_link, mark = 0, 0, None
     at = 0
@@ -113,7 +180,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, stack[-1][1:], mark))
+                out.append(Block(text, linked, *stack[-1][1:], mark))
             parts.clear()
         linked = 0
 
@@ -163,25 +230,22 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
         elif stack[-1][0] == "p":
             stack.pop()
-        _, verdict, article, chrome, comments, heading, item, header = stack[-1]
-        says, is_article = _says(tag, m[3])
-        if says == 1:
-            verdict, article = (1 if verdict >= 0 or is_article and verdict > -2 else verdict), 1
-        elif says == -3:
-            if article and verdict > 0:
-                header = 1
-            else:
-                verdict, chrome = -1, 1
-        elif says:
-            verdict, chrome, comments = min(verdict, says) if verdict < 0 else says, 1, comments or int(says == -2)
+        _, here, heading, item = stack[-1]
+        says, bare, firm = _says(tag, m[3])
+        if says or bare:
+            containers.append(Container(here, says, bare, firm, tag == "form", tag in ARTICLE_TAGS))
+            here = len(containers) - 1
+        if says == 1 or tag == "h1":
+            containers[here].evidence += 1
         if "data-keep" in m[3]:
             mark = "1" if 'data-keep="1"' in m[3] else "0"
-        stack.append((tag, verdict, article, chrome, comments, int(tag in HEADINGS) or heading, int(tag in ("li", "td", "th", "option")) or item, header))
+        stack.append((tag, here, int(tag in HEADINGS) or heading, int(tag in ("li", "td", "th", "option")) or item))
     if at < len(page):
         parts.append(piece := CUT_OFF.sub("", page[at:]))
         if in_link:
             linked += len(piece)
     close()
+    _judge(out, containers)
     return out
 
 
@@ -240,6 +304,8 @@ SHELLS = (
     '<main data-keep="1">{main}</main>',
     '<main><article data-keep="1">{main}</article></main>',
     '<div id="content"><div class="post-body" data-keep="1">{main}</div></div>',
+    '<form id="pageForm" action="/p"><div id="content" data-keep="1">{main}</div></form>',
+    '<div class="layout has-sidebar"><article class="post comments-enabled" data-keep="1">{main}</article></div>',
     '<div data-keep="1">{main}</div>',
 )
 
