@@ -12,7 +12,11 @@ Execution. The corpus is cut into blocks of some megabytes of text; a block is k
 with its vocabulary (56-bit word keys) and tokens. All exchange goes by key range: a block sends
 its distinct keys with their training counts, sorted and delta-coded, to the range's reducer, and
 gets totals back in the same order. Frequent words and pairs are thus one entry per block, never a
-row per occurrence, and no range grows with a key's frequency.
+row per occurrence, and no range grows with a key's frequency. The number of ranges follows from the
+counted tokens, so that a range holds about RANGE_TOKENS entries at any corpus size; the size of a
+block grows with the corpus between two bounds. Ranges and blocks are dealt to partitions by number,
+one to a partition while there are at most MOST_PARTITIONS of them, and are read from the sorted
+partition one after the other: a task never holds more than one range or one block.
 
 1. words and pairs: requests of all blocks -> totals, counts of counts, one owner block per pair
 2. blocks with totals -> sums of the tokens whose pair is seen; per context, the mass and the
@@ -23,7 +27,8 @@ Tables of every step are partitioned Parquet in the session's shared folder.
 
 Defined cases: null text is empty (its end only); a null doc_id is hashed as the empty text; an
 empty training part gives P = 1 for the unknown type (score 0) and base_score by its formula with
-N = V = 0; repeated rows are scored each; an empty table gives an empty result.
+N = V = 0; repeated rows and ties are scored each; a text longer than a block is a block of its own,
+read whole; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +47,12 @@ from hirelake.llm.common import materialise, release, table
 from hirelake.llm.wordhash import U, mix, texts_words
 
 HELD_OUT_MOD = 10
-BLOCK_CHARS = 8 << 20
+#: Characters of a block: a BLOCKS-th of the corpus, between these bounds. The upper one is what a Python
+#: worker with 600 MB can hold.
+BLOCK_CHARS, MOST_BLOCK_CHARS, BLOCKS = 8 << 20, 16 << 20, 2048
+#: Tokens (an upper bound of the distinct keys that blocks send) per key range.
+RANGE_TOKENS = 1 << 20
+MOST_PARTITIONS = 100_000
 KEY_BITS = 56
 #: Turing's ratios are used up to this count, the log-linear fit beyond; the fit reads n_1..n_FIT.
 TURING_UP_TO, FIT = 5, 16
@@ -166,8 +176,9 @@ def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
                 pa.array([(counts + 1).astype(np.int64)], pa.list_(pa.int64())),
                 pa.array([_squeeze_sorted(vocabulary)], pa.binary()),
                 pa.array([_squeeze(tokens)], pa.binary()),
+                pa.array([len(tokens)], pa.int64()),
             ],
-            names=["block", "ids", "held", "lengths", "vocabulary", "tokens"],
+            names=["block", "ids", "held", "lengths", "vocabulary", "tokens", "n"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +200,71 @@ def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
         if texts:
             yield block(number, ids, held, texts)
 
-    return docs.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<long>, vocabulary binary, tokens binary")
+    return docs.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<long>, vocabulary binary, tokens binary, n long")
+
+
+# --- exchange -------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How many key ranges there are, and how blocks are numbered without gaps to speak of."""
+
+    ranges: int
+    per_task: int
+    blocks: int
+
+    @staticmethod
+    def of(blocks: DataFrame) -> Layout:
+        row = blocks.agg(
+            F.sum("n").alias("tokens"),
+            (F.max(F.shiftright("block", 32)) + 1).alias("tasks"),
+            (F.max(F.col("block").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))) + 1).alias("per_task"),
+        ).first()
+        least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return Layout(max(least, -(-(row.tokens or 0) // RANGE_TOKENS)), row.per_task or 1, (row.per_task or 1) * (row.tasks or 1))
+
+    def by_range(self, rows: DataFrame, *order: str) -> DataFrame:
+        """Rows dealt by their range number ``r``."""
+        parts = min(self.ranges, MOST_PARTITIONS)
+        return rows.repartitionById(parts, (F.col("r") % parts).cast("int")).sortWithinPartitions(*order)
+
+    def by_block(self, rows: DataFrame, *order) -> DataFrame:
+        parts = min(self.blocks, MOST_PARTITIONS)
+        number = F.shiftright("block", 32) * self.per_task + F.col("block").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+        return rows.repartitionById(parts, (number % parts).cast("int")).sortWithinPartitions(*order)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in ``keys``, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        start = 0
+        for i, value in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+            if value != current:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, current = [], i, value
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _each_group(keys: list[str], answer):
+    """A mapInArrow function that turns each run of rows into a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, keys):
+            yield from answer(rows).to_batches()
+
+    return run
+
+
+# --- steps, continued -----------------------------------------------------------------------------
 
 
 class _Block:
@@ -279,13 +354,8 @@ def _model(totals: DataFrame) -> Katz:
     return Katz(tokens, types, words, pairs, (1 - unknown) * tokens / float(whole.mass), unknown)
 
 
-def _by_block(answers: DataFrame, blocks: DataFrame) -> DataFrame:
-    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "r", "answer")).alias("answers"))
-    return blocks.join(gathered, "block", "left")
-
-
-def _answer(row: dict, kind: int) -> np.ndarray:
-    mine = sorted((a["r"], a["answer"]) for a in row["answers"] or [] if a["kind"] == kind)
+def _answer(answers: list[dict], kind: int) -> np.ndarray:
+    mine = sorted((a["r"], a["answer"]) for a in answers if a["kind"] == kind)
     return np.concatenate([np.zeros(0, U), *(_expand(x) for _, x in mine)])
 
 
@@ -293,58 +363,57 @@ def _seen(model: Katz, ranges: int):
     """Step 2: blocks with their totals to document sums (r is null) and context requests (per r)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                b = _Block(row)
-                count = (_answer(row, 0) >> U(1)).astype(np.int64)
-                answer = _answer(row, 1)
-                pair_count, owned = (answer >> U(1)).astype(np.int64), (answer & U(1)).astype(bool)
-                p_word = model.unigram(count)
-                starts = int(count[np.searchsorted(b.vocabulary, END)])  # a text has one start and one end
-                context_count = np.where(b.context < 0, starts, count[b.context])
-                c, token_pair = count[b.tokens], pair_count[b.pair_of]
-                seen = token_pair > 0
-                mass = model.pairs.of(pair_count) * pair_count
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    logs = np.where(seen, np.log10(mass[b.pair_of] / context_count), np.log10(p_word[b.tokens]))
-                base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-                per_doc = lambda x: np.bincount(b.owner, x, len(b.lengths))  # noqa: B023, E731
-                # contexts as keys; the start context has a key of its own
-                keys = np.append(b.vocabulary, START)
-                wait = np.flatnonzero(~seen & (context_count > 0))
-                waits = np.stack([b.owner[wait], np.where(b.context[wait] < 0, len(keys) - 1, b.context[wait])], 1)
-                waits, times = np.unique(waits, axis=0, return_counts=True) if len(wait) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                # the first token of each owned pair tells its context and word
-                one = np.zeros(len(b.pairs), np.int64)
-                one[b.pair_of[::-1]] = np.arange(len(b.tokens))[::-1]
-                mine = one[owned]
-                context = np.where(b.context[mine] < 0, len(keys) - 1, b.context[mine])
-                used = np.bincount(context, mass[owned] / np.maximum(context_count[mine], 1), len(keys))
-                words = np.bincount(context, p_word[b.tokens[mine]], len(keys))
-                asks = np.zeros(len(keys), bool)
-                asks[waits[:, 1]] = True
-                need = np.flatnonzero((used > 0) | asks)
-                order = need[np.argsort(keys[need], kind="stable")]
-                bounds = _ranges(keys[order], ranges)
-                parts = [(r, order[low:high]) for r, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if high > low]
-                waiting = {"doc": waits[:, 0].tolist(), "key": keys[waits[:, 1]].astype(np.int64).tolist(), "times": times.tolist()}
-                docs = {
-                    "ids": b.ids, "held": b.held.tolist(), "n_tokens": b.lengths.tolist(), "n_known": per_doc((c > 0).astype(float)).astype(np.int64).tolist(),
-                    "base": per_doc(base).tolist(), "score": per_doc(logs).tolist(), **waiting,
-                }
-                none = [None] * len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b.number] * (len(parts) + 1), pa.int64()),
-                        pa.array([None, *(r for r, _ in parts)], pa.int32()),
-                        pa.array([None, *(_squeeze_sorted(keys[at]) for _, at in parts)], pa.binary()),
-                        pa.array([None, *(np.array([used[at], words[at]], "<f8").tobytes() for _, at in parts)], pa.binary()),
-                        pa.array([None, *(np.packbits(asks[at]).tobytes() for _, at in parts)], pa.binary()),
-                        pa.array([docs, *none], _DOCS),
-                    ],
-                    names=["block", "r", "keys", "sums", "asks", "docs"],
-                )
+        for rows in _groups(batches, ["block"]):
+            b = _Block(rows.slice(0, 1).to_pylist()[0])
+            answers = rows.slice(1).select(["kind", "r", "answer"]).to_pylist()
+            count = (_answer(answers, 0) >> U(1)).astype(np.int64)
+            answer = _answer(answers, 1)
+            pair_count, owned = (answer >> U(1)).astype(np.int64), (answer & U(1)).astype(bool)
+            p_word = model.unigram(count)
+            starts = int(count[np.searchsorted(b.vocabulary, END)])  # a text has one start and one end
+            context_count = np.where(b.context < 0, starts, count[b.context])
+            c, token_pair = count[b.tokens], pair_count[b.pair_of]
+            seen = token_pair > 0
+            mass = model.pairs.of(pair_count) * pair_count
+            with np.errstate(divide="ignore", invalid="ignore"):
+                logs = np.where(seen, np.log10(mass[b.pair_of] / context_count), np.log10(p_word[b.tokens]))
+            base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+            per_doc = lambda x: np.bincount(b.owner, x, len(b.lengths))  # noqa: B023, E731
+            # contexts as keys; the start context has a key of its own
+            keys = np.append(b.vocabulary, START)
+            wait = np.flatnonzero(~seen & (context_count > 0))
+            waits = np.stack([b.owner[wait], np.where(b.context[wait] < 0, len(keys) - 1, b.context[wait])], 1)
+            waits, times = np.unique(waits, axis=0, return_counts=True) if len(wait) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            # the first token of each owned pair tells its context and word
+            one = np.zeros(len(b.pairs), np.int64)
+            one[b.pair_of[::-1]] = np.arange(len(b.tokens))[::-1]
+            mine = one[owned]
+            context = np.where(b.context[mine] < 0, len(keys) - 1, b.context[mine])
+            used = np.bincount(context, mass[owned] / np.maximum(context_count[mine], 1), len(keys))
+            words = np.bincount(context, p_word[b.tokens[mine]], len(keys))
+            asks = np.zeros(len(keys), bool)
+            asks[waits[:, 1]] = True
+            need = np.flatnonzero((used > 0) | asks)
+            order = need[np.argsort(keys[need], kind="stable")]
+            bounds = _ranges(keys[order], ranges)
+            parts = [(r, order[low:high]) for r, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if high > low]
+            waiting = {"doc": waits[:, 0].tolist(), "key": keys[waits[:, 1]].astype(np.int64).tolist(), "times": times.tolist()}
+            docs = {
+                "ids": b.ids, "held": b.held.tolist(), "n_tokens": b.lengths.tolist(), "n_known": per_doc((c > 0).astype(float)).astype(np.int64).tolist(),
+                "base": per_doc(base).tolist(), "score": per_doc(logs).tolist(), **waiting,
+            }
+            none = [None] * len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b.number] * (len(parts) + 1), pa.int64()),
+                    pa.array([None, *(r for r, _ in parts)], pa.int32()),
+                    pa.array([None, *(_squeeze_sorted(keys[at]) for _, at in parts)], pa.binary()),
+                    pa.array([None, *(np.array([used[at], words[at]], "<f8").tobytes() for _, at in parts)], pa.binary()),
+                    pa.array([None, *(np.packbits(asks[at]).tobytes() for _, at in parts)], pa.binary()),
+                    pa.array([docs, *none], _DOCS),
+                ],
+                names=["block", "r", "keys", "sums", "asks", "docs"],
+            )
 
     return run
 
@@ -377,44 +446,47 @@ def _finish(model: Katz):
     """Step 3: document sums and the awaited backoff weights to scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                docs, got = row["docs"], row["alphas"] or []
-                score = np.array(docs["score"], float)
-                if docs["doc"]:
-                    keys = np.concatenate([np.array(g["key"], np.int64) for g in got])
-                    alpha = np.concatenate([np.array(g["alpha"], float) for g in got])
-                    order = np.argsort(keys)
-                    at = order[np.searchsorted(keys, np.array(docs["key"], np.int64), sorter=order)]
-                    score += np.bincount(np.array(docs["doc"]), np.array(docs["times"]) * alpha[at], len(score))
-                n = len(score)
-                columns = [docs["ids"], docs["held"], docs["n_tokens"], docs["n_known"], [model.tokens] * n, docs["base"], score]
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for rows in _groups(batches, ["block"]):
+            docs, got = rows["docs"][0].as_py(), rows.slice(1).select(["key", "alpha"]).to_pylist()
+            score = np.array(docs["score"], float)
+            if docs["doc"]:
+                keys = np.concatenate([np.array(g["key"], np.int64) for g in got])
+                alpha = np.concatenate([np.array(g["alpha"], float) for g in got])
+                order = np.argsort(keys)
+                at = order[np.searchsorted(keys, np.array(docs["key"], np.int64), sorter=order)]
+                score += np.bincount(np.array(docs["doc"]), np.array(docs["times"]) * alpha[at], len(score))
+            n = len(score)
+            columns = [docs["ids"], docs["held"], docs["n_tokens"], docs["n_known"], [model.tokens] * n, docs["base"], score]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
 
-def katz_scores(docs: DataFrame, held_out, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out, block_chars: int | None = None) -> DataFrame:
     """Scores of all ``docs`` (doc_id, text) by a model of those where ``held_out`` (a Column) is false."""
-    spark = docs.sparkSession
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), "text")
+    if block_chars is None:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        block_chars = min(max(BLOCK_CHARS, total // BLOCKS), MOST_BLOCK_CHARS)
     blocks = materialise(_blocks(rows, block_chars), "blocks")
-    totals = _requests(blocks, ranges).groupBy("kind", "r").applyInArrow(_totals, "kind int, r int, block long, answer binary, counts array<long>, of_counts array<long>")
+    layout = Layout.of(blocks)
+    totals = layout.by_range(_requests(blocks, layout.ranges), "kind", "r", "block")
+    totals = totals.mapInArrow(_each_group(["kind", "r"], _totals), "kind int, r int, block long, answer binary, counts array<long>, of_counts array<long>")
     totals = materialise(totals, "totals")
     model = _model(totals)
-    seen = _by_block(totals.where(F.col("block").isNotNull()).select("block", "kind", "r", "answer"), blocks)
-    seen = materialise(seen.mapInArrow(_seen(model, ranges), f"block long, r int, keys binary, sums binary, asks binary, docs {_DOCS_SQL}"), "seen")
+    answers = totals.where(F.col("block").isNotNull()).select("block", "kind", "r", "answer")
+    joined = layout.by_block(blocks.unionByName(answers, allowMissingColumns=True), "block", F.asc_nulls_first("kind"), "r")
+    seen = materialise(joined.mapInArrow(_seen(model, layout.ranges), f"block long, r int, keys binary, sums binary, asks binary, docs {_DOCS_SQL}"), "seen")
     release(blocks)
     release(totals)
-    alphas = seen.where(F.col("r").isNotNull()).select("block", "r", "keys", "sums", "asks").groupBy("r").applyInArrow(_alphas, "block long, key array<long>, alpha array<double>")
-    gathered = alphas.groupBy("block").agg(F.collect_list(F.struct("key", "alpha")).alias("alphas"))
-    done = seen.where(F.col("r").isNull()).select("block", "docs").join(gathered, "block", "left").select("docs", "alphas")
+    alphas = layout.by_range(seen.where(F.col("r").isNotNull()).select("block", "r", "keys", "sums", "asks"), "r", "block")
+    alphas = alphas.mapInArrow(_each_group(["r"], _alphas), "block long, key array<long>, alpha array<double>")
+    done = seen.where(F.col("r").isNull()).select("block", "docs").unionByName(alphas, allowMissingColumns=True)
+    done = layout.by_block(done, "block", F.col("docs").isNull())
     return done.mapInArrow(_finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
