@@ -9,10 +9,13 @@ is at most segments*(r+1)-1, below which nothing can be missing. Ties go to the
 Equal codes are one index entry with their k+1 least ids, so copies cost nothing. A candidate comes
 from one segment only (its nearest, then first) and only while it can still enter the top k. All
 of it is DataFrame operations; the index is broadcast while it is small, else joined by shuffle.
+Once a radius has more values to look up than the index has codes (or than MOST_MASKS), the queries
+that are still open are compared with all codes instead, in blocks of queries, with the same result.
 
-Defined cases: null vectors are neither queries nor neighbours; NaN counts as not positive; rows
-equal in id and code count once; a query is not its own neighbour; fewer than k others give fewer
-rows; an empty table gives an empty result; other columns are ignored.
+Defined cases: null vectors are neither queries nor neighbours; NaN counts as not positive, as does a
+component that a short vector lacks, and components after the 64th are not read; rows equal in id and
+code count once; a query is not its own neighbour; fewer than k others give fewer rows; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ BITS, K = 64, 10
 QUERY_MOD = 50
 #: Index entries (16 bytes each) up to which the index is broadcast.
 BROADCAST_ENTRIES = 1_000_000
+#: Values per query and radius up to which segments are looked up, and open queries that are broadcast
+#: at once beyond it.
+MOST_MASKS, QUERY_BLOCK = 1 << 18, 10_000
 
 
 def sign_code(vector: str) -> Column:
@@ -58,6 +64,28 @@ def _first_at(segments: list[tuple[int, int]]) -> Column:
     return F.array_position(F.array(*away), F.array_min(F.array(*away))) - 1
 
 
+def _compare_all(index: DataFrame, open_queries: DataFrame, k: int) -> DataFrame:
+    """(q, code, n, distance) of the codes that can be among the nearest k, by comparing all codes.
+
+    A first pass counts codes by distance (at most BITS + 1 rows a query leave the map side) and so
+    gives the kth distance; a second one returns the codes up to it.
+    """
+    blocks = max(1, -(-open_queries.count() // QUERY_BLOCK))
+    codes = index.select("code", F.size("ids").alias("n"))
+    out = None
+    for i in range(blocks):
+        mine = F.broadcast(open_queries.select("q").where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i))
+        pairs = codes.join(mine).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        counts = pairs.groupBy("q", "distance").agg(F.sum("n").alias("n"))
+        nearer = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)  # at most BITS + 1 rows
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("before") <= k)
+        far = materialise(counts.groupBy("q").agg(F.max("distance").alias("far")), "far")
+        near = pairs.join(F.broadcast(far), "q").where(F.col("distance") <= F.col("far")).select("q", "code", "n", "distance")
+        near = materialise(near, "near")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, neighbor_id, distance, rank) for ``queries`` (id, code) among ``codes`` (id, code)."""
     spark = codes.sparkSession
@@ -78,8 +106,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     done: list[DataFrame] = []
     longest = max(bits for _, bits in segments)
     for radius in range(longest + 1):
+        if sum(math.comb(bits, radius) for _, bits in segments) > min(MOST_MASKS, max(n, 1)):
+            done.append(_compare_all(index, active, k))
+            break
         masks = [(i, sum(1 << b for b in at)) for i, (_, bits) in enumerate(segments) for at in combinations(range(bits), radius)]
-        masks = F.broadcast(spark.createDataFrame(masks, "seg int, mask long"))  # at most C(bits, radius) per segment
+        masks = F.broadcast(spark.createDataFrame(masks, "seg int, mask long"))  # at most MOST_MASKS rows
         probes = active.select("q", "bound", _values("q", segments).alias("s")).select("q", "bound", "s.seg", "s.value").join(masks, "seg")
         probes = probes.select("q", "bound", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         new = (
