@@ -3,7 +3,9 @@
 Templates and documents are read as lower-cased words. Runs of ``GRAM`` words are hashed, and the
 least hash of every ``WINDOW`` neighbouring runs is a fingerprint, so any shared passage of
 GRAM + WINDOW - 1 words has one. The templates' fingerprints are an inverted index (a few thousand
-entries: templates are a parameter). A document's hits are put together by template and diagonal,
+entries: templates are a parameter). A template of fewer than SHORT words need not share such a
+passage with its match, so it is also indexed by single words: by its longest ones, so many that a
+match that is long enough has one of them. A document's hits are put together by template and diagonal,
 and around each group a banded alignment finds the most template words that the document has in
 order. Groups that do not reach ``min_coverage`` alone are aligned together, so that a notice with a
 clause left out or put in is found whole; matches from ``min_coverage`` on are reported with their
@@ -11,13 +13,17 @@ spans in code points.
 
 A map-only scan: documents are read whole, once, and never shuffled.
 
-Defined cases: null and empty texts match nothing; a notice that occurs several times gives a row
-each; repeated rows are scanned each; templates of fewer than GRAM words are found by their whole;
-an empty table gives an empty result; other columns are ignored.
+A match of a template of SHORT words or more is found if it shares GRAM + WINDOW - 1 words in a row
+with it; a match of a shorter one if its words stay within BAND words of their places.
+
+Defined cases: null and empty texts match nothing; a very long text is read whole, in windows; a
+notice that occurs several times gives a row each, and so do several templates that a passage fits;
+repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,6 +37,8 @@ from hirelake.llm.license_texts import NOTICES
 from hirelake.llm.wordhash import U, mix, not_word, word_hashes
 
 GRAM, WINDOW = 3, 3
+#: Templates of fewer words are also looked up by single words.
+SHORT = 15
 #: Words that an alignment may drift from its diagonal; share of a template's words to report.
 BAND, MIN_COVERAGE = 8, 0.8
 #: Words that gaps and insertions of one notice may add up to: as many as the template has, or these.
@@ -80,23 +88,39 @@ def winnow(grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Word hashes of the templates and the inverted index of their fingerprints."""
+    """Word hashes of the templates, the inverted index of their fingerprints and of short ones' words."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], min_coverage: float = MIN_COVERAGE):
         self.names = sorted(texts)
-        self.words = [_words(texts[n].encode())[1] for n in self.names]
+        found = [_words(texts[n].encode()) for n in self.names]
+        self.words = [words for _, words in found]
         index = defaultdict(list)
-        self.whole: dict[int, list[int]] = defaultdict(list)
+        self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             owner = np.zeros(len(words), np.int64)
             grams = _grams(words, owner)
             for place in range(max(0, len(words) - GRAM + 1)):  # all runs: a document's choice may differ at its edges
                 index[int(grams[place])].append((t, place))
-            if 0 < len(words) < GRAM:
-                self.whole[int(words[0])].append(t)
+            if 0 < len(words) < SHORT:
+                longest = sorted(range(len(words)), key=lambda i: (-len(self._word(texts, t, i)), i))
+                for place in longest[: len(words) - least_words(len(words), min_coverage) + 1]:
+                    self.anchors[int(words[place])].append((t, place))
         self.index = dict(index)
         self.keys = np.sort(np.fromiter(self.index, U, len(self.index)))
-        self.short = np.sort(np.fromiter(self.whole, U, len(self.whole)))
+        self.short = np.sort(np.fromiter(self.anchors, U, len(self.anchors)))
+
+    def _word(self, texts: dict[str, str], t: int, i: int) -> bytes:
+        data = texts[self.names[t]].encode()
+        start = int(_words(data)[0][i])
+        end = start
+        while end < len(data) and not not_word()[data[end]]:
+            end += 1
+        return data[start:end]
+
+
+def least_words(words: int, min_coverage: float) -> int:
+    """Matched words that a template of so many words needs to be reported."""
+    return max(1, math.ceil(min_coverage * words - 1e-9))
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int] | None:
@@ -133,19 +157,25 @@ def scan(data: bytes, templates: Templates, starts: np.ndarray, words: np.ndarra
         for t, at in templates.index.get(int(grams[place]), ()):
             diagonals[t].append(place - at)
     for i in np.flatnonzero(np.isin(words, templates.short)):
-        for t in templates.whole[int(words[i])]:
-            diagonals[t].append(int(i))
+        for t, at in templates.anchors[int(words[i])]:
+            diagonals[t].append(int(i) - at)
     out = []
     for t, found in diagonals.items():
         found.sort()
         template = templates.words[t]
-        least = min_coverage * len(template)
+        least = least_words(len(template), min_coverage)
+
+        def enough(low: int, high: int, template: np.ndarray = template, least: int = least) -> bool:
+            """Whether the words around these diagonals can make a match at all."""
+            return int(np.isin(template, words[max(0, low - BAND) : max(0, high + BAND + len(template))]).sum()) >= least
+
         group, apart = [found[0]], []
         for d in [*found[1:], None]:
             if d is not None and d - group[-1] <= BAND and d - group[0] <= 2 * BAND:
                 group.append(d)
                 continue
-            got = align(template, words, group[len(group) // 2])
+            middle = group[len(group) // 2]
+            got = align(template, words, middle) if enough(middle, middle) else None
             if got and got[0] >= least:
                 out.append((t, got[0], len(template), got[1], got[2]))
             else:
@@ -157,8 +187,7 @@ def scan(data: bytes, templates: Templates, starts: np.ndarray, words: np.ndarra
             while j < len(apart) and apart[j][1] - apart[i][0] <= reach:
                 j += 1
             low, high = apart[i][0], apart[j - 1][1]
-            near = words[max(0, low - BAND) : max(0, high + BAND + len(template))]
-            got = align(template, words, (low + high) // 2, (high - low + 1) // 2 + BAND) if j > i + 1 and np.isin(template, near).sum() >= least else None
+            got = align(template, words, (low + high) // 2, (high - low + 1) // 2 + BAND) if j > i + 1 and enough(low, high) else None
             if got and got[0] >= least:
                 out.append((t, got[0], len(template), got[1], got[2]))
                 i = j
@@ -175,7 +204,7 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, min_co
     notices = NOTICES if notices is None else notices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(notices)
+        templates = Templates(notices, min_coverage)
         for batch in batches:
             found: list[tuple] = []
             ids = batch.column(0)

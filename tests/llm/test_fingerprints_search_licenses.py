@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -92,7 +93,11 @@ def brute_top(codes, queries, k):
     return out
 
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1 << 18, 20, 0])
+def test_top_k_against_brute_force(spark, monkeypatch, most):
+    """By look-ups alone, and with the comparison of all codes from some radius on."""
+    monkeypatch.setattr(hamming_search, "MOST_MASKS", most)
+    monkeypatch.setattr(hamming_search, "QUERY_BLOCK", 5)
     rng = np.random.default_rng(9)
     codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63 - 1, 300))]
     centre = codes[0][1]
@@ -159,6 +164,87 @@ def test_license_with_a_clause_left_out_or_put_in(spark):
     assert all(texts[r.doc_id][r.span_start : r.span_end] == texts[r.doc_id][7:-7] for r in got)
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence."""
+    where = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    v = full = (1 << len(a)) - 1
+    for y in b:
+        u = v & where.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def best_window(template, text):
+    """Most template words that any window of the text, two bands longer than the template, has in order."""
+    n = len(template) + 2 * license_scan.BAND
+    return max((common_words(template, text[i : i + n]) for i in range(max(1, len(text) - len(template) // 2))), default=0)
+
+
+def share_a_run(a, b, n):
+    return bool({tuple(a[i : i + n]) for i in range(len(a) - n + 1)} & {tuple(b[i : i + n]) for i in range(len(b) - n + 1)})
+
+
+def test_scan_against_full_alignments(spark):
+    """Notices with random edits: what is reported, and with which coverage and span, by brute force."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(0, 400)}"
+    notices = {f"t{n}": " ".join(word() for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 8, 11, 14, 20, 33)}
+    rows = []
+    for i in range(330):
+        template = notices[f"t{[1, 2, 3, 4, 5, 6, 8, 11, 14, 20, 33][i % 11]}"].split()
+        for _ in range(int(rng.integers(0, 4))):
+            at, kind = int(rng.integers(0, len(template) + 1)), rng.integers(0, 3)
+            template[at : at + (kind > 0)] = [word()] if kind < 2 else []
+        rows.append((i, " ".join([*(f"x{k}" for k in range(rng.integers(0, 20))), *template, *(f"y{k}" for k in range(rng.integers(0, 20)))])))
+    got = {}
+    for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), notices).collect():
+        got.setdefault((r.doc_id, r.license), []).append(r)
+    reported = 0
+    for i, text in rows:
+        for name, notice in notices.items():
+            template, found = words(notice), words(text)
+            best = best_window(template, found)
+            due = best >= license_scan.least_words(len(template), license_scan.MIN_COVERAGE)
+            if due and (len(template) < license_scan.SHORT or share_a_run(template, found, license_scan.GRAM + license_scan.WINDOW - 1)):
+                assert (i, name) in got, (i, name)
+            for r in got.get((i, name), []):
+                span = words(text[r.span_start : r.span_end])
+                assert due and r.template_words == len(template) and r.coverage == r.matched_words / len(template)
+                assert common_words(template, span) == r.matched_words <= best
+                assert common_words(template, span[1:]) < r.matched_words and common_words(template, span[:-1]) < r.matched_words
+            if (i, name) in got:
+                reported += 1
+                assert max(r.matched_words for r in got[i, name]) == best
+    assert reported > 150
+
+
+def test_short_lines_with_a_word_changed(spark):
+    rows = [(1, "It is Released under an MIT License, as said"), (2, "Released under the terms MIT License"), (3, "a License of another kind"), (4, "licensed under CC BY NC 4 0")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(1, "MIT (line)"), (2, "MIT (line)"), (4, "CC-BY-NC-4.0 (line)")}
+
+
+def test_every_line_of_the_corpus_by_brute_force(spark, sf):
+    """Each row's coverage and span from full alignments, and no missing line, over whole texts."""
+    docs = {r.doc_id: words(r.text or "") for r in table(spark, sf, "documents").collect()}
+    raw = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    got = license_scan.op6_license_scan(spark, sf).collect()
+    for r in got:
+        template = words(license_scan.NOTICES[r.license])
+        assert common_words(template, words(raw[r.doc_id][r.span_start : r.span_end])) == r.matched_words >= license_scan.MIN_COVERAGE * len(template)
+    found = {(r.doc_id, r.license) for r in got}
+    for name, notice in license_scan.NOTICES.items():
+        template = words(notice)
+        if len(template) >= license_scan.SHORT:
+            continue
+        least = license_scan.least_words(len(template), license_scan.MIN_COVERAGE)
+        for d, text in docs.items():
+            due = len(set(template) & set(text)) >= len(set(template)) * 0.6 and best_window(template, text) >= least
+            assert ((d, name) in found) == due, (d, name)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(4)
     shared = rng.integers(0, 2**60, license_scan.GRAM + license_scan.WINDOW - 1, dtype=np.uint64)
