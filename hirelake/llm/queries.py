@@ -10,6 +10,7 @@ QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_html": html_text.op3_html,
     "op4_fingerprints": edit_embedding.op4_fingerprints,
+    "similar_documents": edit_embedding.similar_documents_query,
     "op5_topk_search": hamming_search.op5_topk_search,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_packing": packing.op7_packing,

@@ -297,3 +297,53 @@ def test_similar_documents_odd_rows(odd_docs, no_docs):
     got = edit_embedding.similar_documents(odd_docs).toPandas()
     assert got.copies.sum() == 12 and set(got[got.doc_id.isin([1, 2])].class_id) == {1}
     assert edit_embedding.similar_documents(no_docs).count() == 0
+
+
+def random_edits(rng, text, n):
+    out = list(text)
+    for _ in range(n):
+        at, kind, letter = int(rng.integers(0, len(out))), rng.integers(0, 3), chr(97 + int(rng.integers(0, 26)))
+        out[at : at + (kind > 0)] = [letter] if kind < 2 else []
+    return "".join(out)
+
+
+def test_bands_reach_their_recall_at_the_threshold(spark):
+    """Pairs at the default similarity, by random edits of texts of the corpus."""
+    rng = np.random.default_rng(21)
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect() if r.text and 1500 <= len(r.text) <= 4000][:150]
+    edited = [random_edits(rng, t, int(0.98 * len(t) * (1 - edit_embedding.SIMILARITY))) for t in texts]
+    how = edit_embedding.EditWalks()
+    one, two = how.sign(texts), how.sign(edited)
+    alike = [how.alike(a, b) for a, b in zip(texts, edited, strict=True)]
+    found = (one[2] == two[2]).any(1) & ((one[1] == two[1]).mean(1) >= how.least_agreement)
+    assert all(alike) and found.mean() >= 0.9
+
+
+def test_similar_documents_of_the_corpus_by_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text or "") for r in table(spark, sf, "documents").collect()]
+    rng = np.random.default_rng(8)
+    long = [(d, t) for d, t in rows if len(t) > 400][:30]
+    rows += [(10_000 + d, random_edits(rng, t, len(t) // 400)) for d, t in long]
+    texts = sorted({t for _, t in rows})
+    how = edit_embedding.EditWalks()
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by_size = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    for x, i in enumerate(by_size):
+        for j in by_size[x + 1 :]:
+            if len(texts[j]) * how.similarity > len(texts[i]) + 1e-6 or not texts[i]:
+                break
+            if find(i) != find(j) and how.alike(texts[i], texts[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(find(texts.index(t)), []).append(d)
+    want = {d: min(ids) for ids in groups.values() for d in ids}
+    got = edit_embedding.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same = sum(want[r.doc_id] == r.class_id for r in got)
+    assert same >= len(want) - 3 and all(want[r.class_id] == want[r.doc_id] for r in got)  # recall; precision is exact
