@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,41 @@ def clean_html(c: str | Column) -> Column:
     return collapse(F.regexp_replace(bare, r"&nbsp;|&amp;|&lt;|&gt;|&quot;|&#39;", " "))
 
 
+#: Comments and tags; a ">" inside a quoted attribute does not end a tag.
+MARKUP = r"(?s)<!--.*?(?:-->|\z)|</?[A-Za-z!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[A-Za-z!?][^>]*>"
+
+
+def unescape(c: str | Column) -> Column:
+    """Character references decoded: numbers, and the names of HTML 4 with their semicolon; anything
+    else stays as written. A number that is no character gives U+FFFD."""
+    names = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
+
+    def decoded(x: Column) -> Column:
+        """What a piece after an ampersand stands for."""
+        name = F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.regexp_extract(x, r"^(#(?:[0-9]+|[xX][0-9A-Fa-f]+));?", 1)
+        digits = F.regexp_extract(x, r"^#([0-9]+)", 1)
+        point = F.when(digits != "", digits.try_cast("bigint")).otherwise(F.conv(F.regexp_extract(x, r"^#[xX]([0-9A-Fa-f]{1,7})", 1), 16, 10).try_cast("bigint"))
+        is_character = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point < 0x110000))
+        character = F.when(is_character, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        by_name = F.try_element_at(names, name)
+        return (
+            F.when(x.startswith("#") & (number != ""), F.concat(character, F.regexp_replace(x, r"^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", "")))
+            .when(by_name.isNotNull(), F.concat(by_name, F.substring(x, F.length(name) + 2, F.length(x))))
+            .otherwise(F.concat(F.lit("&"), x))
+        )
+
+    def whole(parts: Column) -> Column:
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+
+    return once(col(c), lambda t: F.when(t.contains("&"), once(F.split(t, "&"), whole)).otherwise(t))
+
+
+def node_text(c: str | Column) -> Column:
+    """The text nodes of a piece of HTML, a space between them, decoded and collapsed."""
+    return collapse(unescape(F.regexp_replace(col(c), MARKUP, " ")))
+
+
 def words(items: list[str]) -> Column:
     """A list as an array literal."""
     return F.array(*[F.lit(x) for x in items]) if items else F.array().cast("array<string>")

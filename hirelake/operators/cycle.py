@@ -23,6 +23,13 @@ def _bare(url: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"/+$", "")
 
 
+def _last_fetched(pages: DataFrame) -> DataFrame:
+    """One page per address: of several fetches the one with the greatest page id, then by content."""
+    order = F.struct("page_id", F.md5(F.coalesce("html", F.lit(""))))
+    rows = pages.groupBy(_bare("url").alias("_at")).agg(F.max_by(F.struct("page_id", "url", "html"), order).alias("p"))
+    return rows.select("p.*", "_at")
+
+
 def find_homepages(companies: DataFrame, results: DataFrame) -> DataFrame:
     """(id, homepage_url) of companies without one, from search-result pages (id, html)."""
     missing = search.missing_homepages(companies).select("id")
@@ -37,7 +44,7 @@ def discover_careers(companies: DataFrame, pages: DataFrame, keywords: list[str]
     the homepage itself is looked at. Pages that don't classify hand on their candidate links, best
     score first, down to ``max_depth``. "First" is by depth, then by the links' rank, then by URL.
     """
-    fetched = pages.withColumn("_at", _bare("url"))
+    fetched = _last_fetched(pages)
     front = materialise(search.discover_targets(companies).select("id", _bare("homepage_url").alias("_at"), F.lit(0).alias("rank")), "front")
     visited, found = front.select("id", "_at"), None
     for depth in range(max_depth + 1):
@@ -74,7 +81,7 @@ def collect_postings(companies: DataFrame, pages: DataFrame, keywords: list[str]
     Listing pages lead to detail pages; a listing without usable links is read as a one-page site,
     as are one_page and main pages.
     """
-    fetched = pages.withColumn("_at", _bare("url"))
+    fetched = _last_fetched(pages)
     start = search.collect_targets(companies).select(F.col("id").alias("company_id"), _bare("recruits_url").alias("_at"), "page_type").join(fetched, "_at")
     start = start.withColumn("page_id", F.xxhash64("company_id", "_at"))
     start = materialise(start, "start")
@@ -85,7 +92,7 @@ def collect_postings(companies: DataFrame, pages: DataFrame, keywords: list[str]
     rows = P.detail_jobs(details, accept, from_listing=True, classifier=classifier).join(details.select("page_id", "company_id"), "page_id")
     blocks = P.one_page_jobs(single, accept, classifier).join(single.select("page_id", "company_id"), "page_id")
     both = rows.unionByName(blocks, allowMissingColumns=True)
-    return both.withColumn("line", F.xxhash64("post_url", "company_id")).drop("page_id")
+    return both.withColumn("line", F.col("company_id")).drop("page_id")
 
 
 def run_cycle(companies: DataFrame, results: DataFrame, pages: DataFrame, postings: DataFrame, now: Column, **how) -> tuple[DataFrame, DataFrame]:

@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
 from hirelake.functions.posting import accept_as_job, benefit_list, posting_facts, region
-from hirelake.functions.text import any_in, blank, clean_html, collapse, count_in, strip
+from hirelake.functions.text import MARKUP, any_in, blank, count_in, node_text, strip, unescape
 from hirelake.functions.urls import base_parts, join_parts, netloc, normalize_url, parent_path, redirect_target, same_org
 from hirelake.storage import materialise
 
 BLOCK_CHARS, BODY_CHARS = 80, 40
 
 
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"(?is)^<a\b[^>]*?\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
-    return F.regexp_replace(value, "^[\"']|[\"']$", "")
+    """Value of an attribute of a start tag, decoded; '' if it has none."""
+    value = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
+    others = rf"(?:\s+(?!{name}\s*=)[^\s=>\"']++(?:\s*=\s*{value})?+)*+"
+    found = F.regexp_extract(tag, rf"(?is)^<[a-z][a-z0-9]*{others}\s+{name}\s*=\s*({value})", 1)
+    return unescape(F.regexp_replace(found, "^[\"']|[\"']$", ""))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -29,7 +35,7 @@ def anchors(pages: DataFrame) -> DataFrame:
     found = F.regexp_extract_all(blank("html"), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
     tags = pages.select("page_id", "url", base_parts("url").alias("base"), found.alias("tags"))
     label = F.concat_ws(" ", F.nullif(_attribute(F.col("tag"), "title"), F.lit("")), F.nullif(_attribute(F.col("tag"), "aria-label"), F.lit("")))
-    parsed = lambda t: F.struct(strip(_attribute(t, "href")).alias("href"), clean_html(t).alias("text"))
+    parsed = lambda t: F.struct(strip(_attribute(t, "href")).alias("href"), node_text(t).alias("text"))
     rows = tags.select("page_id", "url", "base", F.posexplode(F.transform("tags", lambda t: F.struct(parsed(t).alias("a"), t.alias("tag")))).alias("pos", "x"))
     rows = rows.select("page_id", "url", "base", "pos", F.col("x.a.href").alias("href"), F.col("x.a.text").alias("text"), F.col("x.tag").alias("tag"))
     return rows.select("page_id", "url", "pos", "href", "text", strip(label).alias("label"), F.when(F.col("href") != "", join_parts(F.col("base"), F.col("href"))).alias("link"))
@@ -38,13 +44,33 @@ def anchors(pages: DataFrame) -> DataFrame:
 def page_text(pages: DataFrame, into: str = "page_text") -> DataFrame:
     """Pages with the collapsed text of their body."""
     body = F.regexp_extract(blank("html"), r"(?is)<body\b[^>]*>(.*)$", 1)
-    return pages.withColumn(into, clean_html(F.when(body != "", body).otherwise(blank("html"))))
+    return pages.withColumn(into, node_text(F.when(body != "", body).otherwise(blank("html"))))
+
+
+def first_text(html: Column, tag: str) -> Column:
+    """The first text node that stands directly in an element ``tag``, not in a child of it; decoded,
+    stripped ('' where it is blank), NULL if there is none."""
+    inside = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(.*?)</{tag}\s*>"), F.lit(1))
+    void = rf"(?i)^<(?:{'|'.join(VOID)})\b|^<[!?]|/>$"
+
+    def step(state: Column, token: Column) -> Column:
+        depth, text = state["depth"], state["text"]
+        deeper = F.when(token.startswith("</"), depth - 1).when(token.rlike(r"^<[A-Za-z]") & ~token.rlike(void), depth + 1).otherwise(depth)
+        is_text = ~token.rlike(r"^</?[A-Za-z!?]")
+        return F.struct(deeper.alias("depth"), F.when(text.isNull() & is_text & (depth == 0), token).otherwise(text).alias("text"))
+
+    def direct(content: Column) -> Column:
+        tokens = F.regexp_extract_all(content, F.lit(rf"{MARKUP}|<|[^<]+"), F.lit(0))
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("text"))
+        return F.aggregate(tokens, begin, step, lambda state: state["text"])
+
+    nodes = F.filter(F.transform(inside, direct), lambda x: x.isNotNull())
+    return strip(unescape(F.try_element_at(nodes, F.lit(1))))
 
 
 def page_title(html: str | Column = "html") -> Column:
-    """First text of h1, else h2, else title."""
-    first = lambda tag: F.nullif(collapse(clean_html(F.regexp_extract(blank(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))), F.lit(""))
-    return F.coalesce(first("h1"), first("h2"), first("title"))
+    """First direct text of an h1, else of an h2, else of the title; '' if that is blank."""
+    return F.coalesce(*[first_text(blank(html), tag) for tag in ("h1", "h2", "title")])
 
 
 def external_pages(links: DataFrame, domains: list[str] = L.EXTERNAL_DOMAINS, of: str = "href") -> DataFrame:
@@ -125,11 +151,12 @@ def search_candidates(pages: DataFrame, blocked: list[str] = L.BLOCKED_HOSTS) ->
     """Homepage found on each search-result page: addresses of result URLs before those of titles."""
     found = F.regexp_extract_all(blank("html"), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
     rows = pages.select("page_id", F.posexplode(found).alias("pos", "tag"))
-    css = F.concat(F.lit(" "), _attribute(F.col("tag"), "class"), F.lit(" "))
-    tier = F.when(css.contains(" result__url "), 1).when(css.contains(" result__a "), 2)
-    href, text = F.replace(_attribute(F.col("tag"), "href"), F.lit("&amp;"), F.lit("&")), clean_html(F.col("tag"))
-    fallback = F.when((tier == 1) & (text != ""), text).otherwise(href)
-    rows = rows.withColumns({"tier": tier, "home": normalize_url(F.coalesce(F.nullif(redirect_target(href), F.lit("")), fallback), blocked)}).where("tier IS NOT NULL AND home IS NOT NULL")
+    rows = rows.withColumn("css", F.concat(F.lit(" "), _attribute(F.col("tag"), "class"), F.lit(" ")))
+    rows = rows.withColumn("tier", F.when(F.col("css").contains(" result__url "), 1).when(F.col("css").contains(" result__a "), 2)).where("tier IS NOT NULL")
+    rows = rows.withColumns({"href": _attribute(F.col("tag"), "href"), "text": node_text(F.col("tag"))})
+    fallback = F.when((F.col("tier") == 1) & (F.col("text") != ""), F.col("text")).otherwise(F.col("href"))
+    rows = rows.withColumn("address", F.coalesce(F.nullif(redirect_target("href"), F.lit("")), fallback))
+    rows = rows.withColumn("home", normalize_url("address", blocked)).where("home IS NOT NULL")
     return rows.groupBy("page_id").agg(F.min_by("home", F.struct("tier", "pos")).alias("homepage_url"))
 
 
@@ -186,7 +213,7 @@ def one_page_jobs(pages: DataFrame, keywords: list[str] = L.ACCEPT_KEYWORDS, cla
     has = F.col("html").rlike(r"(?i)<h[23]\b")
     blocks = heading_blocks(pages.where(has)).where("title <> ''").withColumn("post_url", F.concat("url", F.lit("#job-"), "i"))
     whole = page_text(pages.where(~F.coalesce(has, F.lit(False))), "body").select(
-        "page_id", "url", F.lit(-1).alias("i"), F.coalesce(F.nullif(strip(F.regexp_extract(blank("html"), r"(?is)<title[^>]*>(.*?)</title", 1)), F.lit("")), F.lit("채용 공고")).alias("title"), "body", F.col("url").alias("post_url")
+        "page_id", "url", F.lit(-1).alias("i"), F.coalesce(F.nullif(first_text(blank("html"), "title"), F.lit("")), F.lit("채용 공고")).alias("title"), "body", F.col("url").alias("post_url")
     )
     both = blocks.select("page_id", "post_url", "title", "body").unionByName(whole.select("page_id", "post_url", "title", "body"))
     return both.where((F.length("body") >= BLOCK_CHARS) & accept_as_job("body", keywords, classifier)).select(

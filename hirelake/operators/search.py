@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
@@ -45,10 +45,18 @@ def page(df: DataFrame, number: int = 1, size: int = PAGE_SIZE, order: list[Colu
     return df.orderBy(*(order or [F.desc("id")])).offset((max(number, 1) - 1) * size).limit(size)
 
 
-def page_envelope(df: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One row: count, whether there is a next and a previous page."""
+def page_envelope(df: DataFrame, number: int, size: int = PAGE_SIZE, order: list[Column] | None = None, results: list[str] | None = None) -> DataFrame:
+    """One row: count, whether there is a next and a previous page, the query strings of these (NULL
+    where there is none) and the page's rows, as an array of structs in order (at most MAX_PAGE_SIZE)."""
     size = max(1, min(size, MAX_PAGE_SIZE))
-    return df.agg(F.count(F.lit(1)).alias("count")).select("count", (F.col("count") > number * size).alias("has_next"), F.lit(number > 1).alias("has_previous"))
+    order = order or [F.desc("id")]
+    rows = page(df, number, size, order).select(F.row_number().over(Window.orderBy(*order)).alias("at"), F.struct(*(results or df.columns)).alias("row"))  # one page
+    rows = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]).alias("results"))
+    link = lambda n: F.lit(f"?page={n}&page_size={size}")
+    total = df.agg(F.count(F.lit(1)).alias("count"))
+    total = total.select("count", (F.col("count") > number * size).alias("has_next"), F.lit(number > 1).alias("has_previous"))
+    total = total.withColumns({"next": F.when(F.col("has_next"), link(number + 1)), "previous": F.when(F.col("has_previous"), link(number - 1))})
+    return total.join(F.broadcast(rows))
 
 
 def search_jobs(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hirelake.plans import extraction, matches, merges, pages, searches
+from hirelake.plans import extraction, matches, merges, pages, searches, streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (searches, extraction, matches, merges, pages):
+for _module in (searches, extraction, matches, merges, pages, streams):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

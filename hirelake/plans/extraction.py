@@ -1,7 +1,7 @@
 """Queries over texts: tokens, money, counselling facts, posting facts, import helpers.
 
 Korean defaults meet Latin test tables, so corpus-wide queries pass Latin lists, and the default
-lists run over the rows of NOTES, which both engines get as the same VALUES.
+lists run over documents that begin with one of the sentences of NOTES, laid in by the same SQL.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from hirelake.functions import text as T
 from hirelake.operators import imports
 from hirelake.plans import inputs
 from hirelake.plans import sqltext as S
-from hirelake.sources.files import safe_json
+from hirelake.sources.files import parse_requests, safe_json
 
 NOTES = [
     (1, "서울 또는 판교 근무 희망, 재택 가능하면 좋음. Python, Django, React 경험. 연봉 3,700 이상."),
@@ -26,7 +26,8 @@ NOTES = [
     (7, "자격 요건: 3년 Python 우대 사항 Django 전형 절차 - 서류 면접 복리후생 식대, 재택근무"),
     (8, "정규직 채용 모집, 연봉 4,500 만원 별도, 대구"),
 ]
-VALUES = "(VALUES " + ", ".join(f"({i}, {S.text(t)})" for i, t in NOTES) + ") AS notes(id, text)"
+_SENTENCE = "CASE doc_id % 8 " + " ".join(f"WHEN {i - 1} THEN {S.text(t)}" for i, t in NOTES) + " END"
+NOTED = f"(SELECT doc_id AS id, concat({_SENTENCE}, ' ', coalesce(text, '')) AS text FROM documents) AS notes"
 LATIN = extract.Rules(
     people=r"(\d{1,5})\s*(?:mail|user|en)",
     industries=[("one", ["tionth", "ungsch"]), ("two", ["mentre", "queo"]), ("three", ["the"])],
@@ -82,8 +83,9 @@ def _turns(spark, sf):
     return inputs.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
-def _notes(spark):
-    return spark.createDataFrame(NOTES, "id int, text string")
+def _notes(spark, sf):
+    inputs.register(spark, sf, "documents")
+    return spark.sql(f"SELECT * FROM {NOTED}")
 
 
 def tokenize_set(spark, sf):
@@ -111,7 +113,7 @@ def extract_counseling(spark, sf):
 
 
 def extract_counseling_korean(spark, sf):
-    return _facts(_notes(spark), extract.DEFAULT)
+    return _facts(_notes(spark, sf), extract.DEFAULT)
 
 
 def extract_stack(spark, sf):
@@ -133,7 +135,7 @@ def labeled_block(spark, sf):
 
 def posting_extract(spark, sf):
     facts = posting.posting_facts("text")
-    return _notes(spark).select("id", *[facts[c].alias(c) for c in ("benefits", "location", "employment_type", "salary")])
+    return _notes(spark, sf).select("id", *[facts[c].alias(c) for c in ("benefits", "location", "employment_type", "salary")])
 
 
 def posting_words(spark, sf):
@@ -148,6 +150,23 @@ def accept_as_job(spark, sf):
     return inputs.table(spark, sf, "documents").select("doc_id", posting.accept_as_job("text", ["ersh", "oner", "lichkeit", "mentre", "queo"]).alias("accepted"))
 
 
+def accept_with_classifier(spark, sf):
+    """A plugged-in classifier accepts what the words alone would not."""
+    accepted = posting.accept_as_job("text", ["ersh", "oner", "lichkeit"], classifier=lambda head: head.contains("que") & F.lower(head).contains("le"))
+    return inputs.table(spark, sf, "documents").select("doc_id", accepted.alias("accepted"))
+
+
+def has_digit(spark, sf):
+    return inputs.table(spark, sf, "documents").select("doc_id", T.has_digit("text").alias("has"))
+
+
+def counseling_requests(spark, sf):
+    """JSON request bodies made of the turns, every seventh one broken, read back as columns."""
+    body = F.to_json(F.struct(F.col("text"), F.array(F.lit("급여")).alias("only_fields")))
+    rows = _turns(spark, sf).select("id", F.when(F.col("id") % 7 == 0, F.lit("{broken")).otherwise(body).alias("value"))
+    return parse_requests(rows).select("id", "text", F.array_join("only_fields", ",").alias("fields"))
+
+
 def import_helpers(spark, sf):
     return inputs.jobs(spark, sf).select(
         "id", imports.welfare_list("benefits").alias("welfare"), imports.required_codes("benefits").alias("codes"), imports.to_int(F.split("salary", " ")[0]).alias("no_number"),
@@ -164,7 +183,7 @@ def json_decode(spark, sf):
     return inputs.table(spark, sf, "events").select("event_id", safe_json("props", "k int")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_set, welfare_canon, salary_min_parse, salary_floor500, clean_html, extract_counseling, extract_counseling_korean, extract_stack, required_fields, only_fields, labeled_block, posting_extract, posting_words, accept_as_job, import_helpers, import_dates, json_decode)}
+QUERIES = {f.__name__: f for f in (tokenize_set, welfare_canon, salary_min_parse, salary_floor500, clean_html, extract_counseling, extract_counseling_korean, extract_stack, required_fields, only_fields, labeled_block, posting_extract, posting_words, accept_as_job, accept_with_classifier, has_digit, counseling_requests, import_helpers, import_dates, json_decode)}
 
 _TURNS = "(SELECT conv_id * 1000 + turn AS id, text FROM conversations) AS turns"
 _bare = "replace(lower(text), ',', '')"
@@ -212,14 +231,17 @@ SQL = {
     "salary_floor500": f"SELECT doc_id, list_max(list_concat([try_cast(nullif(regexp_extract({_bare}, '([0-9]+)\\s*억', 1), '') AS BIGINT) * 10000], list_transform(regexp_extract_all({_bare}, '([0-9]{{3,5}})\\s*만', 1), lambda x: CAST(x AS BIGINT)), list_transform(list_filter(regexp_extract_all({_bare}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[0-9]{{3,5}}')), lambda x: CAST(x AS BIGINT)))) // 500 * 500 AS pay FROM documents",
     "clean_html": f"SELECT page_id, {S.clean_html('html')} AS text FROM pages",
     "extract_counseling": _facts_sql(_TURNS, LATIN),
-    "extract_counseling_korean": _facts_sql(VALUES, extract.DEFAULT),
+    "extract_counseling_korean": _facts_sql(NOTED, extract.DEFAULT),
     "extract_stack": f"SELECT doc_id, array_to_string(list_transform({S.found_in('lower(text)', L.TECH)}, lambda k: CASE WHEN list_contains({S.array(L.TECH_UPPER)}, k) THEN upper(k) ELSE concat(upper(k[1]), lower(k[2:])) END)[1:15], ',') AS stack FROM documents",
     "required_fields": _required_sql(LATIN),
     "only_fields": f"SELECT id, career, place FROM ({_facts_sql(_TURNS, LATIN)})",
     "labeled_block": f"SELECT doc_id, {_label_sql(['Licensed under', 'the'], ['License', 'of', 'and'])} AS block FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)",
-    "posting_extract": f"SELECT id, array_to_string(list_sort({S.found_in('text', L.BENEFITS)}), ', ') AS benefits, {S.first_in('text', L.REGIONS, S.text(''))} AS location, {S.first_in('text', L.EMPLOYMENT_TYPES, S.text(''))} AS employment_type, {S.strip('regexp_extract(text, %s)' % S.text('(연봉|급여)[^0-9]*([0-9][0-9,.]+ ?만원|[0-9][0-9,.]+ ?억|협의)'))} AS salary FROM {VALUES}",
+    "posting_extract": f"SELECT id, array_to_string(list_sort({S.found_in('text', L.BENEFITS)}), ', ') AS benefits, {S.first_in('text', L.REGIONS, S.text(''))} AS location, {S.first_in('text', L.EMPLOYMENT_TYPES, S.text(''))} AS employment_type, {S.strip('regexp_extract(text, %s)' % S.text('(연봉|급여)[^0-9]*([0-9][0-9,.]+ ?만원|[0-9][0-9,.]+ ?억|협의)'))} AS salary FROM {NOTED}",
     "posting_words": f"SELECT doc_id, array_to_string(list_sort({S.found_in('text', ['the', 'que', 'und', 'los'])}), ', ') AS benefits, {S.first_in('text', ['ersh', 'ungen', 'ment'], S.text(''))} AS region, {S.first_in('text', ['full', 'tion'], S.text(''))} AS kind, {S.strip('regexp_extract(text, %s)' % S.text('(src|mail)[^0-9]*([0-9][0-9,.]+)'))} AS pay FROM documents",
     "accept_as_job": f"SELECT doc_id, {S.count_in('lower(text[1:3000])', ['ersh', 'oner', 'lichkeit', 'mentre', 'queo'])} >= 2 AS accepted FROM documents",
+    "accept_with_classifier": f"SELECT doc_id, (contains(text[1:2000], 'que') AND contains(lower(text[1:2000]), 'le')) OR {S.count_in('lower(text[1:3000])', ['ersh', 'oner', 'lichkeit'])} >= 2 AS accepted FROM documents",
+    "has_digit": "SELECT doc_id, regexp_matches(text, '\\p{Nd}') AS has FROM documents",
+    "counseling_requests": f"SELECT id, CASE WHEN id % 7 <> 0 THEN text END AS text, CASE WHEN id % 7 <> 0 THEN '급여' END AS fields FROM {_TURNS}",
     "import_helpers": f"WITH jobs AS ({inputs.JOBS}) SELECT id, array_to_string(list_sort({S.found_in('replace(benefits, %s, %s)' % (S.text(' '), S.text('')), L.BENEFITS)}), ',') AS welfare, concat_ws(',', CASE WHEN contains(benefits, '식대') THEN 'BENEFIT_식대' END, CASE WHEN contains(benefits, '재택') THEN 'BENEFIT_재택근무' END) AS codes, CAST(NULL AS INTEGER) AS no_number, CAST(id AS INTEGER) AS number, CASE id % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '' END AS gender FROM jobs",
     "import_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
     "json_decode": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",

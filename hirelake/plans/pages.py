@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
 from hirelake.functions import urls
+from hirelake.operators import cycle
 from hirelake.operators import pages as P
 from hirelake.plans import inputs
 from hirelake.plans import sqltext as S
@@ -13,12 +14,25 @@ from hirelake.plans import sqltext as S
 #: Latin stand-ins for the Korean lists, as the test pages have no Hangul.
 WORDS = ["the", "an", "que", "un", "er", "la", "ich"]
 EXCLUDED = ["tion", "ung"]
+_ACCEPT = ["the", "an ", "que", "la", "und"]
 EXTERNAL, EXTERNAL_HOSTS = ["/los", "/und"], [".net"]
 LISTING, ONE_PAGE = ["thing", "ungsch"], ["ment", "tion"]
 
 
+#: Pages with character references and child elements laid into links and headings, for both sides.
+LAID = """
+SELECT page_id, url, CASE page_id % 4
+    WHEN 0 THEN replace(html, '<h1>', '<h1 class="a > b">R&amp;D &#54620;&#xAD6D; <b>deep</b> ')
+    WHEN 1 THEN replace(replace(html, '<h1>', '<h1><b>lead</b> '), 'href="/', 'href="/p?a=1&amp;b=')
+    WHEN 2 THEN replace(replace(html, '<li><a ', '<li><a title="the &gt; an&#39;s &eacute;" '), '<p>', '<!-- <p>gone</p> --><p>la&nbsp;und ')
+    ELSE html END AS html
+FROM pages
+"""
+
+
 def _pages(spark, sf):
-    return inputs.table(spark, sf, "pages")
+    inputs.register(spark, sf, "pages")
+    return spark.sql(LAID)
 
 
 def _links(spark, sf):
@@ -94,26 +108,84 @@ def crawl_frontier(spark, sf):
     return P.crawl_frontier(pages, pages.where("page_id % 2 = 0").select("url"), 3, WORDS)
 
 
-QUERIES = {f.__name__: f for f in (anchors, external_pages, job_links, link_score, candidate_links, direct_links, listing_counts, page_classify, same_org, normalize_url, page_titles, detail_jobs, html_blocks, one_page_jobs, crawl_frontier)}
+#: Search-result pages of every site: addresses in result links, some of them redirects, some blocked.
+RESULTS = """
+SELECT page_id AS id, page_id, CASE page_id % 5
+    WHEN 0 THEN concat('<a class="result__a" href="https://t', page_id, '.kr/x?y=1">t</a><a class="x result__url" href="/l/?uddg=https%3A%2F%2Fr', page_id, '.kr%2Fp&amp;r=1">r</a>')
+    WHEN 1 THEN concat('<a class="result__url" href="x"> b', page_id, '.kr/c </a><a class="result__url" href="y">c.kr</a>')
+    WHEN 2 THEN concat('<a class="result__url" href="x">naver.com</a><a class="result__a" href="https://d', page_id, '.kr/z">d</a>')
+    WHEN 3 THEN '<a class="other" href="https://no.kr">n</a>'
+    ELSE '' END AS html
+FROM pages
+"""
+
+
+def search_candidates(spark, sf):
+    inputs.register(spark, sf, "pages")
+    return P.search_candidates(spark.sql(RESULTS))
+
+
+def homepage_backfill(spark, sf):
+    """Homepages of the companies without one, from their search results."""
+    inputs.register(spark, sf, "pages")
+    return cycle.find_homepages(inputs.sites(spark, sf), spark.sql(RESULTS))
+
+
+#: Pages of two headings with texts of the given lengths, made of the pages' addresses.
+HEADED = """
+SELECT page_id, url, a, b, concat('<html><body><h1>Top</h1><div><h2>First <b>job</b> ', page_id, '</h2><p>', a, '</p><ul><li>R&amp;D</li></ul><h3>', CASE WHEN page_id % 3 = 0 THEN ' ' ELSE 'Second' END, '</h3><p>', b, '</p><h1>End</h1><p>z</p></div><p>after</p></body></html>') AS html
+FROM (SELECT page_id, url, repeat(concat(url, ' que the '), CAST(page_id % 7 AS INTEGER)) AS a, repeat('la und ', CAST(page_id % 20 AS INTEGER)) AS b FROM pages) AS made
+"""
+
 
-_href = "trim(regexp_extract(tag, '(?i)href\\s*=\\s*\"([^\"]*)\"', 1))"
+def heading_blocks(spark, sf):
+    inputs.register(spark, sf, "pages")
+    return P.heading_blocks(spark.sql(HEADED)).select("page_id", "i", F.regexp_replace("title", " +", " ").alias("title"), "body")
+
+
+def heading_jobs(spark, sf):
+    """Postings of one-page sites, one per heading block."""
+    inputs.register(spark, sf, "pages")
+    return P.one_page_jobs(spark.sql(HEADED), ["the", "que", "la", "und"]).select("page_id", "post_url", F.regexp_replace("title", " +", " ").alias("title"), "job_description")
+
+
+def listing_fallback(spark, sf):
+    """Listings without a usable link are read as one-page sites."""
+    pages = _pages(spark, sf)
+    companies = pages.select(F.col("page_id").alias("id"), F.lit("n").alias("name"), F.col("url").alias("recruits_url"), F.lit("listing").alias("page_type"), F.lit("text").alias("post_type"))
+    rows = cycle.collect_postings(companies, pages, WORDS[:1], EXCLUDED, _ACCEPT)
+    return rows.select("company_id", "post_url", "title")
+
+
+QUERIES = {f.__name__: f for f in (search_candidates, homepage_backfill, heading_blocks, heading_jobs, listing_fallback, anchors, external_pages, job_links, link_score, candidate_links, direct_links, listing_counts, page_classify, same_org, normalize_url, page_titles, detail_jobs, html_blocks, one_page_jobs, crawl_frontier)}
+
+_href = f"""trim({S.unescape("regexp_extract(tag, '(?i)[ ]href=[\"]([^\"]*)[\"]', 1)")})"""
+_label = S.unescape("""regexp_extract(tag, '(?i)[ ]title=["]([^"]*)["]', 1)""")
 _host, _scheme = S.netloc("url"), "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
 _bare = "regexp_replace(url, '[?#].*$', '')"
 _folder = f"CASE WHEN {S.path('url')} = '' THEN concat({_scheme}, '://', {_host}, '/') ELSE regexp_replace({_bare}, '[^/]*$', '') END"
 _join = f"CASE WHEN href = '' THEN NULL WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN concat({_scheme}, ':', href) WHEN starts_with(href, '/') THEN concat({_scheme}, '://', {_host}, href) WHEN starts_with(href, '?') THEN concat({_bare}, href) WHEN starts_with(href, '#') THEN concat(regexp_replace(url, '#.*$', ''), href) ELSE concat({_folder}, href) END"
-_WITH = f"""WITH tags AS (SELECT page_id, url, unnest(x) AS tag, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos FROM (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*>.*?</a\\s*>') AS x FROM pages)),
-    h AS (SELECT page_id, url, pos, {_href} AS href, {S.clean_html('tag')} AS text FROM tags), l AS (SELECT *, {_join} AS link, 10 * {S.count_in("lower(text) || ' '", WORDS)} AS score FROM h),
+_FOUND = "CASE id % 5 WHEN 0 THEN concat('https://r', id, '.kr') WHEN 1 THEN concat('https://b', id, '.kr') WHEN 2 THEN concat('https://d', id, '.kr') END"
+_BLOCKS = """SELECT page_id, url, 0 AS i, concat('First job ', page_id) AS title, trim(concat(trim(a), ' R&D')) AS body FROM made UNION ALL SELECT page_id, url, 1, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Second' END, trim(b) FROM made"""
+_WITH = f"""WITH laid AS ({LAID}), tags AS (SELECT page_id, url, unnest(x) AS tag, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos FROM (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*>.*?</a\\s*>') AS x FROM laid)),
+    h AS (SELECT page_id, url, pos, {_href} AS href, {S.node_text('tag')} AS text, {_label} AS label FROM tags), l AS (SELECT *, {_join} AS link, 10 * {S.count_in("concat(lower(text), ' ', lower(label))", WORDS)} AS score FROM h),
     ext AS (SELECT DISTINCT page_id FROM l WHERE {S.any_in('lower(href)', EXTERNAL)}),
     parents AS (SELECT page_id, CASE WHEN len(p) - len(replace(p, '/', '')) >= 2 THEN regexp_replace(p, '/[^/]*/[^/]*$', '') ELSE regexp_replace(p, '/[^/]*$', '') END AS parent FROM (SELECT page_id, {S.path('link')} AS p FROM l WHERE href <> '' AND score > 0)),
     most AS (SELECT page_id, max(n) AS most FROM (SELECT page_id, parent, count(*) AS n FROM parents GROUP BY 1, 2) GROUP BY 1),
-    body AS (SELECT page_id, url, html, {S.clean_html("CASE WHEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*)$', 1) <> '' THEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*)$', 1) ELSE coalesce(html, '') END")} AS t FROM pages)"""
-_first = lambda tag: f"nullif({S.clean_html(f'regexp_extract(html, %s, 1)' % S.text(f'(?is)<{tag}[^>]*>(.*?)</{tag}'))}, '')"
+    body AS (SELECT page_id, url, html, {S.node_text("CASE WHEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*)$', 1) <> '' THEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*)$', 1) ELSE coalesce(html, '') END")} AS t FROM laid)"""
+_direct = "string_split(regexp_replace(x, '<b>.*?</b>|<[^>]*>', chr(1), 'g'), chr(1))"
+_first = lambda tag: S.strip(S.unescape(f"list_filter(flatten(list_transform(regexp_extract_all(html, {S.text(f'(?is)<{tag}(?: class="[^"]*")?>(.*?)</{tag}')}, 1), lambda x: {_direct})), lambda x: x <> '')[1]"))
 _TITLE = f"coalesce({_first('h1')}, {_first('h2')}, {_first('title')})"
 _LOOSE = "CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '^https?:', '') WHEN 1 THEN regexp_replace(url, '^https?://', '') WHEN 2 THEN 'WWW.Naver.com/x' ELSE url END"
 _FULL = "CASE WHEN starts_with(u, '//') THEN 'https:' || u WHEN starts_with(u, 'http://') OR starts_with(u, 'https://') THEN u ELSE 'https://' || u END"
-_ACCEPT = ["the", "an ", "que", "la", "und"]
 _SALARY = S.strip("regexp_extract(t, %s)" % S.text("(연봉|급여)[^0-9]*([0-9][0-9,.]+ ?만원|[0-9][0-9,.]+ ?억|협의)"))
 SQL = {
+    "search_candidates": f"SELECT id AS page_id, {_FOUND} AS homepage_url FROM (SELECT page_id AS id FROM pages) WHERE id % 5 < 3",
+    "homepage_backfill": f"WITH sites AS ({inputs.SITES}) SELECT id, {_FOUND} AS homepage_url FROM sites WHERE homepage_url IS NULL AND id % 5 < 3",
+    "heading_blocks": f"WITH made AS ({HEADED}) SELECT page_id, i, title, body FROM ({_BLOCKS})",
+    "heading_jobs": f"WITH made AS ({HEADED}) SELECT page_id, concat(url, '#job-', i) AS post_url, title, body AS job_description FROM ({_BLOCKS}) WHERE title <> '' AND len(body) >= 80 AND {S.count_in('lower(body[1:3000])', ['the', 'que', 'la', 'und'])} >= 2",
+    "listing_fallback": f"""{_WITH}, j AS (SELECT DISTINCT page_id FROM l WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(lower(href), 'javascript:') AND {S.same_org(S.netloc('url'), S.netloc('link'))} AND text <> '' AND NOT {S.any_in('lower(text)', EXCLUDED)} AND {S.any_in('lower(text)', WORDS[:1])})
+        SELECT page_id AS company_id, url AS post_url, coalesce(nullif({_first('title')}, ''), '채용 공고') AS title FROM body WHERE page_id NOT IN (SELECT page_id FROM j) AND len(t) >= 80 AND {S.count_in('lower(t[1:3000])', _ACCEPT)} >= 2""",
     "anchors": f"{_WITH} SELECT page_id, pos, href, link, text FROM l",
     "external_pages": f"{_WITH} SELECT page_id FROM ext",
     "job_links": f"{_WITH} SELECT page_id, regexp_replace(link, '/+$', '') AS job_url, min(pos) AS pos FROM l WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(lower(href), 'javascript:') AND {S.same_org(S.netloc('url'), S.netloc('link'))} AND text <> '' AND NOT {S.any_in('lower(text)', EXCLUDED)} AND {S.any_in('lower(text)', WORDS)} AND page_id NOT IN (SELECT page_id FROM l WHERE link IS NOT NULL AND {S.any_in('lower(' + S.netloc('link') + ')', EXTERNAL_HOSTS)}) GROUP BY 1, 2",
@@ -126,9 +198,9 @@ SQL = {
         SELECT page_id, page_type, CASE WHEN page_type = 'external' THEN 'external_link' WHEN page_type IS NOT NULL THEN 'text' END AS post_type FROM k""",
     "same_org": f"SELECT a.page_id, {S.same_org('a.h', 'b.h')} AS same FROM (SELECT page_id, {S.netloc('url')} AS h FROM pages) a JOIN (SELECT page_id, {S.netloc('url')} AS h FROM pages) b ON b.page_id = a.page_id + 1",
     "normalize_url": f"SELECT page_id, CASE WHEN {S.netloc('f')} <> '' AND regexp_replace(lower({S.netloc('f')}), '^www[.]', '') NOT IN ({', '.join(map(S.text, L.BLOCKED_HOSTS))}) THEN concat(regexp_extract(f, '^(https?)', 1), '://', {S.netloc('f')}) END AS home FROM (SELECT page_id, {_FULL} AS f FROM (SELECT page_id, {_LOOSE} AS u FROM pages))",
-    "crawl_frontier": _WITH.replace("WITH tags", "WITH RECURSIVE tags", 1) + f""", e AS (SELECT DISTINCT url, link FROM l WHERE score > 0 AND {S.same_org(S.netloc('url'), S.netloc('link'))} AND link IN (SELECT url FROM pages)),
+    "crawl_frontier": _WITH.replace("WITH laid", "WITH RECURSIVE laid", 1) + f""", e AS (SELECT DISTINCT url, link FROM l WHERE score > 0 AND {S.same_org(S.netloc('url'), S.netloc('link'))} AND link IN (SELECT url FROM pages)),
         f(url, depth) AS (SELECT DISTINCT url, 0 FROM pages WHERE page_id % 2 = 0 UNION SELECT e.link, f.depth + 1 FROM f JOIN e ON f.url = e.url WHERE f.depth < 3) SELECT url, min(depth) AS depth FROM f GROUP BY url""",
-    "page_titles": f"SELECT page_id, {_TITLE} AS title FROM pages",
+    "page_titles": f"WITH laid AS ({LAID}) SELECT page_id, {_TITLE} AS title FROM laid",
     "detail_jobs": f"{_WITH} SELECT page_id, url AS post_url, {_TITLE} AS title, t[1:20000] AS job_description, array_to_string(list_sort({S.found_in('t', L.BENEFITS)}), ', ') AS benefits, {S.first_in('t', L.REGIONS, S.text(''))} AS location, {_SALARY} AS salary FROM body WHERE len(t) >= 40 AND coalesce({_TITLE}, '') <> '' AND {S.count_in('lower(t[1:3000])', _ACCEPT)} >= 2",
-    "one_page_jobs": f"{_WITH} SELECT page_id, url AS post_url, coalesce(nullif({S.strip('regexp_extract(html, %s, 1)' % S.text('(?is)<title[^>]*>(.*?)</title'))}, ''), '채용 공고') AS title, t[1:20000] AS job_description FROM body WHERE len(t) >= 80 AND {S.count_in('lower(t[1:3000])', _ACCEPT)} >= 2",
+    "one_page_jobs": f"{_WITH} SELECT page_id, url AS post_url, coalesce(nullif({_first('title')}, ''), '채용 공고') AS title, t[1:20000] AS job_description FROM body WHERE len(t) >= 80 AND {S.count_in('lower(t[1:3000])', _ACCEPT)} >= 2",
 }

@@ -24,6 +24,13 @@ def jobs_search_envelope(spark, sf):
     return search.page_envelope(rows, 2, 20).select("count", "has_next", "has_previous")
 
 
+def jobs_search_results(spark, sf):
+    """The whole answer of the list: count, links and rows of the second page."""
+    rows = search.keyword_search(search.active_filter(inputs.jobs(spark, sf), "true"), _Q)
+    got = search.page_envelope(rows, 2, 10, results=["id", "company_id", "location"])
+    return got.select("count", "next", "previous", F.to_json("results", {"ignoreNullFields": "false"}).alias("results"))
+
+
 def jobs_active_filter(spark, sf):
     return search.active_filter(inputs.jobs(spark, sf), "no").select("id", "company_id")
 
@@ -80,12 +87,14 @@ def export_companies(spark, sf):
     return export_rows(inputs.sites(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (jobs_search_page, jobs_search_envelope, jobs_active_filter, jobs_keyword, orders_company_contains, suppliers_region_contains, admin_facets, admin_search, in_list_filter, point_lookup, missing_homepages, discover_targets, collect_targets, export_companies)}
+QUERIES = {f.__name__: f for f in (jobs_search_page, jobs_search_envelope, jobs_search_results, jobs_active_filter, jobs_keyword, orders_company_contains, suppliers_region_contains, admin_facets, admin_search, in_list_filter, point_lookup, missing_homepages, discover_targets, collect_targets, export_companies)}
 
 SQL = {
     "jobs_search_page": f"""{_WITH} SELECT j.id, j.title, j.company_id, c.name AS company_name, c.region AS company_region FROM jobs j JOIN companies c ON j.company_id = c.id
         WHERE j.is_active AND ({_FIELDS}) AND contains(lower(c.name), lower('{_COMPANY}')) AND contains(lower(c.region), lower('{_REGION}')) ORDER BY j.id DESC LIMIT 5 OFFSET 5""",
     "jobs_search_envelope": f"{_WITH} SELECT count(*) AS count, count(*) > 40 AS has_next, true AS has_previous FROM jobs WHERE is_active AND ({_FIELDS})",
+    "jobs_search_results": f"""{_WITH}, found AS (SELECT id, company_id, location FROM jobs WHERE is_active AND ({_FIELDS})), p AS (SELECT * FROM found ORDER BY id DESC LIMIT 10 OFFSET 10)
+        SELECT (SELECT count(*) FROM found) AS count, CASE WHEN (SELECT count(*) FROM found) > 20 THEN '?page=3&page_size=10' END AS next, '?page=1&page_size=10' AS previous, CAST(to_json(list(p ORDER BY id DESC)) AS VARCHAR) AS results FROM p""",
     "jobs_active_filter": f"{_WITH} SELECT id, company_id FROM jobs WHERE NOT is_active",
     "jobs_keyword": "SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'of the ')",
     "orders_company_contains": "SELECT o_orderkey, c_name AS company_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), '#0000001')",

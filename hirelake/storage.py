@@ -1,14 +1,16 @@
 """Intermediate tables in the shared folder that the session names in ``spark.checkpoint.dir``.
 
-Executors and the driver all see that folder; only where the setting is absent (tests, notebooks)
-a temporary folder is made and set.
+Executors and the driver all see that folder. Only where the setting is absent and the master is
+local, so that all of them are one process (tests, notebooks), a temporary folder is made and set.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="hirelake-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,11 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost
     executor costs no recomputation of what is already written."""
+    return _written_table(df, tag)[0]
+
+
+def _written_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hirelake-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def release(df: DataFrame) -> None:
@@ -43,6 +51,15 @@ def release(df: DataFrame) -> None:
             _delete(path)
 
 
+def finish(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Write the result of ``make`` and delete all other tables that were written on the way to it."""
+    before = set(_written)
+    out, result = _written_table(make(), tag)
+    for path in set(_written) - before - {result}:
+        _delete(path)
+    return out
+
+
 def _delete(path: str) -> None:
     spark = _written.pop(path)
     jvm = spark.sparkContext._jvm

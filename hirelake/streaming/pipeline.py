@@ -1,69 +1,134 @@
 """The crawl cycle as an incremental pipeline: pages in, upserted postings out.
 
 New page files are read as a stream; each micro-batch goes through the posting extractors and the
-change-detecting upsert. The target is kept as versioned Parquet folders, and a version is visible
-once its pointer row is written, so a failed batch leaves the last good version in place. The
-stream's checkpoint is the single-run lock and remembers which files were read.
+change-detecting upsert. The target is kept in key buckets: a batch reads and rewrites only the
+buckets of its keys, and a new version is a small manifest that names the folder of each bucket, so a
+failed batch leaves the last good version in place and a batch costs its buckets, not the table.
+Folders that no kept version names are deleted. The stream's checkpoint is the single-run lock and
+remembers which files were read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.lexicons import FIELD_LIMITS
 from hirelake.operators.merge import job_upsert, with_new_ids
 from hirelake.operators.pages import detail_jobs, one_page_jobs
+from hirelake.storage import materialise, release
 
 PAGES = "page_id long, url string, html string"
 
 
 class VersionedTable:
-    """Parquet versions under a folder; the greatest committed one is current."""
+    """A table in ``buckets`` hash buckets of ``key`` under a folder.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    ``data/<version>/bucket=<n>`` holds what a version wrote, ``versions/<version>.json`` the folder
+    of every bucket and the greatest id so far. The last ``keep`` versions can be read.
+    """
 
-    def version(self) -> int:
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "post_url", buckets: int = 64, keep: int = 2):
+        self.spark, self.path, self.schema, self.key, self.buckets, self.keep = spark, path.rstrip("/"), schema, key, buckets, keep
+
+    def _at(self, *parts: str):
         jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=-1)
+        at = jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._at(folder)
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
-    def write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
+    def versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._names("versions") if n.endswith(".json"))
+
+    def version(self) -> int:
+        return max(self.versions(), default=-1)
+
+    def manifest(self, version: int | None = None) -> dict:
+        version = self.version() if version is None else version
+        if version < 0:
+            return {"buckets": {}, "top": 0}
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{version}.json", wholetext=True).first().value)
+
+    def bucket(self) -> Column:
+        """The bucket of a row."""
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The current version, or some of its buckets."""
+        where = self.manifest()["buckets"]
+        paths = [f"{self.path}/{folder}/bucket={b}" for b, folder in where.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, df: DataFrame, buckets: list[int]) -> None:
+        """A new version, in which ``df`` takes the place of the given buckets."""
+        last, version = self.manifest(), self.version() + 1
+        rows = df.withColumn("bucket", self.bucket())
+        rows.repartition(max(len(buckets), 1), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version}")
+        written = {n.removeprefix("bucket=") for n in self._names(f"data/{version}") if n.startswith("bucket=")}
+        kept = {b: folder for b, folder in last["buckets"].items() if int(b) not in buckets}
+        top = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{version}").agg(F.max("id")).first()[0] if written else None
+        manifest = {"buckets": kept | {b: f"data/{version}" for b in written}, "top": max(last["top"], top or 0)}
+        fs, draft = self._at("versions", f"_{version}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not fs.rename(draft, self._at("versions", f"{version}.json")[1]):
+            raise RuntimeError(f"{self.path}: version {version} could not be committed")
+        self._clean()
+
+    def _clean(self) -> None:
+        versions = self.versions()
+        kept = versions[-self.keep :]
+        used = {folder for v in kept for folder in self.manifest(v)["buckets"].values()}
+        old = [("versions", f"{v}.json") for v in versions if v not in kept]
+        old += [("data", n) for n in self._names("data") if n.isdigit() and f"data/{n}" not in used and int(n) < kept[0]]
+        for parts in old:
+            fs, at = self._at(*parts)
+            fs.delete(at, True)
+
+
+def last_pages(pages: DataFrame) -> DataFrame:
+    """The last page of each URL: by time of arrival where that is known (``arrived``), then page id,
+    then content, so that no order of tasks matters."""
+    arrived = [F.col("arrived")] if "arrived" in pages.columns else []
+    order = F.struct(*arrived, F.col("page_id"), F.md5(F.coalesce("html", F.lit(""))))
+    return pages.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), order).alias("p")).select("p.page_id", "url", "p.html")
 
 
 def posting_rows(pages: DataFrame, kind: str = "detail", **how) -> DataFrame:
-    """Crawled posting fields of pages, with ``line`` giving the order of arrival."""
+    """Crawled posting fields of the last page of each URL."""
+    pages = last_pages(pages)
     jobs = detail_jobs(pages, **how) if kind == "detail" else one_page_jobs(pages, **how)
     return jobs.withColumnRenamed("page_id", "line").withColumn("company_id", F.lit(None).cast("long"))
 
 
 def upsert_batch(table: VersionedTable, crawled: DataFrame, now) -> DataFrame:
-    """Merge crawled postings into the table; returns the merged rows with ``_change``."""
-    target = table.read()
+    """Merge crawled postings into the table; returns the merged rows of their buckets with ``_change``."""
+    spark = crawled.sparkSession
     given = crawled.select("*", *[F.lit(None).cast("string").alias(c) for c in FIELD_LIMITS if c not in crawled.columns])
+    given = materialise(given, "crawled")
+    touched = sorted(r[0] for r in given.select(table.bucket()).distinct().collect())  # at most ``buckets`` numbers
+    target = table.read(touched)
     merged = job_upsert(target, given, now)
-    merged = with_new_ids(merged, target, F.col("_change") == "inserted", "post_url")
-    table.write(merged.select(*target.columns))
+    top = spark.createDataFrame([(table.manifest()["top"],)], "id long")
+    merged = materialise(with_new_ids(merged, top, F.col("_change") == "inserted", "post_url"), "merged")
+    if touched:
+        table.write(merged.select(*target.columns), touched)
+    release(given)
     return merged
 
 
 def run_stream(spark: SparkSession, pages_path: str, table: VersionedTable, checkpoint: str, now, kind: str = "detail", interval: str | None = None, **how):
     """Start the stream; without an interval it reads what is there and stops."""
-    stream = spark.readStream.schema(PAGES).parquet(pages_path)
+    stream = spark.readStream.schema(PAGES).parquet(pages_path).select("*", F.col("_metadata.file_modification_time").alias("arrived"))
 
     def batch(df: DataFrame, _: int) -> None:
-        upsert_batch(table, posting_rows(df, kind, **how), now)
+        release(upsert_batch(table, posting_rows(df, kind, **how), now))
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
