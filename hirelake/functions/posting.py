@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
-from hirelake.functions.text import blank, count_in, first_in, found_in, strip
+from hirelake.functions.text import blank, count_in, first_in, found_in, once, strip
 
 #: Characters that the acceptance test and a plugged-in classifier look at (their feature, not a cap).
 ACCEPT_CHARS, CLASSIFIER_CHARS = 3000, 2000
@@ -22,14 +22,26 @@ def accept_as_job(text: str | Column, keywords: list[str] = L.ACCEPT_KEYWORDS, c
 
 
 def labeled_block(text: str | Column, labels: list[str], terms: list[str] = L.SECTION_TERMS) -> Column:
-    """Text after the first label that occurs, up to the next section term; '' if there is none."""
+    """Text after the first label that occurs, up to the next section term; '' if there is none.
+
+    A label is searched by pattern only in texts that have its letters, in any case.
+    """
     stop = "|".join(re.escape(t) for t in terms)
-    out = F.lit("")
-    for label in reversed(labels):
-        pattern = rf"(?iU){re.escape(label)}\s*[:\-]?\s*(.+?)(?=(?:{stop}|$))"
-        got = F.regexp_extract(blank(text), pattern, 1)
-        out = F.when(got != "", strip(got)).otherwise(out)
-    return out
+    fold = lambda c: F.lower(F.upper(c))
+
+    def either(later: Column):
+        return lambda found: F.when(found != "", strip(found)).otherwise(later)
+
+    def first(x: Column) -> Column:
+        out = F.lit("")
+        for label in reversed(labels):
+            pattern = rf"(?iU){re.escape(label)}\s*[:\-]?\s*(.+?)(?=(?:{stop}|$))"
+            got = F.when(x["folded"].contains(fold(F.lit(label))), F.regexp_extract(x["text"], pattern, 1)).otherwise(F.lit(""))
+            out = once(got, either(out))
+        return out
+
+    t = blank(text)
+    return once(F.struct(t.alias("text"), fold(t).alias("folded")), first)
 
 
 def benefit_list(text: str | Column, items: list[str] = L.BENEFITS) -> Column:
@@ -44,7 +56,7 @@ def employment_type(text: str | Column, items: list[str] = L.EMPLOYMENT_TYPES) -
     return first_in(blank(text), items, F.lit(""))
 
 
-def salary_phrase(text: str | Column, heads: str = "연봉|급여", units: str = r"\d[\d,\.]+ ?만원|\d[\d,\.]+ ?억|협의") -> Column:
+def salary_phrase(text: str | Column, heads: str = L.PAY_HEADS, units: str = L.PAY_UNITS) -> Column:
     """The first pay phrase as written; '' if there is none."""
     return strip(F.regexp_extract(blank(text), rf"(?U)(?:{heads})[^\d]*(?:{units})", 0))
 
@@ -52,13 +64,13 @@ def salary_phrase(text: str | Column, heads: str = "연봉|급여", units: str =
 def posting_facts(text: str | Column) -> dict[str, Column]:
     """The fields that the detail extractor reads from a posting's text."""
     t = blank(text)
-    duties = labeled_block(t, ["주요 업무", "담당 업무", "Main Duties", "What you will do"])
+    duties = labeled_block(t, L.SECTION_LABELS["job_description"])
     cut = lambda c, n: F.substring(c, 1, n)
     return {
-        "job_description": cut(F.when(duties != "", duties).otherwise(t), 20000),
-        "qualifications": cut(labeled_block(t, ["자격 요건", "자격요건", "필수 요건", "Requirements"]), 2000),
-        "preferred_qualifications": cut(labeled_block(t, ["우대 사항", "우대사항", "우대 조건", "Preferred"]), 2000),
-        "hiring_process": cut(labeled_block(t, ["전형 절차", "채용 절차", "전형절차", "Process"]), 2000),
+        "job_description": cut(F.coalesce(F.nullif(duties, F.lit("")), t), 20000),
+        "qualifications": cut(labeled_block(t, L.SECTION_LABELS["qualifications"]), 2000),
+        "preferred_qualifications": cut(labeled_block(t, L.SECTION_LABELS["preferred_qualifications"]), 2000),
+        "hiring_process": cut(labeled_block(t, L.SECTION_LABELS["hiring_process"]), 2000),
         "benefits": benefit_list(t),
         "location": region(t),
         "employment_type": employment_type(t),

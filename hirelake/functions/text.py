@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -42,7 +43,7 @@ MARKUP = r"(?s)<!--.*?(?:-->|\z)|</?[A-Za-z!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')
 def unescape(c: str | Column) -> Column:
     """Character references decoded: numbers, and the names of HTML 4 with their semicolon; anything
     else stays as written. A number that is no character gives U+FFFD."""
-    names = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
+    names = F.from_json(F.lit(json.dumps({name: chr(point) for name, point in name2codepoint.items()})), "map<string,string>")  # a constant
 
     def decoded(x: Column) -> Column:
         """What a piece after an ampersand stands for."""

@@ -88,3 +88,13 @@ FIELD_LIMITS = {
     "title": 255, "job_description": 20000, "qualifications": 10000, "preferred_qualifications": 10000, "hiring_process": 5000, "benefits": 5000,
     "hiring_message": 5000, "location": 255, "employment_type": 50, "salary": 255, "work_hours": 100,
 }
+
+#: Labels of a posting's sections, and how its pay is written (fixed values).
+SECTION_LABELS = {
+    "job_description": ["주요 업무", "담당 업무", "Main Duties", "What you will do"],
+    "qualifications": ["자격 요건", "자격요건", "필수 요건", "Requirements"],
+    "preferred_qualifications": ["우대 사항", "우대사항", "우대 조건", "Preferred"],
+    "hiring_process": ["전형 절차", "채용 절차", "전형절차", "Process"],
+}
+PAY_HEADS = "연봉|급여"
+PAY_UNITS = r"\d[\d,\.]+ ?만원|\d[\d,\.]+ ?억|협의"

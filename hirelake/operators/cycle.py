@@ -25,7 +25,7 @@ def _bare(url: str) -> Column:
 
 def _last_fetched(pages: DataFrame) -> DataFrame:
     """One page per address: of several fetches the one with the greatest page id, then by content."""
-    order = F.struct("page_id", F.md5(F.coalesce("html", F.lit(""))))
+    order = F.struct(F.col("page_id"), F.col("html").isNotNull(), F.md5("html"))
     rows = pages.groupBy(_bare("url").alias("_at")).agg(F.max_by(F.struct("page_id", "url", "html"), order).alias("p"))
     return rows.select("p.*", "_at")
 

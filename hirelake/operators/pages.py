@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
 from hirelake.functions.posting import accept_as_job, benefit_list, posting_facts, region
-from hirelake.functions.text import MARKUP, any_in, blank, count_in, node_text, strip, unescape
+from hirelake.functions.text import MARKUP, any_in, blank, count_in, node_text, once, strip, unescape
 from hirelake.functions.urls import base_parts, join_parts, netloc, normalize_url, parent_path, redirect_target, same_org
 from hirelake.storage import materialise
 
@@ -23,22 +23,33 @@ VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a start tag, decoded; '' if it has none."""
+    """Value of an attribute of a start tag, as written; '' if it has none."""
     value = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
     others = rf"(?:\s+(?!{name}\s*=)[^\s=>\"']++(?:\s*=\s*{value})?+)*+"
     found = F.regexp_extract(tag, rf"(?is)^<[a-z][a-z0-9]*{others}\s+{name}\s*=\s*({value})", 1)
-    return unescape(F.regexp_replace(found, "^[\"']|[\"']$", ""))
+    return F.regexp_replace(found, "^[\"']|[\"']$", "")
+
+
+def _tags(html: str = "html") -> Column:
+    """The <a> elements of a page, as written."""
+    return F.regexp_extract_all(blank(html), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, href, link, text, label) of every <a> element, in page order."""
-    found = F.regexp_extract_all(blank("html"), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
-    tags = pages.select("page_id", "url", base_parts("url").alias("base"), found.alias("tags"))
-    label = F.concat_ws(" ", F.nullif(_attribute(F.col("tag"), "title"), F.lit("")), F.nullif(_attribute(F.col("tag"), "aria-label"), F.lit("")))
-    parsed = lambda t: F.struct(strip(_attribute(t, "href")).alias("href"), node_text(t).alias("text"))
-    rows = tags.select("page_id", "url", "base", F.posexplode(F.transform("tags", lambda t: F.struct(parsed(t).alias("a"), t.alias("tag")))).alias("pos", "x"))
-    rows = rows.select("page_id", "url", "base", "pos", F.col("x.a.href").alias("href"), F.col("x.a.text").alias("text"), F.col("x.tag").alias("tag"))
-    return rows.select("page_id", "url", "pos", "href", "text", strip(label).alias("label"), F.when(F.col("href") != "", join_parts(F.col("base"), F.col("href"))).alias("link"))
+    """(page_id, url, pos, href, link, text, label) of every <a> element, in page order.
+
+    All of an element's values are worked out once, before its row is made.
+    """
+
+    def parsed(tag: Column) -> Column:
+        href = strip(unescape(_attribute(tag, "href")))
+        label = F.concat_ws(" ", *[F.nullif(unescape(_attribute(tag, name)), F.lit("")) for name in ("title", "aria-label")])
+        linked = lambda h: F.struct(h.alias("href"), F.when(h != "", join_parts(F.col("base"), h)).alias("link"))
+        return F.struct(once(href, linked).alias("to"), node_text(tag).alias("text"), strip(label).alias("label"))
+
+    rows = pages.select("page_id", "url", base_parts("url").alias("base"), _tags().alias("tags"))
+    rows = rows.select("page_id", "url", F.posexplode(F.transform("tags", parsed)).alias("pos", "a"))
+    return rows.select("page_id", "url", "pos", "a.to.href", "a.text", "a.label", "a.to.link")
 
 
 def page_text(pages: DataFrame, into: str = "page_text") -> DataFrame:
@@ -149,14 +160,19 @@ def crawl_frontier(pages: DataFrame, seeds: DataFrame, max_depth: int = 3, keywo
 
 def search_candidates(pages: DataFrame, blocked: list[str] = L.BLOCKED_HOSTS) -> DataFrame:
     """Homepage found on each search-result page: addresses of result URLs before those of titles."""
-    found = F.regexp_extract_all(blank("html"), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(found).alias("pos", "tag"))
-    rows = rows.withColumn("css", F.concat(F.lit(" "), _attribute(F.col("tag"), "class"), F.lit(" ")))
-    rows = rows.withColumn("tier", F.when(F.col("css").contains(" result__url "), 1).when(F.col("css").contains(" result__a "), 2)).where("tier IS NOT NULL")
-    rows = rows.withColumns({"href": _attribute(F.col("tag"), "href"), "text": node_text(F.col("tag"))})
-    fallback = F.when((F.col("tier") == 1) & (F.col("text") != ""), F.col("text")).otherwise(F.col("href"))
-    rows = rows.withColumn("address", F.coalesce(F.nullif(redirect_target("href"), F.lit("")), fallback))
-    rows = rows.withColumn("home", normalize_url("address", blocked)).where("home IS NOT NULL")
+
+    def home(x: Column) -> Column:
+        fallback = F.when((x["tier"] == 1) & (x["text"] != ""), x["text"]).otherwise(x["href"])
+        address = F.coalesce(F.nullif(redirect_target(x["href"]), F.lit("")), fallback)
+        return F.when(x["tier"].isNotNull(), once(address, lambda a: normalize_url(a, blocked)))
+
+    def parsed(tag: Column) -> Column:
+        css = F.concat(F.lit(" "), unescape(_attribute(tag, "class")), F.lit(" "))
+        tier = once(css, lambda c: F.when(c.contains(" result__url "), 1).when(c.contains(" result__a "), 2))
+        return F.struct(tier.alias("tier"), unescape(_attribute(tag, "href")).alias("href"), node_text(tag).alias("text"))
+
+    found = F.transform(F.transform(_tags(), parsed), lambda x: F.struct(x["tier"].alias("tier"), home(x).alias("home")))
+    rows = pages.select("page_id", F.posexplode(found).alias("pos", "x")).select("page_id", "pos", "x.tier", "x.home").where("home IS NOT NULL")
     return rows.groupBy("page_id").agg(F.min_by("home", F.struct("tier", "pos")).alias("homepage_url"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hirelake import lexicons as L
+from hirelake import schemas
 from hirelake.operators import merge
 from hirelake.plans import inputs
 
@@ -48,6 +50,18 @@ def job_upsert(spark, sf):
     return out.select("id", "company_id", "post_url", "title", "salary", "location", "status", F.date_format("crawled_at", "yyyy-MM-dd").alias("crawled"), F.date_format("first_seen_at", "yyyy-MM-dd").alias("seen"), F.col("_change").alias("change"))
 
 
+#: Texts around every field's limit.
+_LONG = ", ".join(f"repeat('{name[0]}', CAST({limit - 10} + doc_id % 21 AS INT)) AS {name}" for name, limit in L.FIELD_LIMITS.items())
+
+
+def field_limits(spark, sf):
+    """Lengths of the stored fields of postings whose texts are about as long as their limits."""
+    inputs.register(spark, sf, "documents")
+    crawled = spark.sql(f"SELECT doc_id AS line, concat('u', doc_id) AS post_url, CAST(NULL AS BIGINT) AS company_id, {_LONG} FROM documents")
+    out = merge.job_upsert(spark.createDataFrame([], schemas.JOB_POSTINGS), crawled, F.expr(_NOW))
+    return out.select("post_url", *[F.length(c).alias(c) for c in L.FIELD_LIMITS])
+
+
 def trainee_upsert(spark, sf):
     target = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("student_code"), F.col("c_mktsegment").alias("course"), F.col("c_acctbal").alias("value"))
     source = inputs.table(spark, sf, "orders").select(F.col("o_custkey").alias("student_code"), F.col("o_orderpriority").alias("course"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("line"))
@@ -68,7 +82,7 @@ def unique_violations(spark, sf):
     return merge.duplicate_keys(inputs.table(spark, sf, "documents"), "text").select("n", F.md5("text").alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (seed_merge, seed_merge_metrics, job_upsert, trainee_upsert, careers_update, cascade_delete, unique_violations)}
+QUERIES = {f.__name__: f for f in (seed_merge, seed_merge_metrics, job_upsert, field_limits, trainee_upsert, careers_update, cascade_delete, unique_violations)}
 
 _last = lambda c: f"arg_max(trim({c}), line) FILTER (WHERE trim(coalesce({c}, '')) <> '') AS {c}"
 _SEED_CTE = f"WITH sites AS ({inputs.SITES}), seed AS ({_SEED})"
@@ -88,6 +102,7 @@ SQL = {
         SELECT coalesce(id, (SELECT max(id) FROM t) + fresh) AS id, company_id, post_url, CASE WHEN NOT known THEN t1[1:255] WHEN ct THEN trim(t1)[1:255] ELSE t0 END AS title, CASE WHEN NOT known THEN s1 WHEN cs THEN s1 ELSE s0 END AS salary,
           CASE WHEN NOT known THEN l1 WHEN cl THEN l1 ELSE l0 END AS location, CASE WHEN change IN ('inserted', 'changed') THEN 'active' ELSE status END AS status,
           CASE WHEN change IN ('inserted', 'changed') THEN '2025-01-02' ELSE '2024-01-01' END AS crawled, CASE WHEN change = 'inserted' THEN '2025-01-02' ELSE '2024-01-01' END AS seen, change FROM x""",
+    "field_limits": f"SELECT concat('u', doc_id) AS post_url, {', '.join(f'CAST(least({limit - 10} + doc_id % 21, {limit}) AS INTEGER) AS {name}' for name, limit in L.FIELD_LIMITS.items())} FROM documents",
     "trainee_upsert": """WITH s AS (SELECT o_custkey AS student_code, arg_max(o_orderpriority, o_orderkey) AS course, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1)
         SELECT student_code, course, value FROM s UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT student_code FROM s)""",
     "careers_update": f"""{_SEED_CTE}, u AS (SELECT user_id % 400 AS id, arg_max(event_type, event_id) FILTER (WHERE event_id % 3 = 0) AS page_type, 'text' AS post_type FROM events GROUP BY 1)

@@ -96,7 +96,7 @@ def last_pages(pages: DataFrame) -> DataFrame:
     """The last page of each URL: by time of arrival where that is known (``arrived``), then page id,
     then content, so that no order of tasks matters."""
     arrived = [F.col("arrived")] if "arrived" in pages.columns else []
-    order = F.struct(*arrived, F.col("page_id"), F.md5(F.coalesce("html", F.lit(""))))
+    order = F.struct(*arrived, F.col("page_id"), F.col("html").isNotNull(), F.md5("html"))
     return pages.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), order).alias("p")).select("p.page_id", "url", "p.html")
 
 

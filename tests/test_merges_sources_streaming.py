@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from hirelake import schemas
+from hirelake import schemas, storage
+from hirelake.functions import text
 from hirelake.operators import imports, merge, pages, search
 from hirelake.sources import files, sinks
 from hirelake.streaming import pipeline
@@ -133,3 +134,102 @@ def test_incremental_pipeline(spark, tmp_path):
     rows = store.read().collect()
     assert sorted(r.post_url for r in rows) == ["http://h/1", "http://h/2", "http://h/4"] and len({r.id for r in rows}) == 3
     assert "새 글" in next(r.job_description for r in rows if r.post_url == "http://h/2")
+
+
+def test_versions_share_buckets_and_are_cleaned_up(spark, tmp_path):
+    body = "채용 모집 안내 " + "서울 정규직 경력 3년 " * 5
+    pages_of = lambda ids: spark.createDataFrame([(i, f"http://h/{i}", f"<html><body><h1>Job {i}</h1><p>{body}</p></body></html>") for i in ids], pipeline.PAGES)
+    table = pipeline.VersionedTable(spark, str(tmp_path / "jobs"), schemas.JOB_POSTINGS, buckets=16)
+    now = F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'")
+    pipeline.upsert_batch(table, pipeline.posting_rows(pages_of(range(40))), now)
+    first = table.manifest()
+    for i in (100, 101, 102):
+        merged = pipeline.upsert_batch(table, pipeline.posting_rows(pages_of([i])), now)
+        assert merged.where("_change = 'inserted'").count() == 1 and merged.count() < 20
+    last = table.manifest()
+    assert table.versions() == [2, 3] and sum(last["buckets"].get(b) == folder for b, folder in first["buckets"].items()) >= len(first["buckets"]) - 3
+    rows = table.read().collect()
+    assert len(rows) == 43 and sorted(r.id for r in rows) == list(range(1, 44)) and last["top"] == 43
+    used = {f.split("/")[1] for v in table.versions() for f in table.manifest(v)["buckets"].values()}
+    assert {p.name for p in (tmp_path / "jobs" / "data").iterdir()} == used
+    pipeline.upsert_batch(table, pipeline.posting_rows(pages_of([])), now)
+    assert table.versions() == [2, 3]
+
+
+def test_last_page_of_a_url_counts(spark):
+    rows = [(1, "u", "old"), (2, "u", "new"), (3, "v", None), (3, "v", "x")]
+    got = pipeline.last_pages(spark.createDataFrame(rows, pipeline.PAGES)).collect()
+    assert {(r.page_id, r.url, r.html) for r in got} == {(2, "u", "new"), (3, "v", "x")}
+
+
+def test_csv_folder_and_late_bytes(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.csv").write_text("name,memo\n" + "".join(f'n{i}-{k},"a\nb"\n' for k in range(4)), encoding="utf-8")
+    rows = [r.name for r in files.read_csv(spark, str(folder)).orderBy("line").collect()]
+    assert rows == [f"n{i}-{k}" for i in range(3) for k in range(4)]
+    late = tmp_path / "late.csv"
+    late.write_bytes(b"name\n" + b"plain\n" * 300_000 + "가나\n".encode("cp949"))
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    assert files.detect_encoding(spark, str(late)) == "cp949"
+    assert files.read_csv(spark, str(late)).where("name = '가나'").count() == 1
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before
+
+
+def test_references_and_markup(spark):
+    rows = ["R&amp;D &#54620;&#xAD6D; &copy &copy; &nbsp;x &unknown; & &#0; &#xD800; &amp;lt;", None, "", "plain", '<a title="x > y">t</a><!-- <b>gone --> a < b', "<b>un</b>closed <i"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    got = [r.y for r in df.select("i", text.unescape("x").alias("y")).orderBy("i").collect()]
+    assert got[0] == "R&D 한국 &copy © \u00a0x &unknown; & \ufffd \ufffd &lt;" and got[1:4] == [None, "", "plain"]
+    assert [r.y for r in df.select("i", text.node_text("x").alias("y")).orderBy("i").collect()][4:] == ["t a < b", "un closed <i"]
+
+
+def test_titles_are_first_direct_text(spark):
+    cases = [
+        ("<h1>Lead <b>engineer</b> role</h1>", "Lead"),
+        ("<h1><b>Lead</b> role</h1>", "role"),
+        ("<h1>\n<b>x</b></h1><h1>y</h1><title>t</title>", ""),
+        ("<h1><b>x</b></h1><h1>A&amp;B</h1>", "A&B"),
+        ("<h1><b>x</b></h1><h2 class='a > b'><br>two</h2>", "two"),
+        ("<title>only &#84;</title>", "only T"),
+        ("<p>none</p>", None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
+    assert [r.t for r in df.select("i", pages.page_title("html").alias("t")).orderBy("i").collect()] == [t for _, t in cases]
+
+
+def test_links_are_decoded(spark):
+    html = '<a data-title="no" title="a &gt; b" href="/x?a=1&amp;b=2">R&amp;D &#54620;</a><a title="x > y" href=\'q\'>t</a><a>none</a>'
+    got = pages.anchors(spark.createDataFrame([(1, "http://a/p/", html)], pipeline.PAGES)).orderBy("pos").collect()
+    assert [(r.link, r.text, r.label) for r in got] == [("http://a/x?a=1&b=2", "R&D 한", "a > b"), ("http://a/p/q", "t", "x > y"), (None, "none", "")]
+
+
+def test_storage_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
+    made = []
+
+    def work():
+        made.append(storage.materialise(spark.range(5), "inner"))
+        return made[0].where("id > 2")
+
+    out = storage.finish(work, "outer")
+    assert out.count() == 2
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(*made[0].inputFiles()).count()
