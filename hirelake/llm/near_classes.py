@@ -155,7 +155,7 @@ def _deal(members: DataFrame, texts: DataFrame) -> DataFrame:
     own = materialise(own.withColumn("grp", F.when(fills, F.col("cls")).otherwise(F.lit(b""))), "own")
     parts = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0)))
     groups = materialise(own.groupBy("bk", "grp").agg(parts.cast("long").alias("parts")), "groups")
-    named = rows.join(small(own.select("bk", "cls", "grp")), ["bk", "cls"]).join(small(groups), ["bk", "grp"])
+    named = rows.join(own.select("bk", "cls", "grp"), ["bk", "cls"]).join(groups, ["bk", "grp"])
     return named.select("bk", "grp", F.pmod(F.xxhash64("tkey"), "parts").alias("block"), "tkey", "cls")
 
 
