@@ -47,8 +47,8 @@ from hirelake.llm.common import materialise, release, table
 from hirelake.llm.wordhash import U, mix, texts_words
 
 HELD_OUT_MOD = 10
-#: Characters of a block: a BLOCKS-th of the corpus, between these bounds. The upper one is what a Python
-#: worker with 600 MB can hold.
+#: Characters of a block: a BLOCKS-th of the corpus, between these bounds. A block of the upper one takes a
+#: Python worker under 700 MB.
 BLOCK_CHARS, MOST_BLOCK_CHARS, BLOCKS = 8 << 20, 16 << 20, 2048
 #: Tokens (an upper bound of the distinct keys that blocks send) per key range.
 RANGE_TOKENS = 1 << 20
