@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import edit_embedding, hamming_search, html_text, katz, license_scan, mixing, near_dedup, packing, sharding, toxicity
+from hirelake.llm import edit_embedding, hamming_search, html_text, hyperlang, katz, license_scan, mixing, near_dedup, packing, sharding, toxicity, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_lm_scoring": katz.op8_lm_scoring,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_language": hyperlang.op11_language,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op5_topk_search": hamming_search.OP5_SQL}
