@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import edit_embedding, hamming_search, html_text, hyperlang, katz, license_scan, mixing, near_dedup, packing, sharding, toxicity, whitening
+from hirelake.llm import collocations, edit_embedding, hamming_search, html_text, hyperlang, katz, license_scan, mixing, near_dedup, packing, sharding, toxicity, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_language": hyperlang.op11_language,
     "op12_whitening": whitening.op12_whitening,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op5_topk_search": hamming_search.OP5_SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op5_topk_search": hamming_search.OP5_SQL, "op13_collocations": collocations.OP13_SQL}
