@@ -2,86 +2,30 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
+from hirelake.functions.markup import page_title, read_pages
 from hirelake.functions.posting import accept_as_job, benefit_list, posting_facts, region
-from hirelake.functions.text import MARKUP, any_in, blank, count_in, node_text, once, strip, unescape
-from hirelake.functions.urls import base_parts, join_parts, netloc, normalize_url, parent_path, redirect_target, same_org
+from hirelake.functions.text import any_in, blank, count_in, once
+from hirelake.functions.urls import netloc, normalize_url, parent_path, redirect_target, same_org
 from hirelake.storage import materialise
 
-BLOCK_CHARS, BODY_CHARS = 80, 40
-
-
-VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+__all__ = ["anchors", "candidate_links", "classify_pages", "crawl_frontier", "detail_jobs", "direct_links", "external_pages", "heading_blocks", "job_links", "link_score", "listing_counts", "one_page_jobs", "page_text", "page_title", "search_candidates"]
 
-
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a start tag, as written; '' if it has none."""
-    value = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
-    others = rf"(?:\s+(?!{name}\s*=)[^\s=>\"']++(?:\s*=\s*{value})?+)*+"
-    found = F.regexp_extract(tag, rf"(?is)^<[a-z][a-z0-9]*{others}\s+{name}\s*=\s*({value})", 1)
-    return F.regexp_replace(found, "^[\"']|[\"']$", "")
-
-
-def _tags(html: str = "html") -> Column:
-    """The <a> elements of a page, as written."""
-    return F.regexp_extract_all(blank(html), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
+BLOCK_CHARS, BODY_CHARS = 80, 40
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, href, link, text, label) of every <a> element, in page order.
-
-    All of an element's values are worked out once, before its row is made.
-    """
-
-    def parsed(tag: Column) -> Column:
-        href = strip(unescape(_attribute(tag, "href")))
-        label = F.concat_ws(" ", *[F.nullif(unescape(_attribute(tag, name)), F.lit("")) for name in ("title", "aria-label")])
-        linked = lambda h: F.struct(h.alias("href"), F.when(h != "", join_parts(F.col("base"), h)).alias("link"))
-        return F.struct(once(href, linked).alias("to"), node_text(tag).alias("text"), strip(label).alias("label"))
-
-    rows = pages.select("page_id", "url", base_parts("url").alias("base"), _tags().alias("tags"))
-    rows = rows.select("page_id", "url", F.posexplode(F.transform("tags", parsed)).alias("pos", "a"))
-    return rows.select("page_id", "url", "pos", "a.to.href", "a.text", "a.label", "a.to.link")
+    """(page_id, url, pos, href, text, label, link) of every <a> element, in page order."""
+    rows = read_pages(pages.select("page_id", "url", "html"), "anchors").select("page_id", "url", F.explode("anchors").alias("a"))
+    return rows.select("page_id", "url", "a.pos", "a.href", "a.text", "a.label", "a.link")
 
 
 def page_text(pages: DataFrame, into: str = "page_text") -> DataFrame:
     """Pages with the collapsed text of their body."""
-    body = F.regexp_extract(blank("html"), r"(?is)<body\b[^>]*>(.*)$", 1)
-    return pages.withColumn(into, node_text(F.when(body != "", body).otherwise(blank("html"))))
-
-
-def first_text(html: Column, tag: str) -> Column:
-    """The first text node that stands directly in an element ``tag``, not in a child of it; decoded,
-    stripped ('' where it is blank), NULL if there is none."""
-    inside = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(.*?)</{tag}\s*>"), F.lit(1))
-    void = rf"(?i)^<(?:{'|'.join(VOID)})\b|^<[!?]|/>$"
-
-    def step(state: Column, token: Column) -> Column:
-        depth, text = state["depth"], state["text"]
-        deeper = F.when(token.startswith("</"), depth - 1).when(token.rlike(r"^<[A-Za-z]") & ~token.rlike(void), depth + 1).otherwise(depth)
-        is_text = ~token.rlike(r"^</?[A-Za-z!?]")
-        return F.struct(deeper.alias("depth"), F.when(text.isNull() & is_text & (depth == 0), token).otherwise(text).alias("text"))
-
-    def direct(content: Column) -> Column:
-        tokens = F.regexp_extract_all(content, F.lit(rf"{MARKUP}|<|[^<]+"), F.lit(0))
-        begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("text"))
-        return F.aggregate(tokens, begin, step, lambda state: state["text"])
-
-    nodes = F.filter(F.transform(inside, direct), lambda x: x.isNotNull())
-    return strip(unescape(F.try_element_at(nodes, F.lit(1))))
-
-
-def page_title(html: str | Column = "html") -> Column:
-    """First direct text of an h1, else of an h2, else of the title; '' if that is blank."""
-    return F.coalesce(*[first_text(blank(html), tag) for tag in ("h1", "h2", "title")])
+    return read_pages(pages, "page_text").withColumnRenamed("page_text", into)
 
 
 def external_pages(links: DataFrame, domains: list[str] = L.EXTERNAL_DOMAINS, of: str = "href") -> DataFrame:
@@ -126,18 +70,30 @@ def listing_counts(links: DataFrame, keywords: list[str] = L.PRIORITY_KEYWORDS)
     return rows.groupBy("page_id", parent_path("link").alias("parent")).agg(F.count(F.lit(1)).alias("n")).groupBy("page_id").agg(F.max("n").alias("most"))
 
 
+def most_of_a_kind(links: str, keywords: list[str] = L.PRIORITY_KEYWORDS) -> Column:
+    """The same within a page's list of links: the longest run of equal parent paths in their order."""
+    wanted = F.filter(links, lambda a: (a["href"] != "") & (link_score(a["text"], a["label"], keywords) > 0))
+    parents = F.array_sort(F.transform(wanted, lambda a: F.coalesce(parent_path(a["link"]), F.lit(""))))
+    begin = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(s: Column, parent: Column) -> Column:
+        run = F.when(s["last"].eqNullSafe(parent), s["run"] + 1).otherwise(1)
+        return F.struct(parent.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    return F.aggregate(parents, begin, step, lambda s: s["most"])
+
+
 def classify_pages(
     pages: DataFrame, depth: int | str = 0, keywords: list[str] = L.PRIORITY_KEYWORDS, listing_words: list[str] = L.LISTING_WORDS, one_page_words: list[str] = L.ONE_PAGE_WORDS, domains: list[str] = L.EXTERNAL_DOMAINS
 ) -> DataFrame:
     """(page_id, url, page_type, post_type): external, else listing, else main at depth 0 or
     one_page below it; NULL where none fits. A listing needs 5 links of a kind at depth 0, else 3."""
-    links = anchors(pages)
     at = F.lit(depth) if isinstance(depth, int) else F.col(depth)
-    text = page_text(pages).withColumn("_low", F.lower("page_text")).withColumn("_depth", at)
-    df = text.join(external_pages(links, domains).withColumn("_external", F.lit(True)), "page_id", "left").join(listing_counts(links, keywords), "page_id", "left")
-    listing = any_in(F.col("_low"), listing_words) & (F.coalesce("most", F.lit(0)) >= F.when(F.col("_depth") == 0, 5).otherwise(3))
+    read = read_pages(pages.withColumn("_depth", at).select("page_id", "url", "html", "_depth"), "page_text", "anchors")
+    df = read.withColumns({"_low": F.lower("page_text"), "_external": F.exists("anchors", lambda a: any_in(F.lower(a["href"]), domains)), "most": most_of_a_kind("anchors", keywords)})
+    listing = any_in(F.col("_low"), listing_words) & (F.col("most") >= F.when(F.col("_depth") == 0, 5).otherwise(3))
     kind = (
-        F.when(F.coalesce("_external", F.lit(False)), "external")
+        F.when(F.col("_external"), "external")
         .when(listing, "listing")
         .when(any_in(F.col("_low"), one_page_words), F.when(F.col("_depth") == 0, "main").otherwise("one_page"))
     )
@@ -166,72 +122,30 @@ def search_candidates(pages: DataFrame, blocked: list[str] = L.BLOCKED_HOSTS) ->
         address = F.coalesce(F.nullif(redirect_target(x["href"]), F.lit("")), fallback)
         return F.when(x["tier"].isNotNull(), once(address, lambda a: normalize_url(a, blocked)))
 
-    def parsed(tag: Column) -> Column:
-        css = F.concat(F.lit(" "), unescape(_attribute(tag, "class")), F.lit(" "))
+    def placed(a: Column) -> Column:
+        css = F.concat(F.lit(" "), F.regexp_replace(a["css"], r"\s", " "), F.lit(" "))
         tier = once(css, lambda c: F.when(c.contains(" result__url "), 1).when(c.contains(" result__a "), 2))
-        return F.struct(tier.alias("tier"), unescape(_attribute(tag, "href")).alias("href"), node_text(tag).alias("text"))
+        return F.struct(tier.alias("tier"), a["href"].alias("href"), a["text"].alias("text"))
 
-    found = F.transform(F.transform(_tags(), parsed), lambda x: F.struct(x["tier"].alias("tier"), home(x).alias("home")))
-    rows = pages.select("page_id", F.posexplode(found).alias("pos", "x")).select("page_id", "pos", "x.tier", "x.home").where("home IS NOT NULL")
+    found = F.transform(F.transform("anchors", placed), lambda x: F.struct(x["tier"].alias("tier"), home(x).alias("home")))
+    rows = read_pages(pages.select("page_id", "html"), "anchors").select("page_id", F.posexplode(found).alias("pos", "x")).select("page_id", "pos", "x.tier", "x.home").where("home IS NOT NULL")
     return rows.groupBy("page_id").agg(F.min_by("home", F.struct("tier", "pos")).alias("homepage_url"))
 
 
-class _Headings(HTMLParser):
-    """Text under each h2/h3, from its following siblings up to the next h1-h3."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.blocks, self.open, self.heading = 0, [], [], None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"):
-            return
-        self.open = [b for b in self.open if not (tag in ("h1", "h2", "h3") and b["depth"] == self.depth)]
-        if tag in ("h2", "h3"):
-            block = {"depth": self.depth, "title": [], "text": [], "n": len(self.blocks)}
-            self.blocks.append(block)
-            self.heading = block
-        self.depth += 1
-
-    def handle_endtag(self, tag):
-        self.depth = max(0, self.depth - 1)
-        if tag in ("h2", "h3") and self.heading is not None:
-            self.open.append(self.heading)
-            self.heading = None
-        self.open = [b for b in self.open if b["depth"] <= self.depth]
-
-    def handle_data(self, data):
-        if self.heading is not None:
-            self.heading["title"].append(data)
-        for b in self.open:
-            if self.depth > b["depth"]:
-                b["text"].append(data)
-
-
 def heading_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, url, i, title, body): one row per h2/h3, i counting all of them."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page_id, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
-                parser = _Headings()
-                parser.feed(html or "")
-                for b in parser.blocks:
-                    rows.append((page_id, url, b["n"], " ".join(b["title"]).strip(), re.sub(r"\s+", " ", " ".join(b["text"])).strip()))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "i", "title", "body"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, i int, title string, body string")
+    """(page_id, url, i, title, body): one row per h2/h3, i counting all of them; the text is that of
+    the elements that follow it beside it, up to the next h1-h3."""
+    rows = read_pages(pages.select("page_id", "url", "html"), "blocks").select("page_id", "url", F.explode("blocks").alias("b"))
+    return rows.select("page_id", "url", "b.i", "b.title", "b.body")
 
 
 def one_page_jobs(pages: DataFrame, keywords: list[str] = L.ACCEPT_KEYWORDS, classifier=None) -> DataFrame:
     """Postings of one-page sites: one per heading block, or the whole page if it has no h2/h3."""
-    has = F.col("html").rlike(r"(?i)<h[23]\b")
-    blocks = heading_blocks(pages.where(has)).where("title <> ''").withColumn("post_url", F.concat("url", F.lit("#job-"), "i"))
-    whole = page_text(pages.where(~F.coalesce(has, F.lit(False))), "body").select(
-        "page_id", "url", F.lit(-1).alias("i"), F.coalesce(F.nullif(first_text(blank("html"), "title"), F.lit("")), F.lit("채용 공고")).alias("title"), "body", F.col("url").alias("post_url")
-    )
-    both = blocks.select("page_id", "post_url", "title", "body").unionByName(whole.select("page_id", "post_url", "title", "body"))
+    read = read_pages(pages.select("page_id", "url", "html"), "document_title", "page_text", "blocks")
+    title = F.coalesce(F.nullif("document_title", F.lit("")), F.lit("채용 공고"))
+    of_block = F.transform("blocks", lambda b: F.struct(F.concat("url", F.lit("#job-"), b["i"]).alias("post_url"), b["title"].alias("title"), b["body"].alias("body")))
+    whole = F.array(F.struct(F.col("url").alias("post_url"), title.alias("title"), F.col("page_text").alias("body")))
+    both = read.select("page_id", F.explode(F.when(F.size("blocks") > 0, F.filter(of_block, lambda b: b["title"] != "")).otherwise(whole)).alias("b")).select("page_id", "b.*")
     return both.where((F.length("body") >= BLOCK_CHARS) & accept_as_job("body", keywords, classifier)).select(
         "page_id", "post_url", "title", F.substring("body", 1, 20000).alias("job_description"), region("body").alias("location"), benefit_list("body").alias("benefits")
     )
@@ -240,7 +154,7 @@ def one_page_jobs(pages: DataFrame, keywords: list[str] = L.ACCEPT_KEYWORDS, cla
 def detail_jobs(pages: DataFrame, keywords: list[str] = L.ACCEPT_KEYWORDS, from_listing: bool = False, classifier=None) -> DataFrame:
     """The posting of each detail page: title, text and facts; pages that don't read as postings go,
     unless they were reached from a listing."""
-    df = page_text(pages).withColumn("title", page_title("html")).where((F.length("page_text") >= BODY_CHARS) & (F.coalesce("title", F.lit("")) != ""))
+    df = read_pages(pages.select("page_id", "url", "html"), "title", "page_text").where((F.length("page_text") >= BODY_CHARS) & (F.coalesce("title", F.lit("")) != ""))
     if not from_listing:
         df = df.where(accept_as_job("page_text", keywords, classifier))
     return df.select("page_id", F.col("url").alias("post_url"), "title", *[c.alias(n) for n, c in posting_facts("page_text").items()])

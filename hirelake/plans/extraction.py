@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hirelake import lexicons as L
 from hirelake.functions import extract, posting
 from hirelake.functions import text as T
+from hirelake.functions.lexicon import lexicon_hits as hits_of
 from hirelake.operators import imports
 from hirelake.plans import inputs
 from hirelake.plans import sqltext as S
@@ -183,7 +184,22 @@ def json_decode(spark, sf):
     return inputs.table(spark, sf, "events").select("event_id", safe_json("props", "k int")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_set, welfare_canon, salary_min_parse, salary_floor500, clean_html, extract_counseling, extract_counseling_korean, extract_stack, required_fields, only_fields, labeled_block, posting_extract, posting_words, accept_as_job, accept_with_classifier, has_digit, counseling_requests, import_helpers, import_dates, json_decode)}
+#: Words of three to five letters of the benchmark table, a bounded table, as a lexicon; many lie in others.
+LEXICON = "SELECT DISTINCT w FROM (SELECT {explode}({split}(lower(text), '[^a-z]+')) AS w FROM benchmark) AS x WHERE length(w) BETWEEN 3 AND 5"
+LEXICON_WORDS = 50_000
+
+
+def lexicon_hits(spark, sf):
+    """Which words of a lexicon each whole document contains, overlapping ones included."""
+    inputs.register(spark, sf, "benchmark", "documents")
+    rows = spark.sql(LEXICON.format(explode="explode", split="split")).orderBy("w").limit(LEXICON_WORDS + 1).collect()
+    if len(rows) > LEXICON_WORDS:
+        raise ValueError("the lexicon is too large for one automaton")
+    docs = spark.table("documents").select("doc_id", F.lower("text").alias("low"))
+    return hits_of(docs, {"hits": "low"}, [r.w for r in rows]).select("doc_id", F.array_join("hits", ",").alias("hits"))
+
+
+QUERIES = {f.__name__: f for f in (tokenize_set, welfare_canon, salary_min_parse, salary_floor500, clean_html, extract_counseling, extract_counseling_korean, extract_stack, required_fields, only_fields, labeled_block, posting_extract, posting_words, accept_as_job, accept_with_classifier, has_digit, counseling_requests, import_helpers, import_dates, json_decode, lexicon_hits)}
 
 _TURNS = "(SELECT conv_id * 1000 + turn AS id, text FROM conversations) AS turns"
 _bare = "replace(lower(text), ',', '')"
@@ -244,5 +260,6 @@ SQL = {
     "counseling_requests": f"SELECT id, CASE WHEN id % 7 <> 0 THEN text END AS text, CASE WHEN id % 7 <> 0 THEN '급여' END AS fields FROM {_TURNS}",
     "import_helpers": f"WITH jobs AS ({inputs.JOBS}) SELECT id, array_to_string(list_sort({S.found_in('replace(benefits, %s, %s)' % (S.text(' '), S.text('')), L.BENEFITS)}), ',') AS welfare, concat_ws(',', CASE WHEN contains(benefits, '식대') THEN 'BENEFIT_식대' END, CASE WHEN contains(benefits, '재택') THEN 'BENEFIT_재택근무' END) AS codes, CAST(NULL AS INTEGER) AS no_number, CAST(id AS INTEGER) AS number, CASE id % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '' END AS gender FROM jobs",
     "import_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
+    "lexicon_hits": f"WITH lexicon AS (SELECT list(w ORDER BY w) AS words FROM ({LEXICON.format(explode='unnest', split='regexp_split_to_array')})) SELECT doc_id, coalesce(array_to_string(list_filter((SELECT words FROM lexicon), lambda w: contains(lower(text), w)), ','), '') AS hits FROM documents",
     "json_decode": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
 }

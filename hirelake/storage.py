@@ -44,6 +44,13 @@ def _written_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than cores, dealt over all cores; larger tables, whose scans fill the cluster
+    anyway, as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table from :func:`materialise` that nothing reads any more."""
     for file in df.inputFiles()[:1]:

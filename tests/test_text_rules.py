@@ -88,3 +88,24 @@ def test_import_helpers(spark):
     assert value(spark, imports.required_codes("t"), t="재택 및 식대") == "BENEFIT_식대,BENEFIT_재택근무"
     assert value(spark, imports.welfare_list("t"), t="재택 근무, 식 대") == "식대,재택근무"
     assert [str(value(spark, imports.to_date("t"), t=x)) for x in ("2024-05-06", "2024-05-06 07:08:09", "soon")] == ["2024-05-06", "2024-05-06", "None"]
+
+
+def test_lexicon_hits_are_those_of_contains(spark):
+    import random
+
+    from hirelake.functions.lexicon import Lexicon, lexicon_hits, masks
+    from hirelake.functions.text import found_in, token_set
+
+    rng = random.Random(3)
+    words = ["he", "she", "her", "hers", "us", "", "한국", "국어", "e h", "she"[:2], *["".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(60)]]
+    words = list(dict.fromkeys(words))
+    texts = [None, "", "ushers", "한국어 한국", "the hers", *["".join(rng.choices("abc ", k=rng.randint(0, 80))) for _ in range(80)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = lexicon_hits(df.withColumn("slow", found_in(F.col("t"), words)), {"hits": "t"}, words).collect()
+    assert [r.hits for r in rows] == [r.slow or [] for r in rows] and any(len(r.hits) > 9 for r in rows)
+    assert lexicon_hits(df, {"hits": "t"}, []).where("size(hits) > 0").count() == 0
+    odd = "a,b/c|d\te\u3000f\x1cg  h"
+    tokens = df.limit(1).select(token_set(F.lit(odd)).alias("x")).first().x
+    lexicon = Lexicon([*tokens, "zz"])
+    assert lexicon.among_tokens(odd, None) == list(range(len(tokens)))
+    assert [m.to_pylist() for m in masks([[0, 2, 5], []], 2, 2)] == [[0b11, 0], [0b01, 0]]
