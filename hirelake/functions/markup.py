@@ -22,7 +22,12 @@ from pyspark.sql.types import StructType
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW, DECODED = frozenset("script style".split()), frozenset("title textarea".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+_CELLS = ({"td", "th"}, {"tr", "table"})
+#: Which open elements a start tag ends, and which ones keep it from looking further out.
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": _CELLS, "th": _CELLS, "option": ({"option"}, {"select"})}
+ENDS |= {tag: ({"p"}, ENDS_P - {"p"} | {"li", "dt", "dd", "td", "th", "caption", "button"}) for tag in ENDS_P}
+#: Open elements that are looked through for one to end.
+DEPTH = 512
 HEADINGS, BLOCK_HEADINGS = frozenset(("h1", "h2", "h3")), frozenset(("h2", "h3"))
 
 _MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*>", re.S)
@@ -98,9 +103,14 @@ class Page:
     def _start(self, tag: str, written: str) -> None:
         if tag == "a" and self._link:
             self._pop(self._link)
-        ends = ENDS.get(tag) or (("p",) if tag in ENDS_P else ())
-        while self._open[-1][0] in ends and len(self._open) > 1:
-            self._pop(len(self._open) - 1)
+        if tag in ENDS:
+            ends, stops = ENDS[tag]
+            for i in range(len(self._open) - 1, max(0, len(self._open) - DEPTH), -1):
+                if self._open[i][0] in ends:
+                    self._pop(i)
+                    break
+                if self._open[i][0] in stops:
+                    break
         if tag in HEADINGS:
             self._following -= len(self._open[-1][1])
             self._open[-1][1].clear()

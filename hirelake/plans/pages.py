@@ -30,9 +30,20 @@ FROM pages
 """
 
 
+#: What is laid into the pages beside that and must not count: links, titles and headings in comments and
+#: scripts, links without an end tag; and a base that links are seen from. The SQL reads pages without it.
+BASE = "https://base.example.org/x/y?z"
+NOISE = """
+SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '<body>', '<body><!-- <h1>Old title</h1> <a href="/old">the ersh</a> <h2>gone</h2> <base href="https://no.kr/"> -->'),
+    '</head>', concat('<script>var t = \\'<a href="/js">the</a><h1>No</h1><!-- \\';</script><STYLE>a > b</STYLE>', CASE WHEN page_id % 4 = 3 THEN '<base target="_top" href="{base}">' ELSE '' END, '</head>')),
+    CASE WHEN page_id % 3 = 1 THEN '</a></li>' ELSE '\\u0000' END, '</li>') AS html
+FROM ({laid})
+"""
+
+
 def _pages(spark, sf):
     inputs.register(spark, sf, "pages")
-    return spark.sql(LAID)
+    return spark.sql(NOISE.format(base=BASE, laid=LAID))
 
 
 def _links(spark, sf):
@@ -95,8 +106,8 @@ def detail_jobs(spark, sf):
 
 def html_blocks(spark, sf):
     """Heading blocks of pages whose paragraphs' first words are made headings (the pages have no h2)."""
-    made = _pages(spark, sf).withColumn("html", F.regexp_replace("html", r"<p>(\S+)", "<h2>$1</h2><p>"))
-    return P.heading_blocks(made).select("page_id", "i", "title", F.length("body").alias("n"))
+    made = _pages(spark, sf).withColumn("html", F.regexp_replace("html", r"<p>([^\s<]+)", "<h2>$1</h2><p>"))
+    return P.heading_blocks(made).select("page_id", "i", "title", "body")
 
 
 def one_page_jobs(spark, sf):
@@ -161,14 +172,14 @@ QUERIES = {f.__name__: f for f in (search_candidates, homepage_backfill, heading
 
 _href = f"""trim({S.unescape("regexp_extract(tag, '(?i)[ ]href=[\"]([^\"]*)[\"]', 1)")})"""
 _label = S.unescape("""regexp_extract(tag, '(?i)[ ]title=["]([^"]*)["]', 1)""")
-_host, _scheme = S.netloc("url"), "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
-_bare = "regexp_replace(url, '[?#].*$', '')"
-_folder = f"CASE WHEN {S.path('url')} = '' THEN concat({_scheme}, '://', {_host}, '/') ELSE regexp_replace({_bare}, '[^/]*$', '') END"
-_join = f"CASE WHEN href = '' THEN NULL WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN concat({_scheme}, ':', href) WHEN starts_with(href, '/') THEN concat({_scheme}, '://', {_host}, href) WHEN starts_with(href, '?') THEN concat({_bare}, href) WHEN starts_with(href, '#') THEN concat(regexp_replace(url, '#.*$', ''), href) ELSE concat({_folder}, href) END"
+_host, _scheme = S.netloc("seen"), "regexp_extract(seen, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
+_bare = "regexp_replace(seen, '[?#].*$', '')"
+_folder = f"CASE WHEN {S.path('seen')} = '' THEN concat({_scheme}, '://', {_host}, '/') ELSE regexp_replace({_bare}, '[^/]*$', '') END"
+_join = f"CASE WHEN href = '' THEN NULL WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN concat({_scheme}, ':', href) WHEN starts_with(href, '/') THEN concat({_scheme}, '://', {_host}, href) WHEN starts_with(href, '?') THEN concat({_bare}, href) WHEN starts_with(href, '#') THEN concat(regexp_replace(seen, '#.*$', ''), href) ELSE concat({_folder}, href) END"
 _FOUND = "CASE id % 5 WHEN 0 THEN concat('https://r', id, '.kr') WHEN 1 THEN concat('https://b', id, '.kr') WHEN 2 THEN concat('https://d', id, '.kr') END"
 _BLOCKS = """SELECT page_id, url, 0 AS i, concat('First job ', page_id) AS title, trim(concat(trim(a), ' R&D')) AS body FROM made UNION ALL SELECT page_id, url, 1, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Second' END, trim(b) FROM made"""
 _WITH = f"""WITH laid AS ({LAID}), tags AS (SELECT page_id, url, unnest(x) AS tag, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos FROM (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*>.*?</a\\s*>') AS x FROM laid)),
-    h AS (SELECT page_id, url, pos, {_href} AS href, {S.node_text('tag')} AS text, {_label} AS label FROM tags), l AS (SELECT *, {_join} AS link, 10 * {S.count_in("concat(lower(text), ' ', lower(label))", WORDS)} AS score FROM h),
+    h AS (SELECT page_id, url, CASE WHEN page_id % 4 = 3 THEN '{BASE}' ELSE url END AS seen, pos, {_href} AS href, {S.node_text('tag')} AS text, {_label} AS label FROM tags), l AS (SELECT *, {_join} AS link, 10 * {S.count_in("concat(lower(text), ' ', lower(label))", WORDS)} AS score FROM h),
     ext AS (SELECT DISTINCT page_id FROM l WHERE {S.any_in('lower(href)', EXTERNAL)}),
     parents AS (SELECT page_id, CASE WHEN len(p) - len(replace(p, '/', '')) >= 2 THEN regexp_replace(p, '/[^/]*/[^/]*$', '') ELSE regexp_replace(p, '/[^/]*$', '') END AS parent FROM (SELECT page_id, {S.path('link')} AS p FROM l WHERE href <> '' AND score > 0)),
     most AS (SELECT page_id, max(n) AS most FROM (SELECT page_id, parent, count(*) AS n FROM parents GROUP BY 1, 2) GROUP BY 1),
@@ -200,6 +211,9 @@ SQL = {
     "normalize_url": f"SELECT page_id, CASE WHEN {S.netloc('f')} <> '' AND regexp_replace(lower({S.netloc('f')}), '^www[.]', '') NOT IN ({', '.join(map(S.text, L.BLOCKED_HOSTS))}) THEN concat(regexp_extract(f, '^(https?)', 1), '://', {S.netloc('f')}) END AS home FROM (SELECT page_id, {_FULL} AS f FROM (SELECT page_id, {_LOOSE} AS u FROM pages))",
     "crawl_frontier": _WITH.replace("WITH laid", "WITH RECURSIVE laid", 1) + f""", e AS (SELECT DISTINCT url, link FROM l WHERE score > 0 AND {S.same_org(S.netloc('url'), S.netloc('link'))} AND link IN (SELECT url FROM pages)),
         f(url, depth) AS (SELECT DISTINCT url, 0 FROM pages WHERE page_id % 2 = 0 UNION SELECT e.link, f.depth + 1 FROM f JOIN e ON f.url = e.url WHERE f.depth < 3) SELECT url, min(depth) AS depth FROM f GROUP BY url""",
+    "html_blocks": f"""WITH laid AS ({LAID}), cut AS (SELECT page_id, string_split(regexp_replace(replace(html, '<!-- <p>gone</p> -->', ''), '<p>([^\\s<]+)', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS x FROM laid),
+        part AS (SELECT page_id, unnest(x[2:]) AS piece, generate_subscripts(x[2:], 1) - 1 AS i FROM cut)
+        SELECT page_id, CAST(i AS INTEGER) AS i, {S.node_text("split_part(piece, chr(2), 1)")} AS title, {S.node_text("split_part(split_part(piece, chr(2), 2), '</article>', 1)")} AS body FROM part""",
     "page_titles": f"WITH laid AS ({LAID}) SELECT page_id, {_TITLE} AS title FROM laid",
     "detail_jobs": f"{_WITH} SELECT page_id, url AS post_url, {_TITLE} AS title, t[1:20000] AS job_description, array_to_string(list_sort({S.found_in('t', L.BENEFITS)}), ', ') AS benefits, {S.first_in('t', L.REGIONS, S.text(''))} AS location, {_SALARY} AS salary FROM body WHERE len(t) >= 40 AND coalesce({_TITLE}, '') <> '' AND {S.count_in('lower(t[1:3000])', _ACCEPT)} >= 2",
     "one_page_jobs": f"{_WITH} SELECT page_id, url AS post_url, coalesce(nullif({_first('title')}, ''), '채용 공고') AS title, t[1:20000] AS job_description FROM body WHERE len(t) >= 80 AND {S.count_in('lower(t[1:3000])', _ACCEPT)} >= 2",

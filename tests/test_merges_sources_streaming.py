@@ -233,3 +233,40 @@ def test_storage_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     assert out.count() == 2
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(*made[0].inputFiles()).count()
+
+
+def test_only_elements_count(spark):
+    """Comments, scripts, unclosed links, left-out end tags, bases and quoted brackets."""
+    cases = [
+        ("<!-- <a href='/old'>old</a> --><a href=/new>new</a>", [("http://a/new", "new")]),
+        ("<script>var t='<a href=\"/js\">js</a>'</script><a href='x'>x</a>", [("http://a/p/x", "x")]),
+        ("<ul><li><a href='1'>one<li><a href='2'>two</ul><p>after", [("http://a/p/1", "one"), ("http://a/p/2", "two")]),
+        ("<a href='1'>one <a href='2'>two</p> more", [("http://a/p/1", "one"), ("http://a/p/2", "two more")]),
+        ("<head><base href='//b.kr/d/'></head><a href='x'>x</a><a href='/y'>y</a><base href='/no'>", [("http://b.kr/d/x", "x"), ("http://b.kr/y", "y")]),
+        ("<a title='a > b' href='../up'>u<b>p</b></a><a href>e</a><a href='http://[x'>bad</a>", [("http://a/up", "u p"), (None, "e"), (None, "bad")]),
+        ("<A HREF='q'>Q</A \n><style>a > b {}</style><a href='r'>cut <i", [("http://a/p/q", "Q"), ("http://a/p/r", "cut")]),
+        ("<script>no end <a href='z'>z</a>", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(i, "http://a/p/", h) for i, (h, _) in enumerate(cases)], pipeline.PAGES)
+    got: dict = {i: [] for i in range(len(cases))}
+    for r in pages.anchors(df).orderBy("page_id", "pos").collect():
+        got[r.page_id].append((r.link, r.text))
+    assert list(got.values()) == [want for _, want in cases]
+    titles = spark.createDataFrame([(0, "<!-- <h1>Old title</h1> --><h1>New title</h1>"), (1, "<script>'<h1>x</h1>'</script><title>T &lt;b&gt;</title><h2> two"), (2, "<h1>a<h1>b")], "i int, html string")
+    assert [r.t for r in titles.select("i", pages.page_title("html").alias("t")).orderBy("i").collect()] == ["New title", "two", "a"]
+    body = spark.createDataFrame([(1, "u", "<title>t</title><head><script>s</script></head><body>x<p>y<script>z</script>&amp;<!--c--></body>"), (2, "u", "no body <title>t</title> here")], pipeline.PAGES)
+    assert [r.page_text for r in pages.page_text(body).orderBy("page_id").collect()] == ["x y z &", "no body here"]
+
+
+def test_heading_blocks_of_unclosed_elements(spark):
+    html = "<div><h2>A<p>no<b>t</b></h2><p>one<p><b>two<h3>B</h3>text <i>it</i><ul><li>x<li>y</ul><h1>C</h1><p>z</div><p>out"
+    got = [(r.i, r.title, r.body) for r in pages.heading_blocks(spark.createDataFrame([(1, "u", html)], pipeline.PAGES)).orderBy("i").collect()]
+    assert got == [(0, "A no t", "one two"), (1, "B", "it x y")]
+
+
+def test_most_of_a_kind_is_the_count_by_groups(spark):
+    html = "".join(f"<a href='/{c}/x/{i}' title='the'>{t}</a>" for i, (c, t) in enumerate([("a", "the"), ("b", "the"), ("a", ""), ("a", "zz"), ("b", ""), ("b", "the")]))
+    df = spark.createDataFrame([(1, "http://a/", html), (2, "http://a/", "<a>the</a>"), (3, "http://a/", None)], pipeline.PAGES)
+    wide = {r.page_id: r.n for r in pages.read_pages(df, "anchors").select("page_id", pages.most_of_a_kind("anchors", ["the"]).alias("n")).collect()}
+    assert wide == {1: 3, 2: 0, 3: 0} and [(r.page_id, r.most) for r in pages.listing_counts(pages.anchors(df), ["the"]).collect()] == [(1, 3)]
