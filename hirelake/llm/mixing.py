@@ -7,12 +7,13 @@ released blocks the one due first runs (ties: source order). On one resource wit
 up to 1 this meets every deadline, so at every slot each source is less than one block away from
 its target share. The schedule repeats after ``period`` slots with every lag back at zero, so one
 period of at most ``period`` rows (a parameter) is all that is ever computed or joined, at any
-input size: block j runs at slot (j div a_i)*period + place(i, j mod a_i).
+input size: block j runs at slot (j div a_i)*period + place(i, j mod a_i). More sources than slots
+lengthen the period (to at least twice their number), so each still has a share of its own.
 
 The shares hold up to the first slot whose source has run dry, the end of epoch 0. The schedule
 goes on without the dry source in a new epoch: the other sources' weights are quantised anew and a
 new period starts, and so on until every source has run dry, so there are at most as many epochs as
-sources, of at most ``period`` places each. Weights that come from the sources' sizes lead to the
+sources. An epoch has at most ``period`` places, and no more than it has blocks. Weights that come from the sources' sizes lead to the
 end, so every document has a slot; weights that are given must hold, so the mix ends with epoch 0
 and later documents have a null ``slot``. ``to_end`` overrides either.
 
@@ -24,15 +25,16 @@ weight are never scheduled; null text counts as empty (size 1); documents equal
 doc_id share a block and position; a document belongs to the block that it begins in, so a text
 longer than a block leaves blocks without a document; an empty table gives an empty result; other
 columns, whatever their names, are ignored by the schedule and kept by :func:`mix_documents`. More
-than 2**31 documents equal in source and doc_id fail in the queries, as ``copy`` is an int there. Of more than ``period``
-sources without given weights, the ``period`` - 1 largest are mixed each on its own, and the others
-as one source in the order of their keys; more than ``period`` given weights raise ValueError.
+than 2**31 documents equal in source and doc_id fail in the queries, as ``copy`` is an int there. The driver
+holds a few numbers per source and epoch; its work grows with the square of the number of sources (some
+seconds for 5,000), not with the documents.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +61,20 @@ def quantise(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     while sum(slots.values()) < period:
         slots[rest[i % len(rest)]] += 1
         i += 1
-    while sum(slots.values()) > period:
-        slots[max(slots, key=lambda s: (slots[s] - exact[s] if slots[s] > 1 else float("-inf"), s))] -= 1
+    rank = {name: -i for i, name in enumerate(sorted(slots))}
+    most = [(exact[s] - n, rank[s], s) for s, n in slots.items() if n > 1]
+    heapq.heapify(most)
+    for _ in range(sum(slots.values()) - period):
+        _, _, s = most[0]
+        slots[s] -= 1
+        if slots[s] > 1:
+            heapq.heapreplace(most, (exact[s] - slots[s], rank[s], s))
+        else:
+            heapq.heappop(most)
     return slots
 
 
-def pfair_period(slots: dict[str, int]) -> list[tuple[str, int, int]]:
+def pfair_period(slots: dict[str, int]) -> Iterator[tuple[str, int, int]]:
     """(source, block in the period, slot) of one period, earliest deadline first."""
     period = sum(slots.values())
     names = sorted(slots)
@@ -73,24 +83,22 @@ def pfair_period(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     waiting = [(0, i, 0) for i in range(len(names))]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
     for slot in range(period):
         while waiting and waiting[0][0] <= slot:
             _, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due(i, j), i, j))
         _, i, j = heapq.heappop(ready)
-        out.append((names[i], j, slot))
+        yield names[i], j, slot
         if j + 1 < slots[names[i]]:
             heapq.heappush(waiting, (release(i, j + 1), i, j + 1))
-    return out
 
 
 def epochs(stock: dict[str, float], blocks: dict[str, int], period: int = PERIOD) -> tuple[list[tuple[str, int, int, int, int, int]], list[tuple[str, int, int, int]]]:
     """The schedule to the end, for weights and numbers of blocks.
 
     Rows (source, epoch, first block, block after the last, share, first slot) and places (source,
-    epoch, block in the period, slot in the period); both are bounded by ``period`` squared. Weighted sources without blocks take part in
-    epoch 0, where their slots stay empty.
+    epoch, block in the period, slot in the period). Weighted sources without blocks take part in epoch
+    0, where their slots stay empty.
     """
     spans, places = [], []
     done = dict.fromkeys(blocks, 0)
@@ -98,10 +106,14 @@ def epochs(stock: dict[str, float], blocks: dict[str, int], period: int = PERIOD
     while any(s in weights for s in blocks if done[s] < blocks[s]):
         slots = quantise(weights, period)
         where: dict[str, list[int]] = {s: [] for s in slots}
+        left = {s: blocks[s] - done[s] for s in slots if s in blocks}
         for s, _, slot in pfair_period(slots):
+            if s in left and len(where[s]) == left[s]:  # it runs dry within the first period
+                horizon = slot
+                break
             where[s].append(slot)
-        left = {s: blocks[s] - done[s] for s in slots if s in blocks}
-        horizon = min(n // slots[s] * period + where[s][n % slots[s]] for s, n in left.items())
+        else:
+            horizon = min(n // slots[s] * period + where[s][n % slots[s]] for s, n in left.items())
         for s in left:
             taken = horizon // period * slots[s] + bisect_left(where[s], horizon % period)
             if taken:
@@ -138,21 +150,18 @@ def mix_schedule(
 ) -> tuple[DataFrame, DataFrame]:
     """(placed, sources): every source and doc_id with block, slot and epoch, and a row per source.
 
-    ``sources`` (at most ``period`` rows) has the slots of a period of epoch 0 and ``cutoff``, the
+    ``sources`` has the slots of a period of epoch 0 and ``cutoff``, the
     order key from which on documents have no slot.
     """
     spark = docs.sparkSession
     groups = written = materialise(_groups(docs), "mix")
-    sizes = groups.groupBy("skey").agg(F.sum("bytes").alias("bytes"))
-    if weights is None:  # a row per source, and no more than fit a period
-        largest = sizes.orderBy(F.desc("bytes"), "skey").limit(period + 1).collect()
-        if len(largest) > period:
-            own = spark.createDataFrame([(r.skey,) for r in largest[: period - 1]], "_own string")
-            groups = groups.join(F.broadcast(own), F.col("skey") == F.col("_own"), "left").withColumn("skey", F.coalesce("_own", F.lit("p"))).drop("_own")
-            largest = groups.groupBy("skey").agg(F.sum("bytes").alias("bytes")).collect()
-        stock = {r.skey: float(r.bytes) ** temperature for r in largest}
+    if weights is None:
+        sizes = groups.groupBy("skey").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "skey")
+        stock = {r.skey: float(r.bytes) ** temperature for r in sizes.collect()}  # a row per source
     else:
         stock = {("n" if s is None else f"s{s}"): float(w) for s, w in weights.items()}
+    if len(stock) > period:
+        period *= -(-2 * len(stock) // period)
     slots = quantise(stock, period)
     shares = spark.createDataFrame([(s, a) for s, a in slots.items()], "skey string, share int")
 
@@ -205,27 +214,17 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its source, target share (of 1000), block and slot (null after epoch 0)."""
+    """Every document with its source, target share (of 1000, in epoch 0), block, epoch and slot."""
     placed, _ = mix_schedule(table(spark, sf_dir, "documents"))
-    rows = placed.select(
-        "doc_id",
-        "source",
-        F.col("share").cast("long").alias("share"),
-        F.col("block").cast("long").alias("block"),
-        F.when(F.col("epoch") == 0, F.col("slot")).alias("slot"),
-        "copies",
-    )
+    rows = placed.select("doc_id", "source", F.col("share").cast("long").alias("share"), F.col("block").cast("long").alias("block"), "epoch", "slot", "copies")
     return spread_copies(rows).withColumn("copy", F.col("copy").cast("int"))
 
 
-def op1_mixing_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`op1_mixing`, with a slot for every document and its epoch."""
-    placed, _ = mix_schedule(table(spark, sf_dir, "documents"))
-    rows = placed.select("doc_id", "source", F.col("share").cast("long").alias("share"), F.col("block").cast("long").alias("block"), "epoch", "slot", "copies")
-    return spread_copies(rows).withColumn("copy", F.col("copy").cast("int"))
+#: The same rows under the query's former name.
+op1_mixing_to_end = op1_mixing
 
 
-#: The same schedule in SQL, slot by slot (for weights of which none rounds below one slot).
+#: The same schedule in SQL, slot by slot over all epochs (for weights of which none rounds below one slot).
 OP1_SQL = f"""
 WITH RECURSIVE g AS (
   SELECT CASE WHEN source IS NULL THEN 'n' ELSE concat('s', source) END AS skey, source, doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS okey,
@@ -234,27 +233,28 @@ WITH RECURSIVE g AS (
 ), b AS (
   SELECT *, CAST(sum(bytes) OVER (PARTITION BY skey ORDER BY okey, doc_id ROWS UNBOUNDED PRECEDING) - bytes AS BIGINT) // {BLOCK_BYTES} AS block FROM g
 ), e AS (
-  SELECT skey, pow(CAST(sum(bytes) AS DOUBLE), {TEMPERATURE}) / sum(pow(CAST(sum(bytes) AS DOUBLE), {TEMPERATURE})) OVER () * {PERIOD} AS exact, max(block) + 1 AS blocks FROM b GROUP BY skey
-), r AS (
-  SELECT *, CAST(greatest(1, floor(exact)) AS BIGINT) AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, skey) AS nth, {PERIOD} - sum(greatest(1, floor(exact))) OVER () AS rest FROM e
-), s AS (
-  SELECT skey, blocks, base + CASE WHEN nth <= rest THEN 1 ELSE 0 END AS share FROM r
+  SELECT skey, pow(CAST(sum(bytes) AS DOUBLE), {TEMPERATURE}) AS weight, max(block) + 1 AS blocks FROM b GROUP BY skey
 ), n AS (
-  SELECT list(share ORDER BY skey) AS shares, list(skey ORDER BY skey) AS keys FROM s
-), sim(slot, done, pick) AS (
-  SELECT CAST(0 AS BIGINT), list_transform(shares, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM n
+  SELECT list(skey ORDER BY skey) AS keys, list(weight ORDER BY skey) AS weights, list(blocks ORDER BY skey) AS blocks, range(1, count(*) + 1) AS ids, list_transform(list(skey), lambda x: CAST(0 AS BIGINT)) AS none FROM e
+), sim(turn, epoch, slot, done, own, shares, pick, nr) AS (
+  SELECT CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT), none, none, none, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM n
   UNION ALL
-  SELECT slot + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
-    SELECT slot, done, CAST(list_min(list_transform(
-      list_filter(range(1, len(shares) + 1), lambda i: done[i] < shares[i] AND done[i] * {PERIOD} // shares[i] <= slot),
-      lambda i: ((done[i] + 1) * {PERIOD} + shares[i] - 1) // shares[i] * 10000 + i)) % 10000 AS BIGINT) AS p
-    FROM sim, n WHERE slot < {PERIOD})
+  SELECT turn + CASE WHEN dry THEN 0 ELSE 1 END, epoch + CASE WHEN dry THEN 1 ELSE 0 END, CASE WHEN dry THEN 0 ELSE slot + 1 END,
+         CASE WHEN dry THEN done ELSE list_transform(ids, lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END) END,
+         CASE WHEN dry THEN none ELSE list_transform(ids, lambda i: own[i] + CASE WHEN i = p THEN 1 ELSE 0 END) END,
+         CASE WHEN dry THEN list_transform(ids, lambda i: CASE WHEN exact[i] > 0 THEN base[i] + CASE WHEN 1 + len(list_filter(ids, lambda j: exact[j] > 0 AND (exact[j] - floor(exact[j]) > exact[i] - floor(exact[i]) OR (exact[j] - floor(exact[j]) = exact[i] - floor(exact[i]) AND j < i)))) <= {PERIOD} - list_sum(base) THEN 1 ELSE 0 END ELSE 0 END) ELSE shares END,
+         CASE WHEN dry THEN 0 ELSE p END, CASE WHEN dry THEN 0 ELSE done[p] END
+  FROM (
+    SELECT *, list_transform(exact, lambda x: CASE WHEN x > 0 THEN CAST(greatest(1, floor(x)) AS BIGINT) ELSE 0 END) AS base FROM (
+      SELECT *, p = 0 OR done[p] >= blocks[p] AS dry, list_transform(ids, lambda i: CASE WHEN done[i] < blocks[i] THEN weights[i] / total * {PERIOD} ELSE 0 END) AS exact FROM (
+        SELECT *, list_sum(list_transform(ids, lambda i: CASE WHEN done[i] < blocks[i] THEN weights[i] ELSE 0 END)) AS total,
+               CAST(coalesce(list_min(list_transform(list_filter(ids, lambda i: shares[i] > 0 AND own[i] * {PERIOD} // greatest(shares[i], 1) <= slot), lambda i: ((own[i] + 1) * {PERIOD} + shares[i] - 1) // greatest(shares[i], 1) * 10000 + i)), 0) % 10000 AS BIGINT) AS p
+        FROM sim, n WHERE list_sum(done) < list_sum(blocks))))
 ), places AS (
-  SELECT keys[pick] AS skey, done[pick] - 1 AS nr, slot - 1 AS place FROM sim, n WHERE slot > 0
-), horizon AS (
-  SELECT min(s.blocks // s.share * {PERIOD} + p.place) AS h FROM s JOIN places p ON p.skey = s.skey AND p.nr = s.blocks % s.share
-), placed AS (
-  SELECT b.*, s.share, b.block // s.share * {PERIOD} + p.place AS due FROM b JOIN s ON s.skey = b.skey JOIN places p ON p.skey = b.skey AND p.nr = b.block % s.share
+  SELECT keys[pick] AS skey, nr AS block, epoch, turn - 1 AS slot FROM sim, n WHERE pick > 0
+), first AS (
+  SELECT unnest(keys) AS skey, unnest(shares) AS share FROM sim, n WHERE epoch = 0 AND slot = 0
 )
-SELECT doc_id, source, share, block, CASE WHEN due < (SELECT h FROM horizon) THEN due END AS slot, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM placed
+SELECT doc_id, source, share, b.block, CAST(epoch AS INTEGER) AS epoch, slot, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy
+FROM b JOIN places USING (skey, block) JOIN first USING (skey)
 """

@@ -22,4 +22,4 @@ QUERIES = {
     "op13_collocations": collocations.op13_collocations,
 }
 
-SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op5_topk_search": hamming_search.OP5_SQL, "op13_collocations": collocations.OP13_SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op1_mixing_to_end": mixing.OP1_SQL, "op5_topk_search": hamming_search.OP5_SQL, "op13_collocations": collocations.OP13_SQL}

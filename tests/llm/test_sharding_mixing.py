@@ -61,7 +61,7 @@ def test_write_shards_round_trip(spark, tmp_path):
 def test_pfair_lag_below_one_block(weights):
     slots = mixing.quantise(weights, 1000)
     assert sum(slots.values()) == 1000 and all(a >= 1 for a in slots.values())
-    plan = mixing.pfair_period(slots)
+    plan = list(mixing.pfair_period(slots))
     assert [s for _, _, s in plan] == list(range(1000))
     done = dict.fromkeys(slots, 0)
     for source, block, slot in plan:
@@ -171,17 +171,41 @@ def test_more_sources_than_slots_in_a_period(spark):
     rows = [(i % 40, f"{i} " * 30, f"s{i % 37}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mix_schedule(docs, period=10, block_bytes=300)[0].toPandas()
-    assert got.copies.sum() == 400 and got.skey.nunique() == 10 and got.slot.notna().all()
+    assert got.copies.sum() == 400 and got.skey.nunique() == 37 and got.slot.notna().all() and (got.share >= 1).all()
+    assert sorted(set(got.slot)) == list(range(got.slot.max() + 1))
     assert sorted((r.doc_id, r.text, r.source) for r in mixing.mix_documents(docs, period=10, block_bytes=300).collect()) == sorted(rows)
 
 
-def test_op1_to_end_gives_every_document_a_slot(spark, tmp_path):
+def test_lag_of_five_thousand_sources():
+    """Each source has a share of its own, and is less than one block away from it at every slot; the
+    schedule reaches the end in seconds."""
+    import time
+
+    stock = {f"s{i}": float(1 + i % 97) ** 0.7 for i in range(5000)}
+    slots = mixing.quantise(stock, 10_000)
+    assert sum(slots.values()) == 10_000 and min(slots.values()) >= 1
+    done = dict.fromkeys(slots, 0)
+    for source, block, slot in mixing.pfair_period(slots):
+        assert block == done[source] and block * 10_000 // slots[source] <= slot < -(-(block + 1) * 10_000 // slots[source])
+        done[source] += 1
+    began = time.process_time()
+    spans, places = mixing.epochs(stock, {s: 1 + i % 5 for i, s in enumerate(stock)}, 10_000)
+    assert sum(after - first for _, _, first, after, _, _ in spans) == len(places) == sum(1 + i % 5 for i in range(5000))
+    assert time.process_time() - began < 120
+
+
+def test_quantise_gives_back_what_small_sources_take():
+    stock = {"big": 1000.0, "bigger": 1500.0, **{f"t{i}": 0.001 for i in range(30)}}
+    slots = mixing.quantise(stock, 100)
+    assert sum(slots.values()) == 100 and all(slots[f"t{i}"] == 1 for i in range(30)) and (slots["big"], slots["bigger"]) == (25, 45)
+
+
+def test_op1_gives_every_document_a_slot(spark, tmp_path):
     rows = [(i, f"{i} " * 20_000, f"s{i % 2}") for i in range(120)] + [(500, "one", "tiny")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    whole = {r.doc_id: r for r in mixing.op1_mixing_to_end(spark, str(tmp_path)).collect()}
-    assert len(whole) == len(rows) and all(r.slot is not None for r in whole.values())
-    for r in mixing.op1_mixing(spark, str(tmp_path)).collect():
-        assert r.slot == (whole[r.doc_id].slot if whole[r.doc_id].epoch == 0 else None)
+    got = mixing.op1_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.slot is not None for r in got) and max(r.epoch for r in got) > 0
+    assert sorted(got) == sorted(mixing.op1_mixing_to_end(spark, str(tmp_path)).collect())
 
 
 def test_copies_are_cut_and_spread(spark, monkeypatch):
