@@ -50,7 +50,7 @@ INSULTS = frozenset(
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tus usted ustedes vosotros".split())
 LOOK_ALIKES = str.maketrans("013457@$!€", "oieastasie")
 WORD = re.compile(r"[^\W\d_]+")
-CHUNK = re.compile(r"\S+")
+CHUNK, SPACE = re.compile(r"\S+"), re.compile(r"\s")
 MIXED = re.compile(r"[^\W\d_][\d@$!€*#.\-]+[^\W\d_]")
 STRETCH = re.compile(r"(.)\1{2,}")
 CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
@@ -92,9 +92,11 @@ def features(text: str, lexicon: dict[str, float], memo: dict[str, float]) -> li
             people.append(i)
     masked, end, hit = 0, 0, False
     for chunk in MIXED.finditer(low):
-        if chunk.start() >= end:  # another run without spaces
-            start, after = low.rfind(" ", end, chunk.start()) + 1 or end, low.find(" ", chunk.end())
-            end = after if after >= 0 else len(low)
+        if chunk.start() >= end:  # another run without white space
+            start, after = chunk.start(), SPACE.search(low, chunk.end())
+            while start > end and not low[start - 1].isspace():
+                start -= 1
+            end = after.start() if after else len(low)
             bare = re.sub(r"[^\w]|[\d_]", "", low[start:end].translate(LOOK_ALIKES))
             hit = bare in INSULTS or any(t in lexicon for t in terms(bare))
         masked += hit

@@ -72,7 +72,7 @@ LEXICON = {"idiot": 2.0, "idio~": 1.5, "vile": 3.0, "trotte~": 1.0, "scum": 2.5}
 
 
 def slow_features(text):
-    """The features by plain loops over words and runs without spaces."""
+    """The features by plain loops over words and runs without white space."""
     low = text.lower()
     words = re.findall(r"[^\W\d_]+", low)
     weight_of = lambda w: max(LEXICON.get(t, 0.0) for t in [w] + [w[:k] + "~" for k in (4, 5, 6) if len(w) >= k])
@@ -82,7 +82,7 @@ def slow_features(text):
     masked = 0
     for m in toxicity.MIXED.finditer(low):
         at = 0
-        for run in low.split(" "):
+        for run in re.split(r"\s", low):
             if at <= m.start() < at + len(run):
                 bare = "".join(c for c in run.translate(toxicity.LOOK_ALIKES) if re.match(r"\w", c) and not re.match(r"[\d_]", c))
                 masked += bare in toxicity.INSULTS or bool(bare and weight_of(bare))
@@ -111,6 +111,12 @@ def test_features_against_plain_loops(text):
         assert abs(a - b) < 1e-12, name
 
 
+def test_masked_words_end_at_any_white_space():
+    masked = toxicity.FEATURES.index("masked_hits")
+    for text in ("you idi0t there", "you idi0t\nthere", "you\nidi0t there", "you\tidi0t\u3000there", "x\n\nidi0t"):
+        assert toxicity.features(text, LEXICON, {})[masked] == 1
+
+
 def test_features_of_a_long_run_without_spaces_take_linear_time():
     import time
 
