@@ -3,7 +3,11 @@
 A page is read once, left to right, into flat text blocks that end at block-level tags. A block
 has its words and link density, those of the blocks before and after it, and what its open
 containers say (article or main, navigation, header, footer, aside, form; hints in class, id and
-role names). Names that tell a state (has-sidebar, no-search, comments-enabled) and all names of the
+role names). A name says chrome for certain only if all its words are of chrome or of layout
+(``ad-banner``, ``share-buttons``); with words of its own (``related-work``, ``menu-design``), on
+paragraphs and list items, and as the id of a section in an article it is a doubtful name: not a
+verdict but a feature, beside the running words and the link density of what bears it. Ids of headings
+say nothing. Names that tell a state (has-sidebar, no-search, comments-enabled) and all names of the
 whole page (body, html) say nothing, and a container that is called chrome, or a form, but holds most
 of the page's running text and all that looks like an article is a wrapper: its name doesn't count
 either. A small CART tree, trained here on a labelled table of blocks (:func:`labelled_blocks`
@@ -65,6 +69,17 @@ COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply rep
 HEADER_NAMES = frozenset("header head topbar top".split())
 ARTICLE_NAMES = frozenset("article content post entry story main body text maincontent".split())
 
+#: Of those: adverts and notices about the page, which keep their meaning on a paragraph or list item.
+ADVERT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr newsletter paywall comment comments".split())
+#: Words of layout that add nothing to the name they stand in.
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box button buttons card cards col column component container content desktop extra fixed form global group header holder home html icon icons "
+    "inner item items label layout left leaderboard level link links list main mobile module nav news outer page panel part post posts article articles story stories primary region right row secondary section "
+    "site slot small sticky tag tags text title toggle tool tools top unit up user web wide wrap wrapper zone policy rights".split()
+)
+#: Elements that are lines of text themselves.
+LINE_TAGS = frozenset("p li dt dd td th tr tbody thead table ul ol dl pre blockquote figure figcaption caption summary details".split())
+
 #: Parts of names that make the whole name one of a state, not of a thing: in any place, and last.
 STATE_PARTS = frozenset("has have no not is with without".split())
 STATE_ENDS = frozenset("enabled disabled open opened closed on off active inactive visible loaded supported allowed".split())
@@ -73,12 +88,12 @@ WRAPPER_WORDS = 40
 
 FEATURES = (
     "words", "link_density", "words_before", "links_before", "words_after", "links_after", "verdict", "in_article", "in_chrome",
-    "in_comments", "heading", "list_item", "page_has_article", "stops", "copyright", "header_in_article", "place",
+    "in_comments", "heading", "list_item", "page_has_article", "stops", "copyright", "header_in_article", "doubtful", "doubtful_words", "doubtful_links", "place",
 )
 
 
 class Block:
-    __slots__ = ("text", "linked", "at", "verdict", "article", "chrome", "comments", "heading", "item", "header", "mark")
+    __slots__ = ("text", "linked", "at", "verdict", "article", "chrome", "comments", "heading", "item", "header", "doubt", "mark")
 
     def __init__(self, text: str, linked: int, at: int, heading: int, item: int, mark: str | None):
         self.text, self.linked, self.at, self.heading, self.item, self.mark = text, linked, at, heading, item, mark
@@ -87,53 +102,62 @@ class Block:
 class Container:
     """An open element: what its tag and names say, and what is found in it."""
 
-    __slots__ = ("parent", "says", "bare", "firm", "form", "article", "evidence", "words")
+    __slots__ = ("parent", "says", "bare", "firm", "form", "article", "doubtful", "by_id", "evidence", "words", "chars", "linked")
 
-    def __init__(self, parent: int, says: int, bare: int, firm: bool, form: bool, article: bool):
-        self.parent, self.says, self.bare, self.firm, self.form, self.article = parent, says, bare, firm, form, article
-        self.evidence = self.words = 0
+    def __init__(self, parent: int, says: int, bare: int, firm: bool, form: bool, article: bool, doubtful: bool, by_id: bool):
+        self.parent, self.says, self.bare, self.firm, self.form, self.article, self.doubtful, self.by_id = parent, says, bare, firm, form, article, doubtful, by_id
+        self.evidence = self.words = self.chars = self.linked = 0
 
 
-def _names(attributes: str) -> set[str]:
-    """Words of the class, id and role names that name a thing."""
-    out: set[str] = set()
+def _names(attributes: str) -> Iterator[tuple[bool, set[str]]]:
+    """(whether it is an id, its words) of the class, id and role names that name a thing."""
     for m in NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = [w.lower() for w in WORDS_IN_NAME.findall(name)]
             if parts and (len(parts) == 1 or not (parts[-1] in STATE_ENDS or STATE_PARTS.intersection(parts))):
-                out.update(parts)
-    return out
+                yield m[0][:2].lower() == "id", set(parts)
 
 
-def _says(tag: str, attributes: str) -> tuple[int, int, bool]:
+def _says(tag: str, attributes: str) -> tuple[int, int, bool, bool, bool]:
     """What a container's tag and names say: 1 article, -1 chrome, -2 comments, -3 header, 0 nothing;
-    what it says if a bad name or being a form does not count; and whether it is chrome for certain."""
+    what it says if a bad name or being a form does not count; whether it is chrome for certain; whether
+    it has a doubtful name; and whether only its id says so."""
     if tag in ("body", "html"):
-        return 0, 0, False
+        return 0, 0, False, False, False
     says = 1 if tag in ARTICLE_TAGS else -3 if tag == "header" else -1 if tag in CHROME_TAGS else 0
     firm = says == -3 or (says == -1 and tag != "form")
     bare = max(says, 0)
+    named, doubtful, by_id, header = 0, False, True, False
     if attributes:
         if HIDDEN.search(attributes):
-            return -1, -1, True
-        names = _names(attributes)
-        if names & ARTICLE_NAMES:
-            bare = 1
-        if names & COMMENT_NAMES:
-            says = -2
-        elif names & CHROME_NAMES and says != 1:
-            says = -1
-        elif not says and names & HEADER_NAMES:
+            return -1, -1, True, False, False
+        for is_id, words in _names(attributes):
+            if is_id and tag in HEADINGS:
+                continue
+            bad = words & (CHROME_NAMES | COMMENT_NAMES)
+            if bad and (words - bad - LAYOUT_WORDS or (tag in LINE_TAGS and not bad & ADVERT_NAMES)):
+                doubtful = doubtful or tag not in HEADINGS
+            elif bad:
+                named, by_id = -2 if bad & COMMENT_NAMES else named or -1, by_id and is_id and len(words) == 1 and not words & ADVERT_NAMES
+            elif words & ARTICLE_NAMES and tag not in LINE_TAGS:
+                bare = 1
+            elif words & HEADER_NAMES and not words - HEADER_NAMES - LAYOUT_WORDS:
+                header = True
+        if named == -2 or (named and says != 1):
+            says = named
+        elif not says and header:
             says = -3
         elif not says:
             says = bare
-    return says, bare, firm
+    return says, bare, firm, doubtful, by_id and bool(named) and not firm
 
 
 def _judge(found: list[Block], containers: list[Container]) -> None:
     """Each block's verdict and places, from what its containers say."""
     for b in found:
-        containers[b.at].words += round((b.text.count(" ") + 1) * max(0.0, 1 - b.linked / len(b.text)))
+        here = containers[b.at]
+        here.words += round((b.text.count(" ") + 1) * max(0.0, 1 - b.linked / len(b.text)))
+        here.chars, here.linked = here.chars + len(b.text), here.linked + min(b.linked, len(b.text))
     inside = [False] * len(containers)  # in certain chrome, where nothing counts as an article
     for i, c in enumerate(containers):
         inside[i] = c.firm or (i > 0 and inside[c.parent])
@@ -142,11 +166,17 @@ def _judge(found: list[Block], containers: list[Container]) -> None:
     for c in reversed(containers[1:]):
         containers[c.parent].words += c.words
         containers[c.parent].evidence += c.evidence
+        containers[c.parent].chars += c.chars
+        containers[c.parent].linked += c.linked
     words, evidence = containers[0].words, containers[0].evidence
-    states: list[tuple[int, int, int, int, int]] = []
+    states: list[tuple[int, int, int, int, int, int]] = []
     for i, c in enumerate(containers):
-        verdict, article, chrome, comments, header = states[c.parent] if i else (0, 0, 0, 0, 0)
+        verdict, article, chrome, comments, header, doubt = states[c.parent] if i else (0, 0, 0, 0, 0, 0)
         says = c.says
+        if c.by_id and verdict >= 0:
+            doubt, says = i, 0
+        elif c.doubtful:
+            doubt = i
         if says in (-1, -2) and not c.firm and not inside[i] and 2 * c.words >= words:
             outside = evidence - c.evidence
             if (c.evidence and (not outside or (c.form and c.evidence >= outside))) or (not evidence and says == -1 and c.words >= WRAPPER_WORDS):
@@ -160,15 +190,17 @@ def _judge(found: list[Block], containers: list[Container]) -> None:
                 verdict, chrome = -1, 1
         elif says:
             verdict, chrome, comments = min(verdict, says) if verdict < 0 else says, 1, comments or int(says == -2)
-        states.append((verdict, article, chrome, comments, header))
+        states.append((verdict, article, chrome, comments, header, doubt))
     for b in found:
-        b.verdict, b.article, b.chrome, b.comments, b.header = states[b.at]
+        b.verdict, b.article, b.chrome, b.comments, b.header, doubt = states[b.at]
+        c = containers[doubt]
+        b.doubt = (1.0, float(min(c.words, 200)), c.linked / max(c.chars, 1)) if doubt else (0.0, 0.0, 0.0)
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page, in order, without empty ones."""
     out: list[Block] = []
-    containers = [Container(0, 0, 0, False, False, False)]
+    containers = [Container(0, 0, 0, False, False, False, False, False)]
     # open elements: tag, container, heading, list item
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
     parts: list[str] = []
@@ -231,9 +263,9 @@ def blocks(page: str) -> list[Block]:
         elif stack[-1][0] == "p":
             stack.pop()
         _, here, heading, item = stack[-1]
-        says, bare, firm = _says(tag, m[3])
-        if says or bare:
-            containers.append(Container(here, says, bare, firm, tag == "form", tag in ARTICLE_TAGS))
+        says, bare, firm, doubtful, by_id = _says(tag, m[3])
+        if says or bare or doubtful:
+            containers.append(Container(here, says, bare, firm, tag == "form", tag in ARTICLE_TAGS, doubtful, by_id and tag == "section"))
             here = len(containers) - 1
         if says == 1 or tag == "h1":
             containers[here].evidence += 1
@@ -258,9 +290,9 @@ def block_features(found: list[Block]) -> np.ndarray:
     links_before, links_after = np.r_[0.0, links[:-1]], np.r_[links[1:], 0.0]
     has_article = float(any(b.article and b.verdict > 0 for b in found))
     flags = np.array(
-        [(b.verdict, b.article, b.chrome, b.comments, b.heading, b.item, has_article, b.text[-1] in ".!?…:;\"”»", "©" in b.text or "copyright" in b.text[:80].lower(), b.header) for b in found],
+        [(b.verdict, b.article, b.chrome, b.comments, b.heading, b.item, has_article, b.text[-1] in ".!?…:;\"”»", "©" in b.text or "copyright" in b.text[:80].lower(), b.header, *b.doubt) for b in found],
         float,
-    ).reshape(n, 10)
+    ).reshape(n, 13)
     place = np.arange(n) / max(n - 1, 1)
     return np.column_stack([words, links, before, links_before, after, links_after, flags, place])
 
@@ -299,6 +331,27 @@ MAIN_PARTS = (
     "<h1>{w8}</h1><p><b>{w9}.<br><p>{w33}.</p><table><tr><td>{w2}</td><td>{w3}</td></tr></table><pre>{w20}</pre>",
     "<p>{w18}.</p><p>{w4}?</p><p>{w70}. {w60}.</p>",
 )
+#: Parts with doubtful names: {c} is a word of chrome, {v} any other word.
+DOUBTFUL_MAIN = (
+    '<section id="{c}-{v}"><h2 id="{c}-{v}">{w3}</h2><p>{w40}. {w20}.</p></section>',
+    '<section id="{v}-{c}"><h2 id="{c}">{w2}</h2><p>{w8}.</p><p>{w25}. <a href="/w">{w2}</a> {w9}.</p></section>',
+    '<div class="{c}-{v}"><p>{w30}.</p></div>',
+    '<div class="{v}_{c}"><p>{w9}.</p><p>{w14}.</p></div>',
+    '<p class="{c}-{v}">{w18}.</p>',
+    '<p class="{c}">{w8}.</p>',
+    '<ul><li class="{c}">{w6}</li><li class="{v}-{c}">{w3}</li><li>{w7}.</li></ul>',
+    '<h3 id="{c}-{v}">{w2}</h3><p>{w15}.</p>',
+    '<section id="{c}"><h2>{w2}</h2><p>{w40}. {w12}.</p></section>',
+)
+DOUBTFUL_CHROME = (
+    '<div class="{c}_root__{v}" data-keep="0"><a href="/1">{w2}</a> <a href="/2">{w1}</a></div>',
+    '<div class="{v}-{c}-{v}" data-keep="0"><ul><li><a href="/1">{w6}</a></li><li><a href="/2">{w7}</a></li></ul></div>',
+    '<p class="{c}" data-keep="0"><a href="/s">{w2}</a></p>',
+    '<ul class="{c}-{v}" data-keep="0"><li><a href="/1">{w2}</a></li><li class="{c}"><a href="/2">{w1}</a></li></ul>',
+    '<section id="{c}" data-keep="0"><h3>{w2}</h3><p><a href="/r">{w5}</a></p><p><a href="/q">{w6}</a></p></section>',
+)
+#: Words of chrome that name things outside web pages too.
+DOUBTFUL_WORDS = tuple("search share menu related social notice legal banner form copyright widget skip alert login related navigation rail modal dialog disclaimer recommended".split())
 SHELLS = (
     '<article data-keep="1">{main}</article>',
     '<main data-keep="1">{main}</main>',
@@ -310,12 +363,13 @@ SHELLS = (
 )
 
 
-def labelled_blocks(seed: int = 7, copies: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(seed: int = 7, copies: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The training table: features and labels of the blocks of pages put together from the parts."""
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
 
     def fill(part: str) -> str:
+        part = re.sub(r"\{([cv])\}", lambda m: rng.choice(DOUBTFUL_WORDS if m[1] == "c" else vocabulary), part)
         return re.sub(r"\{w(\d+)\}", lambda m: " ".join(rng.choice(vocabulary) for _ in range(max(1, round(int(m[1]) * rng.uniform(0.6, 1.5))))), part)
 
     xs, ys = [], []
@@ -323,7 +377,12 @@ def labelled_blocks(seed: int = 7, copies: int = 2) -> tuple[np.ndarray, np.ndar
         for main in MAIN_PARTS:
             for _ in range(copies):
                 top, tail = rng.sample(CHROME_PARTS, rng.randint(1, 4)), rng.sample(TAIL_PARTS, rng.randint(1, 4))
-                inner = main if shell == SHELLS[-1] or rng.random() < 0.6 else main + rng.choice(TAIL_PARTS[:5])
+                inner = main + "".join(rng.sample(DOUBTFUL_MAIN, rng.randint(1, 3)) if rng.random() < 0.7 else [])
+                if shell != SHELLS[-1] and rng.random() >= 0.6:
+                    inner += rng.choice(TAIL_PARTS[:5])
+                if rng.random() < 0.4:
+                    (tail if shell == SHELLS[-1] else top).append(rng.choice(DOUBTFUL_CHROME))
+                    inner += rng.choice(DOUBTFUL_CHROME) if shell != SHELLS[-1] else ""
                 page = fill("<body>" + "".join(top) + shell.replace("{main}", inner) + "".join(tail) + "</body>")
                 found = blocks(page)
                 xs.append(block_features(found))

@@ -133,5 +133,69 @@ def test_share_of_pages_that_lose_or_gain_a_block():
                 n += 1
                 lost += any(w and not k for w, k in zip(want, keep, strict=True))
                 gained += any(k and not w for w, k in zip(want, keep, strict=True))
-    # what is lost: a heading in a <header> of a plain div, on pages without any sign of an article
-    assert lost <= 0.03 * n and gained <= 0.01 * n, (n, lost, gained)
+
+    assert lost <= 0.01 * n and gained <= 0.01 * n, (n, lost, gained)
+
+
+def test_names_inside_an_article_are_no_verdict():
+    """Sections, headings, paragraphs and items whose class or id holds a word of chrome keep their text."""
+    parts = (
+        '<section id="search-algorithms"><p>{t}</p></section>', '<section id="menu-design"><p>{t}</p></section>', '<div class="related-work"><p>{t}</p></div>',
+        '<div class="social-history"><p>{t}</p></div>', '<p class="notice-period">{t}</p>', '<ul><li class="share">{t}</li></ul>', '<h2 id="related-work">{t}</h2>',
+        '<h2 id="legal-status">{t}</h2>', '<section id="discussion"><p>{t}</p></section>', '<section id="search"><p>{t}</p></section>',
+    )
+    text = TEXT.strip()
+    for shell in ("<article>{p}</article>", "<main>{p}</main>", '<div class="content">{p}</div>', "<div>{p}</div>"):
+        for part in parts:
+            page = '<body><nav><a href="/">Home</a></nav>' + shell.replace("{p}", f"<h1>Title</h1><p>{TEXT * 2}</p>{part.replace('{t}', text)}<p>{text}</p>") + "<footer>Us</footer></body>"
+            assert html_text.main_text(page) == f"Title\n{(TEXT * 2).strip()}\n{text}\n{text}", (shell, part)
+
+
+def test_chrome_inside_an_article_still_goes():
+    parts = (
+        '<div class="ad">{t}</div>', '<div class="share-buttons"><a href="1">F</a> <a href="2">X</a></div>', '<div class="related"><h3>Related</h3><a href="1">Another story of the day</a></div>',
+        '<section id="comments"><h2>Comments</h2><p>{t}</p></section>', '<div id="cookie-notice"><p>{t}</p></div>', "<aside><p>{t}</p></aside>", '<div class="newsletter-signup"><p>{t}</p></div>',
+        '<ul class="share-links"><li><a href="1">F</a></li></ul>', '<p class="ad">Buy now</p>', '<div class="notice"><p>{t}</p></div>', '<div class="Share_root__x9"><a href="1">F</a></div>',
+    )
+    for shell in ("<article>{p}</article>{q}", "<main>{p}</main>{q}", '<div class="content">{p}</div>{q}'):
+        for part in parts:
+            part = part.replace("{t}", TEXT)
+            for p, q in ((part, ""), ("", part)):
+                page = "<body>" + shell.replace("{p}", f"<h1>Title</h1><p>{TEXT * 2}</p>{p}<p>{TEXT}</p>").replace("{q}", q) + "</body>"
+                assert html_text.main_text(page) == f"Title\n{(TEXT * 2).strip()}\n{TEXT.strip()}", (shell, part)
+
+
+#: Headings of ordinary articles; each holds a word that also names parts of pages.
+TITLES = (
+    "search theory,market share,lunch menu,related species,social contract,public notice,legal history,banner bearers,application form,copyright reform,widget factories,"
+    "skip distance,red alert,login security,modal logic,platonic dialog,rail freight,navigation at sea,the comments of critics,a reply to critics,cookie recipes,"
+    "ad hoc networks,newsletter history,promotion to captain,sponsor states,hidden variables,advertising in the press,subscription concerts,toolbar inventors,footer and frieze,sidebar in court"
+).split(",")
+
+
+def test_share_of_articles_with_ordinary_names_that_lose_a_block():
+    """Ids and classes made of headings in plain English, on pages laid out by no part of the operator."""
+    import random
+
+    rng = random.Random(5)
+    vocabulary = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work".split()
+    words = lambda low, high: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(low, high))) + "."
+    n = lost = gained = 0
+    for _ in range(400):
+        sections, want = [], []
+        for title in rng.sample(TITLES, rng.randint(2, 5)):
+            slug = title.replace(" ", rng.choice("-_"))
+            body = [words(5, 60) for _ in range(rng.randint(1, 4))]
+            paragraphs = "".join(f"<p>{b}</p>" for b in body)
+            sections.append(rng.choice((f'<section id="{slug}"><h2>{title}</h2>{paragraphs}</section>', f'<h2 id="{slug}">{title}</h2>{paragraphs}', f'<div class="{slug}"><h3>{title}</h3>{paragraphs}</div>', f'<h2>{title}</h2><div id="{slug}">{paragraphs}</div>')))
+            want += [title, *body]
+        top = words(20, 60)
+        shell = rng.choice(("<main><h1>{h}</h1>{p}</main>", "<article><h1>{h}</h1>{p}</article>", '<div class="page"><div class="entry-content"><h1>{h}</h1>{p}</div></div>'))
+        page = shell.replace("{h}", "A page").replace("{p}", f"<p>{top}</p>" + "".join(sections))
+        page = f'<html><body><ul class="main-nav"><li><a href="/">Home</a></li><li><a href="/a">All</a></li></ul>{page}<div class="site-footer"><p>{words(8, 20)}</p></div></body></html>'
+        got = html_text.main_text(page).split("\n")
+        want = ["A page", top, *want]
+        n += 1
+        lost += any(w not in got for w in want)
+        gained += any(g not in want for g in got)
+    assert lost <= 0.02 * n and gained <= 0.01 * n, (n, lost, gained)
