@@ -137,7 +137,7 @@ def count_range(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least:
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of numbers, all first bytes first: tables and shuffles compress them better."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
 
 
 def _numbers(blob: bytes, kind: type) -> np.ndarray:
@@ -266,7 +266,7 @@ def _grams(coded: np.ndarray, filter_: np.ndarray | None) -> tuple[np.ndarray, n
     key = mix(slot[at].astype(U) << U(ID_BITS) | slot[at + 1].astype(U))
     if filter_ is None:
         return key, np.zeros(len(key), np.int64)
-    bit = key >> U(64 - FILTER_BITS)
+    bit = key >> U(65 - (len(filter_) * 8).bit_length())
     passes = (filter_[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & np.uint8(1) > 0
     at, key = at[passes], key[passes]
     triple = np.flatnonzero(np.diff(at) == 1)
