@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from hirelake import schemas
@@ -11,19 +9,15 @@ from hirelake.operators import merge
 from hirelake.plans import inputs
 from hirelake.plans import pages as page_plans
 from hirelake.sources import files, sinks
-from hirelake.storage import shared_dir
+from hirelake.storage import scratch
 from hirelake.streaming import pipeline
 
 _ACCEPT = ["the", "an ", "que", "la", "und"]
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/hirelake-{name}-{uuid.uuid4().hex}"
-
-
 def csv_round_trip(spark, sf):
     """The company export, written as CSV and read as a seed."""
-    at = _folder(spark, "export")
+    at = scratch(spark, "export")
     sinks.export_csv(inputs.sites(spark, sf), at)
     rows = files.read_csv(spark, at, required=["name", "homepage_url"])
     return rows.select("name", F.coalesce("homepage_url", F.lit("")).alias("homepage_url"), F.coalesce("recruits_url", F.lit("")).alias("recruits_url"))
@@ -35,16 +29,16 @@ def json_sink(spark, sf):
 
 
 def stream_upsert(spark, sf):
-    """The page table read as a stream into the versioned table of postings."""
-    table = pipeline.VersionedTable(spark, _folder(spark, "postings"), schemas.JOB_POSTINGS, buckets=8)
+    """The page table read as a stream into the log of postings."""
+    table = pipeline.ChangeLog(spark, scratch(spark, "postings"), schemas.JOB_POSTINGS)
     now = F.expr("TIMESTAMP_NTZ '2025-01-02 03:04:05'")
-    pipeline.run_stream(spark, f"{sf}/pages.parque[t]", table, _folder(spark, "checkpoint"), now, keywords=_ACCEPT).awaitTermination()
+    pipeline.run_stream(spark, f"{sf}/pages.parque[t]", table, scratch(spark, "checkpoint"), now, keywords=_ACCEPT).awaitTermination()
     return table.read().select("post_url", "title", "salary", "location", "status", "is_active", F.date_format("first_seen_at", "yyyy-MM-dd").alias("seen"))
 
 
 def stream_upsert_twice(spark, sf):
     """The changes of a second batch over the first one's postings."""
-    table = pipeline.VersionedTable(spark, _folder(spark, "postings"), schemas.JOB_POSTINGS, buckets=8)
+    table = pipeline.ChangeLog(spark, scratch(spark, "postings"), schemas.JOB_POSTINGS)
     pages = inputs.table(spark, sf, "pages")
     now = F.expr("TIMESTAMP_NTZ '2025-01-02 03:04:05'")
     pipeline.upsert_batch(table, pipeline.posting_rows(pages.where("page_id % 3 > 0"), keywords=_ACCEPT), now)
@@ -54,9 +48,39 @@ def stream_upsert_twice(spark, sf):
     return seen.join(merged.select("post_url", F.col("_change").alias("change")), "post_url", "left").select("post_url", "title", F.coalesce("change", F.lit("kept")).alias("change"))
 
 
+def stream_on_schedule(spark, sf):
+    """The page table read on a schedule, by a stream that is killed after a batch's rows are written and
+    before they count, started again, and given the same batch once more: the rows of one run."""
+    at, checkpoint = scratch(spark, "postings"), scratch(spark, "checkpoint")
+    now = F.expr("TIMESTAMP_NTZ '2025-01-02 03:04:05'")
+
+    class Killed(pipeline.ChangeLog):
+        def _commit(self, *values):
+            raise RuntimeError("killed")
+
+    def run(table):
+        query = pipeline.run_stream(spark, f"{sf}/pages.parque[t]", table, checkpoint, now, interval="1 second", keywords=_ACCEPT)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    try:
+        run(Killed(spark, at, schemas.JOB_POSTINGS))
+    except Exception as died:
+        if "killed" not in str(died):
+            raise
+    table = pipeline.ChangeLog(spark, at, schemas.JOB_POSTINGS)
+    run(table)
+    table.compact()
+    pages = pipeline.posting_rows(inputs.table(spark, sf, "pages"), keywords=_ACCEPT)
+    again = pipeline.upsert_batch(table, pages, F.expr("TIMESTAMP_NTZ '2026-01-01 00:00:00'"), checkpoint, 0)
+    return table.read().join(again.select("post_url", "_change"), "post_url").select("post_url", "title", "id", F.col("_change").alias("change"), F.date_format("first_seen_at", "yyyy-MM-dd").alias("seen"))
+
+
 def new_ids_unique(spark, sf):
     """Violations of the id's uniqueness after two batches: none."""
-    table = pipeline.VersionedTable(spark, _folder(spark, "postings"), schemas.JOB_POSTINGS, buckets=8)
+    table = pipeline.ChangeLog(spark, scratch(spark, "postings"), schemas.JOB_POSTINGS)
     pages = inputs.table(spark, sf, "pages")
     now = F.expr("TIMESTAMP_NTZ '2025-01-02 03:04:05'")
     for part in (0, 1):
@@ -69,12 +93,12 @@ def stream_unseen_urls(spark, sf):
     """First rows of each site's address within the watermark."""
     stream = spark.readStream.schema(pipeline.PAGES).parquet(f"{sf}/pages.parque[t]")
     stream = stream.select(F.regexp_extract("url", "^([a-z]+://[^/]*)", 1).alias("url"), F.timestamp_seconds(F.col("page_id") % 60 + 1_700_000_000).alias("fetched_at"))
-    at = _folder(spark, "unseen")
-    pipeline.unseen_urls(stream).writeStream.format("parquet").option("checkpointLocation", _folder(spark, "checkpoint")).trigger(availableNow=True).start(at).awaitTermination()
+    at = scratch(spark, "unseen")
+    pipeline.unseen_urls(stream).writeStream.format("parquet").option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start(at).awaitTermination()
     return spark.read.schema("url string, fetched_at timestamp").parquet(at).select("url")
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, json_sink, stream_upsert, stream_upsert_twice, new_ids_unique, stream_unseen_urls)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, json_sink, stream_upsert, stream_upsert_twice, stream_on_schedule, new_ids_unique, stream_unseen_urls)}
 
 _PLAIN = page_plans.SQL["detail_jobs"].replace(page_plans.LAID, "SELECT * FROM pages")
 SQL = {
@@ -82,6 +106,7 @@ SQL = {
     "json_sink": f"WITH jobs AS ({inputs.JOBS}) SELECT CAST(to_json({{'id': id, 'company': company_id, 'location': location, 'is_active': is_active}}) AS VARCHAR) AS value FROM jobs",
     "stream_upsert": f"SELECT post_url, title[1:255] AS title, salary[1:255] AS salary, location[1:255] AS location, 'active' AS status, true AS is_active, '2025-01-02' AS seen FROM ({_PLAIN})",
     "stream_upsert_twice": f"""WITH j AS ({_PLAIN}) SELECT post_url, CASE page_id % 3 WHEN 1 THEN concat('New ', title)[1:255] ELSE title[1:255] END AS title, CASE page_id % 3 WHEN 0 THEN 'inserted' WHEN 1 THEN 'changed' ELSE 'kept' END AS change FROM j""",
+    "stream_on_schedule": f"SELECT post_url, title[1:255] AS title, row_number() OVER (ORDER BY post_url) AS id, 'inserted' AS change, '2025-01-02' AS seen FROM ({_PLAIN})",
     "new_ids_unique": f"WITH j AS ({_PLAIN}) SELECT count(*) AS n, count(*) AS ids, count(*) AS top, CAST(0 AS BIGINT) AS twice FROM j",
     "stream_unseen_urls": "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS url FROM pages",
 }

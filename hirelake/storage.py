@@ -11,10 +11,13 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+#: Tables that the innermost :func:`finish` of this thread has seen written.
+_seen: ContextVar[list[str] | None] = ContextVar("_seen", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +41,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def _written_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hirelake-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted at the end of the process."""
+    path = f"{shared_dir(spark)}/hirelake-{tag}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    if (seen := _seen.get()) is not None:
+        seen.append(path)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of fewer files than cores, dealt over all cores; larger tables, whose scans fill the cluster
     anyway, as they are."""
@@ -59,21 +70,30 @@ def release(df: DataFrame) -> None:
 
 
 def finish(make: Callable[[], DataFrame], tag: str) -> DataFrame:
-    """Write the result of ``make`` and delete all other tables that were written on the way to it."""
-    before = set(_written)
-    out, result = _written_table(make(), tag)
-    for path in set(_written) - before - {result}:
-        _delete(path)
+    """Write the result of ``make`` and delete all other tables that this thread wrote on the way to it."""
+    outer, own = _seen.get(), []
+    token = _seen.set(own)
+    try:
+        out, result = _written_table(make(), tag)
+    finally:
+        _seen.reset(token)
+    if outer is not None:
+        outer.append(result)
+    for path in own:
+        if path != result and path in _written:
+            _delete(path)
     return out
 
 
-def _delete(path: str) -> None:
-    spark = _written.pop(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _delete(path: str) -> None:
+    delete(_written.pop(path), path)
+
+
 @atexit.register
 def _tidy() -> None:
     for path in list(_written):

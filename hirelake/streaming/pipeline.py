@@ -1,95 +1,95 @@
 """The crawl cycle as an incremental pipeline: pages in, upserted postings out.
 
 New page files are read as a stream; each micro-batch goes through the posting extractors and the
-change-detecting upsert. The target is kept in key buckets: a batch reads and rewrites only the
-buckets of its keys, and a new version is a small manifest that names the folder of each bucket, so a
-failed batch leaves the last good version in place and a batch costs its buckets, not the table.
-Folders that no kept version names are deleted. The stream's checkpoint is the single-run lock and
-remembers which files were read.
+change-detecting upsert. The target is a log of changes: a batch reads the rows of its own keys and
+appends what it inserts or changes, so that a batch writes its changes and not the table. A batch
+counts from its commit on, a single small file; one that is killed before it is done again under the
+same number, one that is delivered again after it is known by its source's number and skipped. The
+stream's checkpoint is the single-run lock and remembers which files were read.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.lexicons import FIELD_LIMITS
 from hirelake.operators.merge import job_upsert, with_new_ids
 from hirelake.operators.pages import detail_jobs, one_page_jobs
-from hirelake.storage import materialise, release
+from hirelake.storage import delete, materialise, release
 
 PAGES = "page_id long, url string, html string"
 
 
-class VersionedTable:
-    """A table in ``buckets`` hash buckets of ``key`` under a folder.
-
-    ``data/<version>/bucket=<n>`` holds what a version wrote, ``versions/<version>.json`` the folder
-    of every bucket and the greatest id so far. The last ``keep`` versions can be read.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "post_url", buckets: int = 64, keep: int = 2):
-        self.spark, self.path, self.schema, self.key, self.buckets, self.keep = spark, path.rstrip("/"), schema, key, buckets, keep
-
-    def _at(self, *parts: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def _names(self, folder: str) -> list[str]:
-        fs, at = self._at(folder)
-        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-
-    def versions(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in self._names("versions") if n.endswith(".json"))
-
-    def version(self) -> int:
-        return max(self.versions(), default=-1)
-
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if version < 0:
-            return {"buckets": {}, "top": 0}
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{version}.json", wholetext=True).first().value)
-
-    def bucket(self) -> Column:
-        """The bucket of a row."""
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        """The current version, or some of its buckets."""
-        where = self.manifest()["buckets"]
-        paths = [f"{self.path}/{folder}/bucket={b}" for b, folder in where.items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame, buckets: list[int]) -> None:
-        """A new version, in which ``df`` takes the place of the given buckets."""
-        last, version = self.manifest(), self.version() + 1
-        rows = df.withColumn("bucket", self.bucket())
-        rows.repartition(max(len(buckets), 1), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version}")
-        written = {n.removeprefix("bucket=") for n in self._names(f"data/{version}") if n.startswith("bucket=")}
-        kept = {b: folder for b, folder in last["buckets"].items() if int(b) not in buckets}
-        top = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{version}").agg(F.max("id")).first()[0] if written else None
-        manifest = {"buckets": kept | {b: f"data/{version}" for b in written}, "top": max(last["top"], top or 0)}
-        fs, draft = self._at("versions", f"_{version}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if not fs.rename(draft, self._at("versions", f"{version}.json")[1]):
-            raise RuntimeError(f"{self.path}: version {version} could not be committed")
-        self._clean()
-
-    def _clean(self) -> None:
-        versions = self.versions()
-        kept = versions[-self.keep :]
-        used = {folder for v in kept for folder in self.manifest(v)["buckets"].values()}
-        old = [("versions", f"{v}.json") for v in versions if v not in kept]
-        old += [("data", n) for n in self._names("data") if n.isdigit() and f"data/{n}" not in used and int(n) < kept[0]]
-        for parts in old:
-            fs, at = self._at(*parts)
-            fs.delete(at, True)
+class ChangeLog:
+    """A keyed table as Parquet folders: ``rows/batch=<n>`` has the rows that batch n inserted or changed
+    (with ``_change``), ``base/batch=<n>`` the whole table as of batch n, and ``commits`` a row for each
+    batch and base that counts. The current row of a key is that of its greatest batch."""
+
+    COMMITS = "batch long, base boolean, top long, source string, source_batch long"
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "post_url"):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+
+    def commits(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.COMMITS).parquet(f"{self.path}/commits")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.COMMITS)
+
+    def head(self) -> Row:
+        """last: greatest batch (-1 for none); base: batch of the last base, or none; top: greatest id."""
+        return self.commits().agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("last"), F.max(F.when(F.col("base"), F.col("batch"))).alias("base"), F.coalesce(F.max("top"), F.lit(0)).alias("top")).first()
+
+    def log(self, after: int = -1) -> DataFrame:
+        """The rows of the committed batches after ``after``, with ``_change`` and ``batch``."""
+        schema = f"{self.schema}, _change string, batch long"
+        done = self.commits().where(~F.col("base") & (F.col("batch") > after)).select("batch").distinct()
+        if not done.limit(1).count():
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/rows").where(F.col("batch") > after)
+        return rows.join(done, "batch", "left_semi")
+
+    def read(self, keys: DataFrame | None = None) -> DataFrame:
+        """The current table, or its rows of some keys."""
+        base = self.head().base
+        rows = self.log(-1 if base is None else base).drop("_change")
+        if base is not None:
+            whole = self.spark.read.schema(self.schema).parquet(f"{self.path}/base/batch={base}")
+            rows = rows.unionByName(whole.withColumn("batch", F.lit(base)))
+        if keys is not None:
+            rows = rows.join(keys.select(self.key).distinct(), self.key, "left_semi")
+        columns = [c for c in rows.columns if c not in (self.key, "batch")]
+        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*columns), "batch").alias("r"))
+        empty = self.spark.createDataFrame([], self.schema)
+        return last.select(self.key, "r.*").select(empty.columns)
+
+    def committed(self, source: str, source_batch: int) -> int | None:
+        """The batch that a source's batch became."""
+        return self.commits().where((F.col("source") == source) & (F.col("source_batch") == source_batch)).agg(F.min("batch")).first()[0]
+
+    def append(self, rows: DataFrame, batch: int, top: int, source: str | None = None, source_batch: int | None = None) -> None:
+        """What batch number ``batch`` inserted or changed; an earlier try at the same number is replaced."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
+        self._commit(batch, False, top, source, source_batch)
+
+    def _commit(self, *values) -> None:
+        self.spark.createDataFrame([values], self.COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def compact(self) -> None:
+        """A new base as of the last batch; the bases and rows before the base that it replaces go, so a
+        reader that began before still finds its files."""
+        head = self.head()
+        if head.last < 0 or head.base == head.last:
+            return
+        self.read().write.mode("overwrite").parquet(f"{self.path}/base/batch={head.last}")
+        self._commit(head.last, True, head.top, None, None)
+        if head.base is not None:
+            for r in self.commits().where(F.col("batch") < head.base).select("batch", "base").distinct().toLocalIterator():
+                delete(self.spark, f"{self.path}/{'base' if r.base else 'rows'}/batch={r.batch}")
 
 
 def last_pages(pages: DataFrame) -> DataFrame:
@@ -107,28 +107,32 @@ def posting_rows(pages: DataFrame, kind: str = "detail", **how) -> DataFrame:
     return jobs.withColumnRenamed("page_id", "line").withColumn("company_id", F.lit(None).cast("long"))
 
 
-def upsert_batch(table: VersionedTable, crawled: DataFrame, now) -> DataFrame:
-    """Merge crawled postings into the table; returns the merged rows of their buckets with ``_change``."""
+def upsert_batch(table: ChangeLog, crawled: DataFrame, now, source: str | None = None, source_batch: int | None = None) -> DataFrame:
+    """Merge crawled postings into the table; returns the merged rows of their keys with ``_change``.
+
+    A batch of a source that is committed already changes nothing; what it changed then is returned.
+    """
     spark = crawled.sparkSession
+    if source is not None and (done := table.committed(source, source_batch)) is not None:
+        return table.log(done - 1).where(F.col("batch") == done).drop("batch")
     given = crawled.select("*", *[F.lit(None).cast("string").alias(c) for c in FIELD_LIMITS if c not in crawled.columns])
     given = materialise(given, "crawled")
-    touched = sorted(r[0] for r in given.select(table.bucket()).distinct().collect())  # at most ``buckets`` numbers
-    target = table.read(touched)
+    head, target = table.head(), table.read(given)
+    top = spark.createDataFrame([(head.top,)], "id long")
     merged = job_upsert(target, given, now)
-    top = spark.createDataFrame([(table.manifest()["top"],)], "id long")
-    merged = materialise(with_new_ids(merged, top, F.col("_change") == "inserted", "post_url"), "merged")
-    if touched:
-        table.write(merged.select(*target.columns), touched)
+    merged = materialise(with_new_ids(merged, top, F.col("_change") == "inserted", table.key), "merged")
+    changes = merged.where(F.col("_change").isin("inserted", "changed")).select(*target.columns, "_change")
+    table.append(changes, head.last + 1, max(head.top, merged.agg(F.max("id")).first()[0] or 0), source, source_batch)
     release(given)
     return merged
 
 
-def run_stream(spark: SparkSession, pages_path: str, table: VersionedTable, checkpoint: str, now, kind: str = "detail", interval: str | None = None, **how):
-    """Start the stream; without an interval it reads what is there and stops."""
+def run_stream(spark: SparkSession, pages_path: str, table: ChangeLog, checkpoint: str, now, kind: str = "detail", interval: str | None = None, **how):
+    """Start the stream: every ``interval`` (as "8 hours"), or without one until what is there is read."""
     stream = spark.readStream.schema(PAGES).parquet(pages_path).select("*", F.col("_metadata.file_modification_time").alias("arrived"))
 
-    def batch(df: DataFrame, _: int) -> None:
-        release(upsert_batch(table, posting_rows(df, kind, **how), now))
+    def batch(df: DataFrame, number: int) -> None:
+        release(upsert_batch(table, posting_rows(df, kind, **how), now, checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

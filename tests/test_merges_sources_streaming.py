@@ -124,7 +124,7 @@ def test_search_results(spark):
 def test_incremental_pipeline(spark, tmp_path):
     text = "채용 모집 안내 " + "서울 정규직 경력 3년 " * 5
     page = lambda i, extra="": (i, f"http://h/{i}", f"<html><body><h1>Job {i}</h1><p>{text}{extra}</p></body></html>")
-    source, store = str(tmp_path / "pages"), pipeline.VersionedTable(spark, str(tmp_path / "jobs"), schemas.JOB_POSTINGS)
+    source, store = str(tmp_path / "pages"), pipeline.ChangeLog(spark, str(tmp_path / "jobs"), schemas.JOB_POSTINGS)
     now = F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'")
     spark.createDataFrame([page(1), page(2), (3, "http://h/3", "<p>no</p>")], pipeline.PAGES).write.parquet(source)
     pipeline.run_stream(spark, source, store, str(tmp_path / "check"), now).awaitTermination()
@@ -136,24 +136,80 @@ def test_incremental_pipeline(spark, tmp_path):
     assert "새 글" in next(r.job_description for r in rows if r.post_url == "http://h/2")
 
 
-def test_versions_share_buckets_and_are_cleaned_up(spark, tmp_path):
+def test_batches_append_their_changes(spark, tmp_path):
     body = "채용 모집 안내 " + "서울 정규직 경력 3년 " * 5
-    pages_of = lambda ids: spark.createDataFrame([(i, f"http://h/{i}", f"<html><body><h1>Job {i}</h1><p>{body}</p></body></html>") for i in ids], pipeline.PAGES)
-    table = pipeline.VersionedTable(spark, str(tmp_path / "jobs"), schemas.JOB_POSTINGS, buckets=16)
+    pages_of = lambda ids, more="": spark.createDataFrame([(i, f"http://h/{i}", f"<html><body><h1>Job {i}{more}</h1><p>{body}</p></body></html>") for i in ids], pipeline.PAGES)
+    table = pipeline.ChangeLog(spark, str(tmp_path / "jobs"), schemas.JOB_POSTINGS)
     now = F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'")
-    pipeline.upsert_batch(table, pipeline.posting_rows(pages_of(range(40))), now)
-    first = table.manifest()
-    for i in (100, 101, 102):
-        merged = pipeline.upsert_batch(table, pipeline.posting_rows(pages_of([i])), now)
-        assert merged.where("_change = 'inserted'").count() == 1 and merged.count() < 20
-    last = table.manifest()
-    assert table.versions() == [2, 3] and sum(last["buckets"].get(b) == folder for b, folder in first["buckets"].items()) >= len(first["buckets"]) - 3
-    rows = table.read().collect()
-    assert len(rows) == 43 and sorted(r.id for r in rows) == list(range(1, 44)) and last["top"] == 43
-    used = {f.split("/")[1] for v in table.versions() for f in table.manifest(v)["buckets"].values()}
-    assert {p.name for p in (tmp_path / "jobs" / "data").iterdir()} == used
+    assert table.read().count() == 0
+    pipeline.upsert_batch(table, pipeline.posting_rows(pages_of(range(20))), now)
+    merged = pipeline.upsert_batch(table, pipeline.posting_rows(pages_of([3, 100])), now)
+    assert sorted(r._change for r in merged.collect()) == ["inserted", "same"]
+    table.compact()
+    pipeline.upsert_batch(table, pipeline.posting_rows(pages_of([4], " new")), now)
+    assert [(r.batch, r["count"]) for r in table.log().groupBy("batch").count().orderBy("batch").collect()] == [(0, 20), (1, 1), (2, 1)]
+    rows = {r.post_url: r for r in table.read().collect()}
+    assert len(rows) == 21 and sorted(r.id for r in rows.values()) == list(range(1, 22)) and rows["http://h/4"].title == "Job 4 new" and table.head().top == 21
+    table.compact()
     pipeline.upsert_batch(table, pipeline.posting_rows(pages_of([])), now)
-    assert table.versions() == [2, 3]
+    assert {p.name for p in (tmp_path / "jobs" / "rows").iterdir()} == {"batch=1", "batch=2", "batch=3"} and {p.name for p in (tmp_path / "jobs" / "base").iterdir()} == {"batch=1", "batch=2"}
+    assert {r.post_url: r for r in table.read().collect()} == rows
+
+
+def test_a_killed_batch_counts_once(spark, tmp_path, monkeypatch):
+    """Killed after the rows are written and before the commit; delivered again after the commit."""
+    page = lambda i: (i, f"http://h/{i}", f"<html><body><h1>Job {i}</h1><p>채용 모집 안내 {'서울 정규직 경력 3년 ' * 5}</p></body></html>")
+    first, second = (pipeline.posting_rows(spark.createDataFrame([page(i) for i in ids], pipeline.PAGES)) for ids in ((1, 2), (2, 3)))
+    table = pipeline.ChangeLog(spark, str(tmp_path / "jobs"), schemas.JOB_POSTINGS)
+    now = F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'")
+    with monkeypatch.context() as m:
+        m.setattr(table, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            pipeline.upsert_batch(table, first, now, "s", 0)
+    assert table.read().count() == 0
+    pipeline.upsert_batch(table, first, now, "s", 0)
+    again = pipeline.upsert_batch(table, second, now, "s", 0)
+    assert sorted(r.post_url for r in again.collect()) == sorted(r.post_url for r in table.read().collect()) == ["http://h/1", "http://h/2"]
+    pipeline.upsert_batch(table, second, now, "s", 1)
+    pipeline.upsert_batch(table, second, now, "other", 0)
+    assert sorted((r.post_url, r.id) for r in table.read().collect()) == [("http://h/1", 1), ("http://h/2", 2), ("http://h/3", 3)]
+
+
+def test_the_schedule_runs_again_and_again(spark, tmp_path):
+    page = lambda i: (i, f"http://h/{i}", f"<html><body><h1>Job {i}</h1><p>채용 모집 안내 {'서울 정규직 경력 3년 ' * 5}</p></body></html>")
+    source, table = str(tmp_path / "pages"), pipeline.ChangeLog(spark, str(tmp_path / "jobs"), schemas.JOB_POSTINGS)
+    spark.createDataFrame([page(1)], pipeline.PAGES).write.parquet(source)
+    query = pipeline.run_stream(spark, source, table, str(tmp_path / "check"), F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'"), interval="1 second")
+    try:
+        query.processAllAvailable()
+        assert table.read().count() == 1
+        spark.createDataFrame([page(2)], pipeline.PAGES).write.mode("append").parquet(source)
+        query.processAllAvailable()
+        assert table.read().count() == 2 and query.isActive
+    finally:
+        query.stop()
+
+
+def test_finish_keeps_to_its_own_thread(spark):
+    from threading import Thread
+
+    from hirelake import storage
+
+    others: list = []
+    write = lambda: others.append(storage.materialise(spark.range(3), "other"))
+
+    def make():
+        inner = storage.materialise(spark.range(5), "inner")
+        thread = Thread(target=write)
+        thread.start()
+        thread.join()
+        return inner.where("id > 1")
+
+    result = storage.finish(make, "result")
+    assert result.count() == 3 and others[0].count() == 3
+    storage.release(result)
+    storage.release(others[0])
+    assert not any("hirelake-inner" in p or "hirelake-other" in p or "hirelake-result" in p for p in storage._written)
 
 
 def test_last_page_of_a_url_counts(spark):
