@@ -106,7 +106,7 @@ SQL = {
     "json_sink": f"WITH jobs AS ({inputs.JOBS}) SELECT CAST(to_json({{'id': id, 'company': company_id, 'location': location, 'is_active': is_active}}) AS VARCHAR) AS value FROM jobs",
     "stream_upsert": f"SELECT post_url, title[1:255] AS title, salary[1:255] AS salary, location[1:255] AS location, 'active' AS status, true AS is_active, '2025-01-02' AS seen FROM ({_PLAIN})",
     "stream_upsert_twice": f"""WITH j AS ({_PLAIN}) SELECT post_url, CASE page_id % 3 WHEN 1 THEN concat('New ', title)[1:255] ELSE title[1:255] END AS title, CASE page_id % 3 WHEN 0 THEN 'inserted' WHEN 1 THEN 'changed' ELSE 'kept' END AS change FROM j""",
-    "stream_on_schedule": f"SELECT post_url, title[1:255] AS title, row_number() OVER (ORDER BY post_url) AS id, 'inserted' AS change, '2025-01-02' AS seen FROM ({_PLAIN})",
+    "stream_on_schedule": f"SELECT post_url, title[1:255] AS title, row_number() OVER (ORDER BY substr(md5(post_url), 1, 3), post_url) AS id, 'inserted' AS change, '2025-01-02' AS seen FROM ({_PLAIN})",
     "new_ids_unique": f"WITH j AS ({_PLAIN}) SELECT count(*) AS n, count(*) AS ids, count(*) AS top, CAST(0 AS BIGINT) AS twice FROM j",
     "stream_unseen_urls": "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS url FROM pages",
 }
