@@ -45,6 +45,27 @@ def page(df: DataFrame, number: int = 1, size: int = PAGE_SIZE, order: list[Colu
     return df.orderBy(*(order or [F.desc("id")])).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, last: int | None = None, size: int = PAGE_SIZE, key: str = "id") -> DataFrame:
+    """The page that follows the row with key ``last`` (the first page without one), greatest key first.
+
+    The key in the page's link takes the place of the page number: however far back a page lies, each
+    task keeps at most a page of rows, and rows that are added meanwhile shift no page. Rows with a null
+    key are on no page; rows of one key are on one page together only where keys are unique.
+    """
+    rows = df.where(F.col(key).isNotNull() if last is None else F.col(key) < last)
+    return rows.orderBy(F.desc(key)).limit(max(1, min(size, MAX_PAGE_SIZE)))
+
+
+def page_after_envelope(df: DataFrame, last: int | None = None, size: int = PAGE_SIZE, key: str = "id", results: list[str] | None = None) -> DataFrame:
+    """One row: the page's rows in order, and the query string of the next page (NULL on the last one)."""
+    size = max(1, min(size, MAX_PAGE_SIZE))
+    more = df.where(F.col(key).isNotNull() if last is None else F.col(key) < last).orderBy(F.desc(key)).limit(size + 1)  # one row more than a page
+    rows = more.agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(key).alias("_key"), F.struct(*(results or df.columns)).alias("row"))))).alias("rows"))
+    page_ = F.slice("rows", 1, size)
+    link = F.concat(F.lit("?after="), F.element_at(page_, -1)["_key"].cast("string"), F.lit(f"&page_size={size}"))
+    return rows.select(F.when(F.size("rows") > size, link).alias("next"), F.transform(page_, lambda x: x["row"]).alias("results"))
+
+
 def page_envelope(df: DataFrame, number: int, size: int = PAGE_SIZE, order: list[Column] | None = None, results: list[str] | None = None) -> DataFrame:
     """One row: count, whether there is a next and a previous page, the query strings of these (NULL
     where there is none) and the page's rows, as an array of structs in order (at most MAX_PAGE_SIZE)."""

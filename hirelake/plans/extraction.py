@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hirelake import lexicons as L
-from hirelake.functions import extract, posting
+from hirelake.functions import extract, model, posting
 from hirelake.functions import text as T
 from hirelake.functions.lexicon import lexicon_hits as hits_of
 from hirelake.operators import imports
@@ -184,6 +184,25 @@ def json_decode(spark, sf):
     return inputs.table(spark, sf, "events").select("event_id", safe_json("props", "k int")["k"].alias("k"))
 
 
+def _stand_in() -> model.Model:
+    """A stand-in for a trained model: it goes by letters of the text."""
+    return lambda texts, labels: [(labels[len(t) % len(labels)], 0.9 if "que" in t else 0.5 if "th" in t else 0.1) for t in texts]
+
+
+def extract_with_model(spark, sf):
+    """Facts with a supplied model: it fills a missing place and overrides the career."""
+    inputs.register(spark, sf, "conversations")
+    rows = spark.sql(f"SELECT id, text FROM {_TURNS}")
+    got = extract.extract_facts(rows, rules=LATIN, corrector=model.fact_corrector("stand-in", _stand_in))
+    return got.select("id", F.col("구인구분").alias("career"), F.col("근무지").alias("place"))
+
+
+def accept_with_model(spark, sf):
+    """Postings by a supplied model on the first 2000 characters, or by words."""
+    accepted = posting.accept_as_job("text", ["ersh", "oner", "lichkeit"], classifier=model.posting_classifier("stand-in", _stand_in))
+    return inputs.table(spark, sf, "documents").select("doc_id", accepted.alias("accepted"))
+
+
 #: Words of three to five letters of the benchmark table, a bounded table, as a lexicon; many lie in others.
 LEXICON = "SELECT DISTINCT w FROM (SELECT {explode}({split}(lower(text), '[^a-z]+')) AS w FROM benchmark) AS x WHERE length(w) BETWEEN 3 AND 5"
 LEXICON_WORDS = 50_000
@@ -199,7 +218,7 @@ def lexicon_hits(spark, sf):
     return hits_of(docs, {"hits": "low"}, [r.w for r in rows]).select("doc_id", F.array_join("hits", ",").alias("hits"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_set, welfare_canon, salary_min_parse, salary_floor500, clean_html, extract_counseling, extract_counseling_korean, extract_stack, required_fields, only_fields, labeled_block, posting_extract, posting_words, accept_as_job, accept_with_classifier, has_digit, counseling_requests, import_helpers, import_dates, json_decode, lexicon_hits)}
+QUERIES = {f.__name__: f for f in (tokenize_set, welfare_canon, salary_min_parse, salary_floor500, clean_html, extract_counseling, extract_counseling_korean, extract_stack, required_fields, only_fields, labeled_block, posting_extract, posting_words, accept_as_job, accept_with_classifier, has_digit, counseling_requests, import_helpers, import_dates, json_decode, lexicon_hits, extract_with_model, accept_with_model)}
 
 _TURNS = "(SELECT conv_id * 1000 + turn AS id, text FROM conversations) AS turns"
 _bare = "replace(lower(text), ',', '')"
@@ -261,5 +280,8 @@ SQL = {
     "import_helpers": f"WITH jobs AS ({inputs.JOBS}) SELECT id, array_to_string(list_sort({S.found_in('replace(benefits, %s, %s)' % (S.text(' '), S.text('')), L.BENEFITS)}), ',') AS welfare, concat_ws(',', CASE WHEN contains(benefits, '식대') THEN 'BENEFIT_식대' END, CASE WHEN contains(benefits, '재택') THEN 'BENEFIT_재택근무' END) AS codes, CAST(NULL AS INTEGER) AS no_number, CAST(id AS INTEGER) AS number, CASE id % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '' END AS gender FROM jobs",
     "import_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
     "lexicon_hits": f"WITH lexicon AS (SELECT list(w ORDER BY w) AS words FROM ({LEXICON.format(explode='unnest', split='regexp_split_to_array')})) SELECT doc_id, coalesce(array_to_string(list_filter((SELECT words FROM lexicon), lambda w: contains(lower(text), w)), ','), '') AS hits FROM documents",
+    "extract_with_model": f"""SELECT f.id, CASE WHEN t = '' THEN f.career ELSE {S.array(model.CAREERS)}[length(t) % 2 + 1] END AS career, coalesce(f.place, CASE WHEN t <> '' THEN {S.array(model.PLACES)}[length(t) % 3 + 1] END) AS place
+        FROM ({_facts_sql(_TURNS, LATIN)}) f JOIN {_CLEAN % _TURNS} c ON f.id = c.id""",
+    "accept_with_model": f"SELECT doc_id, coalesce(length(text[1:2000]) > 0 AND length(text[1:2000]) % 2 = 0 AND contains(text[1:2000], 'que'), false) OR {S.count_in("lower(coalesce(text, '')[1:3000])", ['ersh', 'oner', 'lichkeit'])} >= 2 AS accepted FROM documents",
     "json_decode": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
 }

@@ -31,6 +31,16 @@ def jobs_search_results(spark, sf):
     return got.select("count", "next", "previous", F.to_json("results", {"ignoreNullFields": "false"}).alias("results"))
 
 
+def jobs_page_after(spark, sf):
+    """The third page, reached by the keys in the links of the pages before."""
+    rows = search.keyword_search(search.active_filter(inputs.jobs(spark, sf), "true"), _Q).select("id", "company_id", "location")
+    last = None
+    for _ in range(2):  # as a reader of the pages would
+        last = int(search.page_after_envelope(rows, last, 10).first()["next"].split("=")[1].split("&")[0])
+    got = search.page_after_envelope(rows, last, 10)
+    return got.select("next", F.to_json("results", {"ignoreNullFields": "false"}).alias("results"))
+
+
 def jobs_active_filter(spark, sf):
     return search.active_filter(inputs.jobs(spark, sf), "no").select("id", "company_id")
 
@@ -49,7 +59,7 @@ def orders_company_contains(spark, sf):
 def suppliers_region_contains(spark, sf):
     nations = inputs.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("region"))
     joined = search.with_company(inputs.table(spark, sf, "supplier"), nations, "s_nationkey")
-    return joined.where(search.icontains("company_region", "an")).select("s_suppkey", "company_region")
+    return joined.where(search.icontains("company_region", "Nation_1")).select("s_suppkey", "company_region")
 
 
 def admin_facets(spark, sf):
@@ -87,7 +97,7 @@ def export_companies(spark, sf):
     return export_rows(inputs.sites(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (jobs_search_page, jobs_search_envelope, jobs_search_results, jobs_active_filter, jobs_keyword, orders_company_contains, suppliers_region_contains, admin_facets, admin_search, in_list_filter, point_lookup, missing_homepages, discover_targets, collect_targets, export_companies)}
+QUERIES = {f.__name__: f for f in (jobs_search_page, jobs_search_envelope, jobs_search_results, jobs_page_after, jobs_active_filter, jobs_keyword, orders_company_contains, suppliers_region_contains, admin_facets, admin_search, in_list_filter, point_lookup, missing_homepages, discover_targets, collect_targets, export_companies)}
 
 SQL = {
     "jobs_search_page": f"""{_WITH} SELECT j.id, j.title, j.company_id, c.name AS company_name, c.region AS company_region FROM jobs j JOIN companies c ON j.company_id = c.id
@@ -95,10 +105,12 @@ SQL = {
     "jobs_search_envelope": f"{_WITH} SELECT count(*) AS count, count(*) > 40 AS has_next, true AS has_previous FROM jobs WHERE is_active AND ({_FIELDS})",
     "jobs_search_results": f"""{_WITH}, found AS (SELECT id, company_id, location FROM jobs WHERE is_active AND ({_FIELDS})), p AS (SELECT * FROM found ORDER BY id DESC LIMIT 10 OFFSET 10)
         SELECT (SELECT count(*) FROM found) AS count, CASE WHEN (SELECT count(*) FROM found) > 20 THEN '?page=3&page_size=10' END AS next, '?page=1&page_size=10' AS previous, CAST(to_json(list(p ORDER BY id DESC)) AS VARCHAR) AS results FROM p""",
+    "jobs_page_after": f"""{_WITH}, found AS (SELECT id, company_id, location FROM jobs WHERE is_active AND ({_FIELDS})), p AS (SELECT * FROM found ORDER BY id DESC LIMIT 10 OFFSET 20)
+        SELECT CASE WHEN (SELECT count(*) FROM found) > 30 THEN '?after=' || min(id) || '&page_size=10' END AS next, CAST(to_json(list(p ORDER BY id DESC)) AS VARCHAR) AS results FROM p""",
     "jobs_active_filter": f"{_WITH} SELECT id, company_id FROM jobs WHERE NOT is_active",
     "jobs_keyword": "SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'of the ')",
     "orders_company_contains": "SELECT o_orderkey, c_name AS company_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), '#0000001')",
-    "suppliers_region_contains": "SELECT s_suppkey, n_name AS company_region FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'an')",
+    "suppliers_region_contains": "SELECT s_suppkey, n_name AS company_region FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1')",
     "admin_facets": "SELECT o_orderstatus AS facet, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY 1",
     "admin_search": f"{_WITH} SELECT j.id, c.name AS company_name FROM jobs j JOIN companies c ON j.company_id = c.id WHERE contains(lower(j.title), 'rc1') OR contains(lower(j.post_url), 'rc1') OR contains(lower(c.name), 'rc1')",
     "in_list_filter": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (1, 5, 9)",

@@ -109,3 +109,45 @@ def test_lexicon_hits_are_those_of_contains(spark):
     lexicon = Lexicon([*tokens, "zz"])
     assert lexicon.among_tokens(odd, None) == list(range(len(tokens)))
     assert [m.to_pylist() for m in masks([[0, 2, 5], []], 2, 2)] == [[0b11, 0], [0b01, 0]]
+
+
+def test_supplied_models_are_loaded_once_and_asked_in_batches(spark, tmp_path):
+    """A model that notes its loads and what it is asked, against a plain loop."""
+    from hirelake.functions import model
+
+    def load():
+        (tmp_path / "loads").open("a").write("x")
+
+        def ask(texts, labels):
+            (tmp_path / "asked").open("a").write(f"{len(texts)} ")
+            return [(labels[len(t) % len(labels)] if "z" not in t else "other", len(t) / 10) for t in texts]
+
+        return ask
+
+    texts = [None, "", "a", "bb", "ccc", "zz", "x" * 30, *["t" * i for i in range(1, 20)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    label = model.best_label("noted", load, ["p", "q"], threshold=0.3, batch=5)
+    rows = df.select("i", label(F.col("t")).alias("l")).collect()
+    assert [r.l for r in rows] == [None if not t or "z" in t or len(t) < 3 else ["p", "q"][len(t) % 2] for t in texts]
+    df.select(label(F.col("t")).alias("l")).collect()
+    asked = [int(n) for n in (tmp_path / "asked").read_text().split()]
+    assert max(asked) == 5 and sum(asked) == 2 * sum(bool(t) for t in texts)
+    assert len((tmp_path / "loads").read_text()) <= 4  # workers of this session, not batches
+    facts = extract.extract_facts(df.select(F.col("t").alias("text")), corrector=model.fact_corrector("noted", load)).collect()
+    assert {r["구인구분"] for r in facts if r.text and "z" not in r.text} == {"신입", "신입+경력"}
+    accepted = posting.accept_as_job("t", classifier=model.posting_classifier("noted", load, chars=8))
+    assert [r.a for r in df.select("i", accepted.alias("a")).orderBy("i").collect()] == [bool(t) and "z" not in t and len(t[:8]) >= 7 and len(t[:8]) % 2 == 0 for t in texts]
+
+
+def test_pages_by_key_are_those_by_number(spark):
+    from hirelake.operators import search
+
+    df = spark.range(47).select((F.col("id") * 3).alias("id"), (F.col("id") % 5).alias("v")).unionByName(spark.createDataFrame([(None, 1)], "id long, v long"))
+    known, last = df.where("id IS NOT NULL"), None
+    for number in range(1, 7):
+        want = [r.id for r in search.page(known, number, 10).collect()]
+        got = search.page_after_envelope(df, last, 10).first()
+        assert [r.id for r in search.page_after(df, last, 10).collect()] == [r.id for r in got.results] == want
+        assert got.next == (f"?after={want[-1]}&page_size=10" if number < 5 else None)
+        last = want[-1] if want else last
+    assert search.page_after(df, 0).count() == 0 and search.page_after_envelope(df, 0).first().results == []
