@@ -78,6 +78,18 @@ def stream_on_schedule(spark, sf):
     return table.read().join(again.select("post_url", "_change"), "post_url").select("post_url", "title", "id", F.col("_change").alias("change"), F.date_format("first_seen_at", "yyyy-MM-dd").alias("seen"))
 
 
+def stream_kept_counts(spark, sf):
+    """Postings per place after three batches of changes, kept by the changes alone."""
+    table = pipeline.ChangeLog(spark, scratch(spark, "postings"), schemas.JOB_POSTINGS)
+    kept = pipeline.KeptCounts(table, scratch(spark, "counts"), "location")
+    pages, now = inputs.table(spark, sf, "pages"), F.expr("TIMESTAMP_NTZ '2025-01-02 03:04:05'")
+    for low, place in ((0, "부산"), (1, "대구"), (2, "서울")):
+        part = pages.where(F.col("page_id") % 4 >= low).withColumn("html", F.replace("html", F.lit("<h1>"), F.lit(f"<h1>{place} ")))
+        pipeline.upsert_batch(table, pipeline.posting_rows(part, keywords=_ACCEPT), now)
+        kept.update()
+    return kept.counts().select(F.col("value").alias("location"), "n")
+
+
 def new_ids_unique(spark, sf):
     """Violations of the id's uniqueness after two batches: none."""
     table = pipeline.ChangeLog(spark, scratch(spark, "postings"), schemas.JOB_POSTINGS)
@@ -98,7 +110,7 @@ def stream_unseen_urls(spark, sf):
     return spark.read.schema("url string, fetched_at timestamp").parquet(at).select("url")
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, json_sink, stream_upsert, stream_upsert_twice, stream_on_schedule, new_ids_unique, stream_unseen_urls)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, json_sink, stream_upsert, stream_upsert_twice, stream_on_schedule, stream_kept_counts, new_ids_unique, stream_unseen_urls)}
 
 _PLAIN = page_plans.SQL["detail_jobs"].replace(page_plans.LAID, "SELECT * FROM pages")
 SQL = {
@@ -107,6 +119,7 @@ SQL = {
     "stream_upsert": f"SELECT post_url, title[1:255] AS title, salary[1:255] AS salary, location[1:255] AS location, 'active' AS status, true AS is_active, '2025-01-02' AS seen FROM ({_PLAIN})",
     "stream_upsert_twice": f"""WITH j AS ({_PLAIN}) SELECT post_url, CASE page_id % 3 WHEN 1 THEN concat('New ', title)[1:255] ELSE title[1:255] END AS title, CASE page_id % 3 WHEN 0 THEN 'inserted' WHEN 1 THEN 'changed' ELSE 'kept' END AS change FROM j""",
     "stream_on_schedule": f"SELECT post_url, title[1:255] AS title, row_number() OVER (ORDER BY substr(md5(post_url), 1, 3), post_url) AS id, 'inserted' AS change, '2025-01-02' AS seen FROM ({_PLAIN})",
+    "stream_kept_counts": f"WITH j AS ({_PLAIN}) SELECT CASE WHEN page_id % 4 = 0 THEN '부산' WHEN page_id % 4 = 1 THEN '대구' ELSE '서울' END AS location, count(*) AS n FROM j GROUP BY 1",
     "new_ids_unique": f"WITH j AS ({_PLAIN}) SELECT count(*) AS n, count(*) AS ids, count(*) AS top, CAST(0 AS BIGINT) AS twice FROM j",
     "stream_unseen_urls": "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS url FROM pages",
 }

@@ -44,19 +44,21 @@ class ChangeLog:
         """last: greatest batch (-1 for none); base: batch of the last base, or none; top: greatest id."""
         return self.commits().agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("last"), F.max(F.when(F.col("base"), F.col("batch"))).alias("base"), F.coalesce(F.max("top"), F.lit(0)).alias("top")).first()
 
-    def log(self, after: int = -1) -> DataFrame:
-        """The rows of the committed batches after ``after``, with ``_change`` and ``batch``."""
+    def log(self, after: int = -1, until: int | None = None) -> DataFrame:
+        """The rows of the committed batches after ``after``, up to ``until``, with ``_change`` and ``batch``."""
         schema = f"{self.schema}, _change string, batch long"
-        done = self.commits().where(~F.col("base") & (F.col("batch") > after)).select("batch").distinct()
+        wanted = (F.col("batch") > after) if until is None else F.col("batch").between(after + 1, until)
+        done = self.commits().where(~F.col("base") & wanted).select("batch").distinct()
         if not done.limit(1).count():
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/rows").where(F.col("batch") > after)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/rows").where(wanted)
         return rows.join(done, "batch", "left_semi")
 
-    def read(self, keys: DataFrame | None = None) -> DataFrame:
-        """The current table, or its rows of some keys."""
-        base = self.head().base
-        rows = self.log(-1 if base is None else base).drop("_change")
+    def read(self, keys: DataFrame | None = None, until: int | None = None) -> DataFrame:
+        """The table, or its rows of some keys, now or as of batch ``until`` (not before the last base but one)."""
+        bases = self.commits().where(F.col("base") & F.lit(True if until is None else F.col("batch") <= until))
+        base = bases.agg(F.max("batch")).first()[0]
+        rows = self.log(-1 if base is None else base, until).drop("_change")
         if base is not None:
             whole = self.spark.read.schema(self.schema).parquet(f"{self.path}/base/batch={base}")
             rows = rows.unionByName(whole.withColumn("batch", F.lit(base)))
@@ -92,6 +94,43 @@ class ChangeLog:
                 delete(self.spark, f"{self.path}/{'base' if r.base else 'rows'}/batch={r.batch}")
 
 
+class KeptCounts:
+    """How many rows of a log's table have each value of a column, kept up to date by the changes alone.
+
+    An update reads the rows that changed since the last one: a value that a row has now counts one
+    more, the value that it had then one less. Counts are written per batch and count from their
+    commit on, so an update that is killed is done again; it must come before the second compaction
+    after the last one.
+    """
+
+    def __init__(self, log: ChangeLog, path: str, column: str):
+        self.of, self.path, self.column = log, path.rstrip("/"), column
+        kind = log.spark.createDataFrame([], log.schema).schema[column].dataType.simpleString()
+        self.own = ChangeLog(log.spark, self.path, f"value {kind}, n long", "value")
+
+    def batch(self) -> int:
+        """The log's batch as of which the counts are, -1 for none."""
+        found = self.own.commits().agg(F.max("source_batch")).first()[0]
+        return -1 if found is None else found
+
+    def counts(self) -> DataFrame:
+        """(value, n) of the values that rows have."""
+        return self.own.read().where("n > 0")
+
+    def update(self) -> None:
+        done, last = self.batch(), self.of.head().last
+        if last == done:
+            return
+        changed = self.of.log(done, last)
+        now = changed.groupBy(self.of.key).agg(F.max_by(self.column, "batch").alias("value")).select("value", F.lit(1).alias("d"))
+        then = self.of.read(changed, done).select(F.col(self.column).alias("value"), F.lit(-1).alias("d")) if done >= 0 else now.limit(0)
+        deltas = materialise(now.unionByName(then).groupBy("value").agg(F.sum("d").alias("d")).where("d <> 0"), "deltas")
+        old = self.own.read().withColumnsRenamed({"value": "_value", "n": "_n"})
+        rows = deltas.join(old, F.col("value").eqNullSafe(F.col("_value")), "left").select("value", (F.coalesce("_n", F.lit(0)) + F.col("d")).alias("n"), F.lit("changed").alias("_change"))
+        self.own.append(rows, self.own.head().last + 1, 0, "log", last)
+        release(deltas)
+
+
 def last_pages(pages: DataFrame) -> DataFrame:
     """The last page of each URL: by time of arrival where that is known (``arrived``), then page id,
     then content, so that no order of tasks matters."""

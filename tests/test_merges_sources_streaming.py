@@ -156,6 +156,27 @@ def test_batches_append_their_changes(spark, tmp_path):
     assert {r.post_url: r for r in table.read().collect()} == rows
 
 
+def test_kept_counts_are_those_of_a_recount(spark, tmp_path, monkeypatch):
+    """Values come, go and become null; compactions and a killed update lie between."""
+    table = pipeline.ChangeLog(spark, str(tmp_path / "log"), "k long, v string", "k")
+    kept = pipeline.KeptCounts(table, str(tmp_path / "counts"), "v")
+    batches = [[(1, "a"), (2, "a"), (3, None)], [(2, "b"), (4, "a")], [(1, None), (3, "c"), (2, "a")], [], [(1, "a")]]
+    state: dict = {}
+    for i, rows in enumerate(batches):
+        table.append(spark.createDataFrame([(*r, "changed") for r in rows], "k long, v string, _change string"), i, 0)
+        state.update(rows)
+        if i == 2:
+            with monkeypatch.context() as m:
+                m.setattr(kept.own, "_commit", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    kept.update()
+            table.compact()
+        if i != 1:
+            kept.update()
+            kept.update()
+            assert {r.value: r.n for r in kept.counts().collect()} == {v: list(state.values()).count(v) for v in set(state.values())}
+
+
 def test_a_killed_batch_counts_once(spark, tmp_path, monkeypatch):
     """Killed after the rows are written and before the commit; delivered again after the commit."""
     page = lambda i: (i, f"http://h/{i}", f"<html><body><h1>Job {i}</h1><p>채용 모집 안내 {'서울 정규직 경력 3년 ' * 5}</p></body></html>")
