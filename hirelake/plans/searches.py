@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.operators import search
+from hirelake.operators.substring import SubstringIndex
 from hirelake.plans import inputs
+from hirelake.plans import sqltext as S
 from hirelake.sources.sinks import export_rows
 
 _Q, _COMPANY, _REGION = "TION", "Src1", "seoul"
@@ -49,6 +54,17 @@ def jobs_keyword(spark, sf):
     return search.keyword_search(inputs.jobs(spark, sf), "Of The ", ["job_description"]).select("id")
 
 
+#: Needles of one, two and more characters, of other scripts, with signs and without a row.
+_NEEDLES = ["Of The ", "TION", "é", "ß", "ÑÑ!", "q", ".\n", "%_", "ungen auf", "없음"]
+
+
+def jobs_keyword_indexed(spark, sf):
+    """Postings that hold each of several needles in one of two fields, by one index of grams."""
+    index = SubstringIndex.build(inputs.jobs(spark, sf).select("id", "title", "job_description", "preferred_qualifications"), ["job_description", "preferred_qualifications"])
+    found = [index.search(q).select(F.lit(i).alias("needle"), "id") for i, q in enumerate(_NEEDLES)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def orders_company_contains(spark, sf):
     """A filter through the key: orders of customers whose name contains a text."""
     customers = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
@@ -97,7 +113,7 @@ def export_companies(spark, sf):
     return export_rows(inputs.sites(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (jobs_search_page, jobs_search_envelope, jobs_search_results, jobs_page_after, jobs_active_filter, jobs_keyword, orders_company_contains, suppliers_region_contains, admin_facets, admin_search, in_list_filter, point_lookup, missing_homepages, discover_targets, collect_targets, export_companies)}
+QUERIES = {f.__name__: f for f in (jobs_search_page, jobs_search_envelope, jobs_search_results, jobs_page_after, jobs_active_filter, jobs_keyword, jobs_keyword_indexed, orders_company_contains, suppliers_region_contains, admin_facets, admin_search, in_list_filter, point_lookup, missing_homepages, discover_targets, collect_targets, export_companies)}
 
 SQL = {
     "jobs_search_page": f"""{_WITH} SELECT j.id, j.title, j.company_id, c.name AS company_name, c.region AS company_region FROM jobs j JOIN companies c ON j.company_id = c.id
@@ -109,6 +125,9 @@ SQL = {
         SELECT CASE WHEN (SELECT count(*) FROM found) > 30 THEN '?after=' || min(id) || '&page_size=10' END AS next, CAST(to_json(list(p ORDER BY id DESC)) AS VARCHAR) AS results FROM p""",
     "jobs_active_filter": f"{_WITH} SELECT id, company_id FROM jobs WHERE NOT is_active",
     "jobs_keyword": "SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'of the ')",
+    "jobs_keyword_indexed": " UNION ALL ".join(
+        f"SELECT {i} AS needle, doc_id AS id FROM documents WHERE contains(lower(text), lower({S.text(q)})) OR coalesce(contains(lower(source), lower({S.text(q)})), false)" for i, q in enumerate(_NEEDLES)
+    ),
     "orders_company_contains": "SELECT o_orderkey, c_name AS company_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), '#0000001')",
     "suppliers_region_contains": "SELECT s_suppkey, n_name AS company_region FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1')",
     "admin_facets": "SELECT o_orderstatus AS facet, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY 1",
