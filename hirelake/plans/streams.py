@@ -11,6 +11,7 @@ from hirelake.plans import pages as page_plans
 from hirelake.sources import files, sinks
 from hirelake.storage import scratch
 from hirelake.streaming import pipeline
+from hirelake.streaming.frontier import Frontier
 
 _ACCEPT = ["the", "an ", "que", "la", "und"]
 
@@ -110,7 +111,23 @@ def stream_unseen_urls(spark, sf):
     return spark.read.schema("url string, fetched_at timestamp").parquet(at).select("url")
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, json_sink, stream_upsert, stream_upsert_twice, stream_on_schedule, stream_kept_counts, new_ids_unique, stream_unseen_urls)}
+def crawl_frontier_stream(spark, sf):
+    """The walk of ``crawl_frontier`` over pages that arrive in three batches, by the rest of their ids by three."""
+    pages, at = page_plans._pages(spark, sf), scratch(spark, "arriving")
+    for part in (1, 0, 2):
+        pages.where(F.col("page_id") % 3 == part).select("url", "html").coalesce(1).write.mode("append").parquet(at)
+    walk = Frontier(spark, scratch(spark, "frontier"), 3, page_plans.WORDS)
+    walk.seed(pages.where("page_id % 2 = 0"))
+    stream = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet(at)
+    query = walk.start(stream)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return walk.reached()
+
+
+QUERIES = {f.__name__: f for f in (csv_round_trip, json_sink, stream_upsert, stream_upsert_twice, stream_on_schedule, stream_kept_counts, new_ids_unique, stream_unseen_urls, crawl_frontier_stream)}
 
 _PLAIN = page_plans.SQL["detail_jobs"].replace(page_plans.LAID, "SELECT * FROM pages")
 SQL = {
@@ -121,5 +138,6 @@ SQL = {
     "stream_on_schedule": f"SELECT post_url, title[1:255] AS title, row_number() OVER (ORDER BY substr(md5(post_url), 1, 3), post_url) AS id, 'inserted' AS change, '2025-01-02' AS seen FROM ({_PLAIN})",
     "stream_kept_counts": f"WITH j AS ({_PLAIN}) SELECT CASE WHEN page_id % 4 = 0 THEN '부산' WHEN page_id % 4 = 1 THEN '대구' ELSE '서울' END AS location, count(*) AS n FROM j GROUP BY 1",
     "new_ids_unique": f"WITH j AS ({_PLAIN}) SELECT count(*) AS n, count(*) AS ids, count(*) AS top, CAST(0 AS BIGINT) AS twice FROM j",
+    "crawl_frontier_stream": page_plans.SQL["crawl_frontier"],
     "stream_unseen_urls": "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS url FROM pages",
 }
