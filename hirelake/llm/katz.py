@@ -18,6 +18,12 @@ block grows with the corpus between two bounds. Ranges and blocks are dealt to p
 one to a partition while there are at most MOST_PARTITIONS of them, and are read from the sorted
 partition one after the other: a task never holds more than one range or one block.
 
+Blocks times ranges would grow with the square of the corpus, and a row shrink to a key. Beyond
+DIRECT_RANGES ranges the exchange takes two hops: blocks send to about sqrt(ranges) coarse ranges; a
+hub takes one coarse range from as many blocks, adds up what they have in common, and stands for them
+before the ranges, with no more keys than a block has; answers come back the same way. At 20 million
+ranges (100 TB) a row still has some 500 keys.
+
 1. words and pairs: requests of all blocks -> totals, counts of counts, one owner block per pair
 2. blocks with totals -> sums of the tokens whose pair is seen; per context, the mass and the
    unigram mass of the pairs that the block owns; the contexts that its unseen pairs wait for
@@ -39,6 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +60,8 @@ BLOCK_CHARS, MOST_BLOCK_CHARS, BLOCKS = 8 << 20, 16 << 20, 2048
 #: Tokens (an upper bound of the distinct keys that blocks send) per key range.
 RANGE_TOKENS = 1 << 20
 MOST_PARTITIONS = 100_000
+#: Ranges up to which blocks send to ranges themselves; a row has some 250 keys then.
+DIRECT_RANGES = 8192
 KEY_BITS = 56
 #: Turing's ratios are used up to this count, the log-linear fit beyond; the fit reads n_1..n_FIT.
 TURING_UP_TO, FIT = 5, 16
@@ -213,6 +222,8 @@ class Layout:
     ranges: int
     per_task: int
     blocks: int
+    #: Coarse ranges, and blocks of a hub; 0 where blocks send to ranges themselves.
+    coarse: int = 0
 
     @staticmethod
     def of(blocks: DataFrame) -> Layout:
@@ -222,7 +233,20 @@ class Layout:
             (F.max(F.col("block").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))) + 1).alias("per_task"),
         ).first()
         least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return Layout(max(least, -(-(row.tokens or 0) // RANGE_TOKENS)), row.per_task or 1, (row.per_task or 1) * (row.tasks or 1))
+        ranges = max(least, -(-(row.tokens or 0) // RANGE_TOKENS))
+        coarse = math.isqrt(ranges - 1) + 1 if ranges > DIRECT_RANGES else 0
+        return Layout(ranges, row.per_task or 1, (row.per_task or 1) * (row.tasks or 1), coarse)
+
+    def _number(self):
+        return F.shiftright("block", 32) * self.per_task + F.col("block").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+
+    def hub(self):
+        """The hub of a row of a block and its coarse range ``r``."""
+        return F.floor(self._number() / self.coarse) * self.coarse + F.col("r")
+
+    def by_hub(self, rows: DataFrame, *order) -> DataFrame:
+        parts = min(-(-self.blocks // self.coarse) * self.coarse, MOST_PARTITIONS)
+        return rows.repartitionById(parts, (F.col("hub") % parts).cast("int")).sortWithinPartitions("hub", *order)
 
     def by_range(self, rows: DataFrame, *order: str) -> DataFrame:
         """Rows dealt by their range number ``r``."""
@@ -231,8 +255,7 @@ class Layout:
 
     def by_block(self, rows: DataFrame, *order) -> DataFrame:
         parts = min(self.blocks, MOST_PARTITIONS)
-        number = F.shiftright("block", 32) * self.per_task + F.col("block").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
-        return rows.repartitionById(parts, (number % parts).cast("int")).sortWithinPartitions(*order)
+        return rows.repartitionById(parts, (self._number() % parts).cast("int")).sortWithinPartitions(*order)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -291,8 +314,7 @@ def _requests(blocks: DataFrame, ranges: int) -> DataFrame:
                 b = _Block(batch.slice(i, 1).to_pylist()[0])
                 for kind, keys, of in ((0, b.vocabulary, b.tokens), (1, b.pairs, b.pair_of)):
                     counts = np.bincount(of[b.trains], minlength=len(keys)).astype(U)
-                    bounds = _ranges(keys, ranges)
-                    parts = [(r, low, high) for r, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if high > low]
+                    parts = _cut(keys, ranges)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([kind] * len(parts), pa.int32()),
@@ -307,30 +329,84 @@ def _requests(blocks: DataFrame, ranges: int) -> DataFrame:
     return blocks.mapInArrow(run, "kind int, r int, block long, keys binary, counts binary")
 
 
+class _Sent:
+    """What several blocks send of one range: their keys one after the other, by block."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("block")
+        self.blocks = rows["block"].to_pylist()
+        self.keys = [_expand_sorted(x) for x in rows["keys"].to_pylist()]
+        self.edges = np.cumsum([0, *map(len, self.keys)])
+        self.counts = np.concatenate([_expand(x) for x in rows["counts"].to_pylist()]).astype(np.int64)
+        self.distinct, self.at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        self.totals = np.zeros(len(self.distinct), np.int64)
+        np.add.at(self.totals, self.at, self.counts)
+
+    def answers(self, totals: np.ndarray, owned: np.ndarray) -> list[bytes]:
+        """Per block 2*total + (1 where it owns the key), in key order; the first block that trains a
+        key owns it, if the key is ``owned`` here."""
+        owner = np.full(len(self.distinct), len(self.at))
+        trained = np.flatnonzero(self.counts)
+        np.minimum.at(owner, self.at[trained], trained)
+        answer = totals[self.at] * 2 + (owned[self.at] & (owner[self.at] == np.arange(len(self.at))))
+        return [_squeeze(answer[i:j].astype(U)) for i, j in zip(self.edges[:-1], self.edges[1:], strict=True)]
+
+
+def _cut(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, low, high) of the ranges that have sorted ``keys``."""
+    bounds = _ranges(keys, ranges)
+    return [(int(r), int(bounds[r]), int(bounds[r + 1])) for r in np.flatnonzero(np.diff(bounds))]
+
+
+def _gathered(ranges: int):
+    """A hub's rows (hub, kind) to those that it sends to the ranges in its blocks' place."""
+
+    def answer(rows: pa.Table) -> pa.Table:
+        sent = _Sent(rows)
+        parts = _cut(sent.distinct, ranges)
+        return pa.table(
+            {
+                "kind": pa.array([rows["kind"][0].as_py()] * len(parts), pa.int32()),
+                "r": pa.array([r for r, _, _ in parts], pa.int32()),
+                "block": pa.array([rows["hub"][0].as_py()] * len(parts), pa.int64()),
+                "keys": pa.array([_squeeze_sorted(sent.distinct[i:j]) for _, i, j in parts], pa.binary()),
+                "counts": pa.array([_squeeze(sent.totals[i:j].astype(U)) for _, i, j in parts], pa.binary()),
+            }
+        )
+
+    return answer
+
+
+def _handed_on(rows: pa.Table) -> pa.Table:
+    """A hub's rows and the ranges' answers to it, to the answers to its blocks."""
+    asked = rows.filter(pc.is_null(rows["answer"]))
+    sent = _Sent(asked)
+    got = rows.filter(pc.is_valid(rows["answer"])).sort_by("r")
+    answer = np.concatenate([_expand(x) for x in got["answer"].to_pylist()])
+    n, kind, part = len(sent.blocks), rows["kind"][0].as_py(), asked["r"][0].as_py()
+    return pa.table(
+        {
+            "block": pa.array(sent.blocks, pa.int64()),
+            "kind": pa.array([kind] * n, pa.int32()),
+            "r": pa.array([part] * n, pa.int32()),
+            "answer": pa.array(sent.answers((answer >> U(1)).astype(np.int64), (answer & U(1)).astype(bool)), pa.binary()),
+        }
+    )
+
+
 def _totals(rows: pa.Table) -> pa.Table:
-    """Answers of one range: per block 2*total + (1 where the block owns the key), in key order; and
-    a row without a block that holds the range's counts of counts."""
-    rows = rows.sort_by("block")
-    keys = [_expand_sorted(x) for x in rows["keys"].to_pylist()]
-    sizes = [len(k) for k in keys]
-    counts = np.concatenate([_expand(x) for x in rows["counts"].to_pylist()]).astype(np.int64)
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.zeros(len(distinct), np.int64)
-    np.add.at(totals, at, counts)
-    owner = np.full(len(distinct), len(at))
-    trained = np.flatnonzero(counts)
-    np.minimum.at(owner, at[trained], trained)
-    answer = totals[at] * 2 + (owner[at] == np.arange(len(at)))
-    edges = np.cumsum([0, *sizes])
+    """Answers of one range, per block or hub; and a row without one that holds the range's counts of counts."""
+    sent = _Sent(rows)
+    totals, answers = sent.totals, sent.answers(sent.totals, np.ones(len(sent.totals), bool))
     r, n = np.unique(totals[totals > 0], return_counts=True)
     kind, part = rows["kind"][0].as_py(), rows["r"][0].as_py()
-    blocks = [*rows["block"].to_pylist(), None]
+    blocks = [*sent.blocks, None]
     return pa.table(
         {
             "kind": pa.array([kind] * len(blocks), pa.int32()),
             "r": pa.array([part] * len(blocks), pa.int32()),
             "block": pa.array(blocks, pa.int64()),
-            "answer": pa.array([*(_squeeze(answer[i:j].astype(U)) for i, j in zip(edges[:-1], edges[1:], strict=True)), b""], pa.binary()),
+            "answer": pa.array([*answers, b""], pa.binary()),
             "counts": pa.array([[]] * (len(blocks) - 1) + [r.astype(np.int64)], pa.list_(pa.int64())),
             "of_counts": pa.array([[]] * (len(blocks) - 1) + [n.astype(np.int64)], pa.list_(pa.int64())),
         }
@@ -395,8 +471,7 @@ def _seen(model: Katz, ranges: int):
             asks[waits[:, 1]] = True
             need = np.flatnonzero((used > 0) | asks)
             order = need[np.argsort(keys[need], kind="stable")]
-            bounds = _ranges(keys[order], ranges)
-            parts = [(r, order[low:high]) for r, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if high > low]
+            parts = [(r, order[low:high]) for r, low, high in _cut(keys[order], ranges)]
             waiting = {"doc": waits[:, 0].tolist(), "key": keys[waits[:, 1]].astype(np.int64).tolist(), "times": times.tolist()}
             docs = {
                 "ids": b.ids, "held": b.held.tolist(), "n_tokens": b.lengths.tolist(), "n_known": per_doc((c > 0).astype(float)).astype(np.int64).tolist(),
@@ -424,21 +499,64 @@ _DOCS = pa.struct(
 _DOCS_SQL = "struct<ids:array<long>,held:array<boolean>,n_tokens:array<long>,n_known:array<long>,base:array<double>,score:array<double>,doc:array<long>,key:array<long>,times:array<long>>"
 
 
+class _Contexts:
+    """Contexts of one range, as several blocks or hubs send them: the masses of the pairs that each owns,
+    and whether it asks for the backoff weight."""
+
+    def __init__(self, rows: pa.Table):
+        self.blocks = rows["block"].to_pylist()
+        self.keys = [_expand_sorted(x) for x in rows["keys"].to_pylist()]
+        self.asks = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(rows["asks"].to_pylist(), self.keys, strict=True)]
+        sums = np.concatenate([np.frombuffer(x, "<f8").reshape(2, -1) for x in rows["sums"].to_pylist()], 1)
+        self.distinct, self.at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        self.sums = np.array([np.bincount(self.at, x, len(self.distinct)) for x in sums])
+
+    def asked(self) -> np.ndarray:
+        return np.bincount(self.at, np.concatenate(self.asks), len(self.distinct)) > 0
+
+
+def _gathered_contexts(ranges: int):
+    """A hub's contexts to the rows that it sends to the ranges in its blocks' place."""
+
+    def answer(rows: pa.Table) -> pa.Table:
+        sent = _Contexts(rows)
+        asks, parts = sent.asked(), _cut(sent.distinct, ranges)
+        return pa.table(
+            {
+                "block": pa.array([rows["hub"][0].as_py()] * len(parts), pa.int64()),
+                "r": pa.array([r for r, _, _ in parts], pa.int32()),
+                "keys": pa.array([_squeeze_sorted(sent.distinct[i:j]) for _, i, j in parts], pa.binary()),
+                "sums": pa.array([np.ascontiguousarray(sent.sums[:, i:j], "<f8").tobytes() for _, i, j in parts], pa.binary()),
+                "asks": pa.array([np.packbits(asks[i:j]).tobytes() for _, i, j in parts], pa.binary()),
+            }
+        )
+
+    return answer
+
+
 def _alphas(rows: pa.Table) -> pa.Table:
-    """Backoff weights of one range's contexts, back to the blocks that ask for them."""
-    keys = [_expand_sorted(x) for x in rows["keys"].to_pylist()]
-    sums = np.concatenate([np.frombuffer(x, "<f8").reshape(2, -1) for x in rows["sums"].to_pylist()], 1)
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    used, words = np.bincount(at, sums[0], len(distinct)), np.bincount(at, sums[1], len(distinct))
-    alpha = np.log10(np.maximum(1 - used, 1e-9) / np.maximum(1 - words, 1e-9))
-    edges = np.cumsum([0, *map(len, keys)])
+    """Backoff weights of one range's contexts, back to the blocks or hubs that ask for them."""
+    sent = _Contexts(rows)
+    return _weights_to_blocks(sent, np.log10(np.maximum(1 - sent.sums[0], 1e-9) / np.maximum(1 - sent.sums[1], 1e-9)))
+
+
+def _handed_on_weights(rows: pa.Table) -> pa.Table:
+    """A hub's contexts and the ranges' backoff weights for it, to those for its blocks."""
+    sent, got = _Contexts(rows.filter(pc.is_valid(rows["keys"]))), rows.filter(pc.is_null(rows["keys"]))
+    alpha = np.zeros(len(sent.distinct))
+    for keys, values in zip(got["key"].to_pylist(), got["alpha"].to_pylist(), strict=True):
+        alpha[np.searchsorted(sent.distinct, np.array(keys, np.int64).astype(U))] = values
+    return _weights_to_blocks(sent, alpha)
+
+
+def _weights_to_blocks(sent: _Contexts, alpha: np.ndarray) -> pa.Table:
+    edges = np.cumsum([0, *map(len, sent.keys)])
     blocks, found, values = [], [], []
-    for i, (number, asked) in enumerate(zip(rows["block"].to_pylist(), rows["asks"].to_pylist(), strict=True)):
-        mask = np.unpackbits(np.frombuffer(asked, np.uint8), count=len(keys[i])).astype(bool)
+    for i, (number, mask) in enumerate(zip(sent.blocks, sent.asks, strict=True)):
         if mask.any():
             blocks.append(number)
-            found.append(keys[i][mask].astype(np.int64))
-            values.append(alpha[at[edges[i] : edges[i + 1]][mask]])
+            found.append(sent.keys[i][mask].astype(np.int64))
+            values.append(alpha[sent.at[edges[i] : edges[i + 1]][mask]])
     return pa.table({"block": pa.array(blocks, pa.int64()), "key": pa.array(found, pa.list_(pa.int64())), "alpha": pa.array(values, pa.list_(pa.float64()))})
 
 
@@ -474,17 +592,32 @@ def katz_scores(docs: DataFrame, held_out, block_chars: int | None = None) -> Da
         block_chars = min(max(BLOCK_CHARS, total // BLOCKS), MOST_BLOCK_CHARS)
     blocks = materialise(_blocks(rows, block_chars), "blocks")
     layout = Layout.of(blocks)
-    totals = layout.by_range(_requests(blocks, layout.ranges), "kind", "r", "block")
+    requests = _requests(blocks, layout.coarse or layout.ranges)
+    if layout.coarse:
+        requests = asked = materialise(requests.withColumn("hub", layout.hub()), "asked")
+        requests = layout.by_hub(requests, "kind", "block").mapInArrow(_each_group(["hub", "kind"], _gathered(layout.ranges)), "kind int, r int, block long, keys binary, counts binary")
+    totals = layout.by_range(requests, "kind", "r", "block")
     totals = totals.mapInArrow(_each_group(["kind", "r"], _totals), "kind int, r int, block long, answer binary, counts array<long>, of_counts array<long>")
     totals = materialise(totals, "totals")
     model = _model(totals)
     answers = totals.where(F.col("block").isNotNull()).select("block", "kind", "r", "answer")
+    if layout.coarse:
+        answers = asked.unionByName(answers.withColumnRenamed("block", "hub"), allowMissingColumns=True)
+        answers = layout.by_hub(answers, "kind").mapInArrow(_each_group(["hub", "kind"], _handed_on), "block long, kind int, r int, answer binary")
     joined = layout.by_block(blocks.unionByName(answers, allowMissingColumns=True), "block", F.asc_nulls_first("kind"), "r")
-    seen = materialise(joined.mapInArrow(_seen(model, layout.ranges), f"block long, r int, keys binary, sums binary, asks binary, docs {_DOCS_SQL}"), "seen")
+    seen = materialise(joined.mapInArrow(_seen(model, layout.coarse or layout.ranges), f"block long, r int, keys binary, sums binary, asks binary, docs {_DOCS_SQL}"), "seen")
     release(blocks)
     release(totals)
-    alphas = layout.by_range(seen.where(F.col("r").isNotNull()).select("block", "r", "keys", "sums", "asks"), "r", "block")
-    alphas = alphas.mapInArrow(_each_group(["r"], _alphas), "block long, key array<long>, alpha array<double>")
+    contexts = seen.where(F.col("r").isNotNull()).select("block", "r", "keys", "sums", "asks")
+    if layout.coarse:
+        release(asked)
+        sent = contexts.withColumn("hub", layout.hub())
+        contexts = layout.by_hub(sent, "block").mapInArrow(_each_group(["hub"], _gathered_contexts(layout.ranges)), "block long, r int, keys binary, sums binary, asks binary")
+    weights = "block long, key array<long>, alpha array<double>"
+    alphas = layout.by_range(contexts, "r", "block").mapInArrow(_each_group(["r"], _alphas), weights)
+    if layout.coarse:
+        alphas = sent.unionByName(alphas.withColumnRenamed("block", "hub"), allowMissingColumns=True)
+        alphas = layout.by_hub(alphas).mapInArrow(_each_group(["hub"], _handed_on_weights), weights)
     done = seen.where(F.col("r").isNull()).select("block", "docs").unionByName(alphas, allowMissingColumns=True)
     done = layout.by_block(done, "block", F.col("docs").isNull())
     return done.mapInArrow(_finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

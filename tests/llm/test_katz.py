@@ -74,6 +74,35 @@ def test_op8_against_dictionaries(spark, sf, block_chars):
         assert abs(sum(m.prob(v, w) for w in m.p) + m.prob(v, None) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("block_chars", [3_000, 60_000])
+def test_two_hops_give_the_same_scores(spark, sf, monkeypatch, block_chars):
+    monkeypatch.setattr(katz, "RANGE_TOKENS", 2_000)
+    docs = table(spark, sf, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    direct = {r.doc_id: r for r in katz.katz_scores(docs, katz.held_out_rows(), block_chars=block_chars).collect()}
+    monkeypatch.setattr(katz, "DIRECT_RANGES", 3)
+    got = katz.katz_scores(docs, katz.held_out_rows(), block_chars=block_chars).collect()
+    check(rows, got)
+    assert len(got) == len(direct)
+    for r in got:
+        assert r[:6] == direct[r.doc_id][:6] and np.isclose(r.score, direct[r.doc_id].score, rtol=1e-12)
+
+
+def test_rows_of_the_exchange(spark, sf, monkeypatch):
+    """A block's rows: one per coarse range instead of one per range."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("long"), F.lit(False).alias("held"), "text")
+    blocks = katz.materialise(katz._blocks(docs, 20_000), "blocks")
+    monkeypatch.setattr(katz, "RANGE_TOKENS", 50)
+    monkeypatch.setattr(katz, "DIRECT_RANGES", 100)
+    layout = katz.Layout.of(blocks)
+    n = blocks.count()
+    assert n > 3 and layout.ranges > 400 and (layout.coarse - 1) ** 2 < layout.ranges <= layout.coarse**2
+    sent = katz._requests(blocks, layout.coarse).withColumn("hub", layout.hub())
+    assert sent.count() <= 2 * n * layout.coarse
+    per_hub = sent.groupBy("hub").agg(F.countDistinct("block").alias("blocks"), F.countDistinct("r").alias("r"))
+    assert per_hub.where((F.col("blocks") > layout.coarse) | (F.col("r") != 1)).count() == 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
     check(rows, katz.katz_scores(odd_docs, katz.held_out_rows()).collect())
