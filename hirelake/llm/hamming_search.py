@@ -9,8 +9,10 @@ is at most segments*(r+1)-1, below which nothing can be missing. Ties go to the
 Equal codes are one index entry with their k+1 least ids, so copies cost nothing. A candidate comes
 from one segment only (its nearest, then first) and only while it can still enter the top k. All
 of it is DataFrame operations; the index is broadcast while it is small, else joined by shuffle.
-Once a radius has more values to look up than the index has codes (or than MOST_MASKS), the queries
-that are still open are compared with all codes instead, in blocks of queries, with the same result.
+The steps follow from the expected work (values looked up, times codes per value): where the next
+radius has too many values, queries that are still open go on with more and shorter segments, which
+reach farther with fewer values. Once the steps would meet more codes than there are, they are compared
+with all codes instead, in blocks of queries, with the same result.
 
 Defined cases: null vectors are neither queries nor neighbours; NaN counts as not positive, as does a
 component that a short vector lacks, and components after the 64th are not read; rows equal in id and
@@ -21,6 +23,7 @@ gives an empty result; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +35,7 @@ BITS, K = 64, 10
 QUERY_MOD = 50
 #: Index entries (16 bytes each) up to which the index is broadcast.
 BROADCAST_ENTRIES = 1_000_000
-#: Values per query and radius up to which segments are looked up, and open queries that are broadcast
+#: Values per query and step up to which segments are looked up, and open queries that are broadcast
 #: at once beyond it.
 MOST_MASKS, QUERY_BLOCK = 1 << 18, 10_000
 
@@ -45,9 +48,51 @@ def sign_code(vector: str) -> Column:
     return F.when(F.col(vector).isNotNull(), F.aggregate(bit, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
-def _segments(codes: int) -> list[tuple[int, int]]:
-    """(shift, bits) of each segment."""
+@dataclass(frozen=True)
+class Step:
+    """A round of look-ups: radii in ``count`` segments; afterwards every code up to ``reach`` is found."""
+
+    count: int
+    radii: tuple[int, ...]
+    reach: int
+
+    def masks(self) -> list[tuple[int, int]]:
+        return [(i, sum(1 << b for b in at)) for i, (_, bits) in enumerate(_segments(self.count)) for r in self.radii for at in combinations(range(bits), r)]
+
+    def values(self) -> int:
+        return sum(math.comb(bits, r) for _, bits in _segments(self.count) for r in self.radii)
+
+    def work(self, codes: int) -> float:
+        """Values looked up and codes expected there, per query."""
+        return sum(math.comb(bits, r) * (1 + codes / 2**bits) for _, bits in _segments(self.count) for r in self.radii)
+
+
+def search_steps(codes: int) -> list[Step]:
+    """The steps while each has at most MOST_MASKS values and all have less work than comparing all codes.
+
+    A step goes on with the segments at hand, or starts anew with more of them where that is less
+    work for each bit that it reaches farther; a new start looks up all radii at once.
+    """
     count = max(1, min(BITS, round(BITS / max(1.0, math.log2(max(codes, 2))))))
+    steps: list[Step] = []
+    radius, reach, spent = -1, -1, 0.0
+    while reach < BITS:
+        options = [Step(count, (radius + 1,), count * (radius + 2) - 1)]
+        if steps:
+            for more in range(count + 1, BITS // 4 + 1):
+                last = (reach + 1) // more  # the least radius that reaches farther
+                options.append(Step(more, tuple(range(last + 1)), more * (last + 1) - 1))
+        options = [o for o in options if o.radii[-1] <= BITS // o.count and o.values() <= MOST_MASKS and spent + o.work(codes) <= codes]
+        if not options:
+            break
+        best = min(options, key=lambda o: o.work(codes) / (o.reach - reach))
+        steps.append(best)
+        count, radius, reach, spent = best.count, best.radii[-1], best.reach, spent + best.work(codes)
+    return steps
+
+
+def _segments(count: int) -> list[tuple[int, int]]:
+    """(shift, bits) of each of ``count`` segments."""
     edges = [round(i * BITS / count) for i in range(count + 1)]
     return [(low, high - low) for low, high in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -94,23 +139,21 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rows = rows.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1)
     index = materialise(rows.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     n = index.count()
-    segments = _segments(n)
-    postings = materialise(index.select("code", F.size("ids").alias("n"), _values("code", segments).alias("s")).select("code", "n", "s.seg", "s.value"), "postings")
-    if n * len(segments) <= BROADCAST_ENTRIES:
-        postings = F.broadcast(postings)
     asked = materialise(queries.where("code IS NOT NULL AND id IS NOT NULL").select("id", "code").distinct(), "queries")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     active = asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)).repartition(parts, "q")
     active = materialise(active, "active")
     found: DataFrame | None = None
     done: list[DataFrame] = []
-    longest = max(bits for _, bits in segments)
-    for radius in range(longest + 1):
-        if sum(math.comb(bits, radius) for _, bits in segments) > min(MOST_MASKS, max(n, 1)):
-            done.append(_compare_all(index, active, k))
-            break
-        masks = [(i, sum(1 << b for b in at)) for i, (_, bits) in enumerate(segments) for at in combinations(range(bits), radius)]
-        masks = F.broadcast(spark.createDataFrame(masks, "seg int, mask long"))  # at most MOST_MASKS rows
+    segments: list[tuple[int, int]] = []
+    unfinished = True
+    for step in search_steps(n):
+        if len(segments) != step.count:  # a new start, that finds again what open queries have found
+            segments, found = _segments(step.count), None
+            postings = materialise(index.select("code", F.size("ids").alias("n"), _values("code", segments).alias("s")).select("code", "n", "s.seg", "s.value"), "postings")
+            if n * len(segments) <= BROADCAST_ENTRIES:
+                postings = F.broadcast(postings)
+        masks = F.broadcast(spark.createDataFrame(step.masks(), "seg int, mask long"))  # at most MOST_MASKS rows
         probes = active.select("q", "bound", _values("q", segments).alias("s")).select("q", "bound", "s.seg", "s.value").join(masks, "seg")
         probes = probes.select("q", "bound", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         new = (
@@ -123,15 +166,17 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         nearer = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
         every = every.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("before") <= k)
         every = materialise(every.drop("before"), "found")
-        reach = len(segments) * (radius + 1) - 1
         bounds = every.groupBy("q").agg(F.max("distance").alias("far"), F.sum("n").alias("held"))
         bounds = active.select("q").join(bounds, "q", "left").select("q", F.when(F.col("held") > k, F.col("far")).otherwise(F.lit(BITS)).alias("bound"))
-        left = materialise(bounds.where(F.col("bound") > reach if radius < longest else F.lit(False)), "active")
+        left = materialise(bounds.where(F.col("bound") > step.reach), "active")
         finished = every.join(left.select("q"), "q", "left_anti")
         done.append(materialise(finished, "done"))
-        if not left.limit(1).count():
+        unfinished = bool(left.limit(1).count())
+        if not unfinished:
             break
         found, active = materialise(every.join(left.select("q"), "q", "left_semi"), "found"), left.repartition(parts, "q")
+    if unfinished:
+        done.append(_compare_all(index, active, k))
     hits = done[0]
     for more in done[1:]:
         hits = hits.unionByName(more)

@@ -111,6 +111,29 @@ def test_top_k_against_brute_force(spark, monkeypatch, most):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_top_k_over_several_numbers_of_segments(spark, monkeypatch):
+    """Far neighbours: queries go on with more segments, and begin anew there."""
+    monkeypatch.setattr(hamming_search, "MOST_MASKS", 700)
+    steps = hamming_search.search_steps(4000)
+    assert len({s.count for s in steps}) > 1 and [s.reach for s in steps] == sorted({s.reach for s in steps})
+    rng = np.random.default_rng(4)
+    codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63 - 1, 4000))]
+    codes += [(5000 + i, codes[i][1] ^ (1 << int(rng.integers(0, 63)))) for i in range(0, 4000, 40)]
+    df = spark.createDataFrame(codes, "id long, code long")
+    got = hamming_search.top_k(df, df.where(F.col("id") % 200 == 0), 3).collect()
+    assert {tuple(r) for r in got} == brute_top(set(codes), {c for c in codes if c[0] % 200 == 0}, 3)
+
+
+def test_search_steps_prefer_look_ups_at_size():
+    """At 10^9 codes the tenth neighbour of a random code lies about 10 bits away: 0.3 % of a comparison of all."""
+    steps = hamming_search.search_steps(10**9)
+    near = [s for s in steps if s.reach <= 11]
+    assert near[-1].reach == 11 and sum(s.work(10**9) for s in near) < 3e-3 * 10**9
+    assert steps[-1].reach >= 23 and sum(s.work(10**9) for s in steps) <= 10**9
+    assert all(s.values() == len(s.masks()) <= hamming_search.MOST_MASKS for s in steps)
+    assert hamming_search.search_steps(0) == []
+
+
 def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, -1.0, float("nan")]), (50, None), (None, [1.0]), (1, []), (2, [1.0] * 70)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select(F.col("vec_id").alias("id"), hamming_search.sign_code("embedding").alias("code"))
