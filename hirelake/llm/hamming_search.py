@@ -35,6 +35,8 @@ BITS, K = 64, 10
 QUERY_MOD = 50
 #: Index entries (16 bytes each) up to which the index is broadcast.
 BROADCAST_ENTRIES = 1_000_000
+#: How often a comparison of all codes reads them.
+PASSES = 2
 #: Values per query and step up to which segments are looked up, and open queries that are broadcast
 #: at once beyond it.
 MOST_MASKS, QUERY_BLOCK = 1 << 18, 10_000
@@ -68,7 +70,7 @@ class Step:
 
 
 def search_steps(codes: int) -> list[Step]:
-    """The steps while each has at most MOST_MASKS values and all have less work than comparing all codes.
+    """The steps while each has at most MOST_MASKS values and all have less work than comparing all codes (PASSES times).
 
     A step goes on with the segments at hand, or starts anew with more of them where that is less
     work for each bit that it reaches farther; a new start looks up all radii at once.
@@ -82,7 +84,7 @@ def search_steps(codes: int) -> list[Step]:
             for more in range(count + 1, BITS // 4 + 1):
                 last = (reach + 1) // more  # the least radius that reaches farther
                 options.append(Step(more, tuple(range(last + 1)), more * (last + 1) - 1))
-        options = [o for o in options if o.radii[-1] <= BITS // o.count and o.values() <= MOST_MASKS and spent + o.work(codes) <= codes]
+        options = [o for o in options if o.radii[-1] <= BITS // o.count and o.values() <= MOST_MASKS and spent + o.work(codes) <= PASSES * codes]
         if not options:
             break
         best = min(options, key=lambda o: o.work(codes) / (o.reach - reach))
