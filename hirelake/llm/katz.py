@@ -45,7 +45,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -379,9 +378,9 @@ def _gathered(ranges: int):
 
 def _handed_on(rows: pa.Table) -> pa.Table:
     """A hub's rows and the ranges' answers to it, to the answers to its blocks."""
-    asked = rows.filter(pc.is_null(rows["answer"]))
+    asked = rows.filter(rows["answer"].is_null())
     sent = _Sent(asked)
-    got = rows.filter(pc.is_valid(rows["answer"])).sort_by("r")
+    got = rows.filter(rows["answer"].is_valid()).sort_by("r")
     answer = np.concatenate([_expand(x) for x in got["answer"].to_pylist()])
     n, kind, part = len(sent.blocks), rows["kind"][0].as_py(), asked["r"][0].as_py()
     return pa.table(
@@ -542,7 +541,7 @@ def _alphas(rows: pa.Table) -> pa.Table:
 
 def _handed_on_weights(rows: pa.Table) -> pa.Table:
     """A hub's contexts and the ranges' backoff weights for it, to those for its blocks."""
-    sent, got = _Contexts(rows.filter(pc.is_valid(rows["keys"]))), rows.filter(pc.is_null(rows["keys"]))
+    sent, got = _Contexts(rows.filter(rows["keys"].is_valid())), rows.filter(rows["keys"].is_null())
     alpha = np.zeros(len(sent.distinct))
     for keys, values in zip(got["key"].to_pylist(), got["alpha"].to_pylist(), strict=True):
         alpha[np.searchsorted(sent.distinct, np.array(keys, np.int64).astype(U))] = values
