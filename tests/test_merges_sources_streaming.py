@@ -114,6 +114,14 @@ def test_heading_blocks_and_postings(spark):
     assert set(jobs) == {"http://a/#job-0", "http://b/"} and jobs["http://b/"].title == "P" and jobs["http://a/#job-0"].location == "서울" and jobs["http://b/"].benefits == "재택근무"
 
 
+CUT = '<html><head><title>{t}</title></head><body><h1>{t}</h1><p>{p} &copy; &copyx; &notit;</p><a href="/p?a=1&amp;copy=2&lt=3">the</a></body></html>'.format(t="R&amp;D &#54620;&amp", p="the an que la und " * 6)
+
+
+def test_page_titles_keep_references_without_an_end(spark):
+    got = spark.createDataFrame([(1, "http://a/", CUT)], pipeline.PAGES).select(pages.page_title("html").alias("title")).first().title
+    assert got == "R&D 한&amp"
+
+
 def test_search_results(spark):
     html = '<a class="result__a" href="https://t.kr/x">T</a><a class="result__url" href="//duck/l/?uddg=https%3A%2F%2Fwww.naver.com">n</a><a class="x result__url" href="/l/?uddg=https%3A%2F%2Freal.kr%2Fp&amp;r=1">r</a>'
     only = '<a class="result__a" href="https://t.kr/x">T</a>'
