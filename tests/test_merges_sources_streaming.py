@@ -128,6 +128,11 @@ def test_detail_pages_keep_references_without_an_end(spark):
     assert pages.anchors(spark.createDataFrame([(1, "http://a/", CUT)], pipeline.PAGES)).first().link == "http://a/p?a=1&copy=2&lt=3"
 
 
+def test_one_page_sites_keep_references_without_an_end(spark):
+    got = pages.one_page_jobs(spark.createDataFrame([(1, "http://a/", CUT)], pipeline.PAGES), ["the", "que"]).first()
+    assert got.title == "R&D 한&amp" and got.job_description.startswith("R&D 한&amp the")
+
+
 def test_search_results(spark):
     html = '<a class="result__a" href="https://t.kr/x">T</a><a class="result__url" href="//duck/l/?uddg=https%3A%2F%2Fwww.naver.com">n</a><a class="x result__url" href="/l/?uddg=https%3A%2F%2Freal.kr%2Fp&amp;r=1">r</a>'
     only = '<a class="result__a" href="https://t.kr/x">T</a>'

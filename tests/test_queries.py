@@ -1,5 +1,7 @@
+import duckdb
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from hirelake.plans import catalog
 
@@ -19,6 +21,20 @@ def test_query_without_sql_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
+#: Queries over pages of which several share an address: each page is a posting.
+SHARED = ["stream_upsert"]
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_pages_that_share_an_address_against_sql(spark, sf, tmp_path, name):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    shared = pages.withColumn("url", F.when(F.col("page_id") % 5 == 0, F.lit("http://one.example.net/")).otherwise(F.col("url")))
+    shared.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    compare(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.SQL[name])
+
+
 def test_entry(spark):
     import __spark_entry__
 
