@@ -22,7 +22,7 @@ def test_query_without_sql_runs(spark, sf, name):
 
 
 #: Queries over pages of which several share an address: each page is a posting.
-SHARED = ["stream_upsert", "stream_upsert_twice", "stream_on_schedule", "new_ids_unique"]
+SHARED = ["stream_upsert", "stream_upsert_twice", "stream_on_schedule", "new_ids_unique", "stream_kept_counts"]
 
 
 @pytest.mark.parametrize("name", SHARED)
