@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from hirelake.llm import near_classes, near_dedup
+from hirelake.llm import edit_embedding, near_classes, near_dedup
 from hirelake.llm.bagminhash import bags, signatures, weighted_jaccard
 from hirelake.llm.common import table
 from hirelake.llm.components import components
@@ -173,3 +173,23 @@ def test_components_of_chains_and_stars(spark, one_task):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 30)] + [(200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 1 for i in range(1, 30)) and got[201] == 200
+
+
+def test_chance_buckets_are_dropped_before_texts_are_fetched(spark, monkeypatch):
+    """Texts that share bands by chance only reach no later step; small and large buckets give the same classes."""
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghij klmnop")
+    rows = [(i, "".join(rng.choice(letters, 300 + 10 * i))) for i in range(120)]
+    rows += [(1000 + i, t[:150] + "x" + t[151:]) for i, t in rows[:20]] + rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(edit_embedding, "BAND_BITS", 7)  # about one other text a band by chance
+    how, found = edit_embedding.EditWalks(), []
+    for most in (near_classes.SMALL_BUCKET, 0):
+        monkeypatch.setattr(near_classes, "SMALL_BUCKET", most)
+        signed = near_classes.sign(docs, how)
+        assert signed.where("bands IS NOT NULL").count() == 0
+        kept = near_classes._meetings(signed, how)[0].select("tkey").distinct().count()
+        assert 38 <= kept <= (90 if most else 140)
+        got = near_classes.classify_documents(docs, how).collect()
+        found.append({(r.doc_id, r.class_id, r.class_size) for r in got})
+    assert found[0] == found[1] and {(1000, 0, 3), (0, 0, 3)} <= found[0]
