@@ -36,7 +36,10 @@ _NEVER = 1 << 30
 
 
 def page_links(pages: DataFrame, keywords: list[str]) -> DataFrame:
-    """(url, link, depth): the candidate links of pages; a page without one has a row without link."""
+    """(url, link, depth): the candidate links of pages; a page without one has a row without link.
+
+    Pages are dealt out before they are read: a file of theirs may be one block, and so one task."""
+    pages = pages.repartition(2 * pages.sparkSession.sparkContext.defaultParallelism)
     rows = read_pages(pages.select("url", "html"), "anchors").select("url", F.explode_outer("anchors").alias("a")).select("url", "a.*")
     good = same_org(netloc("url"), netloc("link")) & (link_score(F.col("text"), F.col("label"), keywords) > 0)
     rows = rows.select("url", F.when(good, F.col("link")).alias("link"), F.lit(None).cast("int").alias("depth"), "pos")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.operators.pages import crawl_frontier
-from hirelake.streaming.frontier import Frontier
+from hirelake.streaming.frontier import Frontier, page_links
 
 SITE = {
     "a": ["b", "c"], "b": ["d"], "c": ["d", "e", "a"], "d": ["f"], "e": ["g"], "f": ["h"], "g": ["e"], "h": ["i"], "s": ["f"], "x": ["a"], "lone": [],
@@ -54,3 +54,13 @@ def test_later_pages_and_seeds_shorten_ways(spark, tmp_path):
     seeds = pages.where("url LIKE '%/a' OR url LIKE '%/s'").select("url")
     assert {tuple(r) for r in walk.reached().collect()} == {tuple(r) for r in crawl_frontier(pages, seeds, 3, ["jobs"]).collect()}
     assert [(r.url[-1], r.depth) for r in walk.wanted().collect()] == [("i", 3)]  # a link without a page
+
+
+def test_pages_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    pages = _pages(spark).select("url", "html")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    one = spark.read.parquet(str(tmp_path / "pages"))
+    assert one.rdd.getNumPartitions() == 1
+    links = page_links(one, ["jobs"])
+    assert links.select(F.spark_partition_id()).distinct().count() > 1
+    assert {r.url[-1] for r in links.collect()} == {r.url[-1] for r in pages.collect()}
