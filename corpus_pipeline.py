@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each stage's
 result as Parquet to the session's shared folder and reads it back for the next one. All but the
-last return the columns of documents.
+last return the columns of documents; the mix is in the order of its files and their rows, which packing reads.
 
 Defined cases follow the operators': null texts count as empty; very long texts pass through every
 stage whole; of repeated rows and other ties one stays after the second stage (the least doc_id, nulls
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hirelake.llm.common import release, table
 from hirelake.llm.mixing import mix_documents
 from hirelake.llm.near_dedup import drop_near_duplicates
-from hirelake.llm.packing import pack_documents
+from hirelake.llm.packing import pack_in_order
 from hirelake.llm.toxicity import drop_toxic
 from hirelake.storage import finish
 
@@ -40,8 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences."""
-    return pack_documents(docs)
+    """The pieces of the documents with their places in sequences, which follow the order of the mix."""
+    return pack_in_order(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
