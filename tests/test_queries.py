@@ -35,6 +35,18 @@ def test_pages_that_share_an_address_against_sql(spark, sf, tmp_path, name):
     compare(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.SQL[name])
 
 
+@pytest.mark.parametrize("name", ["stream_upsert_twice", "stream_kept_counts"])
+def test_changed_pages_at_the_bounds_of_a_posting_against_sql(spark, tmp_path, name):
+    """A change moves a word out of the part that is looked at, or makes a text long enough."""
+    texts = ["the " + "x" * 2988 + " que", "the que " + "x" * 26, "the que " + "x" * 40]
+    rows = [(i, f"http://p{i}.example.net/", f"<html><head><title>t</title></head><body><h1>Top</h1>\n<p>{texts[i // 4 % 3]}</p></body></html>") for i in range(24)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert con.execute(catalog.SQL["new_ids_unique"]).fetchone()[0] == 16
+    compare(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.SQL[name])
+
+
 def test_entry(spark):
     import __spark_entry__
 
