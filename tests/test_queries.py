@@ -35,6 +35,16 @@ def test_pages_that_share_an_address_against_sql(spark, sf, tmp_path, name):
     compare(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.SQL[name])
 
 
+def test_companies_whose_pages_share_an_address_against_sql(spark, sf, tmp_path):
+    """Some of them but for a slash at the end."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    shared = F.when(F.col("page_id") % 5 == 0, F.lit("http://one.example.net/")).when(F.col("page_id") % 5 == 1, F.lit("http://one.example.net"))
+    pages.withColumn("url", F.coalesce(shared, "url")).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    compare(catalog.QUERIES["listing_fallback"](spark, str(tmp_path)), con, catalog.SQL["listing_fallback"])
+
+
 @pytest.mark.parametrize("name", ["stream_upsert_twice", "stream_kept_counts"])
 def test_changed_pages_at_the_bounds_of_a_posting_against_sql(spark, tmp_path, name):
     """A change moves a word out of the part that is looked at, or makes a text long enough."""
