@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -370,3 +371,26 @@ def test_similar_documents_of_the_corpus_by_brute_force(spark, sf):
     got = edit_embedding.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     same = sum(want[r.doc_id] == r.class_id for r in got)
     assert same >= len(want) - 3 and all(want[r.class_id] == want[r.doc_id] for r in got)  # recall; precision is exact
+
+
+def test_edits_up_to_a_bound_are_told_without_the_whole_table(monkeypatch):
+    """As by the whole distance, on texts of few characters, near and far, by all three ways."""
+    rng = random.Random(8)
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+
+    def changed(a: str, n: int) -> str:
+        out = list(a)
+        for _ in range(n):
+            at = rng.randrange(len(out) + 1)
+            out[at : at + rng.randrange(2)] = some(rng.randrange(2), "abé")
+        return "".join(out)
+
+    texts = [some(rng.randrange(120), "ab" if i % 2 else "abcdé한") for i in range(600)]
+    pairs = [(a, changed(a, rng.randrange(40)) if i % 3 else some(rng.randrange(120), "ab")) for i, a in enumerate(texts)]
+    whole = [edit_embedding.edit_distance(a, b) for a, b in pairs]
+    for (a, b), d in zip(pairs, whole, strict=True):
+        assert [edit_embedding.within(a, b, k) for k in (max(d - 1, 0), d, d + 1, 2 * d + 5)] == [d == 0, True, True, True]
+    long = some(60_000, "abcdefgh ")
+    monkeypatch.setattr(edit_embedding, "edit_distance", None)
+    how = edit_embedding.EditWalks()
+    assert how.alike(long, changed(long, 500)) and not how.alike(long, long[:30_000] + some(30_000, "abcdefgh "))
